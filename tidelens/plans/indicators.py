@@ -196,8 +196,8 @@ _BB = [{"m": R("avg", "close", 20), "sd": R("stddev_samp", "close", 20)}]
 _ind("bollinger", "VO-2", "bollinger", 20, _BB, {"bollinger_middle": "m", "bollinger_upper": "m + 2 * sd", "bollinger_lower": "m - 2 * sd"}, source="brand")
 _ind("bollinger_shape", "VO-2", "bollinger_shape", 20, _BB, {"bollinger_shape_width": D("4 * sd", "m"), "bollinger_shape_pct": D("close - m + 2 * sd", "4 * sd")})
 for _nm, _x in (("keltner", "t.close"), ("keltner_typical", "t.tp")):
-    _ind(_nm, "VO-3", _nm, 20, [{"tr": TR, "tp": TP}, {"at": R("avg", "tr", 20)}, recur(ema(_x, 20, "e"))],
-         {f"{_nm}_middle": "e", f"{_nm}_upper": "e + 2 * at", f"{_nm}_lower": "e - 2 * at"})
+    _ind(_nm, "VO-3", _nm, 20, [{"tr": TR, "tp": TP}, {"atr_": R("avg", "tr", 20)}, recur(ema(_x, 20, "e"))],
+         {f"{_nm}_middle": "e", f"{_nm}_upper": "e + 2 * atr_", f"{_nm}_lower": "e - 2 * atr_"})
 _ind("donchian", "VO-4", "donchian", 20, [], {"donchian_middle": _mid(20), "donchian_upper": R("max", "high", 20), "donchian_lower": R("min", "low", 20)})
 _ind("vortex", "VO-5", "vortex", N, [{"tr": TR, "vp": f"abs(high - {L('low')})", "vm": f"abs(low - {L('high')})"}],
      {"vortex_plus": D(R("sum", "vp", N), R("sum", "tr", N)), "vortex_minus": D(R("sum", "vm", N), R("sum", "tr", N))})
@@ -249,7 +249,7 @@ _ind("support_resistance", "PT-5", "support_resistance", 1, [*_PV, {"lv": "[" +
 
 # statistics
 _ind("zscore", "ST-1", "zscore", 20, _BB, {"zscore": D("close - m", "sd")}, source="brand")
-_ind("rolling_variance", "ST-2", "variance", 20, [], {"variance": R("var_samp", "close", 20)}, 4, source="brand")
+_ind("rolling_variance", "ST-2", "variance", 20, [], {"variance": R("var_samp", "close", 20)}, 1, source="brand")
 _ind("rolling_kurtosis", "ST-3", "kurtosis", 20, [_RET], {"kurtosis": R("kurtosis_pop", "rt", 20)}, source="brand")
 _ind("rolling_skewness", "ST-4", "skewness", 20, [_RET], {"skewness": f"{R('skewness', 'rt', 20)} * 18 / sqrt(20 * 19.0)"}, source="brand")
 _ind("rolling_stats", "ST-5", "rolling_stats", 20, [], {
