@@ -224,7 +224,7 @@ def rebalance_trigger(spark, root):
     return P.rebalance_trigger(x, max_hours=2.0, max_volatility=0.5, min_confidence=0.2).select("ts", "rebalance")
 
 
-@query("state_alerts", "PF-19 SM-10", f"""WITH {_STATES}, {_SRISK}, g AS (SELECT ts, avg(volatility) AS volatility, avg(sentiment) AS confidence, max(liquidity) AS max_weight FROM st GROUP BY 1), j AS (SELECT g.*, risk_score FROM g JOIN sr USING (ts))
+@query("state_alerts", "PF-19 SM-10", f"""WITH {_STATES}, {_SRISK}, g2 AS (SELECT ts, avg(volatility) AS volatility, avg(sentiment) AS confidence, max(liquidity) AS max_weight FROM st GROUP BY 1), j AS (SELECT g2.*, risk_score FROM g2 JOIN sr USING (ts))
 SELECT ts, 'high_volatility' AS type, 'warning' AS severity, round(volatility, 6) AS value FROM j WHERE volatility > 0.1 UNION ALL SELECT ts, 'low_confidence', 'warning', round(confidence, 6) FROM j WHERE confidence < 0.5
 UNION ALL SELECT ts, 'high_risk', 'danger', round(risk_score, 6) FROM j WHERE risk_score > 0.8 UNION ALL SELECT ts, 'high_concentration', 'warning', round(max_weight, 6) FROM j WHERE max_weight > 0.5""")
 def state_alerts(spark, root):
@@ -249,8 +249,8 @@ def key_drivers(spark, root):
 
 @query("trade_risk", "PF-23", """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS amount, l_extendedprice / l_quantity AS price, CASE WHEN l_returnflag = 'A' THEN 'sell' ELSE 'buy' END AS direction, l_suppkey % 7 AS risk_level, o_totalprice / 5000 AS pv FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 s AS (SELECT *, CASE risk_level WHEN 1 THEN 0.02 WHEN 2 THEN 0.03 WHEN 3 THEN 0.05 WHEN 4 THEN 0.07 WHEN 5 THEN 0.1 ELSE 0.05 END AS st, CASE WHEN direction = 'buy' THEN 1 ELSE -1 END AS sd FROM t)
-SELECT l_orderkey, l_linenumber, l_partkey, direction, round(amount * price, 4) AS trade_value, round(price * (1 - sd * st), 4) AS stop_loss_price, round(price * (1 + sd * st * 2.5), 4) AS take_profit_price, round(amount * st, 6) AS max_loss,
- round(amount * st / pv * 100, 5) AS portfolio_risk_pct, CASE WHEN amount * st / pv < 0.02 THEN 'acceptable' ELSE 'high' END AS assessment, round(CASE WHEN amount * st / pv > 0.02 THEN 0.02 * pv / st ELSE amount END, 4) AS adjusted_amount FROM s""")
+SELECT l_orderkey, l_linenumber, l_partkey, direction, round(amount * price, 6) AS trade_value, round(price * (1 - sd * st), 6) AS stop_loss_price, round(price * (1 + sd * st * 2.5), 6) AS take_profit_price, round(amount * st, 6) AS max_loss,
+ round(amount * st / pv * 100, 6) AS portfolio_risk_pct, CASE WHEN amount * st / pv < 0.02 THEN 'acceptable' ELSE 'high' END AS assessment, round(CASE WHEN amount * st / pv > 0.02 THEN 0.02 * pv / st ELSE amount END, 6) AS adjusted_amount FROM s""")
 def trade_risk(spark, root):
     li, od = table(spark, root, "lineitem"), table(spark, root, "orders")
     t = li.join(od, li.l_orderkey == od.o_orderkey).select(
@@ -258,4 +258,4 @@ def trade_risk(spark, root):
         F.when(F.col("l_returnflag") == "A", "sell").otherwise("buy").alias("direction"), (F.col("l_suppkey") % 7).alias("risk_level"),
         (F.col("o_totalprice") / 5000).alias("portfolio_value"))
     out = P.trade_risk(t).drop("amount", "price", "risk_level", "portfolio_value")
-    return rounded(rounded(rounded(out, ["trade_value", "stop_loss_price", "take_profit_price", "adjusted_amount"], 4), ["max_loss"]), ["portfolio_risk_pct"], 5)
+    return rounded(out, ["trade_value", "stop_loss_price", "take_profit_price", "adjusted_amount", "max_loss", "portfolio_risk_pct"])

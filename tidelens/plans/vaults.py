@@ -102,10 +102,10 @@ def nav_returns(spark, root):
 
 @query("vault_fees", "PF-28 PF-32", f"""WITH {_NAV}, m AS (SELECT vault, ts, nav, max(nav) OVER (PARTITION BY vault ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hwm,
  max(nav) OVER (PARTITION BY vault ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM nav)
-SELECT vault, ts, nav, hwm AS high_water_mark, round(greatest(nav - coalesce(pm, nav), 0) * 0.2, 4) AS performance_fee, round(nav * 50 / 10000, 4) AS entry_fee, round(nav * 100 / 10000, 4) AS exit_fee FROM m""")
+SELECT vault, ts, nav, hwm AS high_water_mark, round(greatest(nav - coalesce(pm, nav), 0) * 0.2, 6) AS performance_fee, round(nav * 50 / 10000, 6) AS entry_fee, round(nav * 100 / 10000, 6) AS exit_fee FROM m""")
 def vault_fees(spark, root):
     nav = _nav(spark, root).withColumn("amount", F.col("nav"))
-    return rounded(V.fees(nav), ["performance_fee", "entry_fee", "exit_fee"], 4)
+    return rounded(V.fees(nav), ["performance_fee", "entry_fee", "exit_fee"])
 
 
 @query("user_vault_position", "PF-24", f"""WITH {_NAV}, s AS (SELECT vault, "user", count(*) AS shares FROM led GROUP BY 1, 2), l AS (SELECT vault, arg_max(nav, ts) AS nav FROM nav GROUP BY 1)
