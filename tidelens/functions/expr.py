@@ -19,6 +19,11 @@ def rnd(x, digits: int = 6) -> Column:
     return F.round(c(x), digits) + F.lit(0.0)
 
 
+def rnd_up(x, digits: int = 6) -> Column:
+    """Round after a nudge of 1e-9, so that exact decimal ties fall on one side."""
+    return F.round(c(x) + 1e-9, digits) + F.lit(0.0)
+
+
 def rounded(df, cols, digits: int = 6):
     return df.withColumns({k: rnd(k, digits) for k in cols})
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import indicators as I
+from ..session import cut_lineage
 from .series import prefix
 from .stages import Indicator, Temp, compute
 
@@ -78,6 +79,20 @@ def many(bars: DataFrame, wanted: dict[str, tuple], rows=None, keep=("symbol", "
     return compute(bars, gens, keep=keep, rows=rows)
 
 
+# Name prefixes of the dataset pack (fixed values).
+PACK = {"rsi": "rsi", "sma": "sma", "ema": "ema", "macd": "macd", "bb": "bollinger", "atr": "atr"}
+
+
+def by_names(bars: DataFrame, names: list[str], rows=None) -> DataFrame:
+    """Indicators asked for as ``rsi_14``, ``bb_20``, ``macd``; unknown names are left out."""
+    wanted = {}
+    for name in names:
+        kind, _, period = name.partition("_")
+        if kind in PACK:
+            wanted[name] = (PACK[kind], int(period) if period else default_periods(PACK[kind])[0])
+    return many(bars, wanted, rows)
+
+
 def calculate_all(bars: DataFrame, selected=None, periods=None, fill: bool = True, rows=None) -> DataFrame:
     """All (or selected) registered indicators; gaps carry the last value, then 0.
 
@@ -90,6 +105,7 @@ def calculate_all(bars: DataFrame, selected=None, periods=None, fill: bool = Tru
     keep = ("symbol", "ts", "_rn", "open", "high", "low", "close", "volume")
     out = compute(bars, gens, keep=keep, rows=rows)
     if fill:
+        out = cut_lineage(out)
         names = [n for n in out.columns if n not in keep]
         out = prefix(out, {f"_f_{n}": ("last", F.col(n)) for n in names})
         out = out.select(*keep, *[F.coalesce(F.col(f"_f_{n}"), F.lit(0)).alias(n) for n in names])

@@ -24,7 +24,7 @@ from ..functions.expr import c
 
 BLOCK_ROWS = 4096
 SCAN_ROWS = 512
-SCAN_FAN = 512
+SCAN_FAN = 2048
 
 
 def _default_bucket(order: str) -> Column:
@@ -135,6 +135,11 @@ def _entering(items: Column, start: Column, name: str) -> Column:
     return F.aggregate(items, seed, step, lambda acc: acc["out"])
 
 
+def _through(maps: Column, name: str) -> Column:
+    """State after applying a list of folded maps to 0."""
+    return F.aggregate(maps, F.lit(0.0), lambda y, m: m[name]["a"] * y + m[name]["b"])
+
+
 def _explode_states(df: DataFrame, keys: list, idx: str, names: list, starts: dict) -> DataFrame:
     arrays = [F.transform("_l", lambda x: x[idx]).alias(idx)]
     arrays += [_entering(F.col("_l"), starts[n], n).alias(f"_in_{n}") for n in names]
@@ -185,18 +190,12 @@ def affine_scan(df: DataFrame, specs: dict, keys=("symbol",), rows: int | None =
         tails.groupBy(*keys, F.floor(F.col("_sb") / fan).cast("long").alias("_sup"))
         .agg(F.sort_array(F.collect_list(F.struct("_sb", *pair))).alias("_l"))  # at most ``fan`` blocks
     )
-    folded = lists.select(*keys, "_sup", *[_fold(F.col("_l"), n).alias(f"_f_{n}") for n in names])
-    flat = [F.col(f"_f_{n}")[s].alias(f"{s}_{n}") for n in names for s in "ab"]
-    top = (
-        folded.select(*keys, "_sup", *flat)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("_sup", *pair))).alias("_l"))  # one entry per rows*fan rows
-    )
-    top = _explode_states(top, keys, "_sup", names, {n: F.lit(0.0) for n in names})
-    top = top.withColumnsRenamed({f"_in_{n}": f"_top_{n}" for n in names})
-    carry = _explode_states(
-        lists.join(top, [*keys, "_sup"]), keys, "_sb", names, {n: F.col(f"_top_{n}") for n in names}
-    )
+    # state entering each list: fold of all earlier lists, one entry per rows*fan rows
+    earlier = Window.partitionBy(*keys).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
+    folds = F.struct(*[F.struct(_fold(F.col("_l"), n)["a"].alias("a"), _fold(F.col("_l"), n)["b"].alias("b")).alias(n) for n in names])
+    lists = lists.withColumn("_f", folds).withColumn("_before", F.collect_list("_f").over(earlier))
+    lists = lists.withColumns({f"_top_{n}": _through(F.col("_before"), n) for n in names})
+    carry = _explode_states(lists, keys, "_sb", names, {n: F.col(f"_top_{n}") for n in names})
     out = x.join(carry, [*keys, "_sb"])
     out = out.withColumns({n: F.col(f"_y_{n}") + F.col(f"_p_{n}") * F.col(f"_in_{n}") for n in names})
     return out.drop("_sb", "_at", *[f"{s}_{n}" for n in names for s in ("_p", "_y", "_in")])

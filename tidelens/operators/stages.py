@@ -14,10 +14,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .replay import replay
 from .series import affine_scan, blocks, prefix, unblock
 
 
+MAX_DOUBLINGS = 3
+
+
 @dataclass
 class Roll:
     """Rolling frames: ``steps`` are dicts name -> column, each may use the earlier ones."""
@@ -109,11 +113,16 @@ def compute(bars: DataFrame, chosen: dict[str, Generator], keep=("symbol", "ts")
     """
     runs = {label: _Run(gen) for label, gen in chosen.items()}
     active = [r for r in runs.values() if _advance(r)]
-    df = bars
+    df, reads = bars, 1  # numbering reads the bars twice
     while active:
         for kind in (Replay, Roll, Scan, Cum):
             due = [r for r in active if isinstance(r.request, kind)]
             if due:
+                # recurrences read their input twice: the plan doubles with each, so cut it now and then
+                twice = 0 if kind is Roll else len(due) if kind is Replay else 1
+                if twice and reads + twice > MAX_DOUBLINGS:
+                    df, reads = cut_lineage(df), 0
+                reads += twice
                 df = _pass(df, kind, [r.request for r in due], rows)
                 active = [r for r in active if r not in due or _advance(r)]
     out = []

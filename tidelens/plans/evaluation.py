@@ -55,38 +55,38 @@ def regression_metrics_weighted(spark, root):
 
 def _conf(up_t, up_p):
     c = "coalesce({}, 0)"
-    sh = lambda a, b: f"round(coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0), 5)"
+    sh = lambda a, b: f"round(coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0), 9)"
     return f"""WITH {PRED}, c AS (SELECT symbol, count(*) FILTER ({up_t} AND {up_p}) AS tp, count(*) FILTER (NOT {up_t} AND {up_p}) AS fp, count(*) FILTER ({up_t} AND NOT {up_p}) AS fn,
  count(*) FILTER (NOT {up_t} AND NOT {up_p}) AS tn FROM pred GROUP BY 1) SELECT symbol, tp, fp, fn, tn, {sh('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {sh('tp', 'tp + fp')} AS "precision", {sh('tp', 'tp + fn')} AS recall,
  {sh('2 * tp', '2 * tp + fp + fn')} AS f1, {sh('fp', 'fp + tn')} AS fpr, {sh('tn', 'tn + fp')} AS tnr, {sh('fn', 'fn + tp')} AS fnr,
- round((coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) + coalesce(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 0)) / 2, 5) AS balanced_accuracy, {sh('tn', 'tn + fn')} AS npv FROM c"""
+ round((coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) + coalesce(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 0)) / 2, 9) AS balanced_accuracy, {sh('tn', 'tn + fn')} AS npv FROM c"""
 
 
 @query("directional_metrics", "EV-2", _conf("(y_true > prev)", "(y_pred > prev)"))
 def directional_metrics(spark, root):
-    return _round_all(E.directional(predictions(spark, root)))
+    return _round_all(E.directional(predictions(spark, root)), 9)
 
 
 @query("directional_metrics_threshold", "EV-2", _conf("((y_true - prev) / prev > 0.05)", "((y_pred - prev) / prev > 0.05)"))
 def directional_metrics_threshold(spark, root):
-    return _round_all(E.directional(predictions(spark, root), 0.05))
+    return _round_all(E.directional(predictions(spark, root), 0.05), 9)
 
 
 _STRAT = f"""{PRED}, d0 AS (SELECT *, sign(y_pred - prev) AS dir, (y_true - prev) / prev AS act FROM pred), d1 AS (SELECT *, abs(dir - coalesce(lag(dir) {_W}, 0)) AS chg FROM d0),
-d2 AS (SELECT *, dir * act / 100 - 0.001 * chg AS net, act / 100 AS actual FROM d1)"""
+d2 AS (SELECT *, dir * act / 1000 - 0.001 * chg AS net, act / 1000 AS actual FROM d1)"""
 _Z = "coalesce({}, 0)"
 
 
 def _damped(spark, root):
-    """Prices pulled to their previous value a hundredfold, so that returns stay above -1."""
+    """Prices pulled to their previous value a thousandfold, so that returns stay above -1."""
     p = predictions(spark, root)
-    return p.withColumn("y_true", F.col("prev") + (F.col("y_true") - F.col("prev")) / 100.0).withColumn("y_pred", F.col("prev") + (F.col("y_pred") - F.col("prev")) / 100.0)
+    return p.withColumn("y_true", F.col("prev") + (F.col("y_true") - F.col("prev")) / 1000.0).withColumn("y_pred", F.col("prev") + (F.col("y_pred") - F.col("prev")) / 1000.0)
 
 
 _BENCH = "(arg_max(y_small, rn) / arg_min(y_small, rn) - 1)"
 
 
-@query("trading_metrics", "EV-3 SG-11", f"""WITH {_STRAT}, g AS (SELECT *, prev + (y_true - prev) / 100 AS y_small, exp(sum(ln(1 + net)) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS growth FROM d2),
+@query("trading_metrics", "EV-3 SG-11", f"""WITH {_STRAT}, g AS (SELECT *, prev + (y_true - prev) / 1000 AS y_small, exp(sum(ln(1 + net)) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS growth FROM d2),
 dd AS (SELECT *, 1 - growth / max(growth) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS drawdown FROM g),
 a AS (SELECT symbol, count(*) AS n, arg_max(growth, rn) - 1 AS tr, avg(net - 0.02 / 365) AS me, stddev_pop(net) AS se, stddev_pop(net - 0.02 / 365) FILTER (net < 0.02 / 365) AS sd, max(drawdown) AS mdd,
  count(*) FILTER (net > 0) AS wins, count(*) FILTER (chg > 0) AS trades, coalesce(sum(net) FILTER (net > 0), 0) AS gp, abs(coalesce(sum(net) FILTER (net < 0), 0)) AS gl, avg(net) FILTER (chg > 0) AS apt,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import rnd
+from ..functions.expr import rnd_up
 from ..operators import registry
 from ..sources import bars as B
 from .catalog import add
@@ -19,7 +19,7 @@ def _shape(df, digits, ints=()):
         elif n in ints or df.schema[n].dataType.typeName() == "integer":
             cols.append(F.col(n).cast("int").alias(n))
         else:
-            cols.append(rnd(n, digits).alias(n))
+            cols.append(rnd_up(n, digits).alias(n))
     return df.select(*cols)
 
 

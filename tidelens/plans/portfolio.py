@@ -249,8 +249,8 @@ def key_drivers(spark, root):
 
 @query("trade_risk", "PF-23", """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS amount, l_extendedprice / l_quantity AS price, CASE WHEN l_returnflag = 'A' THEN 'sell' ELSE 'buy' END AS direction, l_suppkey % 7 AS risk_level, o_totalprice / 5000 AS pv FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 s AS (SELECT *, CASE risk_level WHEN 1 THEN 0.02 WHEN 2 THEN 0.03 WHEN 3 THEN 0.05 WHEN 4 THEN 0.07 WHEN 5 THEN 0.1 ELSE 0.05 END AS st, CASE WHEN direction = 'buy' THEN 1 ELSE -1 END AS sd FROM t)
-SELECT l_orderkey, l_linenumber, l_partkey, direction, round(amount * price, 6) AS trade_value, round(price * (1 - sd * st), 6) AS stop_loss_price, round(price * (1 + sd * st * 2.5), 6) AS take_profit_price, round(amount * st, 6) AS max_loss,
- round(amount * st / pv * 100, 6) AS portfolio_risk_pct, CASE WHEN amount * st / pv < 0.02 THEN 'acceptable' ELSE 'high' END AS assessment, round(CASE WHEN amount * st / pv > 0.02 THEN 0.02 * pv / st ELSE amount END, 6) AS adjusted_amount FROM s""")
+SELECT l_orderkey, l_linenumber, l_partkey, direction, round(1e-9 + amount * price, 6) AS trade_value, round(1e-9 + price * (1 - sd * st), 6) AS stop_loss_price, round(1e-9 + price * (1 + sd * st * 2.5), 6) AS take_profit_price, round(1e-9 + amount * st, 6) AS max_loss,
+ round(1e-9 + amount * st / pv * 100, 6) AS portfolio_risk_pct, CASE WHEN amount * st / pv < 0.02 THEN 'acceptable' ELSE 'high' END AS assessment, round(1e-9 + CASE WHEN amount * st / pv > 0.02 THEN 0.02 * pv / st ELSE amount END, 6) AS adjusted_amount FROM s""")
 def trade_risk(spark, root):
     li, od = table(spark, root, "lineitem"), table(spark, root, "orders")
     t = li.join(od, li.l_orderkey == od.o_orderkey).select(
@@ -258,4 +258,6 @@ def trade_risk(spark, root):
         F.when(F.col("l_returnflag") == "A", "sell").otherwise("buy").alias("direction"), (F.col("l_suppkey") % 7).alias("risk_level"),
         (F.col("o_totalprice") / 5000).alias("portfolio_value"))
     out = P.trade_risk(t).drop("amount", "price", "risk_level", "portfolio_value")
-    return rounded(out, ["trade_value", "stop_loss_price", "take_profit_price", "adjusted_amount", "max_loss", "portfolio_risk_pct"])
+    money = ["trade_value", "stop_loss_price", "take_profit_price", "adjusted_amount", "max_loss", "portfolio_risk_pct"]
+    # the nudge keeps exact decimal ties from falling on either side
+    return out.select(*[rnd(F.col(n) + 1e-9).alias(n) if n in money else F.col(n) for n in out.columns])

@@ -80,7 +80,7 @@ def over_bars(steps: list[dict], outs: dict, digits: int = 6, bars: str = EVENT_
         elif n in flags:
             cols.append(f"{e} AS {n}")
         else:
-            cols.append(f"round({e}, {digits}) + 0.0 AS {n}")
+            cols.append(f"round({e} + 1e-9, {digits}) + 0.0 AS {n}")
     return ",\n".join(sql) + f"\nSELECT symbol, ts, {', '.join(cols)} FROM {prev} {tail}"
 
 
