@@ -23,15 +23,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tidel
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder so iterations survive lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, in a subfolder of this run.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only when
-    none is set (tests on one machine) a temporary one is made.
+    Only when none is set (tests on one machine) a temporary one is made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelens-ck-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelens-ck-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder so iterations survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
