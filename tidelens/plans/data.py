@@ -22,7 +22,7 @@ def read_bars(spark, root):
     return b.filter(F.col("ts").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")))
 
 
-@query("normalise_candles", "SRC-4 FN-12", """SELECT event_type AS symbol, make_timestamp(CASE WHEN event_id % 2 = 0 THEN epoch_ms(ts) * 1000 ELSE CAST(epoch_ms(ts) // 1000 AS BIGINT) * 1000000 END) AS ts,
+@query("normalise_candles", "SRC-4 FN-12", """SELECT event_type AS symbol, make_timestamp(CASE WHEN event_id % 2 = 0 THEN (epoch_us(ts) // 1000) * 1000 ELSE (epoch_us(ts) // 1000000) * 1000000 END) AS ts,
  value AS open, value + 1 AS high, value - 1 AS low, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS close, CAST(event_id % 100 AS DOUBLE) AS volume FROM events""")
 def normalise_candles(spark, root):
     e = table(spark, root, "events")
@@ -33,7 +33,7 @@ def normalise_candles(spark, root):
 
 
 @query("order_book_depth", "SRC-6", """WITH b AS (SELECT l_orderkey, l_partkey AS market, l_discount < 0.05 AS bid, l_extendedprice / l_quantity AS price, l_quantity AS amount FROM lineitem)
-SELECT market, CASE WHEN bid THEN 'bid' ELSE 'ask' END AS side, round(CASE WHEN bid THEN max(price) ELSE min(price) END, 4) AS best, sum(amount) AS depth, count(*) AS levels FROM b GROUP BY 1, bid""")
+SELECT market, CASE WHEN bid THEN 'bid' ELSE 'ask' END AS side, round(1e-9 + CASE WHEN bid THEN max(price) ELSE min(price) END, 4) AS best, sum(amount) AS depth, count(*) AS levels FROM b GROUP BY 1, bid""")
 def order_book_depth(spark, root):
     li = table(spark, root, "lineitem")
     level = F.struct(div("l_extendedprice", "l_quantity").alias("price"), F.col("l_quantity").alias("amount"))
@@ -42,7 +42,7 @@ def order_book_depth(spark, root):
     sides = book.select("market", F.explode(F.array(F.struct(F.lit("bid").alias("side"), F.col("bids").alias("rows")), F.struct(F.lit("ask").alias("side"), F.col("asks").alias("rows")))).alias("s"))
     lv = sides.select("market", F.col("s.side").alias("side"), F.inline("s.rows"))
     best = F.when(F.col("side") == "bid", F.max("price")).otherwise(F.min("price"))
-    return lv.groupBy("market", "side").agg(rnd(best, 4).alias("best"), F.sum("amount").alias("depth"), F.count(F.lit(1)).alias("levels"))
+    return lv.groupBy("market", "side").agg(rnd(best + 1e-9, 4).alias("best"), F.sum("amount").alias("depth"), F.count(F.lit(1)).alias("levels"))
 
 
 _METRICS = ["active_addresses", "transaction_count", "fees", "hash_rate", "unknown"]
@@ -108,13 +108,11 @@ def signal_log_index(spark, root):
 
 
 @query("unique_signals", "SRC-14 SET-3", """SELECT model_id, signal_id, min(timestamp) AS timestamp FROM (SELECT user_id % 20 AS model_id, event_id % 500 AS signal_id, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp FROM events WHERE event_type IN ('signup', 'view') AND event_id % 17 <> 0 AND event_id % 23 <> 0)
-WHERE NOT (model_id < 3 AND signal_id < 250) GROUP BY 1, 2""")
+WHERE NOT model_id < 3 GROUP BY 1, 2""")
 def unique_signals(spark, root):
     d = logs.events(chain_logs(spark, root), "SignalSubmitted", logs.SIGNAL_SUBMITTED).filter("signal_id IS NOT NULL").select("model_id", "signal_id", "timestamp", "signature")
-    stored = d.filter("model_id < 3 AND signal_id < 250")
-    known = stored.select("model_id", "signal_id").distinct().unionByName(
-        spark.range(250).withColumnRenamed("id", "signal_id").select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).cast("long").alias("model_id"), "signal_id"))
-    return sinks.append_new(d, known, ["model_id", "signal_id"], ["timestamp", "signature"]).drop("signature")
+    stored = d.filter("model_id < 3")
+    return sinks.append_new(d, stored, ["model_id", "signal_id"], ["timestamp", "signature"]).drop("signature")
 
 
 @query("retention", "SRC-15 SM-9", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
