@@ -1,8 +1,9 @@
-"""Exact quantiles of unbounded groups without collecting a group in one task.
+"""Exact quantiles of unbounded groups without shuffling or collecting a group.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. Here
-equal values are first collapsed to (value, count), a bounded sketch proposes bin
-edges, bins are counted, and only the bins that hold a wanted rank are sorted.
+``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a
+sketch with a proven rank error brackets each wanted quantile; rows below the bracket
+are only counted (map-side), and just the rows inside the bracket - a few in ten
+thousand - are grouped by value and ranked exactly.
 """
 
 from __future__ import annotations
@@ -10,65 +11,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+ACCURACY = 10_000
+
 
 def exact_quantiles(
-    df: DataFrame, keys, value: str, probs: list[float], names: list[str], method: str = "linear", splits: int = 128
+    df: DataFrame, keys, value: str, probs: list[float], names: list[str], method: str = "linear", accuracy: int = ACCURACY
 ) -> DataFrame:
     """One row per key with the requested quantiles.
 
     ``method='linear'`` interpolates at rank p*(n-1); ``'position'`` takes the value at
-    rank floor(n*p), counted from zero.
+    rank floor(n*p), counted from zero. The sketch value at q has a true rank within
+    n/accuracy of q*n, so [p - 4/accuracy, p + 4/accuracy] surely holds the wanted
+    ranks once n is at least ``accuracy``; below that the whole (small) group is ranked.
     """
     keys = list(keys)
     ks = keys or ["_k"]
     x = df if keys else df.withColumn("_k", F.lit(0))
     x = x.select(*ks, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    d = x.groupBy(*ks, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    grid = [i / splits for i in range(1, splits)]
-    edges = d.groupBy(*ks).agg(
-        F.array_distinct(F.percentile_approx("_v", grid, 1000)).alias("_e"), F.sum("_c").alias("_n")
-    )
-    lo, hi = [], []
-    for p in probs:
-        if method == "linear":
-            h = (F.col("_n") - 1) * F.lit(p)
-            lo.append(F.floor(h))
-            hi.append(F.ceil(h))
-        else:
-            r = F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)
-            lo.append(r)
-            hi.append(r)
-    edges = edges.withColumns({
-        "_want": F.array_sort(F.array_distinct(F.array(*[r.cast("long") for r in lo + hi])))
-    })
-    binned = d.join(edges.select(*ks, "_e"), ks).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e")
-    before = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        binned.groupBy(*ks, "_b").agg(F.sum("_c").alias("_bn"))
-        .withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-        .join(edges.select(*ks, "_n", "_want"), ks)
-        .filter(F.exists("_want", lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_bn"))))
-        .select(*ks, "_b", "_off", "_n", "_want")
-    )
-    inside = Window.partitionBy(*ks, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        binned.join(bins, [*ks, "_b"])
-        .withColumn("_hi", F.col("_off") + F.sum("_c").over(inside))
-        .withColumn("_lo", F.col("_hi") - F.col("_c"))
+    margin = 4.0 / accuracy
+    grid = sorted({max(0.0, p - margin) for p in probs} | {min(1.0, p + margin) for p in probs})
+    st = x.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", grid, accuracy).alias("_e"))
+    whole = F.col("_n") < accuracy
+    cells = []
+    for i, p in enumerate(probs):
+        lo = F.when(whole, F.lit(float("-inf"))).otherwise(F.col("_e")[grid.index(max(0.0, p - margin))])
+        hi = F.when(whole, F.lit(float("inf"))).otherwise(F.col("_e")[grid.index(min(1.0, p + margin))])
+        cells.append(F.struct(F.lit(i).alias("_i"), lo.alias("_lo"), hi.alias("_hi")))
+    st = st.select(*ks, "_n", F.array(*cells).alias("_cells"))
+    y = x.join(st, ks)
+    below = y.groupBy(*ks).agg(*[F.count_if(F.col("_v") < F.col("_cells")[i]["_lo"]).alias(f"_b{i}") for i in range(len(probs))])
+    inside = (
+        y.select(*ks, "_v", F.explode(F.filter("_cells", lambda c: (F.col("_v") >= c["_lo"]) & (F.col("_v") <= c["_hi"]))).alias("_c"))
+        .groupBy(*ks, F.col("_c._i").alias("_i"), "_v").agg(F.count(F.lit(1)).alias("_m"))
     )
+    run = Window.partitionBy(*ks, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = inside.withColumn("_to", F.sum("_m").over(run)).join(below.join(st.select(*ks, "_n"), ks), ks)
+    out, aggs = [], []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        h = (F.col("_n") - 1) * F.lit(p) if method == "linear" else F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)
+        end = F.col("_to") + F.col(f"_b{i}")
 
-    def at(rank):
-        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("_v")))
+        def at(rank, i=i, end=end):
+            return F.max(F.when((F.col("_i") == i) & (end - F.col("_m") <= rank) & (rank < end), F.col("_v")))
 
-    aggs = [F.max("_n").alias("_n")]
-    for i in range(len(probs)):
-        aggs += [at(lo[i]).alias(f"_q{i}a"), at(hi[i]).alias(f"_q{i}b")]
-    q = ranked.groupBy(*ks).agg(*aggs)
-    out = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        if method == "linear":
-            h = (F.col("_n") - 1) * F.lit(p)
-            out.append((F.col(f"_q{i}a") + (F.col(f"_q{i}b") - F.col(f"_q{i}a")) * (h - F.floor(h))).alias(name))
-        else:
-            out.append(F.col(f"_q{i}a").alias(name))
-    return q.select(*keys, *out)
+        aggs += [at(F.floor(h)).alias(f"_q{i}a"), at(F.ceil(h)).alias(f"_q{i}b"), F.max(h - F.floor(h)).alias(f"_q{i}w")]
+        out.append((F.col(f"_q{i}a") + (F.col(f"_q{i}b") - F.col(f"_q{i}a")) * F.col(f"_q{i}w")).alias(name))
+    return upto.groupBy(*ks).agg(*aggs).select(*keys, *out)

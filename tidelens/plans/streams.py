@@ -1 +1,129 @@
-"""."""
+"""Streaming queries, run over the given tables as file streams until nothing is left."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.expr import json_num, rnd, rounded
+from ..sources import domain as D
+from ..sources.tables import table
+from ..streaming import jobs as S
+from . import data
+from .catalog import query
+
+
+class _Streamed:
+    """Stands in for the session where a derivation reads a table: the table becomes a stream."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    @property
+    def read(self):
+        return self
+
+    def schema(self, schema):
+        self._schema = schema
+        return self
+
+    def parquet(self, path):
+        root, _, name = path.rpartition("/")
+        return S.stream_table(self.spark, root, name.removesuffix(".parquet"))
+
+
+def _finish(spark, stream, name, mode="append", each=None):
+    base, q = S.run(stream, name, mode, each)
+    return S.results(spark, base, stream.schema), q
+
+
+@query("stream_post_ingestion", "SM-1 SET-3", f"WITH {D.POSTS_SQL} SELECT post_id, platform, ts FROM posts")
+def stream_post_ingestion(spark, root):
+    p = D.posts(_Streamed(spark), root).select("post_id", "platform", "ts")
+    out, _ = _finish(spark, S.ingest_posts(p.unionByName(p)), "posts")
+    return out.drop("batch")
+
+
+@query("stream_sliding_metrics", "SM-2", f"""WITH {D.POSTS_SQL}, w AS (SELECT protocol, sentiment, confidence, engagement, content, unnest(range(0, 24)) AS k, date_trunc('hour', ts) AS h FROM pp)
+SELECT protocol, h - to_hours(k) AS window_start, count(*) AS mention_count, round(sum(sentiment * confidence) / sum(confidence), 6) + 0.0 AS sentiment_score, CAST(sum(engagement) AS BIGINT) AS total_engagement, avg(CASE WHEN sentiment < -0.5 THEN 1.0 ELSE 0.0 END) > 0.3 AS negative FROM w GROUP BY 1, 2""")
+def stream_sliding_metrics(spark, root):
+    s = S.sliding_metrics(D.posts(_Streamed(spark), root)).withColumn("window_start", F.col("window.start")).drop("window")
+    out, _ = _finish(spark, s, "sliding", "update")
+    out = S.newest_per_key(out, ["protocol", "window_start"])
+    return rounded(out, ["sentiment_score"]).drop("unique_authors", "fud_spread")
+
+
+@query("stream_market_refresh", "SM-3", f"""WITH {D.PROTOCOL_EVENTS_SQL}, c AS (SELECT protocol, time_bucket(INTERVAL '5 minutes', ts) AS cell, count(*) AS n, sum(k) AS v FROM pe GROUP BY 1, 2)
+SELECT protocol, cell, CAST(sum(n) OVER w AS BIGINT) AS transactions_24h, sum(v) OVER w AS volume_24h FROM c WINDOW w AS (PARTITION BY protocol ORDER BY cell RANGE BETWEEN INTERVAL '86100 seconds' PRECEDING AND CURRENT ROW)""")
+def stream_market_refresh(spark, root):
+    out, _ = _finish(spark, S.market_cells(D.protocol_events(_Streamed(spark), root)), "cells", "update")
+    return S.sliding_totals(S.newest_per_key(out, ["protocol", "cell"]))
+
+
+@query("stream_portfolio_refresh", "SM-4", "SELECT o_custkey % 25 AS portfolio, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value, count(*) AS orders, max(o_orderdate) AS ts FROM orders GROUP BY 1")
+def stream_portfolio_refresh(spark, root):
+    o = S.stream_table(spark, root, "orders").select((F.col("o_custkey") % 25).alias("portfolio"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderdate").alias("ts"))
+    out, _ = _finish(spark, S.portfolio_refresh(o), "portfolios", "update")
+    return S.newest_per_key(out, ["portfolio"]).withColumn("value", F.col("value").cast("double"))
+
+
+@query("stream_signal_index", "SM-5 SRC-13 SRC-14", """SELECT user_id % 20 AS model_id, event_id % 500 AS signal_id, min(CAST(floor(epoch(ts)) AS BIGINT)) AS timestamp FROM events WHERE event_type IN ('signup', 'view') AND event_id % 17 <> 0 AND event_id % 23 <> 0 GROUP BY 1, 2""")
+def stream_signal_index(spark, root):
+    out, _ = _finish(spark, S.index_signals(data.chain_logs(_Streamed(spark), root)), "signals", each=S.one_per_signal)
+    return out.groupBy("model_id", "signal_id").agg(F.min("timestamp").alias("timestamp"))
+
+
+@query("stream_vault_balance", "SM-6", f"""WITH RECURSIVE {D.LEDGER_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY vault ORDER BY ts, tx) AS rn, CASE kind WHEN 'deposit' THEN amount WHEN 'withdrawal' THEN -amount ELSE 0 END AS d FROM led),
+r AS (SELECT vault, rn, CAST(greatest(d, 0) AS DECIMAL(28,2)) AS b FROM o WHERE rn = 1 UNION ALL SELECT o.vault, o.rn, CAST(greatest(r.b + o.d, 0) AS DECIMAL(28,2)) FROM r JOIN o ON o.vault = r.vault AND o.rn = r.rn + 1)
+SELECT o.tx, o.vault, o.kind, CAST(r.b AS DOUBLE) AS balance FROM o JOIN r USING (vault, rn)""")
+def stream_vault_balance(spark, root):
+    S.needs_rocksdb(spark)
+    out, _ = _finish(spark, S.vault_balances(D.ledger(_Streamed(spark), root)), "balances")
+    return out.drop("batch")
+
+
+@query("stream_first_last_seen", "SM-7", "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1")
+def stream_first_last_seen(spark, root):
+    out, _ = _finish(spark, S.seen(S.stream_table(spark, root, "events")), "seen", "update")
+    return S.newest_per_key(out, ["user_id"])
+
+
+@query("stream_progress", "SM-8", "SELECT 'signal_index' AS component, count(*) AS input_rows FROM events")
+def stream_progress(spark, root):
+    _, q = _finish(spark, S.threshold_alerts(S.stream_table(spark, root, "events")), "progress")
+    return S.progress(spark, q, "signal_index").drop("last_batch")
+
+
+@query("stream_alerts", "SM-10", "SELECT event_id, ts, event_type, value, CASE WHEN value > 200 THEN 'danger' ELSE 'warning' END AS severity FROM events WHERE value > 100")
+def stream_alerts(spark, root):
+    out, _ = _finish(spark, S.threshold_alerts(S.stream_table(spark, root, "events")), "alerts")
+    return out.drop("batch")
+
+
+def _model(pdf):
+    return pdf["value"] * 0.5 + pdf["k"] * 0.1
+
+
+_SCORED = "SELECT event_id, round(value * 0.5 + CAST(json_extract_string(props, '$.k') AS DOUBLE) * 0.1 + 1e-9, 6) AS prediction FROM events"
+
+
+@query("stream_scoring", "SM-11 UD-6", _SCORED)
+def stream_scoring(spark, root):
+    e = S.stream_table(spark, root, "events").select("event_id", "value", json_num("props", "$.k").alias("k"))
+    handler = lambda batch: batch.withColumn("prediction", F.round(F.col("prediction") + 1e-9, 6))
+    out, _ = _finish(spark, S.score(e, _model, ["value", "k"], ["event_id"]), "scores", each=handler)
+    return out.drop("batch")
+
+
+@query("batch_scoring", "SM-12 UD-6", _SCORED)
+def batch_scoring(spark, root):
+    e = table(spark, root, "events").select("event_id", "value", json_num("props", "$.k").alias("k"))
+    return S.score(e, _model, ["value", "k"], ["event_id"]).withColumn("prediction", F.round(F.col("prediction") + 1e-9, 6))
+
+
+@query("stream_signal_expiry", "SM-13")
+def stream_signal_expiry(spark, root):
+    e = S.stream_table(spark, root, "events")
+    s = e.filter("event_type = 'signup'").select(F.col("event_id").alias("signal"), (F.col("user_id") % 20).alias("key"), "ts")
+    x = S.stream_table(spark, root, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 20).alias("key"), F.col("ts").alias("executed_at"))
+    out, _ = _finish(spark, S.expire_signals(s, x), "expiry")
+    return out.drop("batch")
