@@ -38,21 +38,21 @@ def exact_quantiles(
         hi = F.when(whole, F.lit(float("inf"))).otherwise(F.col("_e")[grid.index(min(1.0, p + margin))])
         cells.append(F.struct(F.lit(i).alias("_i"), lo.alias("_lo"), hi.alias("_hi")))
     st = st.select(*ks, "_n", F.array(*cells).alias("_cells"))
-    y = x.join(st, ks)
-    below = y.groupBy(*ks).agg(*[F.count_if(F.col("_v") < F.col("_cells")[i]["_lo"]).alias(f"_b{i}") for i in range(len(probs))])
+    # one pass: values below a bracket fall into its NULL group, values above are dropped
+    reached = F.explode(F.filter("_cells", lambda c: F.col("_v") <= c["_hi"])).alias("_c")
     inside = (
-        y.select(*ks, "_v", F.explode(F.filter("_cells", lambda c: (F.col("_v") >= c["_lo"]) & (F.col("_v") <= c["_hi"]))).alias("_c"))
-        .groupBy(*ks, F.col("_c._i").alias("_i"), "_v").agg(F.count(F.lit(1)).alias("_m"))
+        x.join(st, ks).select(*ks, "_n", "_v", reached)
+        .groupBy(*ks, F.col("_c._i").alias("_i"), F.when(F.col("_v") >= F.col("_c._lo"), F.col("_v")).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n"))
     )
-    run = Window.partitionBy(*ks, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = inside.withColumn("_to", F.sum("_m").over(run)).join(below.join(st.select(*ks, "_n"), ks), ks)
+    run = Window.partitionBy(*ks, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = inside.withColumn("_to", F.sum("_m").over(run))
     out, aggs = [], []
     for i, (p, name) in enumerate(zip(probs, names)):
         h = (F.col("_n") - 1) * F.lit(p) if method == "linear" else F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)
-        end = F.col("_to") + F.col(f"_b{i}")
 
-        def at(rank, i=i, end=end):
-            return F.max(F.when((F.col("_i") == i) & (end - F.col("_m") <= rank) & (rank < end), F.col("_v")))
+        def at(rank, i=i):
+            return F.max(F.when((F.col("_i") == i) & (F.col("_to") - F.col("_m") <= rank) & (rank < F.col("_to")), F.col("_v")))
 
         aggs += [at(F.floor(h)).alias(f"_q{i}a"), at(F.ceil(h)).alias(f"_q{i}b"), F.max(h - F.floor(h)).alias(f"_q{i}w")]
         out.append((F.col(f"_q{i}a") + (F.col(f"_q{i}b") - F.col(f"_q{i}a")) * F.col(f"_q{i}w")).alias(name))

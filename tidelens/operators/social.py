@@ -118,8 +118,7 @@ def themes(posts: DataFrame, top: int = 10, features: int = 100, floor: float =
     Words have two letters or more; stop words are removed before pairing. Whole texts
     are used: terms are exploded and counted with map-side combine.
     """
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    words = F.filter(F.regexp_extract_all(F.lower("content"), F.lit(r"(\b\w\w+\b)"), F.lit(1)), lambda x: ~F.array_contains(stop, x))
+    words = F.filter(F.split(F.lower("content"), r"\W+"), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS))
     pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     x = posts.select("protocols", words.alias("_w")).select("protocols", F.explode(F.concat("_w", pairs)).alias("term"))
     # count per (tag set, term) first: the term stream is not multiplied by the tags

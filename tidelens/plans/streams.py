@@ -76,8 +76,8 @@ def stream_signal_index(spark, root):
 r AS (SELECT vault, rn, CAST(greatest(d, 0) AS DECIMAL(28,2)) AS b FROM o WHERE rn = 1 UNION ALL SELECT o.vault, o.rn, CAST(greatest(r.b + o.d, 0) AS DECIMAL(28,2)) FROM r JOIN o ON o.vault = r.vault AND o.rn = r.rn + 1)
 SELECT o.tx, o.vault, o.kind, CAST(r.b AS DOUBLE) AS balance FROM o JOIN r USING (vault, rn)""")
 def stream_vault_balance(spark, root):
-    S.needs_rocksdb(spark)
-    out, _ = _finish(spark, S.vault_balances(D.ledger(_Streamed(spark), root)), "balances")
+    with S.rocksdb_state(spark):
+        out, _ = _finish(spark, S.vault_balances(D.ledger(_Streamed(spark), root)), "balances")
     return out.drop("batch")
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import div, json_num
+from ..functions.expr import json_num
 from ..operators import social
 from ..session import shared_folder
 from ..sources import logs, sinks
@@ -178,6 +179,13 @@ def progress(spark: SparkSession, query, component: str) -> DataFrame:
     return spark.createDataFrame(rows, "component string, last_batch long, input_rows long")
 
 
-def needs_rocksdb(spark: SparkSession) -> None:
-    """Arbitrary state uses the RocksDB store that ships with Spark."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Arbitrary state uses the RocksDB store that ships with Spark; the setting is put back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
