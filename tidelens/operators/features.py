@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import div, log_safe
 from ..functions.rolling import diff, lag, mean, pct, quantile, roll2, std
-from .series import blocks, unblock
+from .series import WIDE_FRAME, blocks, unblock
 
 
 def apply_steps(numbered: DataFrame, steps: list[dict[str, Column]], history: int, rows: int | None = None) -> DataFrame:
-    x = blocks(numbered, history, rows=rows)
+    x = blocks(numbered, history, rows=rows, spread=history >= WIDE_FRAME)
     for step in steps:
         x = x.withColumns(step)
     return unblock(x)

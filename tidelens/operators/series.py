@@ -50,8 +50,13 @@ def number_rows(df: DataFrame, keys=("symbol",), order=("ts",), bucket: Column |
     )
 
 
-def blocks(df: DataFrame, history: int, ahead: int = 0, rows: int | None = None) -> DataFrame:
-    """Assign ``_blk`` and copy edge rows into the neighbour block as ``_halo`` rows."""
+def blocks(df: DataFrame, history: int, ahead: int = 0, rows: int | None = None, spread: bool = False) -> DataFrame:
+    """Assign ``_blk`` and copy edge rows into the neighbour block as ``_halo`` rows.
+
+    ``spread`` fixes the number of partitions to the session's shuffle partitions: blocks
+    are even, and wide frames cost far more than their bytes suggest, so merging small
+    partitions by size would leave most cores idle.
+    """
     rows = max(rows or BLOCK_ROWS, history, ahead, 1)
     b = F.floor((F.col("_rn") - 1) / rows)
     at = (F.col("_rn") - 1) % rows
@@ -65,8 +70,15 @@ def blocks(df: DataFrame, history: int, ahead: int = 0, rows: int | None = None)
     if ahead > 0:
         copies.append(F.when((at < ahead) & (b > 0), copy(-1, True)))
     if len(copies) == 1:
-        return df.withColumns({"_blk": b.cast("long"), "_halo": F.lit(False)})
-    return df.select("*", F.inline(F.array_compact(F.array(*copies))))
+        out = df.withColumns({"_blk": b.cast("long"), "_halo": F.lit(False)})
+    else:
+        out = df.select("*", F.inline(F.array_compact(F.array(*copies))))
+    if spread:
+        out = out.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "_blk")
+    return out
+
+
+WIDE_FRAME = 30
 
 
 def unblock(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .replay import replay
-from .series import affine_scan, blocks, prefix, unblock
+from .series import WIDE_FRAME, affine_scan, blocks, prefix, unblock
 
 
 MAX_DOUBLINGS = 3
@@ -88,7 +88,8 @@ def _advance(run: _Run) -> bool:
 
 def _pass(df: DataFrame, kind: type, requests: list, rows) -> DataFrame:
     if kind is Roll:
-        df = blocks(df, max(r.history for r in requests), max(r.ahead for r in requests), rows)
+        history = max(r.history for r in requests)
+        df = blocks(df, history, max(r.ahead for r in requests), rows, history >= WIDE_FRAME)
         for i in range(max(len(r.steps) for r in requests)):
             merged = {}
             for r in requests:

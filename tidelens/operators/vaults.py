@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import div
+from ..functions.rolling import lag
 from .joins import latest
-from .series import number_rows, prefix
+from .series import blocks, number_rows, prefix, unblock
 
 
 def flow_totals(ledger: DataFrame, key: str) -> DataFrame:
@@ -71,12 +72,9 @@ def fees(nav: DataFrame, performance_bps: int = 2000, entry_bps: int = 50, exit_
 
     ``nav`` has (vault, ts, nav, amount).
     """
-    x = number_rows(nav, ("vault",), ("ts",))
-    x = prefix(x, {"high_water_mark": ("max", F.col("nav"))}, ("vault",))
-    prev = prefix(x.withColumn("_o", F.col("_rn")), {"_p": ("max", F.col("nav"))}, ("vault",))
-    # the mark before row t is the running max at row t-1
-    mark = prev.select("vault", (F.col("_rn") + 1).alias("_rn"), F.col("_p").alias("mark_before"))
-    y = x.join(mark, ["vault", "_rn"], "left")
+    x = number_rows(nav.withColumnRenamed("vault", "symbol"))
+    x = prefix(x, {"high_water_mark": ("max", F.col("nav"))})
+    y = unblock(blocks(x, 1).withColumn("mark_before", lag("high_water_mark"))).withColumnRenamed("symbol", "vault")
     gain = F.greatest(F.col("nav") - F.coalesce("mark_before", F.col("nav")), F.lit(0.0))
     return y.select("vault", "ts", "nav", "high_water_mark", (gain * performance_bps / 10000.0).alias("performance_fee"),
                     (F.col("amount") * entry_bps / 10000.0).alias("entry_fee"), (F.col("amount") * exit_bps / 10000.0).alias("exit_fee"))

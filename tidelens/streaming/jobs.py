@@ -89,9 +89,17 @@ def market_cells(events: DataFrame, width: str = "5 minutes") -> DataFrame:
 
 
 def sliding_totals(cells: DataFrame, seconds: int = 86400) -> DataFrame:
-    """24-hour sums ending at every cell; a range frame over at most 288 cells per day and protocol."""
-    w = Window.partitionBy("protocol").orderBy(F.unix_seconds("cell")).rangeBetween(-(seconds - 300), 0)
-    return cells.select("protocol", "cell", F.sum("transactions").over(w).alias("transactions_24h"), F.sum("volume").over(w).alias("volume_24h"))
+    """24-hour sums ending at every cell.
+
+    Each cell is also copied into the next day, so a window holds two days of one
+    protocol (576 cells) however long the history is.
+    """
+    day = F.floor(F.unix_seconds("cell") / seconds)
+    x = cells.select("*", F.inline(F.array(
+        F.struct(day.alias("_day"), F.lit(False).alias("_copy")), F.struct((day + 1).alias("_day"), F.lit(True).alias("_copy")))))
+    w = Window.partitionBy("protocol", "_day").orderBy(F.unix_seconds("cell")).rangeBetween(-(seconds - 300), 0)
+    x = x.withColumns({"transactions_24h": F.sum("transactions").over(w), "volume_24h": F.sum("volume").over(w)})
+    return x.filter(~F.col("_copy")).select("protocol", "cell", "transactions_24h", "volume_24h")
 
 
 def portfolio_refresh(orders: DataFrame) -> DataFrame:
