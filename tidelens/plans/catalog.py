@@ -33,9 +33,6 @@ def query(name: str, covers: str, oracle: str | None = None):
     return wrap
 
 
-FAMILIES: list[str] = []
-
-
 def catalogue() -> dict[str, Query]:
     import importlib
 
