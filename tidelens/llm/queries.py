@@ -42,3 +42,15 @@ def line_dedup(spark: SparkSession, root: str) -> DataFrame:
 
     out = dedup_lines(table(spark, root, "documents").select("doc_id", "text"))
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_quality")
+def quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside the held-out fold."""
+    from tidelens.llm.native import crc_remainder
+    from tidelens.llm.quality import fit, score_quality
+
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, root, "labels"), learn=crc_remainder(F.col("doc_id"), 5) != 0)
+    out = score_quality(docs, model, out="score")
+    return out.select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
