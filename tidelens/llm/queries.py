@@ -54,3 +54,11 @@ def quality(spark: SparkSession, root: str) -> DataFrame:
     model = fit(docs, table(spark, root, "labels"), learn=crc_remainder(F.col("doc_id"), 5) != 0)
     out = score_quality(docs, model, out="score")
     return out.select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_ngram_join")
+def ngram_join(spark: SparkSession, root: str) -> DataFrame:
+    """Documents linked by 4-word shingles with a Jaccard similarity of at least 85 / 100."""
+    from tidelens.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, root, "documents"), n=4, num=85, den=100)
