@@ -59,7 +59,7 @@ def route(patterns: list[tuple[tuple, int]], targets: dict, max_copies: int) ->
 
 
 def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id", weights: Sequence[float] = (3, 1, 2),
-        total_share: float = 1.5, max_copies: int = 2, seed: int = 17, targets=None, bucket_rows: int = 20_000) -> DataFrame:
+        total_share: float = 1.5, max_copies: int = 2, seed: int = 17, targets=None, bucket_rows: int = 2_000) -> DataFrame:
     """Choose documents so that each source's words come near its target.
 
     ``sources`` is an array of the sources that hold the document (a null entry is a source of its own), ``size`` its words.
