@@ -40,3 +40,24 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTE
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM m GROUP BY rid
 """
+
+LEAKS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+x AS (
+  SELECT item_id, least(len(w), 13) AS n, unnest([array_to_string(w[i:i + 12], ' ') FOR i IN range(1, greatest(len(w) - 12, 1) + 1)]) AS phrase
+  FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM x),
+g AS (
+  SELECT rid, n, unnest([{'p': i, 'phrase': array_to_string(w[i:i + n - 1], ' ')} FOR i IN range(1, len(w) - n + 2)], recursive := true)
+  FROM d, sizes WHERE len(w) >= n),
+h AS (SELECT g.rid, g.n, g.p, x.item_id FROM g JOIN x ON g.n = x.n AND g.phrase = x.phrase),
+c AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM h) GROUP BY rid),
+i AS (SELECT rid, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS k FROM h WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN c ON d.rid = c.rid LEFT JOIN i ON d.rid = i.rid
+"""

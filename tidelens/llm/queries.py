@@ -62,3 +62,13 @@ def ngram_join(spark: SparkSession, root: str) -> DataFrame:
     from tidelens.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, root, "documents"), n=4, num=85, den=100)
+
+
+@query("op6_decontamination", oracles.LEAKS)
+def decontamination(spark: SparkSession, root: str) -> DataFrame:
+    """Words of every document inside 13-word windows of benchmark items."""
+    from tidelens.llm.decontam import scan
+
+    out = scan(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
