@@ -23,10 +23,10 @@ def crc_remainder(key: Column, mod: int) -> Column:
     return F.crc32(key.cast("string")) % F.lit(mod)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to a new folder of the shared checkpoint folder and read it again: later steps do not repeat it."""
     path = new_folder(df)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

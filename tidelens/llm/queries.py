@@ -72,3 +72,14 @@ def decontamination(spark: SparkSession, root: str) -> DataFrame:
     out = scan(table(spark, root, "documents"), table(spark, root, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op5_suffix_tree")
+def suffix_tree(spark: SparkSession, root: str) -> DataFrame:
+    """log10 probability of every document under a suffix tree learnt outside one fold."""
+    from tidelens.llm.native import crc_remainder
+    from tidelens.llm.suffix_tree import score_texts
+
+    docs = table(spark, root, "documents")
+    out = score_texts(docs, crc_remainder(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (crc_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
