@@ -27,14 +27,14 @@ class Scheme:
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
-        low, edges, step = 1, [], Fraction(den, num) ** 3
+        low, edges, step = 1, [], Fraction(den, num) ** 2
         while low < 1 << 40:
             edges.append(low)
             low = max(int(low * step), int(low * den / num) + 2)
         self.low = np.array(edges, np.int64)
         top = np.append(self.low[1:], np.int64(1 << 40)) - 1
         self.differ = (den - num) * (top + top * den // num) // (den + num)
-        self.parts = self.differ + 1 + self.differ // 8 + np.minimum(self.differ, 2)
+        self.parts = self.differ + 1 + self.differ // 6 + np.minimum(self.differ, 2)
 
     def instances(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, class) of the class itself and of the class before, where a smaller partner can be."""
@@ -68,10 +68,10 @@ def content_keys(row: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarra
     return size, T.mix64(_sums(row, T.mix64(h), n_rows) + size.astype(np.uint64)), T.mix64(_sums(row, T.mix64(h ^ np.uint64(0xA5A5)), n_rows))
 
 
-def part_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(row: np.ndarray, h: np.ndarray, size: np.ndarray, scheme: Scheme, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every non-empty part of each set. A set with too few non-empty parts also gets its class's common key."""
     rows, keys = [], []
-    mixed = T.mix64(h + np.uint64(0x632BE59BD9B4E019))
+    mixed = T.mix64(h + np.uint64(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1))
     first = np.searchsorted(row, np.arange(len(size) + 1))
     for who, cls in scheme.instances(size):
         live = (size[who] > 0) & (scheme.differ[cls] > 0)
@@ -126,12 +126,26 @@ def _part_rows(batches, n: int, scheme: Scheme, shards: int) -> Iterator[pa.Reco
             who, key = part_keys(row, h, size, scheme)
             found.append((key, k[who]))
         key, node = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64),) * 2
-        shard = ((key >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((key, shard))
-        key, node, cuts = key[order], node[order], np.searchsorted(shard[order], np.arange(shards + 1))
-        keep = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([key[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary()),
-                                          pa.array([node[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary())], ["shard", "keys", "nodes"])
+        yield _dealt(key, node, shards)
+
+
+def _dealt(key: np.ndarray, node: np.ndarray, shards: int) -> pa.RecordBatch:
+    shard = ((key >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((key, shard))
+    key, node, cuts = key[order], node[order], np.searchsorted(shard[order], np.arange(shards + 1))
+    keep = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
+    return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([key[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary()),
+                                       pa.array([node[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary())], ["shard", "keys", "nodes"])
+
+
+def _again_rows(batches, scheme: Scheme, shards: int) -> Iterator[pa.RecordBatch]:
+    """Part keys of stored sets under another hash, within their families."""
+    for batch in batches:
+        size = batch.column("n").to_numpy()
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]) if batch.num_rows else np.zeros(0, np.uint64)
+        who, key = part_keys(np.repeat(np.arange(batch.num_rows), size), h, size, scheme, 2)
+        family = T.mix64(batch.column("family").to_numpy().view(np.uint64))
+        yield _dealt(T.mix64(key ^ family[who]), batch.column("k").to_numpy()[who].view(np.uint64), shards)
 
 
 def _meet(batches) -> Iterator[pa.RecordBatch]:
@@ -171,7 +185,7 @@ def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
             packed = [h[cuts[i]:cuts[i + 1]].tobytes() for i in range(part.num_rows)]
             k = _signed(content_keys(row, h, part.num_rows)[1])
             own = pa.array(k == part.column("k").to_numpy())
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("grp", "k", "d", "n")] + [pa.array(packed, pa.binary())], ["grp", "k", "d", "n", "shingles"]).filter(own)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("family", "k", "d", "n")] + [pa.array(packed, pa.binary())], ["family", "k", "d", "n", "shingles"]).filter(own)
 
 
 def _gather(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -183,10 +197,12 @@ def _gather(key, pdf: pd.DataFrame) -> pd.DataFrame:
                          "members": [np.searchsorted(union, tokens).astype(np.uint32).tobytes()], "tokens": [union.tobytes()]})
 
 
-def _open(pdf_iter, num: int, den: int) -> Iterator[pd.DataFrame]:
-    """Links between the documents of two groups, reduced to a spanning forest of each pair of groups."""
+def _open(pdf_iter, num: int, den: int, own: bool) -> Iterator[pd.DataFrame]:
+    """Links inside groups (``own``) or between the documents of two groups, reduced to a spanning forest of each pair of groups."""
     for pdf in pdf_iter:
         out = []
+        if own:
+            pdf = pd.DataFrame({f"{x}_{c}": pdf[c] for x in "ab" for c in ("ids", "sizes", "members", "tokens")})
         for r in pdf.itertuples(index=False):
             a_ids, b_ids = np.frombuffer(r.a_ids, np.int64), np.frombuffer(r.b_ids, np.int64)
             a_size, b_size = np.frombuffer(r.a_sizes, np.int64), np.frombuffer(r.b_sizes, np.int64)
@@ -203,7 +219,6 @@ def _open(pdf_iter, num: int, den: int) -> Iterator[pd.DataFrame]:
             order = np.argsort(b_tok, kind="stable")
             posting, start = owner[order], np.searchsorted(b_tok[order], np.arange(len(b_union) + 1))
             forest = Forest(len(a_ids) + len(b_ids))
-            own = r.a == r.b
             for q in np.flatnonzero(able):
                 t = place[a_tok[cuts[q]:cuts[q + 1]]][hit[a_tok[cuts[q]:cuts[q + 1]]]]
                 length = start[t + 1] - start[t]
@@ -226,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component. Rows with equal sets are one class from the start, so copies are compared once and joined back by class.
 
     Steps: (1) sets are cut into parts by hash such that similar sets share a part; packed part keys meet by shard, and the texts
-    they connect form families - every link is inside one. (2) A family is dealt into groups of about GROUP_SHINGLES shingles, and
+    they connect form families - every link is inside one; a second cut inside the families makes them closer. (2) A family is dealt into groups of about GROUP_SHINGLES shingles, and
     each group is stored with the union of its tokens. (3) For pairs of groups of a family with fitting sizes, a document's overlap
     with the other group's union bounds its overlap with each document there; only groups that pass are opened and counted exactly.
     (4) Components of the links. Nothing is capped: a large family makes more groups, not larger ones.
@@ -243,20 +258,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meet = packed.repartition(shards, "shard").select("keys", "nodes").mapInArrow(_meet, "u long, v long")
     families = components(meet)
     classes = prof.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("d").alias("d"))
-    members = store(classes.join(families, F.col("k") == F.col("node")).select("d", "n", "k", F.col("root").alias("family")))
-    dealt = members.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int"))
-    share = dealt.groupBy("family", "step").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("long").alias("deals"))
-    homes = dealt.join(share, ["family", "step"]).withColumn("grp", F.xxhash64("family", "step", F.pmod(F.xxhash64("k"), "deals")))
-    homes = store(homes.select("d", "k", "n", "family", "grp"))
-    wanted = homes.select("d", "k", "n", "grp")
-    sets = base.join(wanted, "d").select("grp", "k", "d", "n", "text").mapInArrow(lambda it: _sets(it, n), "grp long, k long, d long, n long, shingles binary")
-    matrix = store(sets.groupBy("grp").applyInPandas(_gather, "grp long, ids binary, sizes binary, members binary, tokens binary"))
-    facts = homes.groupBy("family", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs"))
-    a, b = (facts.select("family", *[F.col(c).alias(f"{x}_{c}") for c in ("grp", "lo", "hi", "docs")]) for x in "ab")
-    pairs = a.join(b, "family").filter((F.col("a_grp") < F.col("b_grp")) | ((F.col("a_grp") == F.col("b_grp")) & (F.col("a_docs") > 1))).filter(
+    members = classes.join(families, F.col("k") == F.col("node")).select("d", "n", "k", F.col("root").alias("family"))
+    found = base.join(members, "d").select("family", "k", "d", "n", "text")
+    sets = store(found.mapInArrow(lambda it: _sets(it, n), "family long, k long, d long, n long, shingles binary"), "uncompressed")
+    again = sets.mapInArrow(lambda it: _again_rows(it, scheme, shards), "shard int, keys binary, nodes binary")
+    closer = components(again.repartition(shards, "shard").select("keys", "nodes").mapInArrow(_meet, "u long, v long"))
+    kept = sets.join(closer.select(F.col("node").alias("k"), F.col("root").alias("home")), "k")
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
+    homes = store(kept.select("k", "n", "home", step.alias("step")))
+    share = homes.groupBy("home", "step").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("long").alias("deals"))
+    dealt = homes.join(share, ["home", "step"]).select("k", "n", "home", F.xxhash64("home", "step", F.pmod(F.xxhash64("k"), "deals")).alias("grp")).distinct()
+    dealt = store(dealt)
+    matrix = store(sets.join(dealt.select("k", "grp"), "k").select("grp", "k", "d", "n", "shingles").groupBy("grp").applyInPandas(
+        _gather, "grp long, ids binary, sizes binary, members binary, tokens binary"))
+    inner = matrix.select("ids", "sizes", "members", "tokens").mapInPandas(lambda it: _open(it, num, den, True), "u long, v long")
+    facts = dealt.groupBy("home", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    a, b = (facts.select("home", *[F.col(c).alias(f"{x}_{c}") for c in ("grp", "lo", "hi")]) for x in "ab")
+    pairs = a.join(b, "home").filter(F.col("a_grp") < F.col("b_grp")).filter(
         (F.col("a_lo") * num <= F.col("b_hi") * den) & (F.col("b_lo") * num <= F.col("a_hi") * den)).select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
+    pairs = store(pairs)
     left, right = (matrix.select(F.col("grp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("ids", "sizes", "members", "tokens")]) for x in "ab")
-    links = pairs.join(left, "a").join(right, "b").mapInPandas(lambda it: _open(it, num, den), "u long, v long")
+    outer = pairs.join(left, "a").join(right, "b").drop("a", "b").mapInPandas(lambda it: _open(it, num, den, False), "u long, v long")
+    links = inner.union(outer)
     roots = components(links)
     same = prof.filter("n > 0").select("d", "k", "k2", "n").join(classes.select("k", "k2", "n", F.col("d").alias("lead")), ["k", "k2", "n"])
     found = (same.join(roots, same["lead"] == roots["node"], "left").select("d", "n", F.coalesce("root", "lead").alias("c")))
