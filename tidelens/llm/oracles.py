@@ -61,3 +61,14 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN c ON d.rid = c.rid LEFT JOIN i ON d.rid = i.rid
 """
+
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last, sha1(html) AS h FROM p),
+bits AS (
+  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 10 * g, 10))::BIGINT >> (35 - 5 * k)) & 31)::INT, 1), '' ORDER BY g, k) AS d
+  FROM q, range(4) a(g), range(8) b(k) GROUP BY page_id)
+SELECT q.page_id, octet_length(body)::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN last = q.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> q.page_id THEN last END AS refers_to
+FROM q JOIN bits ON q.page_id = bits.page_id
+"""

@@ -83,3 +83,14 @@ def suffix_tree(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     out = score_texts(docs, crc_remainder(F.col("doc_id"), 7) != 2)
     return out.select("doc_id", (crc_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op7_warc_zip", oracles.WARC)
+def warc_zip(spark: SparkSession, root: str) -> DataFrame:
+    """All pages as WARC records in ZIP archives, read back by range."""
+    from tidelens.llm.native import NO_ID
+    from tidelens.llm.warc_zip import archive_pages
+
+    out = archive_pages(table(spark, root, "pages").select("page_id", "url", "html"))
+    restore = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.select(restore("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", restore("refers_to").alias("refers_to"))
