@@ -94,3 +94,11 @@ def warc_zip(spark: SparkSession, root: str) -> DataFrame:
     out = archive_pages(table(spark, root, "pages").select("page_id", "url", "html"))
     restore = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(restore("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", restore("refers_to").alias("refers_to"))
+
+
+@query("op1_cover_tree")
+def cover_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Embeddings of an equal label with a cosine of at least 0.98."""
+    from tidelens.llm.cover_tree import near_pairs
+
+    return near_pairs(table(spark, root, "embeddings"), block=F.col("label"))
