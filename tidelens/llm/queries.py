@@ -102,3 +102,14 @@ def cover_tree(spark: SparkSession, root: str) -> DataFrame:
     from tidelens.llm.cover_tree import near_pairs
 
     return near_pairs(table(spark, root, "embeddings"), block=F.col("label"))
+
+
+@query("op2_chat_tree", oracles.CHAT)
+def chat_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All conversations and one with control strings, formatted as packed prefix trees and read back."""
+    from tidelens.llm.chat_tree import round_trip
+
+    turns = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return round_trip(turns.unionByName(extra))
