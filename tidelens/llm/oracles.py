@@ -84,3 +84,42 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
 """
+
+LICENCES = r"""
+WITH tpl(licence, text) AS (VALUES
+  ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'), ('MIT', 'Released under the MIT License.')),
+tt AS (SELECT licence, t, count(*) AS n FROM (SELECT licence, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM tpl) GROUP BY licence, t),
+d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text,
+         [coalesce(source, '-'), coalesce(lang, '-'), (doc_id // 1000)::VARCHAR] AS dirs FROM documents),
+f AS (
+  SELECT doc_id, text, array_to_string(dirs[1:CASE WHEN doc_id % 10 = 0 THEN (doc_id // 10) % 3 + 1 ELSE 3 END], '/') AS home,
+         dirs[1:CASE WHEN doc_id % 10 = 0 THEN (doc_id // 10) % 3 + 1 ELSE 3 END] AS parts, doc_id % 10 = 0 AS speaks FROM d),
+n AS (SELECT count(*) AS files FROM f),
+df AS (
+  SELECT t, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS t FROM f) WHERE t IN (SELECT t FROM tt) GROUP BY t),
+idf AS (
+  SELECT t, ln((1 + files) / (1 + coalesce(df, 0))) + 1 AS w FROM (SELECT DISTINCT t FROM tt) LEFT JOIN df USING (t), n),
+tn AS (SELECT licence, sqrt(sum((n * w) * (n * w))) AS norm FROM tt JOIN idf USING (t) GROUP BY licence),
+seg AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS part, unnest(string_split(text, chr(10))) AS line FROM f
+  UNION ALL SELECT doc_id, -1, text FROM f WHERE speaks),
+w AS (SELECT doc_id, part, t, count(*) AS n FROM (SELECT doc_id, part, unnest(regexp_extract_all(line, '[a-z0-9]+')) AS t FROM seg) GROUP BY ALL),
+v AS (SELECT doc_id, part, t, w.n * coalesce(idf.w, ln(1 + files) + 1) AS x FROM w LEFT JOIN idf USING (t), n),
+norms AS (SELECT doc_id, part, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
+dots AS (SELECT doc_id, part, licence, sum(x * tt.n * idf.w / tn.norm) AS dot FROM v JOIN tt USING (t) JOIN idf USING (t) JOIN tn USING (licence) GROUP BY ALL),
+m AS (SELECT doc_id, part, licence, round(dot / norm, 9) AS c FROM dots JOIN norms USING (doc_id, part) WHERE round(dot / norm, 9) >= 0.75),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY c DESC, licence) = 1),
+own AS (
+  SELECT doc_id, first(licence ORDER BY c DESC, licence) AS own, max(c) AS c, count(*) FILTER (WHERE part >= 0) AS n_lines FROM best GROUP BY doc_id),
+spoken AS (SELECT home, first(licence ORDER BY c DESC, licence) AS licence FROM best JOIN f USING (doc_id) WHERE speaks GROUP BY home),
+up AS (
+  SELECT doc_id, k, spoken.home AS dir, spoken.licence FROM (SELECT doc_id, k, array_to_string(parts[1:k], '/') AS dir FROM f, range(0, 4) r(k) WHERE k <= len(parts)) u
+  JOIN spoken ON u.dir = spoken.home),
+near AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1)
+SELECT f.doc_id, f.home || CASE WHEN speaks THEN '/LICENSE-' || f.doc_id ELSE '/' || f.doc_id || '.txt' END AS path, own, round(c, 6) AS own_cosine,
+       coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN own IS NULL THEN near.licence END AS inherited, CASE WHEN own IS NULL THEN near.dir END AS from_dir,
+       coalesce(own, near.licence) AS licence
+FROM f LEFT JOIN own ON f.doc_id = own.doc_id LEFT JOIN near ON f.doc_id = near.doc_id
+"""

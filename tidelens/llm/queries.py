@@ -113,3 +113,19 @@ def chat_tree(spark: SparkSession, root: str) -> DataFrame:
     odd = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     return round_trip(turns.unionByName(extra))
+
+
+@query("op4_licences", oracles.LICENCES)
+def licences(spark: SparkSession, root: str) -> DataFrame:
+    """Licences of all documents laid out as files.
+
+    A document is the file source/language/thousands/id.txt. Every tenth one is not: it is the file LICENSE-id of one of the three
+    directories above it, by its id, and speaks for that directory if any of its lines states a licence."""
+    from tidelens.llm.licences import scan
+
+    docs, i = table(spark, root, "documents"), F.col("doc_id")
+    dirs = F.array(F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(i / 1000).cast("string"))
+    home = F.array_join(F.slice(dirs, F.lit(1), F.when(i % 10 == 0, F.floor(i / 10) % 3 + 1).otherwise(3).cast("int")), "/")
+    path = F.concat(home, F.when(i % 10 == 0, F.concat(F.lit("/LICENSE-"), i)).otherwise(F.concat(F.lit("/"), i, F.lit(".txt"))))
+    out = scan(docs.select(path.alias("path"), "text"))
+    return out.select(F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long").alias("doc_id"), "path", "own", F.round("own_cosine", 6).alias("own_cosine"), "n_lines", "inherited", "from_dir", "licence")
