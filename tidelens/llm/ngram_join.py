@@ -253,13 +253,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scheme = Scheme(num, den)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).alias("text"))
     prof = store(base.mapInArrow(lambda it: _profiles(it, n), "d long, n long, k long, k2 long"))
-    shards = shards or max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = base.select("text").mapInArrow(lambda it: _part_rows(it, n, scheme, shards), "shard int, keys binary, nodes binary")
     meet = packed.repartition(shards, "shard").select("keys", "nodes").mapInArrow(_meet, "u long, v long")
     families = components(meet)
     classes = prof.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("d").alias("d"))
     members = classes.join(families, F.col("k") == F.col("node")).select("d", "n", "k", F.col("root").alias("family"))
-    found = base.join(members, "d").select("family", "k", "d", "n", "text")
+    found = base.join(members.hint("merge"), "d").select("family", "k", "d", "n", "text")
     sets = store(found.mapInArrow(lambda it: _sets(it, n), "family long, k long, d long, n long, shingles binary"), "uncompressed")
     again = sets.mapInArrow(lambda it: _again_rows(it, scheme, shards), "shard int, keys binary, nodes binary")
     closer = components(again.repartition(shards, "shard").select("keys", "nodes").mapInArrow(_meet, "u long, v long"))
