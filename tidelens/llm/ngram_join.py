@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidelens.llm import text as T
 from tidelens.llm.components import Forest, components, spanning
@@ -286,3 +286,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = found.unionByName(prof.filter("n = 0").select("d", "n", F.col("d").alias("c")))
     restore = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(restore("d").alias("doc_id"), F.col("n").alias("n_shingles"), restore("c").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: that with the smallest id, all columns kept.
+
+    Of several rows with this id one stays. Rows without an id and texts without words stay."""
+    found = near_duplicates(docs, id_col, text_col, **how).filter("doc_id IS NOT NULL AND (component_id IS NULL OR doc_id <> component_id)")
+    gone = found.select(F.col("doc_id").alias("__d")).distinct()
+    kept = docs.withColumn("__d", F.col(id_col).cast("long")).join(gone.hint("merge"), "__d", "left_anti")
+    again = F.row_number().over(Window.partitionBy("__d").orderBy(F.xxhash64(text_col)))
+    return kept.withColumn("__r", again).filter("__r = 1 OR __d IS NULL").select(*docs.columns)
