@@ -12,7 +12,7 @@ from helpers import T0, assert_rows, hours
 from tidelens.functions import formula
 from tidelens.operators import evaluation as E
 from tidelens.operators import portfolio as P
-from tidelens.operators import prep, quality, rules, signals, social, vaults
+from tidelens.operators import prep, quality, rules, social, vaults
 from tidelens.operators.series import number_rows
 from tidelens.sources import logs, sinks
 from tidelens.sources.bars import numbered, resample
@@ -179,7 +179,7 @@ def test_append_only_new_keys(spark):
     assert [tuple(r) for r in sinks.append_new(new, old, ["k"], ["v"]).collect()] == [(2, 3)]
 
 
-# --- portfolio, allocations, replays ------------------------------------------------------------
+# --- portfolio, allocations ------------------------------------------------------------
 
 
 def test_var_is_positional_with_ties(spark):
@@ -208,49 +208,6 @@ def test_pair_ratio_equals_all_pairs(spark):
     assert math.isclose(P.pair_ratio(df).first()["pair_ratio"], want)
 
 
-def _account(price, sig, stop, take):
-    """The plain long/short account, one bar after another."""
-    cash, held, entry, curve = 10000.0, 0.0, 0.0, []
-    for p, s in zip(price, sig):
-        if held:
-            move = (p - entry) / entry
-            move = move if held > 0 else -move
-            if move < -stop or move > take:
-                cash, held = cash + held * p - abs(held) * p * 0.001, 0.0
-        if s == 1 and held <= 0 or s == -1 and held >= 0:
-            cash, held = cash + held * p - abs(held) * p * 0.001, 0.0
-            worth = cash * 0.1
-            cash, held, entry = cash - s * worth - worth * 0.001, s * worth / p, p
-        curve.append(cash + held * p)
-    return curve
-
-
-@pytest.mark.parametrize("block", [7, 100000])
-def test_signal_replay_equals_plain_account(spark, block):
-    rng = np.random.default_rng(1)
-    price, sig = 100 + np.cumsum(rng.normal(0, 2, 60)), rng.integers(-1, 2, 60)
-    rows = [("s", hours(i), i + 1, float(p), int(s)) for i, (p, s) in enumerate(zip(price, sig))]
-    df = spark.createDataFrame(rows, "symbol string, ts timestamp, _rn long, close double, signal int")
-    got = [r["equity"] for r in signals.replay_signals(df, [(0, 0.03, 0.05)], block).orderBy("_rn").collect()]
-    assert np.allclose(got, _account(price, sig, 0.03, 0.05))
-
-
-@pytest.mark.parametrize("block", [9, 100000])
-def test_rebalance_replay_keeps_value_minus_costs(spark, block):
-    rng = np.random.default_rng(2)
-    rows = [("p", hours(i), i + 1, [float(v) for v in rng.uniform(5, 10, 3)], [0.5, 0.3, 0.2]) for i in range(40)]
-    df = spark.createDataFrame(rows, "portfolio string, ts timestamp, _rn long, prices array<double>, weights array<double>")
-    got = [(r["value"], r["costs"]) for r in signals.replay_rebalancing(df, 3, block).orderBy("_rn").collect()]
-    cash, units, want = 100000.0, np.zeros(3), []
-    for _, _, _, p, w in rows:
-        p, w = np.array(p), np.array(w)
-        move = (cash + units @ p) * w / p - units
-        cost = np.abs(move * p) * 0.001
-        units, cash = units + move, cash - (move * p).sum() - cost.sum()
-        want.append((cash + units @ p, cost.sum()))
-    assert np.allclose(got, want)
-
-
 # --- rules, formulas, preparation ----------------------------------------------------------------
 
 

@@ -1,18 +1,13 @@
-"""Signals, market conditions, strategy parameters and replays."""
+"""Signals, market conditions and strategy parameters."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expr import clip, div
 from ..functions.rolling import pct, std
 from . import registry
-from .portfolio import cumulative_growth, drawdown
-from .replay import replay
 from .rules import lookup
 from .series import blocks, number_rows, prefix, unblock
 
@@ -129,132 +124,6 @@ def strategy_parameters(conditions: DataFrame) -> DataFrame:
     return x.withColumn("take_profit", F.col("stop_loss") * by_profile(2))
 
 
-class LongShort:
-    """One account trading -1/0/1 signals with stop loss, take profit and fees.
-
-    A short is credited when opened and debited when covered. State: cash, position,
-    entry price. Per bar: profit booked, fees, trades and winning trades.
-    """
-
-    outputs = {"profit": T.DoubleType(), "equity": T.DoubleType(), "trades": T.IntegerType(), "wins": T.IntegerType()}
-
-    def __init__(self, capital=10000.0, size=0.1, fee=0.001):
-        self.capital, self.size, self.fee = capital, size, fee
-
-    def __call__(self, cols, state):
-        import numpy as np
-
-        price, sig, stop, take = cols["close"], cols["signal"], cols["stop_loss"], cols["take_profit"]
-        n = len(price)
-        profit, equity, trades, wins = np.zeros(n), np.zeros(n), np.zeros(n, dtype=int), np.zeros(n, dtype=int)
-        cash, held, entry = (self.capital, 0.0, 0.0) if state is None else state
-
-        def close_position(i):
-            nonlocal cash, held
-            cost = abs(held) * price[i] * self.fee
-            cash += held * price[i] - cost
-            gain = held * (price[i] - entry) - cost
-            profit[i] += gain
-            trades[i] += 1
-            wins[i] += gain > 0
-            held = 0.0
-
-        for i in range(n):
-            if held:
-                move = (price[i] - entry) / entry * (1 if held > 0 else -1)
-                if move < -stop[i] or move > take[i]:
-                    close_position(i)
-            if sig[i] and sig[i] * held <= 0:
-                if held:
-                    close_position(i)
-                worth = cash * self.size
-                cost = worth * self.fee
-                if cash >= worth + cost:
-                    held, entry = sig[i] * worth / price[i], price[i]
-                    cash -= sig[i] * worth + cost
-                    profit[i] -= cost
-                    trades[i] += 1
-            equity[i] = cash + held * price[i]
-        return {"profit": profit, "equity": equity, "trades": trades, "wins": wins}, [cash, held, entry]
-
-
-def replay_signals(rows: DataFrame, parameters: list[tuple[int, float, float]], rows_per_block: int | None = None) -> DataFrame:
-    """Replays numbered signal rows (symbol, ts, _rn, close, signal) under each (id, stop, take).
-
-    The grid is a fixed list exploded onto the rows; each (symbol, id) is its own series.
-    """
-    grid = F.array(*[F.struct(F.lit(i).alias("parameter"), F.lit(float(s)).alias("stop_loss"), F.lit(float(t)).alias("take_profit")) for i, s, t in parameters])
-    x = rows.select("*", F.inline(grid))
-    keys = ["symbol", "parameter"]
-    out = replay(x, LongShort(), ["close", "signal", "stop_loss", "take_profit"], LongShort.outputs, keys, rows_per_block)
-    return x.select(*keys, "_rn", "ts").join(out, [*keys, "_rn"])
-
-
-def replay_summary(bars: DataFrame, capital: float = 10000.0) -> DataFrame:
-    """Profit, return on capital, daily Sharpe and drawdown per (symbol, parameter)."""
-    keys = ["symbol", "parameter"]
-    daily = bars.groupBy(*keys, F.to_date("ts").alias("day")).agg(F.sum("profit").alias("profit"), F.sum("trades").alias("trades"), F.sum("wins").alias("wins"))
-    x = number_rows(daily, keys, ("day",), F.date_trunc("year", "day"))
-    x = prefix(x, {"_cum": ("sum", F.col("profit"))}, keys)
-    x = x.withColumn("ret", F.coalesce(div("profit", F.lit(capital) + F.col("_cum") - F.col("profit")), F.lit(0.0)))
-    x = drawdown(cumulative_growth(x, "ret", keys=keys), "growth", keys=keys)
-    return x.groupBy(*keys).agg(
-        F.sum("profit").alias("total_profit"), (F.sum("profit") / capital).alias("roi"),
-        (F.avg("ret") / (F.stddev_pop("ret") + 1e-10) * math.sqrt(252)).alias("sharpe_ratio"), F.max("drawdown").alias("max_drawdown"),
-        F.sum("trades").alias("total_trades"), F.coalesce(div(F.sum("wins"), F.sum("trades")), F.lit(0.0)).alias("win_rate"))
-
-
-class Rebalancer:
-    """Trades a portfolio to its target weights bar by bar. State: cash, then units per asset."""
-
-    outputs = {"value": T.DoubleType(), "costs": T.DoubleType(), "trades": T.IntegerType(), "buys": T.IntegerType()}
-
-    def __init__(self, assets: int, capital=100000.0, cost=0.001, least=0.001):
-        self.assets, self.capital, self.cost, self.least = assets, capital, cost, least
-
-    def __call__(self, cols, state):
-        import numpy as np
-
-        prices, weights = np.stack([np.asarray(p, dtype=float) for p in cols["prices"]]), np.stack([np.asarray(w, dtype=float) for w in cols["weights"]])
-        cash, units = (self.capital, np.zeros(self.assets)) if state is None else (state[0], np.array(state[1:]))
-        value, costs, trades, buys = [], [], [], []
-        for p, w in zip(prices, weights):
-            move = (cash + units @ p) * w / p - units
-            move = np.where(np.abs(move) > self.least, move, 0.0)
-            paid = np.abs(move * p) * self.cost
-            units = units + move
-            cash -= (move * p).sum() + paid.sum()
-            value.append(cash + units @ p)
-            costs.append(paid.sum())
-            trades.append(int((move != 0).sum()))
-            buys.append(int((move > 0).sum()))
-        return {"value": value, "costs": costs, "trades": trades, "buys": buys}, [cash, *units]
-
-
-def replay_rebalancing(rows: DataFrame, assets: int, rows_per_block: int | None = None) -> DataFrame:
-    """rows: portfolio, ts, _rn, prices ARRAY, weights ARRAY (same asset order)."""
-    out = replay(rows, Rebalancer(assets), ["prices", "weights"], Rebalancer.outputs, ["portfolio"], rows_per_block)
-    return rows.select("portfolio", "ts", "_rn").join(out, ["portfolio", "_rn"])
-
-
-def replay_metrics(curve: DataFrame, capital: float = 100000.0, free: float = 0.02, per_year: float = 365.0) -> DataFrame:
-    """Scores of an equity curve (portfolio, ts, _rn, value, costs, trades, buys)."""
-    x = curve.withColumnRenamed("portfolio", "symbol")
-    x = unblock(blocks(x, 1).withColumn("ret", pct("value")))
-    x = drawdown(x, "value")
-    neg = F.when(F.col("ret") < 0, F.col("ret"))
-    a = x.groupBy(F.col("symbol").alias("portfolio")).agg(
-        (F.max_by("value", "_rn") / capital - 1.0).alias("total_return"), F.count("ret").alias("_n"), F.stddev_pop("ret").alias("_s"),
-        F.coalesce(F.stddev_pop(neg), F.lit(0.0)).alias("_d"), (-F.max("drawdown")).alias("max_drawdown"), F.sum("costs").alias("total_costs"),
-        F.sum("trades").alias("total_trades"), F.sum("buys").alias("winning_trades"))
-    annual = F.pow(1.0 + F.col("total_return"), F.lit(per_year) / F.col("_n")) - 1.0
-    vol, down = F.col("_s") * math.sqrt(per_year), F.col("_d") * math.sqrt(per_year)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return a.select("portfolio", "total_return", annual.alias("annualized_return"), vol.alias("volatility"), zero(div(annual - free, vol)).alias("sharpe_ratio"),
-                    zero(div(annual - free, down)).alias("sortino_ratio"), "max_drawdown", zero(div(annual, F.abs("max_drawdown"))).alias("calmar_ratio"),
-                    zero(div("winning_trades", "total_trades")).alias("win_rate"), "total_costs", "total_trades")
-
-
 def daily_trades(trades: DataFrame) -> DataFrame:
     """Profit by date with its running total."""
     d = trades.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("trades"))

@@ -118,7 +118,7 @@ def themes(posts: DataFrame, top: int = 10, features: int = 100, floor: float =
     Words have two letters or more; stop words are removed before pairing. Whole texts
     are used: terms are exploded and counted with map-side combine.
     """
-    words = F.filter(F.split(F.lower("content"), r"\W+"), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS))
+    words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS))
     pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     x = posts.select("protocols", words.alias("_w")).select("protocols", F.explode(F.concat("_w", pairs)).alias("term"))
     # count per (tag set, term) first: the term stream is not multiplied by the tags
@@ -231,7 +231,7 @@ def tag_protocols(posts: DataFrame, keywords: dict[str, list[str]] | None = None
     """(post_id, protocol) by keyword: tokens of the text joined to the small keyword table."""
     pairs = [(w, p) for p, ws in (keywords or KEYWORDS).items() for w in ws]
     words = posts.sparkSession.createDataFrame(pairs, "token string, protocol string")  # fixed list, a few dozen rows
-    tokens = posts.select("post_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"(\$?\w+)"), F.lit(1)))).alias("token"))
+    tokens = posts.select("post_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"(\$?[\p{L}\p{N}_]+)"), F.lit(1)))).alias("token"))
     return tokens.join(F.broadcast(words), "token").select("post_id", "protocol").distinct()
 
 

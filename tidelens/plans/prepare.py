@@ -161,9 +161,9 @@ def scale_change_and_log(spark, root):
 
 
 @query("row_scaler", "DP-17 FN-6", f"WITH {EVENT_BARS}, a AS (SELECT symbol, ts, [open, high, low, close] AS v FROM bars), m AS (SELECT *, list_avg(v) AS mu, sqrt(list_avg(list_transform(v, lambda x: pow(x - list_avg(v), 2)))) AS sd FROM a) SELECT symbol, ts, "
-       + ", ".join(f"round(1e-9 + CASE WHEN sd > 0 THEN (v[{i}] - mu) / sd ELSE 0 END, 5) + 0.0 AS {n}" for i, n in enumerate(("open", "high", "low", "close"), 1)) + " FROM m WHERE high > low")
+       + ", ".join(f"round(1e-9 + CASE WHEN sd > 0 THEN (v[{i}] - mu) / sd ELSE 0 END, 5) + 0.0 AS {n}" for i, n in enumerate(("open", "high", "low", "close"), 1)) + " FROM m")
 def row_scaler(spark, root):
-    x = B.event_bars(spark, root).filter("high > low").withColumn("v", Q.row_scale(F.array("open", "high", "low", "close")))
+    x = B.event_bars(spark, root).withColumn("v", Q.row_scale(F.array("open", "high", "low", "close")))
     return x.select("symbol", "ts", *[rnd_up(F.col("v")[i], 5).alias(n) for i, n in enumerate(("open", "high", "low", "close"))])
 
 

@@ -1,18 +1,17 @@
-"""Signal, market condition, strategy and replay queries."""
+"""Signal, market condition, and strategy queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import json_num, rnd, rnd_up, rounded
+from ..functions.expr import json_num, rnd_up, rounded
 from ..operators import signals as S
-from ..operators.series import number_rows
 from ..sources import bars as B
 from ..sources import domain as D
 from ..sources.tables import table
 from .catalog import query
 from .evaluation import PRED, predictions
-from .sqlkit import BRAND_BARS, D as DIV, EVENT_BARS, L, PCT, R, TR, ema, over_bars, ratio_index, recur
+from .sqlkit import D as DIV, EVENT_BARS, L, PCT, R, TR, ema, over_bars, ratio_index, recur
 
 _E = """e AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS p, (value - 40) / 1000 AS r, value AS u FROM events), x AS (SELECT *, least(greatest(u / (SELECT max(u) FROM e), 0), 1) AS nu,
  [p, (value % 10) / 10, 1 - p] AS m FROM e), y AS (SELECT *, list_reverse_sort(m) AS ms FROM x)"""
@@ -109,67 +108,6 @@ def windowed_inference(spark, root):
     return S.window_batches(_conditions(spark, root), 100, 25).select("symbol", "ts", "regime", "trend")
 
 
-def _signal_rows(spark, root):
-    p = predictions(spark, root)
-    sig = F.when(F.col("y_pred") > F.col("prev") * 1.1, 1).when(F.col("y_pred") < F.col("prev") * 0.9, -1).otherwise(0)
-    return p.select("symbol", "ts", "_rn", (100.0 + F.col("y_true") / 10.0).alias("close"), sig.alias("signal"))
-
-
-GRID = [(0, 0.05, 0.10), (1, 0.10, 0.20), (2, 0.50, 1.00)]
-
-# one bar of the account: w1 closes on stop or target, w2 closes on an opposite signal, w3 opens
-_CLOSE1 = "(p.pos <> 0 AND ((t.close - p.ent) / p.ent * sign(p.pos) < -t.stop OR (t.close - p.ent) / p.ent * sign(p.pos) > t.take))"
-_POS1 = f"(CASE WHEN {_CLOSE1} THEN 0 ELSE p.pos END)"
-_ACT = f"(t.sig <> 0 AND t.sig * {_POS1} <= 0)"
-_CL = f"({_CLOSE1} OR ({_ACT} AND {_POS1} <> 0))"
-_GAIN = f"(CASE WHEN {_CL} THEN p.pos * (t.close - p.ent) - abs(p.pos) * t.close * 0.001 ELSE 0 END)"
-_CASH1 = f"(CASE WHEN {_CL} THEN p.cash + p.pos * t.close - abs(p.pos) * t.close * 0.001 ELSE p.cash END)"
-_REPLAY_SQL = f"""WITH RECURSIVE {PRED}, g AS (SELECT * FROM (VALUES (0, 0.05::DOUBLE, 0.1::DOUBLE), (1, 0.1::DOUBLE, 0.2::DOUBLE), (2, 0.5::DOUBLE, 1.0::DOUBLE)) v(parameter, stop, take)),
-sg AS (SELECT symbol || ':' || parameter AS k, symbol, parameter, ts, rn, 100.0 + y_true / 10.0 AS close, CASE WHEN y_pred > prev * 1.1 THEN 1 WHEN y_pred < prev * 0.9 THEN -1 ELSE 0 END AS sig, stop, take FROM pred, g),
-r AS (SELECT k, rn, CASE WHEN sig <> 0 THEN 10000 - sig * 1000.0::DOUBLE - 1 ELSE 10000.0::DOUBLE END AS cash, CAST(sig * 1000.0 / close AS DOUBLE) AS pos, CASE WHEN sig <> 0 THEN close ELSE 0.0::DOUBLE END AS ent, CASE WHEN sig <> 0 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS profit, CASE WHEN sig <> 0 THEN 1 ELSE 0 END AS trades, 0 AS wins FROM sg WHERE rn = 1
- UNION ALL SELECT t.k, t.rn, CASE WHEN {_ACT} THEN {_CASH1} - t.sig * {_CASH1} * 0.1 - {_CASH1} * 0.0001 ELSE {_CASH1} END, CASE WHEN {_ACT} THEN t.sig * {_CASH1} * 0.1 / t.close WHEN {_CL} THEN 0 ELSE p.pos END,
-  CASE WHEN {_ACT} THEN t.close ELSE p.ent END, {_GAIN} - CASE WHEN {_ACT} THEN {_CASH1} * 0.0001 ELSE 0 END, CASE WHEN {_CL} THEN 1 ELSE 0 END + CASE WHEN {_ACT} THEN 1 ELSE 0 END, CASE WHEN {_CL} AND {_GAIN} > 0 THEN 1 ELSE 0 END
-  FROM r p JOIN sg t ON t.k = p.k AND t.rn = p.rn + 1)"""
-
-
-@query("signal_replay", "SG-8", f"{_REPLAY_SQL} SELECT symbol, CAST(parameter AS INTEGER) AS parameter, sg.ts, round(profit, 4) + 0.0 AS profit, round(cash + pos * close, 4) AS equity, CAST(trades AS INTEGER) AS trades, CAST(wins AS INTEGER) AS wins FROM r JOIN sg USING (k, rn)")
-def signal_replay(spark, root):
-    return rounded(S.replay_signals(_signal_rows(spark, root), GRID).drop("_rn"), ["profit", "equity"], 4)
-
-
-@query("replay_summary", "SG-8 SG-11 SG-12", f"""{_REPLAY_SQL}, d AS (SELECT symbol, parameter, CAST(sg.ts AS DATE) AS day, sum(profit) AS profit, sum(trades) AS trades, sum(wins) AS wins FROM r JOIN sg USING (k, rn) GROUP BY 1, 2, 3),
-c AS (SELECT *, profit / (10000 + sum(profit) OVER w - profit) AS ret FROM d WINDOW w AS (PARTITION BY symbol, parameter ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-gr AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, parameter ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS growth FROM c),
-dd AS (SELECT *, 1 - growth / max(growth) OVER (PARTITION BY symbol, parameter ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd FROM gr)
-SELECT symbol, CAST(parameter AS INTEGER) AS parameter, round(sum(profit), 3) AS total_profit, round(sum(profit) / 10000, 6) AS roi, round(avg(ret) / (stddev_pop(ret) + 1e-10) * sqrt(252), 4) AS sharpe_ratio, round(max(dd), 5) AS max_drawdown, CAST(sum(trades) AS BIGINT) AS total_trades, round(sum(wins) * 1.0 / sum(trades), 5) AS win_rate FROM dd GROUP BY 1, 2""")
-def replay_summary(spark, root):
-    out = S.replay_summary(S.replay_signals(_signal_rows(spark, root), GRID))
-    return rounded(rounded(rounded(rounded(out, ["total_profit"], 3), ["roi"]), ["sharpe_ratio"], 4), ["max_drawdown", "win_rate"], 5)
-
-
-def _weights(spark, root):
-    """Five assets per hour with all prices; weights follow volume, for two portfolios."""
-    names = ["click", "error", "purchase", "signup", "view"]
-    b = B.event_bars(spark, root)
-    w = b.groupBy("ts").agg(*[F.max(F.when(F.col("symbol") == n, F.struct("close", "volume"))).alias(n) for n in names])
-    w = w.dropna(subset=names)
-    vol = [F.col(n)["volume"] + 1.0 for n in names]
-    total = sum(vol[1:], vol[0])
-    x = w.select("ts", F.array(*[F.col(n)["close"] for n in names]).alias("prices"), F.array(*[v / total for v in vol]).alias("_w"), F.explode(F.array(F.lit(0), F.lit(1))).alias("portfolio"))
-    x = x.withColumn("weights", F.when(F.col("portfolio") == 0, F.col("_w")).otherwise(F.array(*[F.lit(0.2)] * 5))).drop("_w")
-    return number_rows(x, ("portfolio",), ("ts",))
-
-
-@query("rebalance_replay", "SG-9")
-def rebalance_replay(spark, root):
-    return S.replay_rebalancing(_weights(spark, root), 5)
-
-
-@query("replay_metrics", "SG-10")
-def replay_metrics(spark, root):
-    return S.replay_metrics(S.replay_rebalancing(_weights(spark, root), 5))
-
-
 @query("drawdown_from_returns", "SG-11", f"""WITH {D.VALUES_SQL}, r AS (SELECT portfolio AS symbol, ts, (value - lag(value) OVER (PARTITION BY portfolio ORDER BY ts)) / lag(value) OVER (PARTITION BY portfolio ORDER BY ts) / 100 AS ret FROM pv),
 g AS (SELECT symbol, ts, exp(sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS g FROM r)
 SELECT symbol, ts, round(1 - g / max(g) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) + 0.0 AS drawdown FROM g""")

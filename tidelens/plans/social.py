@@ -41,14 +41,12 @@ def sentiment_deterioration(spark, root):
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
 
 
-@query("dominant_themes", "SO-8 FN-1 FN-6", rf"""WITH {P}, w AS (SELECT protocols, list_filter(regexp_extract_all(lower(content), '\b[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_]+\b'), lambda x: NOT list_contains([{_STOP}], x)) AS w FROM (SELECT protocols, regexp_replace(content, '[^\x00-\x7F]', ' ', 'g') AS content FROM posts)),
+@query("dominant_themes", "SO-8 FN-1 FN-6", rf"""WITH {P}, w AS (SELECT protocols, list_filter(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2 AND NOT list_contains([{_STOP}], x)) AS w FROM posts),
 t AS (SELECT protocols, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), c AS (SELECT unnest(protocols) AS protocol, term FROM t), g AS (SELECT protocol, term, count(*) AS n FROM c GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY protocol ORDER BY n DESC, term) AS rank FROM g), b AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY protocol)) AS score FROM r WHERE rank <= 100)
 SELECT protocol, term, n, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM b WHERE rank <= 10 AND score > 0.1""")
 def dominant_themes(spark, root):
-    # letters outside ASCII separate words here, as they are no word characters of the pattern
-    p = D.posts(spark, root).withColumn("content", F.regexp_replace("content", r"[^\x00-\x7F]", " "))
-    return rounded(S.themes(p), ["score"])
+    return rounded(S.themes(D.posts(spark, root)), ["score"])
 
 
 _OUT = "oc AS (SELECT platform, author, avg(CASE WHEN (post_id * 13) % 10 < 6 THEN 1.0 ELSE 0.0 END) AS accuracy_score, count(*) AS prediction_count FROM posts WHERE post_id % 3 = 0 GROUP BY 1, 2)"
@@ -175,9 +173,9 @@ WORDS = {**S.KEYWORDS, "ethereum": [*S.KEYWORDS["ethereum"], "the", "that"], "bi
 _KW = " UNION ALL ".join(f"SELECT '{w}' AS token, '{p}' AS protocol" for p, ws in WORDS.items() for w in ws)
 
 
-@query("tag_protocols", "SO-30", rf"WITH {P}, kw AS ({_KW}), t AS (SELECT post_id, unnest(regexp_extract_all(lower(content), '\$?[a-z0-9_]+')) AS token FROM (SELECT post_id, regexp_replace(content, '[^\x00-\x7F]', ' ', 'g') AS content FROM posts)) SELECT DISTINCT post_id, protocol FROM t JOIN kw USING (token)")
+@query("tag_protocols", "SO-30", rf"WITH {P}, kw AS ({_KW}), t AS (SELECT post_id, unnest(regexp_extract_all(lower(content), '\$?[\p{{L}}\p{{N}}_]+')) AS token FROM posts) SELECT DISTINCT post_id, protocol FROM t JOIN kw USING (token)")
 def tag_protocols(spark, root):
-    return S.tag_protocols(D.posts(spark, root).withColumn("content", F.regexp_replace("content", r"[^\x00-\x7F]", " ")), WORDS)
+    return S.tag_protocols(D.posts(spark, root), WORDS)
 
 
 @query("source_mix", "SO-31 AG-18", f"WITH {P} SELECT platform, count(*) AS posts, round(count(*) * 1.0 / (SELECT count(*) FROM posts), 6) AS share FROM posts GROUP BY 1")

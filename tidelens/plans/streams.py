@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import json_num, rnd, rounded
+from ..functions.expr import json_num, rounded
+from ..operators import social as SOC
+from ..operators.vaults import running_balance
 from ..sources import domain as D
 from ..sources.tables import table
 from ..streaming import jobs as S
@@ -43,13 +45,12 @@ def stream_post_ingestion(spark, root):
     return out.drop("batch")
 
 
-@query("stream_sliding_metrics", "SM-2", f"""WITH {D.POSTS_SQL}, w AS (SELECT protocol, sentiment, confidence, engagement, content, unnest(range(0, 24)) AS k, date_trunc('hour', ts) AS h FROM pp)
-SELECT protocol, h - to_hours(k) AS window_start, count(*) AS mention_count, round(sum(sentiment * confidence) / sum(confidence), 6) + 0.0 AS sentiment_score, CAST(sum(engagement) AS BIGINT) AS total_engagement, avg(CASE WHEN sentiment < -0.5 THEN 1.0 ELSE 0.0 END) > 0.3 AS negative FROM w GROUP BY 1, 2""")
+@query("stream_sliding_metrics", "SM-2", f"""WITH {D.POSTS_SQL}, w AS (SELECT protocol, author, sentiment, confidence, engagement, content, unnest(range(0, 24)) AS k, date_trunc('hour', ts) AS h FROM pp)
+SELECT protocol, h - to_hours(k) AS window_start, count(*) AS mention_count, round(sum(sentiment * confidence) / sum(confidence), 6) + 0.0 AS sentiment_score, CAST(sum(engagement) AS BIGINT) AS total_engagement, count(DISTINCT author) AS unique_authors, avg(CASE WHEN sentiment < -0.5 THEN 1.0 ELSE 0.0 END) > 0.3 AS negative, avg(CASE WHEN regexp_matches(lower(content), '{"|".join(SOC.FUD_WORDS)}') THEN 1.0 ELSE 0.0 END) > 0.1 AS fud_spread FROM w GROUP BY 1, 2""")
 def stream_sliding_metrics(spark, root):
-    s = S.sliding_metrics(D.posts(_Streamed(spark), root)).withColumn("window_start", F.col("window.start")).drop("window")
+    s = S.author_windows(D.posts(_Streamed(spark), root)).withColumn("window_start", F.col("window.start")).drop("window")
     out, _ = _finish(spark, s, "sliding", "update")
-    out = S.newest_per_key(out, ["protocol", "window_start"])
-    return rounded(out, ["sentiment_score"]).drop("unique_authors", "fud_spread")
+    return rounded(S.sliding_metrics(S.newest_per_key(out, ["protocol", "window_start", "author"])), ["sentiment_score"])
 
 
 @query("stream_market_refresh", "SM-3", f"""WITH {D.PROTOCOL_EVENTS_SQL}, c AS (SELECT protocol, time_bucket(INTERVAL '5 minutes', ts) AS cell, count(*) AS n, sum(k) AS v FROM pe GROUP BY 1, 2)
@@ -76,9 +77,8 @@ def stream_signal_index(spark, root):
 r AS (SELECT vault, rn, CAST(greatest(d, 0) AS DECIMAL(28,2)) AS b FROM o WHERE rn = 1 UNION ALL SELECT o.vault, o.rn, CAST(greatest(r.b + o.d, 0) AS DECIMAL(28,2)) FROM r JOIN o ON o.vault = r.vault AND o.rn = r.rn + 1)
 SELECT o.tx, o.vault, o.kind, CAST(r.b AS DOUBLE) AS balance FROM o JOIN r USING (vault, rn)""")
 def stream_vault_balance(spark, root):
-    with S.rocksdb_state(spark):
-        out, _ = _finish(spark, S.vault_balances(D.ledger(_Streamed(spark), root)), "balances")
-    return out.drop("batch")
+    out, _ = _finish(spark, D.ledger(_Streamed(spark), root), "ledger")
+    return running_balance(out.drop("batch")).select("tx", "vault", "kind", "balance")
 
 
 @query("stream_first_last_seen", "SM-7", "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1")
@@ -87,10 +87,12 @@ def stream_first_last_seen(spark, root):
     return S.newest_per_key(out, ["user_id"])
 
 
-@query("stream_progress", "SM-8", "SELECT 'signal_index' AS component, count(*) AS input_rows FROM events")
+@query("stream_progress", "SM-8", "SELECT 'events' AS component, count(*) AS input_rows, max(ts) AS last_ts, max(event_id) FILTER (ts = (SELECT max(ts) FROM events)) AS last_id FROM events")
 def stream_progress(spark, root):
-    _, q = _finish(spark, S.threshold_alerts(S.stream_table(spark, root, "events")), "progress")
-    return S.progress(spark, q, "signal_index").drop("last_batch")
+    e = S.stream_table(spark, root, "events").select("event_id", "ts")
+    mark = {"input_rows": F.count(F.lit(1)), "newest": F.max(F.struct("ts", F.col("event_id").alias("id")))}
+    base, _ = S.run(e, "progress", mark=mark)
+    return S.progress(spark, base, "events")
 
 
 @query("stream_alerts", "SM-10", "SELECT event_id, ts, event_type, value, CASE WHEN value > 200 THEN 'danger' ELSE 'warning' END AS severity FROM events WHERE value > 100")
@@ -120,10 +122,11 @@ def batch_scoring(spark, root):
     return S.score(e, _model, ["value", "k"], ["event_id"]).withColumn("prediction", F.round(F.col("prediction") + 1e-9, 6))
 
 
-@query("stream_signal_expiry", "SM-13")
+@query("stream_signal_expiry", "SM-13", """WITH s AS (SELECT event_id AS signal, user_id AS key, ts FROM events WHERE event_type = 'signup'), e AS (SELECT user_id AS key, ts AS at FROM events WHERE event_type = 'purchase'),
+n AS (SELECT max(ts) AS now FROM events WHERE event_type IN ('signup', 'purchase')), j AS (SELECT signal, s.key, s.ts, min(e.at) AS executed_at FROM s LEFT JOIN e ON s.key = e.key AND e.at BETWEEN s.ts AND s.ts + INTERVAL 30 DAY GROUP BY 1, 2, 3)
+SELECT signal, key, ts, executed_at, CASE WHEN executed_at IS NOT NULL THEN 'executed' WHEN ts + INTERVAL 30 DAY < now THEN 'expired' ELSE 'pending' END AS status FROM j, n""")
 def stream_signal_expiry(spark, root):
-    e = S.stream_table(spark, root, "events")
-    s = e.filter("event_type = 'signup'").select(F.col("event_id").alias("signal"), (F.col("user_id") % 20).alias("key"), "ts")
-    x = S.stream_table(spark, root, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 20).alias("key"), F.col("ts").alias("executed_at"))
-    out, _ = _finish(spark, S.expire_signals(s, x), "expiry")
-    return out.drop("batch")
+    kind = F.when(F.col("event_type") == "signup", "signal").when(F.col("event_type") == "purchase", "execution")
+    rows = S.stream_table(spark, root, "events").select(kind.alias("kind"), F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts").filter("kind IS NOT NULL")
+    out, _ = _finish(spark, rows, "expiry")
+    return S.signal_states(out.drop("batch"), 30 * 86400)

@@ -26,11 +26,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tidel
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, in a subfolder of this run.
 
-    Only when none is set (tests on one machine) a temporary one is made.
+    Only a session on one machine may leave it unset (tests): then a temporary one is made. Elsewhere
+    that is an error, as executors could not read each other's files.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelens-ck-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidelens-ck-"))
     return sc.getCheckpointDir()
 
 

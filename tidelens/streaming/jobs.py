@@ -1,5 +1,8 @@
 """Structured Streaming jobs: ingestion, windows, ledgers, alerts, scoring, expiry.
 
+A floored balance and the state of a signal depend on the order in time, which files do not keep: those streams only
+collect rows (each once, the sink is idempotent), and the result is taken over what has been collected.
+
 Every job is a function from a streaming DataFrame to a streaming DataFrame; ``run``
 starts it with a file sink. State is bounded by a watermark, and sinks are idempotent:
 a batch writes its own folder, so a repeated batch replaces itself.
@@ -9,7 +12,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,6 @@ from ..sources import logs, sinks
 from ..sources.tables import SCHEMAS
 
 LOOKBACK = "24 hours"
-WAIT = 600
 
 
 def stream_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -30,18 +31,21 @@ def stream_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 8).parquet(root)
 
 
-def run(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None):
-    """Runs a job over what is there and returns (folder, query).
+def run(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None, mark: dict[str, Column] | None = None):
+    """Runs a job until all that is there is done, however long that takes, and returns (folder, query).
 
-    Each micro-batch lands in ``batch=<id>``; ``each`` is the per-batch handler.
+    Each micro-batch lands in ``batch=<id>``; ``each`` is the per-batch handler. ``mark`` (aggregates of a batch) keeps a
+    progress row for each batch beside the data. A failed stream raises.
     """
     base = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
 
     def write(batch: DataFrame, number: int) -> None:
         (each(batch) if each else batch).write.mode("overwrite").parquet(f"{base}/data/batch={number}")
+        if mark:
+            batch.agg(*[c.alias(n) for n, c in mark.items()]).write.mode("overwrite").parquet(f"{base}/marks/batch={number}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination(WAIT)
+    q.awaitTermination()
     return base, q
 
 
@@ -63,18 +67,23 @@ def ingest_posts(posts: DataFrame) -> DataFrame:
     return posts.withWatermark("ts", LOOKBACK).dropDuplicatesWithinWatermark(["post_id", "platform"])
 
 
-def sliding_metrics(posts: DataFrame) -> DataFrame:
-    """Protocol metrics over the last 24 hours, every hour.
-
-    Streams cannot count distinct authors exactly, so the count is approximate here.
-    """
+def author_windows(posts: DataFrame) -> DataFrame:
+    """Additive measures per protocol, author and 24-hour window, every hour: the state of ``sliding_metrics``."""
     rows = social.by_protocol(posts.withColumn("fud", social.is_fud(F.col("content"))).drop("content"))
     w = F.window("ts", LOOKBACK, "1 hour")
-    return rows.withWatermark("ts", LOOKBACK).groupBy("protocol", w).agg(
-        F.count(F.lit(1)).alias("mention_count"), social.weighted_sentiment().alias("sentiment_score"), F.sum("eng").alias("total_engagement"),
-        F.approx_count_distinct("author").alias("unique_authors"),
-        (F.avg(F.when(F.col("sentiment") < -0.5, 1.0).otherwise(0.0)) > 0.3).alias("negative"),
-        (F.avg(F.when(F.col("fud"), 1.0).otherwise(0.0)) > 0.1).alias("fud_spread"))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return rows.withWatermark("ts", LOOKBACK).groupBy("protocol", w, "author").agg(
+        F.count(F.lit(1)).alias("mentions"), F.sum(F.col("sentiment") * F.col("confidence")).alias("weighted"), F.sum("confidence").alias("weight"),
+        F.sum("eng").alias("engagement"), one(F.col("sentiment") < -0.5).alias("negatives"), one(F.col("fud")).alias("fuds"))
+
+
+def sliding_metrics(windows: DataFrame) -> DataFrame:
+    """Protocol metrics over the last 24 hours from ``author_windows``: authors are counted exactly, as rows."""
+    total = lambda c: F.sum(c)
+    return windows.groupBy("protocol", "window_start").agg(
+        total("mentions").alias("mention_count"), (total("weighted") / total("weight")).alias("sentiment_score"), total("engagement").alias("total_engagement"),
+        F.count(F.lit(1)).alias("unique_authors"), (total("negatives") / total("mentions") > 0.3).alias("negative"),
+        (total("fuds") / total("mentions") > 0.1).alias("fud_spread"))
 
 
 def market_cells(events: DataFrame, width: str = "5 minutes") -> DataFrame:
@@ -118,36 +127,6 @@ def one_per_signal(batch: DataFrame) -> DataFrame:
     return sinks.unique_rows(batch, ["model_id", "signal_id"], ["timestamp", "signature"])
 
 
-BALANCE = "vault BIGINT, tx BIGINT, kind STRING, balance DOUBLE"
-
-
-def vault_balances(ledger: DataFrame) -> DataFrame:
-    """Balance after each transaction, floored at 0; one number of state per vault."""
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Balance(StatefulProcessor):
-        def init(self, handle):
-            self.cents = handle.getValueState("cents", "cents LONG")
-
-        def handleInputRows(self, key, rows, timers):
-            part = pd.concat(list(rows)).sort_values(["ts", "tx"])  # one micro-batch of one vault
-            now = self.cents.get()[0] if self.cents.exists() else 0
-            out = []
-            for kind, amount in zip(part["kind"], part["cents"]):
-                step = int(amount) if kind == "deposit" else -int(amount) if kind == "withdrawal" else 0
-                now = max(now + step, 0)
-                out.append(now / 100.0)
-            self.cents.update((now,))
-            yield pd.DataFrame({"vault": key[0], "tx": part["tx"].to_numpy(), "kind": part["kind"].to_numpy(), "balance": out})
-
-        def close(self):
-            pass
-
-    x = ledger.select("vault", "tx", "kind", "ts", (F.col("amount") * 100).cast("long").alias("cents"))
-    return x.groupBy("vault").transformWithStateInPandas(Balance(), BALANCE, "Append", "None")
-
-
 def seen(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
@@ -170,30 +149,35 @@ def score(rows: DataFrame, model: Callable, inputs: list[str], keep: list[str],
     return rows.select(*dict.fromkeys([*keep, *inputs])).mapInPandas(apply, schema)
 
 
-def expire_signals(signals: DataFrame, executions: DataFrame, life: str = "1 HOUR") -> DataFrame:
-    """Left outer join within the life of a signal: without an execution in time it is expired."""
-    s = signals.withWatermark("ts", "1 minute").alias("s")
-    e = executions.withWatermark("executed_at", "1 minute").alias("e")
+def expire_signals(signals: DataFrame, executions: DataFrame, life: str = "1 HOUR", late: str = "1 minute") -> DataFrame:
+    """Left outer join within the life of a signal: without an execution in time it is expired.
+
+    Rows more than ``late`` behind the newest one of a batch before are dropped, so input with more disorder needs a larger value;
+    ``signal_states`` over collected rows has no such bound."""
+    s = signals.withWatermark("ts", late).alias("s")
+    e = executions.withWatermark("executed_at", late).alias("e")
     cond = (F.col("s.key") == F.col("e.key")) & (F.col("e.executed_at") >= F.col("s.ts")) & (F.col("e.executed_at") <= F.col("s.ts") + F.expr(f"INTERVAL {life}"))
     j = s.join(e, cond, "leftOuter")
     return j.select(F.col("s.signal").alias("signal"), F.col("s.key").alias("key"), F.col("s.ts").alias("ts"), F.col("e.executed_at").alias("executed_at"),
                     F.when(F.col("e.executed_at").isNull(), "expired").otherwise("executed").alias("status"))
 
 
-def progress(spark: SparkSession, query, component: str) -> DataFrame:
-    """Progress marker of a query: batches, rows and last batch time; a handful of driver-side numbers."""
-    last = query.lastProgress
-    rows = [(component, int(last["batchId"]) if last else -1, int(sum(p["numInputRows"] for p in query.recentProgress)))]
-    return spark.createDataFrame(rows, "component string, last_batch long, input_rows long")
-
-
-@contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Arbitrary state uses the RocksDB store that ships with Spark; the setting is put back after."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+def signal_states(rows: DataFrame, life: int = 3600) -> DataFrame:
+    """rows: (kind signal or execution, id, key, ts) as collected by a stream. First execution of each signal within ``life`` seconds,
+    and its state at the newest time seen: executed, expired, or pending. Joined by key and cell of time, not by range."""
+    now = rows.agg(F.max("ts")).scalar()
+    cell = F.floor(F.unix_micros("ts") / F.lit(life * 1_000_000))
+    s = rows.filter("kind = 'signal'").select(F.col("id").alias("signal"), "key", "ts", F.explode(F.array(cell, cell + 1)).alias("cell"))
+    e = rows.filter("kind = 'execution'").select("key", F.col("ts").alias("at"), cell.alias("cell"))
+    e = e.groupBy("key", "cell", "at").agg(F.lit(1).alias("_o"))
+    in_time = F.col("at").between(F.col("ts"), F.col("ts") + F.make_dt_interval(secs=F.lit(float(life))))
+    got = s.join(e, ["key", "cell"], "left").groupBy("signal", "key", "ts").agg(F.min(F.when(in_time, F.col("at"))).alias("executed_at"))
+    over = F.col("ts") + F.make_dt_interval(secs=F.lit(float(life))) < now
+    return got.withColumn("status", F.when(F.col("executed_at").isNotNull(), "executed").when(over, "expired").otherwise("pending"))
+
+
+def progress(spark: SparkSession, base: str, component: str) -> DataFrame:
+    """Progress of a component over all its batches, from the rows that ``run`` keeps for each: rows, newest time and its id."""
+    marks = spark.read.parquet(f"{base}/marks")
+    return marks.groupBy(F.lit(component).alias("component")).agg(
+        F.sum("input_rows").alias("input_rows"), F.max("newest.ts").alias("last_ts"), F.max("newest").alias("_n")).select("component", "input_rows", "last_ts", F.col("_n.id").alias("last_id"))
