@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,63 +181,65 @@ def model_inputs(available: list[str], priority: list[str], k: int) -> list[Colu
 METHODS = ("jitter", "scaling", "permutation", "time_warp", "magnitude_warp", "window_slice", "window_warp")
 
 
+def _random(key: Column, what) -> Column:
+    """A number in [0, 1) that follows from the row's key and a label: 13 hex digits of an MD5."""
+    text = F.concat(key, F.lit(":"), what if isinstance(what, Column) else F.lit(str(what)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16**13)
+
+
 def augment(seqs: DataFrame, ratio: float = 0.5, methods=METHODS, seed: int = 42) -> DataFrame:
-    """Adds transformed copies of a ``ratio`` of the sequences.
+    """Adds transformed copies of a ``ratio`` of the sequences; each copy takes one of the ``methods``.
 
-    The choice, the method and all random numbers follow from a hash of the row key, so a
-    rerun task produces the same rows.
+    Every transform is one reading of the sequence: row t is read at a (fractional) position, times a factor, plus noise.
+    Jitter adds normal noise of 0.01; scaling has one factor in 0.9 to 1.1, magnitude_warp a broken line through four such
+    factors, window_warp one of 0.8 to 1.2 over a fifth of the rows; permutation reorders five neighbours; time_warp moves
+    positions along a sine of up to 0.4 rows; window_slice stretches nine tenths of the rows to all. All random numbers come
+    from the row's key, so a rerun task produces the same rows. Too short sequences stay as they are.
     """
-    import numpy as np
-
-    h = F.xxhash64("symbol", "_rn", F.lit(seed))
-    picked = seqs.filter(F.pmod(h, F.lit(1000)) < int(ratio * 1000)).withColumn("_seed", F.pmod(h, F.lit(2**31 - 1)))
-
-    def change(x, method, rng):
-        n = len(x)
-        if method == "jitter":
-            return x + rng.normal(0, 0.01, x.shape)
-        if method == "scaling":
-            return x * rng.uniform(0.9, 1.1)
-        if method == "permutation" and n > 5:
-            at = rng.integers(0, n - 5)
-            part = x[at:at + 5][rng.permutation(5)]
-            return np.concatenate([x[:at], part, x[at + 5:]])
-        grid = np.arange(n)
-        if method == "time_warp" and n > 10:
-            moved = grid.astype(float)
-            for point in rng.choice(grid[5:-5], size=min(3, n - 10), replace=False):
-                moved[point:] += rng.uniform(-0.2, 0.2)
-            moved = np.clip(moved, 0, n - 1)
-            return np.stack([np.interp(grid, np.sort(moved), x[:, j]) for j in range(x.shape[1])], axis=1)
-        if method == "magnitude_warp" and n > 3:
-            knots = np.sort(np.concatenate([[0], rng.choice(np.arange(1, n - 1), size=2, replace=False), [n - 1]]))
-            return x * np.interp(grid, knots, rng.uniform(0.9, 1.1, len(knots)))[:, None]
-        if method == "window_slice" and int(n * 0.9) < n:
-            size = max(int(n * 0.9), 2)
-            at = rng.integers(0, n - size + 1)
-            return np.stack([np.interp(np.linspace(0, 1, n), np.linspace(0, 1, size), x[at:at + size, j]) for j in range(x.shape[1])], axis=1)
-        if method == "window_warp" and n >= 5:
-            size = max(int(n * 0.2), 1)
-            at = rng.integers(0, n - size)
-            out = x.copy()
-            out[at:at + size] *= rng.uniform(0.8, 1.2)
-            return out
-        return x
-
-    def run(batches):
-        for pdf in batches:
-            made, used = [], []
-            for s, x in zip(pdf["_seed"], pdf["x"]):
-                rng = np.random.default_rng(int(s))
-                method = methods[int(rng.integers(0, len(methods)))]
-                made.append(change(np.array([list(r) for r in x], dtype=float), method, rng).tolist())
-                used.append(method)
-            pdf = pdf.drop(columns="_seed")
-            pdf["x"], pdf["method"] = made, used
-            yield pdf
-
-    schema = T.StructType([*seqs.schema.fields, T.StructField("method", T.StringType())])
-    return seqs.withColumn("method", F.lit("original")).unionByName(picked.mapInPandas(run, schema))
+    key = F.concat_ws("|", F.col("symbol").cast("string"), F.col("_rn").cast("string"), F.lit(str(seed)))
+    x = seqs.filter(_random(key, "pick") < ratio).withColumn("_k", key)
+    x = x.withColumns({"method": F.get(F.array(*map(F.lit, methods)), F.floor(_random(F.col("_k"), "method") * len(methods)).cast("int")), "_n": F.size("x")})
+    k, n, m = F.col("_k"), F.col("_n"), F.col("method")
+    last = n - 1
+    cut, fifth = F.floor(n * 0.9), F.greatest(F.floor(n * 0.2), F.lit(1))
+    first = F.when(m == "permutation", F.floor(_random(k, "first") * (n - 4))).when(m == "window_slice", F.floor(_random(k, "first") * (n - cut + 1))).otherwise(
+        F.floor(_random(k, "first") * (n - fifth + 1)))
+    shuffled = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(_random(k, F.concat(F.lit("order"), i.cast("string"))).alias("r"), i.alias("i")))), lambda s: s["i"])
+    x = x.withColumns({"_first": first.cast("int"), "_order": shuffled})
+    lo, order = F.col("_first"), F.col("_order")
+
+    def position(t):
+        inside = (t >= lo) & (t < lo + 5)
+        wave = 0.4 * _random(k, "depth") * F.sin(2 * math.pi * (t / last * (1 + F.floor(_random(k, "waves") * 3)) + _random(k, "phase")))
+        return (F.when((m == "permutation") & (n > 5) & inside, (lo + F.get(order, t - lo)).cast("double"))
+                .when((m == "time_warp") & (n > 10), F.least(F.greatest(t + wave, F.lit(0.0)), last.cast("double")))
+                .when((m == "window_slice") & (cut >= 2), lo + t * (cut - 1) / last)
+                .otherwise(t.cast("double")))
+
+    def factor(t):
+        def knot(i):
+            return 0.9 + 0.2 * _random(k, F.concat(F.lit("knot"), i.cast("string")))
+
+        at = 3.0 * t / last
+        left = F.floor(at)
+        line = knot(left) + (knot(left + 1) - knot(left)) * (at - left)
+        inside = (t >= lo) & (t < lo + fifth)
+        return (F.when(m == "scaling", 0.9 + 0.2 * _random(k, "factor")).when((m == "magnitude_warp") & (n > 3), line)
+                .when((m == "window_warp") & (n >= 5) & inside, 0.8 + 0.4 * _random(k, "factor")).otherwise(F.lit(1.0)))
+
+    def noise(t, j):
+        spot = F.concat(t.cast("string"), F.lit(","), j.cast("string"))
+        u, v = 1.0 - _random(k, F.concat(F.lit("u"), spot)), _random(k, F.concat(F.lit("v"), spot))
+        return F.when(m == "jitter", 0.01 * F.sqrt(-2.0 * F.log(u)) * F.cos(2 * math.pi * v)).otherwise(F.lit(0.0))
+
+    def row(t):
+        p = position(t)
+        a = F.floor(p).cast("int")
+        here, there = F.get("x", a), F.get("x", F.least(a + 1, last))
+        return F.transform(here, lambda v, j: (v + (F.get(there, j) - v) * (p - a)) * factor(t) + noise(t, j))
+
+    made = x.withColumn("x", F.transform(F.sequence(F.lit(0), last), row)).drop("_k", "_n", "_first", "_order")
+    return seqs.withColumn("method", F.lit("original")).unionByName(made)
 
 
 # --- pipeline ---------------------------------------------------------------------------

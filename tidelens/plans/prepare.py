@@ -250,9 +250,33 @@ def labels_bins(spark, root):
     return P.label_bins(P.future_return(_bars(spark, root), "close", 3)).select("symbol", "ts", "label")
 
 
-@query("augment_sequences", "DP-29 SET-1")
+def _rand(what, k="k"):
+    return f"(('0x' || substr(md5({k} || ':' || {what}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+_AUG = f"""aq AS (SELECT symbol, ts, rn AS _rn, list_transform(range(1, 25), lambda i: [c[i], CAST(v[i] AS DOUBLE)]) AS x, symbol || '|' || rn || '|42' AS k FROM sq WHERE len(c) = 24 AND len(y) >= 1 AND (rn - 1) % 4 = 0),
+am AS (SELECT *, ['{"', '".join(P.METHODS)}'][1 + CAST(floor({_rand("'method'")} * 7) AS INTEGER)] AS method FROM aq WHERE {_rand("'pick'")} < 0.5),
+ao AS (SELECT *, CAST(floor({_rand("'first'")} * CASE method WHEN 'permutation' THEN 20 WHEN 'window_slice' THEN 4 ELSE 21 END) AS INTEGER) AS f,
+ list_transform(list_sort(list_transform(range(0, 5), lambda i: {{'r': {_rand("'order' || i")}, 'i': i}})), lambda s: s.i) AS o FROM am),
+ar AS (SELECT *, unnest(range(0, 24)) AS t FROM ao),
+ap AS (SELECT *, CASE WHEN method = 'permutation' AND t >= f AND t < f + 5 THEN f + o[t - f + 1]
+  WHEN method = 'time_warp' THEN least(greatest(t + 0.4 * {_rand("'depth'")} * sin(2 * pi() * (t / 23.0::DOUBLE * (1 + floor({_rand("'waves'")} * 3)) + {_rand("'phase'")})), 0), 23)
+  WHEN method = 'window_slice' THEN f + t * 20 / 23.0::DOUBLE ELSE t END::DOUBLE AS p,
+ CASE WHEN method = 'scaling' THEN 0.9 + 0.2 * {_rand("'factor'")}
+  WHEN method = 'magnitude_warp' THEN 0.9 + 0.2 * ({_rand("'knot' || CAST(floor(3.0 * t / 23) AS BIGINT)")} + ({_rand("'knot' || CAST(floor(3.0 * t / 23) + 1 AS BIGINT)")} - {_rand("'knot' || CAST(floor(3.0 * t / 23) AS BIGINT)")}) * (3.0::DOUBLE * t / 23 - floor(3.0::DOUBLE * t / 23)))
+  WHEN method = 'window_warp' AND t >= f AND t < f + 4 THEN 0.8 + 0.4 * {_rand("'factor'")} ELSE 1.0 END::DOUBLE AS g FROM ar),
+az AS (SELECT symbol, ts, _rn, method, x, k, t, p, g, CAST(floor(p) AS INTEGER) AS a, unnest([1, 2]) AS j FROM ap),
+av AS (SELECT symbol, ts, _rn, method, j, (x[a + 1][j] + (x[least(a + 1, 23) + 1][j] - x[a + 1][j]) * (p - a)) * g
+  + CASE WHEN method = 'jitter' THEN 0.01 * sqrt(-2 * ln(1 - {_rand("'u' || t || ',' || (j - 1)")})) * cos(2 * pi() * {_rand("'v' || t || ',' || (j - 1)")}) ELSE 0 END AS v FROM az)
+SELECT symbol, ts, method, round(1e-9 + sum(v) FILTER (j = 1), 3) AS close_sum, round(1e-9 + sum(v) FILTER (j = 2), 3) AS volume_sum FROM av GROUP BY ALL
+UNION ALL SELECT symbol, ts, 'original', round(1e-9 + list_sum(list_transform(x, lambda r: r[1])), 3), round(1e-9 + list_sum(list_transform(x, lambda r: r[2])), 3) FROM aq"""
+
+
+@query("augment_sequences", "DP-29 SET-1", f"WITH {EVENT_BARS}, {_SEQ}, {_AUG}")
 def augment_sequences(spark, root):
-    return P.augment(P.sequences(_bars(spark, root), ["close", "volume"], "close", 24, 1, 4))
+    s = P.augment(P.sequences(_bars(spark, root), ["close", "volume"], "close", 24, 1, 4))
+    tot = lambda i: F.aggregate("x", F.lit(0.0), lambda a, r: a + r[i])
+    return s.select("symbol", "ts", "method", rnd_up(tot(0), 3).alias("close_sum"), rnd_up(tot(1), 3).alias("volume_sum"))
 
 
 @query("prepared_dataset", "DP-30")
