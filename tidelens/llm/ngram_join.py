@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each component of ``near_duplicates``: that with the smallest id, all columns kept.
 
-    Of several rows with this id one stays. Rows without an id and texts without words stay."""
+    Of several rows with this id one stays. A row without an id has the smallest and always stays; so do texts without words."""
     found = near_duplicates(docs, id_col, text_col, **how).filter("doc_id IS NOT NULL AND (component_id IS NULL OR doc_id <> component_id)")
     gone = found.select(F.col("doc_id").alias("__d")).distinct()
     kept = docs.withColumn("__d", F.col(id_col).cast("long")).join(gone.hint("merge"), "__d", "left_anti")
