@@ -183,7 +183,7 @@ def walk(a: Cell, b: Cell, cosine: float) -> tuple[np.ndarray, np.ndarray, list[
     return (na + nb if own else na), nb, edges
 
 
-def _gather(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _gather(key, pdf):
     pdf = pdf.sort_values("d")
     return pd.DataFrame({"node": [key[0]], "ids": [pdf["d"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf["v"])]})
 

@@ -188,7 +188,7 @@ def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(c) for c in ("family", "k", "d", "n")] + [pa.array(packed, pa.binary())], ["family", "k", "d", "n", "shingles"]).filter(own)
 
 
-def _gather(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _gather(key, pdf):
     """One row of the token-group matrix: a group's documents, their sets, and the union of these."""
     pdf = pdf.sort_values("d").drop_duplicates("k")
     tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["shingles"]])
@@ -197,7 +197,7 @@ def _gather(key, pdf: pd.DataFrame) -> pd.DataFrame:
                          "members": [np.searchsorted(union, tokens).astype(np.uint32).tobytes()], "tokens": [union.tobytes()]})
 
 
-def _open(pdf_iter, num: int, den: int, own: bool) -> Iterator[pd.DataFrame]:
+def _open(pdf_iter, num, den, own):
     """Links inside groups (``own``) or between the documents of two groups, reduced to a spanning forest of each pair of groups."""
     for pdf in pdf_iter:
         out = []
