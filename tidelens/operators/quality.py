@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import clip, div
 from ..functions.rolling import lag
+from ..session import cut_lineage
 from .quantile import exact_quantiles
 from .series import blocks, prefix, unblock
 
@@ -125,32 +126,91 @@ def fill_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna()
 
 
-def fill_knn(df: DataFrame, columns: list[str], key: str, k: int = 5, donors: int = 2000, seed: int = 7) -> DataFrame:
-    """Missing cells take the mean of the ``k`` nearest donors on the observed columns.
+def fill_knn(df: DataFrame, columns: list[str], key: str, k: int = 5, cell: int = 500) -> DataFrame:
+    """Missing cells take the mean of the ``k`` nearest complete rows on the observed columns (ties: the smaller key).
 
-    The donor set is a fixed-size sample of complete rows (smallest hashes first), so what
-    each task holds does not grow with the data; every row is imputed.
+    Exact over all donors, and nothing is sampled. Donors are cut along each column into cells of about ``cell`` rows. A row
+    looks into its own cell of its first observed column; the k-th distance found there bounds how far off the others can be,
+    and only the cells within it are opened. A row with nothing observed takes the donors' means; without donors cells stay null.
     """
     import numpy as np
+    import pandas as pd
 
-    full = df.dropna(subset=columns).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(donors)
-    rows = full.select(*[F.col(n).cast("double") for n in columns]).collect()  # at most ``donors`` rows
-    bank = df.sparkSession.sparkContext.broadcast(np.array([list(r) for r in rows], dtype=float))
+    n = len(columns)
+    x = df.select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    whole = ~F.exists("_v", lambda v: v.isNull())
+    donors, holes = x.filter(whole), x.filter(~whole)
+    facts = donors.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("_v")[i]).alias(f"m{i}") for i in range(n)]).first()
+    out_schema = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).schema
+    back = lambda d, v: d.select(key, *[F.col(v)[i].alias(c) for i, c in enumerate(columns)])
+    if not facts["n"]:
+        return back(x, "_v")
+    parts = max(1, min(10_000, facts["n"] // cell))  # at most that many borders a column reach the driver
+    grid = [i / parts for i in range(1, parts)] or [0.5]
+    found = donors.agg(*[F.percentile_approx(F.col("_v")[i], grid, 10 * parts + 100).alias(f"e{i}") for i in range(n)]).first()
+    edges = [np.array(sorted(set(found[f"e{i}"]))) for i in range(n)]
+    key_type = df.schema[key].dataType.simpleString()
 
-    def fill(batches):
-        d = bank.value
-        for pdf in batches:
-            v = pdf[columns].to_numpy(dtype=float)
-            for i in np.where(np.isnan(v).any(axis=1))[0]:
-                seen = ~np.isnan(v[i])
-                dist = ((d[:, seen] - v[i, seen]) ** 2).sum(axis=1)
-                near = d[np.argsort(dist, kind="stable")[:k]]
-                v[i, ~seen] = near[:, ~seen].mean(axis=0)
-            pdf[columns] = v
-            yield pdf
-
-    schema = df.select(key, *[F.col(n).cast("double").alias(n) for n in columns]).schema
-    return df.select(key, *[F.col(n).cast("double").alias(n) for n in columns]).mapInPandas(fill, schema)
+    def place(frames, axes):
+        """Rows with the cell of their value on each of the given axes."""
+        for pdf in frames:
+            v = np.array([[np.nan if y is None else y for y in r] for r in pdf["_v"]], dtype=float).reshape(-1, n)
+            for i in axes(v):
+                take = slice(None) if isinstance(i, int) else i[1]
+                axis = i if isinstance(i, int) else i[0]
+                part = pdf.iloc[take] if not isinstance(i, int) else pdf
+                yield pd.DataFrame({key: part[key], "_v": part["_v"], "axis": axis, "cell": np.searchsorted(edges[axis], v[take, axis], "right")})
+
+    def first_axis(v):
+        seen = ~np.isnan(v)
+        lead = np.where(seen.any(axis=1), seen.argmax(axis=1), -1)
+        return [(i, np.flatnonzero(lead == i)) for i in range(n)]
+
+    placed = f"{key} {key_type}, _v array<double>, axis int, cell long"
+    spread = donors.mapInPandas(lambda it: place(it, lambda v: range(n)), placed)
+    share = spread.groupBy("axis", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cell)).alias("_s"))  # many equal values share a cell
+    packs = spread.join(share, ["axis", "cell"]).groupBy("axis", "cell", F.pmod(F.xxhash64(key), "_s").alias("_p")).agg(F.collect_list(F.struct(key, "_v")).alias("_d"))
+    packs = cut_lineage(packs.select("axis", "cell", "_d"))
+
+    def nearest(frames):
+        for pdf in frames:
+            best = []
+            for v, d in zip(pdf["_v"], pdf["_d"]):
+                q = np.array([np.nan if y is None else y for y in v], dtype=float)
+                rows = np.array([r["_v"] for r in d], dtype=float)
+                seen = ~np.isnan(q)
+                dist = np.sqrt(((rows[:, seen] - q[seen]) ** 2).sum(axis=1))
+                last = np.partition(dist, min(k, len(dist)) - 1)[min(k, len(dist)) - 1]
+                near = sorted((float(dist[i]), d[i][key], list(map(float, rows[i]))) for i in np.flatnonzero(dist <= last))[:k]
+                best.append([{"d": a, "k": b, "v": c} for a, b, c in near])
+            yield pd.DataFrame({key: pdf[key], "near": best})
+
+    near_schema = f"{key} {key_type}, near array<struct<d: double, k: {key_type}, v: array<double>>>"
+    closest = lambda lists: F.slice(F.array_sort(F.flatten(lists)), 1, k)
+
+    def look(rows):
+        met = rows.join(packs, ["axis", "cell"]).select(key, "_v", "_d").mapInPandas(nearest, near_schema)
+        return met.groupBy(key).agg(closest(F.collect_list("near")).alias("near"))  # k rows from each cell that was opened
+
+    asked = cut_lineage(holes.mapInPandas(lambda it: place(it, first_axis), placed))
+    bound = look(asked).select(key, F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).alias("far"))
+
+    def widen(frames):
+        for pdf in frames:
+            out = []
+            for i, v, axis, far in zip(pdf[key], pdf["_v"], pdf["axis"], pdf["far"]):
+                e, q = edges[axis], v[axis]
+                far = np.inf if far is None or np.isnan(far) else far * (1 + 1e-12)
+                lo, hi = np.searchsorted(e, q - far, "left"), np.searchsorted(e, q + far, "right")
+                out += [(i, v, axis, c) for c in range(int(lo), int(hi) + 1)]
+            yield pd.DataFrame(out, columns=[key, "_v", "axis", "cell"])
+
+    wide = asked.join(bound, key, "left").select(key, "_v", "axis", "far").mapInPandas(widen, placed)
+    got = look(wide)
+    means = F.array(*[F.lit(facts[f"m{i}"]) for i in range(n)])
+    mean_of = lambda i: F.aggregate("near", F.lit(0.0), lambda t, r: t + r["v"][i]) / F.size("near")
+    fixed = holes.join(got, key, "left").select(key, F.array(*[F.coalesce(F.col("_v")[i], mean_of(i), means[i]) for i in range(n)]).alias("_v"))
+    return back(donors.unionByName(fixed), "_v").select(*out_schema.names)
 
 
 # --- outliers ---------------------------------------------------------------------

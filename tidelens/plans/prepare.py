@@ -57,10 +57,18 @@ def impute_linear(spark, root):
     return Q.fill_linear(_gappy(spark, root), ["close"]).select("symbol", "ts", rnd_up("close").alias("close"))
 
 
-@query("impute_nearest", "DP-6")
+_NEAR = """h AS (SELECT event_id, value, k, CAST(user_id AS DOUBLE) AS u FROM hl), d AS (SELECT * FROM h WHERE value IS NOT NULL AND k IS NOT NULL AND u IS NOT NULL),
+q AS (SELECT * FROM h WHERE value IS NULL OR k IS NULL OR u IS NULL),
+r AS (SELECT q.event_id, d.value, d.k, d.u, row_number() OVER (PARTITION BY q.event_id ORDER BY sqrt(coalesce(pow(d.value - q.value, 2), 0) + coalesce(pow(d.k - q.k, 2), 0) + coalesce(pow(d.u - q.u, 2), 0)), d.event_id) AS rn
+ FROM q, d WHERE q.value IS NOT NULL OR q.k IS NOT NULL OR q.u IS NOT NULL),
+m AS (SELECT event_id, avg(value) AS value, avg(k) AS k, avg(u) AS u FROM r WHERE rn <= 5 GROUP BY 1), w AS (SELECT avg(value) AS value, avg(k) AS k, avg(u) AS u FROM d)"""
+
+
+@query("impute_nearest", "DP-6", f"WITH {_HOLES}, {_NEAR} SELECT h.event_id, " + ", ".join(f"round(1e-9 + coalesce(h.{c}, m.{c}, w.{c}), 5) AS {c}" for c in ("value", "k", "u")) + " FROM h LEFT JOIN m USING (event_id), w")
 def impute_nearest(spark, root):
     h = holes(spark, root).withColumn("u", F.col("user_id").cast("double"))
-    return Q.fill_knn(h.select("event_id", "value", "k", "u"), ["value", "k", "u"], "event_id")
+    out = Q.fill_knn(h.select("event_id", "value", "k", "u"), ["value", "k", "u"], "event_id")
+    return out.select("event_id", *[rnd_up(c, 5).alias(c) for c in ("value", "k", "u")])
 
 
 @query("impute_mode", "DP-7", "WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS p, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders) SELECT o_orderkey, coalesce(p, (SELECT arg_max(p, (n, p)) FROM (SELECT p, count(*) AS n FROM x WHERE p IS NOT NULL GROUP BY 1))) AS p, s FROM x WHERE s IS NOT NULL")
