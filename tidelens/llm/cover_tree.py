@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,14 @@ PIVOTS = 16
 @F.arrow_udf(BinaryType())
 def packed(column: pa.Array) -> pa.Array:
     """Vectors as doubles, scaled by a power of two so that the largest part is below 1; null for null, zero or non-finite ones."""
+    column = column.cast(pa.list_(pa.float64()))
+    values = column.values.to_numpy(zero_copy_only=False)  # null parts are NaN
+    offsets, valid = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
     out = []
-    for v in column:
-        x = None
-        if v.is_valid and len(v.values) and v.values.null_count == 0:
-            x = np.asarray(v.values.to_numpy(zero_copy_only=False), float)
-            top = np.abs(x).max()
-            x = np.ldexp(x, -math.frexp(top)[1]) + 0.0 if np.isfinite(top) and top > 0 else None
-        out.append(None if x is None else x.tobytes())
+    for i in range(len(column)):
+        x = values[offsets[i]:offsets[i + 1]] if valid[i] else values[:0]
+        top = np.abs(x).max() if len(x) else 0.0
+        out.append((np.ldexp(x, -math.frexp(top)[1]) + 0.0).tobytes() if 0 < top < np.inf else None)
     return pa.array(out, pa.binary())
 
 
@@ -106,15 +107,13 @@ class CoverTree:
 
 
 class Cell:
-    """The vectors of a leaf of the distributed tree with their own cover tree."""
+    """The vectors of a leaf of the distributed tree in the order of their own cover tree."""
 
-    def __init__(self, ids: bytes, copies: bytes, vectors: bytes, eps: float) -> None:
-        self.ids, self.copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
-        self.x = np.frombuffer(vectors, float).reshape(len(self.ids), -1)
-        self.unit = _unit(self.x)
-        self.tree = CoverTree(self.unit, eps)
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, eps: float) -> None:
+        unit = _unit(x)
+        self.tree = CoverTree(unit, eps)
         o = self.tree.order
-        self.ids, self.copies, self.x, self.c = self.ids[o], self.copies[o], self.x[o], self.unit[self.tree.center]
+        self.ids, self.copies, self.x, self.c = ids[o], copies[o], x[o], unit[self.tree.center]
         self.before = np.concatenate([[0], np.cumsum(self.copies)])
 
 
@@ -183,18 +182,21 @@ def walk(a: Cell, b: Cell, cosine: float) -> tuple[np.ndarray, np.ndarray, list[
     return (na + nb if own else na), nb, edges
 
 
-def _gather(key, pdf):
+def _gather(key, pdf, eps: float):
+    """One row for each cell: its vectors with their cover tree, pickled."""
     pdf = pdf.sort_values("d")
-    return pd.DataFrame({"node": [key[0]], "ids": [pdf["d"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf["v"])]})
+    x = np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), -1)
+    cell = Cell(pdf["d"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), x, eps)
+    return pd.DataFrame({"node": [key[0]], "cell": [pickle.dumps(cell, protocol=5)]})
 
 
 def _links(frames, cosine: float, own: bool) -> Iterator[pd.DataFrame]:
-    eps = math.sqrt(2 - 2 * cosine)
     for pdf in frames:
-        out = [pd.DataFrame({"u": [], "v": [], "n": []}, dtype="Int64")]
+        out, last, left = [pd.DataFrame({"u": [], "v": [], "n": []}, dtype="Int64")], None, None
         for r in pdf.itertuples(index=False):
-            a = Cell(r.a_ids, r.a_copies, r.a_vectors, eps)
-            b = a if own else Cell(r.b_ids, r.b_copies, r.b_vectors, eps)
+            if r.a_cell != last:
+                last, left = r.a_cell, pickle.loads(r.a_cell)
+            a, b = left, left if own else pickle.loads(r.b_cell)
             na, nb, edges = walk(a, b, cosine)
             for cell, n in ((a, na),) if own else ((a, na), (b, nb)):
                 some = n > 0
@@ -207,14 +209,15 @@ def _links(frames, cosine: float, own: bool) -> Iterator[pd.DataFrame]:
 def _assign(batches) -> Iterator[pa.RecordBatch]:
     """Each vector's nearest pivot of its node, and the distance to it."""
     for batch in batches:
-        best, far = [], []
-        for v, pivots in zip(batch.column("v").to_pylist(), batch.column("pivots").to_pylist()):
-            x, c = _unit(np.frombuffer(v, float)[None]), _unit(np.stack([np.frombuffer(p, float) for p in pivots]))
-            d = np.sqrt(((c - x) ** 2).sum(axis=1))
-            best.append(int(d.argmin()))
-            far.append(float(d.min()))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("d", "copies", "v", "node")] + [pa.array(best, pa.int32()), pa.array(far, pa.float64()), batch.column("n")],
-                                         ["d", "copies", "v", "node", "pick", "far", "n"])
+        best, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+        v, pivots, node = batch.column("v"), batch.column("pivots"), batch.column("node").to_numpy()
+        for k in np.unique(node):
+            rows = np.flatnonzero(node == k)
+            c = _unit(np.stack([np.frombuffer(p, float) for p in pivots[rows[0]].as_py()]))
+            x = _unit(np.frombuffer(b"".join(v.take(pa.array(rows)).to_pylist()), float).reshape(len(rows), -1))
+            d = np.stack([np.sqrt(((x - y) ** 2).sum(axis=1)) for y in c], axis=1)
+            best[rows], far[rows] = d.argmin(axis=1), d.min(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("d", "copies", "v", "node")] + [pa.array(best), pa.array(far)], ["d", "copies", "v", "node", "pick", "far"])
 
 
 @F.arrow_udf(DoubleType())
@@ -227,7 +230,7 @@ def distance(a: pa.Array, b: pa.Array) -> pa.Array:
 def _split(points: DataFrame, cell: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
     """Points with their leaf, and per level the nodes (parent, node, center, radius).
 
-    A node of more than ``cell`` points gets PIVOTS of its points as centres of children; what is still too large after ``depth``
+    A node of more than ``cell`` points gets two for each ``cell`` of them, at most PIVOTS, as centres of children; what is still too large after ``depth``
     levels is dealt by hash among equal nodes, so that no leaf is unbounded."""
     levels = []
     for level in range(depth + 1):
@@ -243,11 +246,11 @@ def _split(points: DataFrame, cell: int, depth: int) -> tuple[DataFrame, list[Da
             points = store(points.join(large.select("node"), "node", "left_anti").select("d", "copies", "v", "node").union(dealt.select("d", "copies", "v", "node")))
             break
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("d", F.lit(level)), "d"))
-        pivots = points.join(large, "node").select("node", "n", "d", "v").withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).groupBy("node").agg(
-            F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("p")).select("node", "n", F.col("p.v").alias("pivots"))
+        pivots = points.join(large, "node").select("node", "n", "d", "v").withColumn("rank", rank).filter((F.col("rank") <= PIVOTS) & (F.col("rank") <= F.ceil(2 * F.col("n") / cell))).groupBy("node").agg(
+            F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("p")).select("node", F.col("p.v").alias("pivots"))
         pivots = store(pivots)
-        picked = store(points.join(pivots, "node").select("d", "copies", "v", "node", "pivots", "n").mapInArrow(
-            _assign, "d long, copies long, v binary, node long, pick int, far double, n long"))
+        picked = store(points.join(pivots, "node").select("d", "copies", "v", "node", "pivots").mapInArrow(
+            _assign, "d long, copies long, v binary, node long, pick int, far double"))
         child = F.xxhash64("node", "pick", F.lit(level))
         made = picked.groupBy("node", "pick").agg(F.max("far").alias("radius")).join(pivots.select("node", "pivots"), "node").select(
             F.col("node").alias("parent"), child.alias("node"), F.get("pivots", F.col("pick")).alias("center"), "radius")
@@ -274,7 +277,8 @@ def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = store(valid.groupBy("b", "v").agg(F.min("d").alias("d"), F.count("*").alias("copies")))
     roots = classes.select("d", "copies", "v", F.xxhash64("b", F.octet_length("v")).alias("node"))
     leaves, levels = _split(store(roots), cell, depth)
-    cells = store(leaves.groupBy("node").applyInPandas(_gather, "node long, ids binary, copies binary, vectors binary"))
+    eps = math.sqrt(2 - 2 * cosine)
+    cells = store(leaves.groupBy("node").applyInPandas(lambda key, pdf: _gather(key, pdf, eps), "node long, cell binary"))
     pairs = roots.select(F.col("node").alias("a")).distinct().withColumn("b", F.col("a"))
     for made in levels:
         a, b = (made.select(F.col("parent").alias(x), F.col("node").alias(f"{x}2"), F.col("center").alias(f"{x}_c"), F.col("radius").alias(f"{x}_r")) for x in "ab")
@@ -296,7 +300,7 @@ def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 def _meet(cells: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
     """Walks of every cell with itself and of the pairs of cells that remain."""
-    inner = cells.select(*[F.col(c).alias(f"a_{c}") for c in ("ids", "copies", "vectors")]).mapInPandas(lambda it: _links(it, cosine, True), "u long, v long, n long")
-    left, right = (cells.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("ids", "copies", "vectors")]) for x in "ab")
+    inner = cells.select(F.col("cell").alias("a_cell")).mapInPandas(lambda it: _links(it, cosine, True), "u long, v long, n long")
+    left, right = (cells.select(F.col("node").alias(x), F.col("cell").alias(f"{x}_cell")) for x in "ab")
     outer = pairs.filter("a <> b").join(left, "a").join(right, "b").drop("a", "b").mapInPandas(lambda it: _links(it, cosine, False), "u long, v long, n long")
     return store(inner.union(outer))
