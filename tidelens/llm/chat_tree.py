@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidelens.llm.native import NO_ID
+from tidelens.llm.native import NO_ID, store
 
 OPEN, SPLIT, CLOSE = "### ", ": ", " </turn>\n"
 LIST = pa.list_(pa.int64())
@@ -177,6 +177,6 @@ def round_trip(turns: DataFrame, **columns) -> DataFrame:
     Rows are ordered by turn (null first), then role and text; repeated rows are turns of their own; a null id is one conversation.
     An empty table gives no rows; empty texts are turns; texts with control strings come back unchanged.
     """
-    convs = conversations(turns, **columns)
+    convs = store(conversations(turns, **columns))
     out = convs.select("conv", "key").join(read_back(pack_trees(convs)), "key")
     return out.select(F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), *[c.split()[0] for c in READ.split(", ")[1:]])
