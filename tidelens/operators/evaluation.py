@@ -37,7 +37,7 @@ def regression(pred: DataFrame, weighted: bool = False, more: dict[str, Callable
 
     both = F.abs(y) + F.abs("y_pred")
     smape = F.when(both == 0, 0.0).otherwise(2.0 * e / both)
-    sst = mean(y * y) - mean(y) * mean(y)
+    sst = mean(y * y) - mean(y) * mean(y) if weighted else F.var_pop(y)
     agg = pred.groupBy("symbol").agg(
         F.sqrt(mean(e * e)).alias("rmse"), mean(e).alias("mae"), mean(div(e, F.abs(y))).alias("mape"),
         (1.0 - div(mean(e * e), sst)).alias("r2"), (100.0 * mean(smape)).alias("smape"), F.max(e).alias("max_ae"),

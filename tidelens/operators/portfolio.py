@@ -268,12 +268,17 @@ def key_drivers(states: DataFrame) -> DataFrame:
 
 
 def expected_return(weights: DataFrame, prices: DataFrame) -> DataFrame:
-    """sum(w*(predicted-price)/price) * (1-risk/2), and the two drawdown estimates."""
-    x = weights.join(prices, "asset")
+    """sum(w*(predicted-price)/price) * (1-risk/2), and the two drawdown estimates.
+
+    A weight without a price expects no return; ``unpriced`` is the sum of such weights.
+    """
+    x = weights.join(prices, "asset", "left")
+    gain = F.coalesce(div(F.col("predicted") - F.col("price"), "price"), F.lit(0.0))
     return x.groupBy("portfolio").agg(
-        (F.sum(F.col("weight") * div(F.col("predicted") - F.col("price"), "price")) * (1.0 - F.max("risk") * 0.5)).alias("expected_return"),
+        (F.sum(F.col("weight") * gain) * (1.0 - F.max("risk") * 0.5)).alias("expected_return"),
         F.least(F.max("volatility") + 2.0 * F.max("weight") + 0.5 * F.max("risk"), F.lit(0.5)).alias("drawdown_full"),
-        F.least(0.5 * F.max("weight") + 0.3 * F.max("risk"), F.lit(0.5)).alias("drawdown_short"))
+        F.least(0.5 * F.max("weight") + 0.3 * F.max("risk"), F.lit(0.5)).alias("drawdown_short"),
+        F.sum(F.when(F.col("price").isNull(), F.col("weight")).otherwise(0.0)).alias("unpriced"))
 
 
 # Stop-loss share by risk level (fixed values).

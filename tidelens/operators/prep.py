@@ -117,12 +117,12 @@ def f_regression(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 
 def anova(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """F of between-class against within-class variance."""
-    g = Q.long_form(df, features, (label,)).groupBy("column", label).agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    t = g.groupBy("column").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(div(F.col("s") * F.col("s"), "n")).alias("b"), F.count(F.lit(1)).alias("k"))
-    between = F.col("b") - F.col("s") * F.col("s") / F.col("n")
-    within = F.col("q") - F.col("b")
-    return t.select(F.col("column").alias("feature"), div(between / (F.col("k") - 1), within / (F.col("n") - F.col("k"))).alias("score"))
+    """F of between-class against within-class variance, from centred sums (raw sums of squares would cancel)."""
+    g = Q.long_form(df, features, (label,)).groupBy("column", label).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    mean = g.groupBy("column").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("all"))
+    t = g.join(mean, "column").groupBy("column").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.pow(F.col("m") - F.col("all"), 2)).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"))
+    return t.select(F.col("column").alias("feature"), div(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k"))).alias("score"))
 
 
 def chi2(df: DataFrame, features: list[str], label: str) -> DataFrame:

@@ -37,23 +37,26 @@ def exact_quantiles(
         lo = F.when(whole, F.lit(float("-inf"))).otherwise(F.col("_e")[grid.index(max(0.0, p - margin))])
         hi = F.when(whole, F.lit(float("inf"))).otherwise(F.col("_e")[grid.index(min(1.0, p + margin))])
         cells.append(F.struct(F.lit(i).alias("_i"), lo.alias("_lo"), hi.alias("_hi")))
-    st = st.select(*ks, "_n", F.array(*cells).alias("_cells"))
-    # one pass: values below a bracket fall into its NULL group, values above are dropped
-    reached = F.explode(F.filter("_cells", lambda c: F.col("_v") <= c["_hi"])).alias("_c")
-    inside = (
-        x.join(st, ks).select(*ks, "_n", "_v", reached)
-        .groupBy(*ks, F.col("_c._i").alias("_i"), F.when(F.col("_v") >= F.col("_c._lo"), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n"))
+    borders = F.sort_array(F.flatten(F.transform(F.array(*cells), lambda c: F.array(c["_lo"], c["_hi"]))))
+    st = st.select(*ks, "_n", F.array(*cells).alias("_cells"), borders.alias("_b"))
+    # one row for each value: its zone between the borders, and the value itself only inside a bracket
+    inside = F.exists("_cells", lambda c: (F.col("_v") >= c["_lo"]) & (F.col("_v") <= c["_hi"]))
+    zone = F.size(F.filter("_b", lambda b: b < F.col("_v")))
+    counts = (
+        x.join(st, ks).select(*ks, "_n", zone.alias("_z"), F.when(inside, F.col("_v")).alias("_v"))
+        .groupBy(*ks, "_z", "_v").agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n"))
     )
-    run = Window.partitionBy(*ks, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = inside.withColumn("_to", F.sum("_m").over(run))
+    run = Window.partitionBy(*ks).orderBy("_z", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("_to", F.sum("_m").over(run))
     out, aggs = [], []
+    missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
     for i, (p, name) in enumerate(zip(probs, names)):
         h = (F.col("_n") - 1) * F.lit(p) if method == "linear" else F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)
 
-        def at(rank, i=i):
-            return F.max(F.when((F.col("_i") == i) & (F.col("_to") - F.col("_m") <= rank) & (rank < F.col("_to")), F.col("_v")))
+        def at(rank):
+            return F.max(F.when((F.col("_to") - F.col("_m") <= rank) & (rank < F.col("_to")), F.col("_v")))
 
         aggs += [at(F.floor(h)).alias(f"_q{i}a"), at(F.ceil(h)).alias(f"_q{i}b"), F.max(h - F.floor(h)).alias(f"_q{i}w")]
-        out.append((F.col(f"_q{i}a") + (F.col(f"_q{i}b") - F.col(f"_q{i}a")) * F.col(f"_q{i}w")).alias(name))
+        low, high = (F.coalesce(F.col(f"_q{i}{s}"), missed) for s in "ab")
+        out.append((low + (high - low) * F.col(f"_q{i}w")).alias(name))
     return upto.groupBy(*ks).agg(*aggs).select(*keys, *out)

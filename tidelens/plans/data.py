@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import div, json_num, rnd, rounded
 from ..operators import quality as Q
 from ..operators import rules as U
-from ..session import shared_folder
+from ..session import new_folder
 from ..sources import bars as B
 from ..sources import domain as D
 from ..sources import logs, sinks
@@ -18,8 +18,16 @@ from .sqlkit import EVENT_BARS
 
 @query("read_bars", "SRC-1 FLT-1 FLT-6 SRT-1", f"WITH {EVENT_BARS} SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
 def read_bars(spark, root):
-    b = Q.require_columns(B.event_bars(spark, root), ["symbol", "ts", "open", "high", "low", "close", "volume"])
-    return b.filter(F.col("ts").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")))
+    path = f"{new_folder(spark)}/bars.csv"
+    Q.require_columns(B.event_bars(spark, root), ["symbol", "ts", "open", "high", "low", "close", "volume"]).write.option("header", True).csv(path)
+    return B.read_bar_file(spark, path, "2024-01-05", "2024-01-20", 10)
+
+
+@query("stored_prices", "SRC-3", f"WITH {EVENT_BARS} SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE symbol = 'click' AND ts BETWEEN TIMESTAMP '2024-01-03 06:00:00' AND TIMESTAMP '2024-01-25 18:00:00'")
+def stored_prices(spark, root):
+    folder = new_folder(spark)
+    B.store_prices(B.event_bars(spark, root), folder, "1h")
+    return B.read_prices(spark, folder, "click", "1h", "2024-01-03 06:00:00", "2024-01-25 18:00:00")
 
 
 @query("normalise_candles", "SRC-4 FN-12", """SELECT event_type AS symbol, make_timestamp(CASE WHEN event_id % 2 = 0 THEN (epoch_us(ts) // 1000) * 1000 ELSE (epoch_us(ts) // 1000000) * 1000000 END) AS ts,
@@ -65,7 +73,7 @@ def sentiment_sources(spark, root):
 
 @query("dataset_roundtrip", "SRC-9 SRC-10", f"WITH {EVENT_BARS} SELECT symbol, ts, close, volume FROM bars")
 def dataset_roundtrip(spark, root):
-    folder = shared_folder(spark)
+    folder = new_folder(spark)
     b = B.event_bars(spark, root).select("symbol", "ts", "close", "volume")
     sinks.save_dataset(b, folder, "bars_csv", "csv", ["hourly"])
     return sinks.load_dataset(spark, folder, "bars_csv")
@@ -73,20 +81,32 @@ def dataset_roundtrip(spark, root):
 
 @query("processed_roundtrip", "SRC-11", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 10 BETWEEN 7 AND 8")
 def processed_roundtrip(spark, root):
-    path = f"{shared_folder(spark)}/processed"
+    path = f"{new_folder(spark)}/processed"
     part = F.when(F.col("o_orderkey") % 10 < 7, "train").when(F.col("o_orderkey") % 10 < 9, "val").otherwise("test")
     sinks.save_splits(table(spark, root, "orders").select("o_orderkey", "o_totalprice", part.alias("split")), path)
     return sinks.load_split(spark, path, "val").drop("split")
 
 
-@query("agent_export", "SRC-12", """SELECT o_custkey AS agent, count(*) AS trades, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS volume, max(c_name) AS name, max(c_acctbal) AS balance FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+@query("agent_export", "SRC-12", """WITH p AS (SELECT o_custkey, count(*) AS positions, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS units FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+t AS (SELECT o_custkey, count(*) AS trades, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM orders GROUP BY 1)
+SELECT f.format, c_custkey AS agent, c_name AS name, c_custkey % 20 AS vault, c_acctbal AS balance, coalesce(trades, 0) AS trades, coalesce(volume, 0) AS volume, coalesce(positions, 0) AS positions, coalesce(units, 0) AS units
+FROM customer LEFT JOIN t ON t.o_custkey = c_custkey LEFT JOIN p ON p.o_custkey = c_custkey, (VALUES ('json'), ('csv')) f(format)""")
 def agent_export(spark, root):
-    path = f"{shared_folder(spark)}/agents.json"
-    t = table(spark, root, "orders").groupBy(F.col("o_custkey").alias("agent")).agg(F.count(F.lit(1)).alias("trades"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("volume"))
-    c = table(spark, root, "customer").select(F.col("c_custkey").alias("agent"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
-    out = t.join(c, "agent")
-    out.write.mode("overwrite").json(path)
-    return sinks.read_back(spark, path, "json", out.schema)
+    """Every agent with its vault, trades and positions, exported as JSON and as CSV and read back."""
+    orders = table(spark, root, "orders")
+    t = orders.groupBy(F.col("o_custkey").alias("agent")).agg(F.count(F.lit(1)).alias("trades"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("volume"))
+    li = table(spark, root, "lineitem").select("l_orderkey", "l_quantity")
+    p = li.join(orders.select("o_orderkey", F.col("o_custkey").alias("agent")), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("agent").agg(
+        F.count(F.lit(1)).alias("positions"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("units"))
+    c = table(spark, root, "customer").select(F.col("c_custkey").alias("agent"), F.col("c_name").alias("name"), (F.col("c_custkey") % 20).alias("vault"), F.col("c_acctbal").alias("balance"))
+    out = c.join(t, "agent", "left").join(p, "agent", "left").fillna(0, ["trades", "volume", "positions", "units"])
+    folder, back = new_folder(spark), None
+    for fmt in ("json", "csv"):
+        writer = out.write.option("header", True) if fmt == "csv" else out.write
+        writer.format(fmt).save(f"{folder}/agents.{fmt}")
+        read = sinks.read_back(spark, f"{folder}/agents.{fmt}", fmt, out.schema).withColumn("format", F.lit(fmt))
+        back = read if back is None else back.unionByName(read)
+    return back
 
 
 def chain_logs(spark, root):
@@ -194,14 +214,17 @@ def needed_columns(spark, root):
     return holes(spark, root).select("event_id", "value", "k").dropna()
 
 
-@query("columns_by_suffix", "FLT-16 SG-13", """WITH w AS (SELECT date_trunc('hour', ts) AS ts, max(value) FILTER (event_type = 'click') AS click_price, max(value) FILTER (event_type = 'view') AS view_price, count(*) FILTER (event_type = 'click') * 1.0 AS click_volume, count(*) FILTER (event_type = 'view') * 1.0 AS view_volume FROM events GROUP BY 1)
-SELECT ts, 'click' AS asset, click_price AS price, CAST(click_volume AS DOUBLE) AS volume FROM w UNION ALL SELECT ts, 'view', view_price, CAST(view_volume AS DOUBLE) FROM w""")
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("columns_by_suffix", "FLT-16 SG-13", "WITH h AS (SELECT DISTINCT date_trunc('hour', ts) AS ts FROM events), w AS (SELECT date_trunc('hour', ts) AS ts, event_type AS asset, max(value) AS price, count(*) AS n FROM events GROUP BY 1, 2), "
+       f"k AS (SELECT unnest({list(_KINDS)}) AS asset) SELECT h.ts, k.asset, price, CAST(coalesce(n, 0) AS DOUBLE) AS volume FROM h CROSS JOIN k LEFT JOIN w ON w.ts = h.ts AND w.asset = k.asset")
 def columns_by_suffix(spark, root):
     from ..operators.signals import states_from_wide
 
     e = table(spark, root, "events")
-    w = e.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(*[F.max(F.when(F.col("event_type") == a, F.col("value"))).alias(f"{a}_price") for a in ("click", "view")],
-                                                               *[F.count_if(F.col("event_type") == a).cast("double").alias(f"{a}_volume") for a in ("click", "view")])
+    w = e.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(*[F.max(F.when(F.col("event_type") == a, F.col("value"))).alias(f"{a}_price") for a in _KINDS],
+                                                               *[F.count_if(F.col("event_type") == a).cast("double").alias(f"{a}_volume") for a in _KINDS])
     return states_from_wide(w)
 
 

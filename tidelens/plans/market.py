@@ -106,8 +106,9 @@ FROM lastn a JOIN lastn b ON a.rk = b.rk AND a.protocol < b.protocol GROUP BY 1,
 @query("protocol_correlation", "JN-11 AG-17 AG-18", _CORR_SQL)
 def protocol_correlation(spark, root):
     last = M.recent(D.protocol_history(spark, root), "protocol", 30)
-    wide = last.groupBy("rank").pivot("protocol", D.PROTOCOLS).agg(F.first("tvl"))
-    return rounded(M.correlation_matrix(wide, D.PROTOCOLS), ["correlation"])
+    names = sorted(r["protocol"] for r in last.select("protocol").distinct().collect())  # one row for each protocol there is
+    wide = last.groupBy("rank").pivot("protocol", names).agg(F.first("tvl"))
+    return rounded(M.correlation_matrix(wide, names), ["correlation"])
 
 
 @query("market_share", "AG-19 AG-24", f"WITH {POS}, t AS (SELECT protocol, CAST(sum(CASE WHEN active THEN value END) AS DOUBLE) AS tvl FROM pos GROUP BY 1) SELECT protocol, tvl, round(tvl / (SELECT sum(tvl) FROM t) * 100, 6) AS share FROM t")
@@ -172,7 +173,7 @@ _BARS = """SELECT event_type AS symbol, time_bucket(INTERVAL '{w}', ts) AS ts, a
  arg_max(value, (ts, event_id)) AS close, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS volume FROM events GROUP BY 1, 2"""
 
 
-@query("ohlcv_bars", "AG-42 SRC-3", _BARS.format(w="1 hour"))
+@query("ohlcv_bars", "AG-42", _BARS.format(w="1 hour"))
 def ohlcv_bars(spark, root):
     return B.event_bars(spark, root, "1h")
 
@@ -264,10 +265,10 @@ def new_rows(spark, root):
 
 
 @query("get_or_create_users", "JN-9", """SELECT c_custkey AS user_id, c_name AS name, FALSE AS created FROM customer
-UNION ALL SELECT DISTINCT user_id, 'user-' || user_id, TRUE FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) AND user_id % 3 = 0 AND user_id NOT IN (SELECT c_custkey FROM customer)""")
+UNION ALL SELECT DISTINCT user_id, 'user-' || user_id, TRUE FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)""")
 def get_or_create_users(spark, root):
     known = table(spark, root, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
-    seen = table(spark, root, "events").select("user_id").filter("user_id % 3 = 0").distinct()
+    seen = table(spark, root, "events").select("user_id").distinct()
     fresh = seen.join(known, "user_id", "left_anti").select("user_id", F.concat(F.lit("user-"), "user_id").alias("name"))
     return known.withColumn("created", F.lit(False)).unionByName(fresh.withColumn("created", F.lit(True)))
 

@@ -204,11 +204,11 @@ def weighted_risk(spark, root):
     return rounded(out, ["concentration_risk", "volatility_risk", "liquidity_risk", "overall_risk"]).withColumn("sentiment_risk", rnd("sentiment_risk"))
 
 
-@query("expected_return", "PF-22", f"""WITH {EVENT_BARS}, {_AST}, {D.ALLOCATIONS_SQL} SELECT portfolio, round(sum(weight * (q - p) / p) * (1 - 0.4 * 0.5), 6) AS expected_return,
- round(least(max(v) + 2 * max(weight) + 0.5 * 0.4, 0.5), 6) AS drawdown_full, round(least(0.5 * max(weight) + 0.3 * 0.4, 0.5), 6) AS drawdown_short FROM al JOIN ast USING (asset) GROUP BY 1""")
+@query("expected_return", "PF-22", f"""WITH {EVENT_BARS}, {_AST}, {D.ALLOCATIONS_SQL} SELECT portfolio, round(sum(weight * coalesce((q - p) / p, 0)) * (1 - 0.4 * 0.5), 6) + 0.0 AS expected_return,
+ round(least(max(v) + 2 * max(weight) + 0.5 * 0.4, 0.5), 6) AS drawdown_full, round(least(0.5 * max(weight) + 0.3 * 0.4, 0.5), 6) AS drawdown_short, round(sum(CASE WHEN p IS NULL THEN weight ELSE 0 END), 6) AS unpriced FROM al LEFT JOIN ast USING (asset) GROUP BY 1""")
 def expected_return(spark, root):
     pr = _asset_states(spark, root).withColumn("risk", F.lit(0.4))
-    return rounded(P.expected_return(D.allocations(spark, root), pr), ["expected_return", "drawdown_full", "drawdown_short"])
+    return rounded(P.expected_return(D.allocations(spark, root), pr), ["expected_return", "drawdown_full", "drawdown_short", "unpriced"])
 
 
 @query("rebalance_trigger", "PF-18 FLT-21", f"""WITH {_STATES}, g AS (SELECT ts, avg(volatility) AS volatility, date_diff('hour', lag(ts) OVER (ORDER BY ts), ts) AS h, avg(sentiment) AS confidence FROM st GROUP BY 1)

@@ -60,6 +60,41 @@ def normalise_candles(raw: DataFrame) -> DataFrame:
     return raw.select("symbol", ts.alias("ts"), *nums)
 
 
+BAR_SCHEMA = "symbol STRING, ts TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE"
+
+
+def read_bar_file(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, least: int = 1) -> DataFrame:
+    """Bars of a CSV or Parquet file (by suffix) inside an inclusive range of time, in order; fewer than ``least`` rows are an error.
+
+    The schema is declared, the range reaches the scan, and only ``least`` rows are looked at to know that there are enough."""
+    reader = spark.read.schema(BAR_SCHEMA)
+    if path.endswith(".csv"):
+        bars = reader.option("header", True).csv(path)
+    elif path.endswith(".parquet"):
+        bars = reader.parquet(path)
+    else:
+        raise ValueError(f"neither .csv nor .parquet: {path}")
+    if start:
+        bars = bars.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
+    if end:
+        bars = bars.filter(F.col("ts") <= F.lit(end).cast("timestamp"))
+    if bars.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} rows in {path}")
+    return bars
+
+
+def store_prices(bars: DataFrame, folder: str, interval: str) -> None:
+    """Bars under ``interval=.../day=...``, so that a range of time lists only its own folders."""
+    bars.withColumn("day", F.to_date("ts")).repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/interval={interval}")
+
+
+def read_prices(spark: SparkSession, folder: str, asset: str, interval: str, start: str, end: str) -> DataFrame:
+    """Stored bars of an asset in an inclusive range; days outside it are pruned before they are listed as files."""
+    lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    stored = spark.read.schema(f"{BAR_SCHEMA}, day DATE").parquet(f"{folder}/interval={interval}")
+    return stored.filter(F.col("day").between(F.to_date(lo), F.to_date(hi)) & F.col("ts").between(lo, hi) & (F.col("symbol") == asset)).drop("day")
+
+
 def panel(series: DataFrame, assets: list[str], value: str) -> DataFrame:
     """One column per asset; the asset list is given, so no distinct pass and a fixed width."""
     return series.groupBy("ts").pivot("symbol", assets).agg(F.first(value))
