@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelens.llm import text as T
+from tidelens.llm.native import store
 
 SALTS = tuple(np.uint64(s) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0xA54FF53A510E527F, 0xBB67AE8584CAA73B, 0x6A09E667F3BCC908))
 
@@ -51,7 +52,7 @@ def features(raw: np.ndarray, off: np.ndarray, bits: int) -> Iterator[tuple[np.n
 
 
 def _train(batches: Iterator[pa.RecordBatch], bits: int, alpha: float, beta: float, l1: float, l2: float) -> Iterator[pa.RecordBatch]:
-    """One pass over (text, target): per-coordinate FTRL-proximal steps in the order of the rows."""
+    """Per-coordinate FTRL-proximal steps over (text, target) in the order of the rows."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     always = 1 << bits
 
@@ -89,14 +90,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``learn`` (a condition on ``labels``) limits what labels are used; null labels are not. Several labels of an id are averaged and
     rounded; rows of documents sharing an id all learn. A null text is empty; with no labelled document the model scores 0.5.
-    The sample (at most ``max_rows`` ids, hence broadcast) streams through one task; the model has at most 2**bits + 1 weights.
+    The sample (at most ``max_rows`` ids, hence broadcast) streams through one task, a small one up to ten times in new orders until
+    about ``max_rows`` steps are made; the model has at most 2**bits + 1 weights.
     """
     rows = labels.filter(F.col(target_col).isNotNull() & F.col(id_col).isNotNull())
     if learn is not None:
         rows = rows.filter(learn)
     chosen = (rows.groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(target_col)).cast("double").alias("target"))
               .withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_rows))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").repartition(1).sortWithinPartitions("h", "id", "text").select("text", "target")
+    chosen = store(chosen)
+    passes = max(1, min(10, max_rows // max(1, chosen.count())))
+    again = chosen.select("id", "target", F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass")).withColumn("h", F.xxhash64("id", "pass"))
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(again), "id").repartition(1).sortWithinPartitions(
+        "pass", "h", "id", "text").select("text", "target")
     got = sample.mapInArrow(lambda it: _train(it, bits, alpha, beta, l1, l2), "bucket binary, weight binary").collect()
     weights, bias = np.zeros(1 << bits, np.float32), 0.0
     for r in got:
