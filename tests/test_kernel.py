@@ -1,5 +1,7 @@
 """The series kernel must give the same result whatever the block size."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -7,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helpers import assert_rows, hours
+from helpers import T0, assert_rows, hours
 from tidelens.functions.rolling import mean, std
 from tidelens.operators import machines
 from tidelens.operators.joins import asof
@@ -113,3 +115,14 @@ def test_asof_takes_last_row_at_or_before(spark):
     p = spark.createDataFrame([("a", hours(0), 0), ("a", hours(1), 1), ("a", hours(2), 2), ("a", hours(30), 30), ("b", hours(8), 8)], "k string, ts timestamp, i int")
     got = {r["i"]: r["p"] for r in asof(p, s, "k", "ts", ["p"], F.date_trunc("day", "ts")).collect()}
     assert got == {0: None, 1: 1.0, 2: 1.0, 30: 3.0, 8: None}
+
+
+def test_a_hot_key_is_cut_into_even_buckets(spark):
+    from tidelens.operators.series import even_buckets, number_rows
+
+    rows = [("hot", T0 + dt.timedelta(seconds=i // 3), i) for i in range(2700)] + [("b", T0 + dt.timedelta(days=i), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, i long")  # nine tenths of the rows in one hour of one key
+    cut = even_buckets(df.withColumn("_bk", F.date_trunc("month", "ts")), ["symbol"], "ts", "_bk", 100)
+    assert cut.groupBy("symbol", "_bk").count().agg(F.max("count")).first()[0] <= 103
+    got = number_rows(df, ("symbol",), ("ts", "i"), target=100)
+    assert got.filter("_rn <> i + 1").count() == 0 and got.count() == 3000

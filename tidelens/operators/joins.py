@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import number_rows, prefix
+from .series import BUCKET_ROWS, number_rows, prefix
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], cutoff: Column | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def asof(probes: DataFrame, series: DataFrame, key: str, time: str, columns: lis
     p = probes.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(_struct_type(series, columns))})
     s = series.select(F.col(key), F.col(time), F.struct(*columns).alias("_v")).withColumn("_side", F.lit(0))
     both = p.unionByName(s, allowMissingColumns=True)
-    both = number_rows(both, (key,), (time, "_side"), bucket)
+    both = number_rows(both, (key,), (time, "_side"), bucket, BUCKET_ROWS)
     both = prefix(both, {"_last": ("last", F.col("_v"))}, (key,))
     return both.filter("_side = 1").select(*probes.columns, *[F.col("_last")[n].alias(n) for n in columns])
 

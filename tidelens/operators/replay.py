@@ -67,7 +67,7 @@ def replay(
 
     out_schema = T.StructType([*_key_schema(df, keys), T.StructField("_rn", T.LongType()),
                                *[T.StructField(n, t) for n, t in outputs.items()]])
-    x = x.withColumn("_rn", F.col("_rn").cast("long"))
+    x = cut_lineage(x.withColumn("_rn", F.col("_rn").cast("long")))  # every round and the last pass read it again
     if not x.agg(F.max("_blk").alias("m")).filter("m > 0").take(1):
         return x.groupBy(*at).applyInPandas(emit, out_schema)
 
