@@ -8,8 +8,8 @@ import random
 import zipfile
 import zlib
 
-import helpers as H
 import numpy as np
+import plain as H
 import pytest
 from pyspark.sql import functions as F
 

@@ -3,8 +3,8 @@
 import random
 import re
 
-import helpers as H
 import numpy as np
+import plain as H
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
