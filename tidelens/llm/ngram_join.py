@@ -15,6 +15,7 @@ from tidelens.llm.components import Forest, components, spanning
 from tidelens.llm.native import NO_ID, store
 
 GROUP_SHINGLES = 200_000  # shingles of a group of similar documents, about
+SHARD_SHINGLES = 5_000_000  # shingles whose part keys meet in one shard, about
 
 
 class Scheme:
@@ -249,11 +250,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null text is empty; a null id counts as the smallest; rows sharing an id are separate rows that share its component if equal in
     text (a different text under the same id links through the id). Shingles are 64-bit hashes.
     """
-    spark = docs.sparkSession
     scheme = Scheme(num, den)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).alias("text"))
     prof = store(base.mapInArrow(lambda it: _profiles(it, n), "d long, n long, k long, k2 long"))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = prof.agg(F.sum("n")).first()[0] or 0
+    shards = shards or max(8, total // SHARD_SHINGLES)
     packed = base.select("text").mapInArrow(lambda it: _part_rows(it, n, scheme, shards), "shard int, keys binary, nodes binary")
     meet = packed.repartition(shards, "shard").select("keys", "nodes").mapInArrow(_meet, "u long, v long")
     families = components(meet)
@@ -269,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = homes.groupBy("home", "step").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("long").alias("deals"))
     dealt = homes.join(share, ["home", "step"]).select("k", "n", "home", F.xxhash64("home", "step", F.pmod(F.xxhash64("k"), "deals")).alias("grp")).distinct()
     dealt = store(dealt)
-    matrix = store(sets.join(dealt.select("k", "grp"), "k").select("grp", "k", "d", "n", "shingles").groupBy("grp").applyInPandas(
+    matrix = store(sets.join(dealt.select("k", "grp").hint("merge"), "k").select("grp", "k", "d", "n", "shingles").groupBy("grp").applyInPandas(
         _gather, "grp long, ids binary, sizes binary, members binary, tokens binary"))
     inner = matrix.select("ids", "sizes", "members", "tokens").mapInPandas(lambda it: _open(it, num, den, True), "u long, v long")
     facts = dealt.groupBy("home", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
