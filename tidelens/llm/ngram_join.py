@@ -15,6 +15,7 @@ from tidelens.llm.components import Forest, components, spanning
 from tidelens.llm.native import NO_ID, store
 
 GROUP_SHINGLES = 200_000  # shingles of a group of similar documents, about
+SLICE_BYTES = 3 << 20  # text whose sets a task holds at once
 SHARD_SHINGLES = 5_000_000  # shingles whose part keys meet in one shard, about
 
 
@@ -107,7 +108,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _profiles(batches, n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in T.slices(batch, "text"):
+        for part in T.slices(batch, "text", SLICE_BYTES):
             row, h = shingle_sets(part.column("text"), n)
             size, k, k2 = content_keys(row, h, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(size, pa.int64()), pa.array(_signed(k)), pa.array(_signed(k2))], ["d", "n", "k", "k2"])
@@ -117,7 +118,7 @@ def _part_rows(batches, n: int, scheme: Scheme, shards: int) -> Iterator[pa.Reco
     """Per batch and shard of the key space one row of packed (part key, content key) pairs; equal texts of a slice count once."""
     for batch in batches:
         found = []
-        for part in T.slices(batch, "text"):
+        for part in T.slices(batch, "text", SLICE_BYTES):
             row, h = shingle_sets(part.column("text"), n)
             size, k, _ = content_keys(row, h, part.num_rows)
             first = np.zeros(part.num_rows, bool)
@@ -180,7 +181,7 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in T.slices(batch, "text"):
+        for part in T.slices(batch, "text", SLICE_BYTES):
             row, h = shingle_sets(part.column("text"), n)
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
             packed = [h[cuts[i]:cuts[i + 1]].tobytes() for i in range(part.num_rows)]
