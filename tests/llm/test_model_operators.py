@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import io
 import math
 import random
@@ -91,6 +92,53 @@ def test_suffix_tree_scores(spark):
     assert suffix_tree.score_texts(docs.limit(0), learn).count() == 0
 
 
+def _tree_scores(texts, learns, depth=3, least=50, own=4, weight=30.0, gain=6.0):
+    """id -> score by dictionaries of all contexts and successors."""
+    words = {i: [*H.words(t), None] for i, t in texts.items()}
+    after, one = {}, {}
+    for i in filter(learns, words):
+        for k, x in enumerate(words[i]):
+            one[x] = one.get(x, 0) + 1
+            for d in range(1, min(depth, k) + 1):
+                follow = after.setdefault(tuple(words[i][k - d:k]), {})
+                follow[x] = follow.get(x, 0) + 1
+    n, v, states = sum(one.values()), len(one), {}
+    root = lambda x: (one.get(x, 0) + 1) / (n + v + 1)
+
+    def p(context, x):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return root(x)
+        mine, rest = states[context]
+        return mine[x] if x in mine else rest * root(x)
+
+    for d in range(1, depth + 1):
+        found = {}
+        for context in (c for c in after if len(c) == d and sum(after[c].values()) >= least):
+            total, follow = sum(after[context].values()), {x: c for x, c in after[context].items() if c >= own}
+            low = {x: p(context[1:], x) for x in follow}
+            mine = {x: (c + weight * low[x]) / (total + weight) for x, c in follow.items()}
+            left, mass = total - sum(follow.values()), max(1 - sum(mine.values()), 1e-12)
+            if sum(c * math.log(mine[x] / low[x]) for x, c in follow.items()) + left * math.log(mass / max(1 - sum(low.values()), 1e-12)) >= gain:
+                found[context] = mine, mass / max(1 - sum(map(root, mine)), 1e-12)
+        states |= found
+    return {i: sum(math.log10(p(tuple(w[max(0, k - depth):k]), x)) for k, x in enumerate(w)) for i, w in words.items()}, states
+
+
+def test_suffix_tree_has_no_thresholds_of_size(spark):
+    """The counts that make a context and a successor do not depend on the number of tokens, and no tree is made by the driver."""
+    assert not [x for x in inspect.signature(suffix_tree.score_texts).parameters if x.endswith("_share")]
+    texts = _markov(40)
+    more = texts | {1000 + i: f"only{i} words{i} of{i} their{i} own{i} " * 40 for i in range(300)}  # 60,000 tokens that share no context
+    for t in (texts, more):
+        docs = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(3)
+        want, states = _tree_scores(t, lambda i: i % 4, least=30, own=3)
+        assert ("a", "b") in states
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(docs, F.col("doc_id") % 4 != 0, context_count=30, next_count=3).collect()}
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_states_sum_to_one():
     rng = np.random.default_rng(1)
     words = np.sort(rng.integers(0, 1 << 63, 5, dtype=np.uint64))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,10 @@ from tidelens.llm.native import NO_ID, store
 
 END = np.uint64(0x0BADC0DE0BADC0DE)  # the token after the last word
 SLICE_BYTES = 16 << 20
-CODED = "slice long, ids binary, learn binary, ends binary, codes binary, words binary, counts binary, learnt long"
+CODED = "slice long, ids binary, learn binary, ends binary, codes binary, words binary, counts binary, learnt long, tokens long"
+ASKED = "kind string, shard int, slice long, keys binary, values binary"
+TOLD = "kind string, shard int, slice long, values binary"
+SHARD_KEYS = 2_000_000  # tokens for each shard: a shard sums what slices ask in memory
 
 
 @dataclass
@@ -65,62 +68,187 @@ def _encode(batches) -> Iterator[pa.RecordBatch]:
             code = new[code]
             counts = np.bincount(code[np.repeat(learn, per_doc) > 0], minlength=len(words)).astype(np.uint32)
             row = [uuid.uuid4().int & ((1 << 63) - 1), planes(part.column("d").to_numpy()), learn.tobytes(), planes(ends.astype(np.int64)), planes(code),
-                   words[rank].tobytes(), planes(counts), int(counts.sum())]
-            kinds = [pa.int64()] + [pa.binary()] * 6 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["slice", "ids", "learn", "ends", "codes", "words", "counts", "learnt"])
+                   words[rank].tobytes(), planes(counts), int(counts.sum()), len(code)]
+            kinds = [pa.int64()] + [pa.binary()] * 6 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["slice", "ids", "learn", "ends", "codes", "words", "counts", "learnt", "tokens"])
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return (T.mix64(keys) >> np.uint64(33)).astype(np.int64) % shards
 
 
-def _ask(batches, shards: int) -> Iterator[pa.RecordBatch]:
-    """A slice's words and counts, dealt to the shards of the word space."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            words, counts = np.frombuffer(r["words"], np.uint64), from_planes(r["counts"], np.uint32)
-            yield _dealt(r["slice"], words, counts.astype(np.int64), shards)
+@dataclass(frozen=True)
+class _How:
+    shards: int
+    depth: int
+    contexts: int  # occurrences that make a context
+    own: int  # occurrences after a context that make a successor
+    weight: float
+    gain: float
+    n: int = 0
+    v: int = 0
 
+    @property
+    def low(self) -> int:
+        return min(self.contexts, self.own)
 
-def _dealt(who: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+
+def _spread(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     shard = _shard(keys, shards)
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    keys, counts, keep = keys[order], counts[order], [i for i in range(shards) if cuts[i] < cuts[i + 1]]
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _dealt(kind: str, who: int, keys: np.ndarray, values: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A slice's keys with values (one row, or one row for each sum), a row for each shard of the key space."""
+    order, cuts = _spread(keys, shards)
+    keys, values, keep = keys[order], values[..., order], [i for i in range(shards) if cuts[i] < cuts[i + 1]]
     return pa.RecordBatch.from_arrays([
-        pa.array(keep, pa.int32()), pa.array([who] * len(keep), pa.int64()), pa.array([keys[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary()),
-        pa.array([planes(counts[cuts[i]:cuts[i + 1]]) for i in keep], pa.binary())], ["shard", "slice", "words", "counts"])
+        pa.array([kind] * len(keep), pa.string()), pa.array(keep, pa.int32()), pa.array([who] * len(keep), pa.int64()),
+        pa.array([planes(keys[cuts[i]:cuts[i + 1]]) for i in keep], pa.binary()),
+        pa.array([planes(values[..., cuts[i]:cuts[i + 1]].ravel()) for i in keep], pa.binary())], ["kind", "shard", "slice", "keys", "values"])
+
+
+def _heard(r: dict, kind: str, keys: np.ndarray, dtype, shards: int) -> np.ndarray:
+    """The answers to what ``_dealt`` asked, in the order of ``keys``."""
+    out, (order, cuts) = np.zeros(len(keys), dtype), _spread(keys, shards)
+    for a in r["answers"] or ():
+        if a["kind"] == kind:
+            out[order[cuts[a["shard"]]:cuts[a["shard"] + 1]]] = from_planes(a["values"], dtype)
+    return out
+
+
+def _ask(batches, shards: int) -> Iterator[pa.RecordBatch]:
+    """A slice's words and counts, dealt to the shards of the word space."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            words, counts = np.frombuffer(r["words"], np.uint64), from_planes(r["counts"], np.uint32)
+            yield _dealt("w", r["slice"], words, counts.astype(np.int64), shards)
+
+
+def _answer(batches, how: _How) -> Iterator[pa.RecordBatch]:
+    """Totals over all slices, back to each asker in its order. Words: counts; then the number of words seen (kind v, in ``slice``).
+    Pairs: twice the count, plus one for a single asker of each (0 under ``low``). Contexts: the factor on root probabilities of
+    words that are not their own, NaN if they are not retained."""
+    asked: dict[str, list] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            asked.setdefault(r["kind"][0], []).append((r["kind"], r["shard"], r["slice"], from_planes(r["keys"], np.uint64), r["values"]))
+    row = lambda kind, shard, who, values: pa.RecordBatch.from_arrays(
+        [pa.array([kind]), pa.array([shard], pa.int32()), pa.array([who], pa.int64()), pa.array([values], pa.binary())], ["kind", "shard", "slice", "values"])
+    for sort, rows in asked.items():
+        if sort == "c":
+            keys, rest = _judge([(k, from_planes(x, np.float64).reshape(6, -1)) for *_, k, x in rows], how.gain)
+            for kind, shard, who, k, _ in rows:
+                yield row(kind, shard, who, planes(rest[np.searchsorted(keys, k)]))
+            continue
+        keys, totals = _sum_keys([(k, from_planes(x, np.int64)) for *_, k, x in rows])
+        free = np.ones(len(keys), bool)
+        for kind, shard, who, k, _ in rows:
+            at = np.searchsorted(keys, k)
+            values = totals[at] if sort == "w" else np.where(totals[at] >= how.low, totals[at] * 2 + free[at], 0)
+            free[at] = False
+            yield row(kind, shard, who, planes(values))
+        if sort == "w":
+            yield row("v", 0, int((totals > 0).sum()), b"")
 
 
 def _sum_keys(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([k for k, _ in rows]), np.concatenate([c for _, c in rows])
+    keys, counts = np.concatenate([k for k, _ in rows]), np.concatenate([c for _, c in rows], axis=-1)
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys, counts = keys[order], counts[..., order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
-    return keys[at], np.add.reduceat(counts, at)
+    return keys[at], np.add.reduceat(counts, at, axis=-1) if len(at) else counts
+
+
+def _judge(rows: list[tuple[np.ndarray, np.ndarray]], gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Divergence test of contexts against their longest retained suffixes, from the slices' sums over the successors they speak for."""
+    keys, sums = _sum_keys([(k, np.concatenate([x, np.ones((1, len(k)))])) for k, x in rows])
+    total, seen, mass, root_mass, low_mass, change, askers = sums
+    left = np.maximum(np.rint(total / askers) - seen, 0)  # all askers know the same total
+    change = change + left * np.log(np.maximum(1 - mass, 1e-12) / np.maximum(1 - low_mass, 1e-12))
+    return keys, np.where(change >= gain, np.maximum(1 - mass, 1e-12) / np.maximum(1 - root_mass, 1e-12), np.nan)
+
+
+def _before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each token: the value of the token before it in its document, or 0."""
+    out = np.zeros(len(values), values.dtype)
+    out[1:] = values[:-1]
+    out[first] = 0
+    return out
+
+
+class _Walk:
+    """A coded slice followed level by level, as far as the shards have answered."""
+
+    def __init__(self, r: dict, how: _How) -> None:
+        self.r, self.how = r, how
+        words, code, self.ends = np.frombuffer(r["words"], np.uint64), from_planes(r["codes"], np.uint32), from_planes(r["ends"], np.int64)
+        count = _heard(r, "w", words, np.int64, how.shards)
+        self.word, self.count = words[code], count[code]
+        self.root = (self.count + 1) / (how.n + how.v + 1)
+        self.first = np.concatenate([[0], self.ends[:-1]])
+
+    def go(self, done: int, last: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs of ``done`` levels are answered, and contexts of one level less: asks for the contexts of that level and the pairs of
+        the next. With ``last`` all are answered, and ``chance`` is the probability of each token.
+
+        A pair can occur ``low`` times only if its context is one and the pair without the context's first word does: no other is asked."""
+        how, who, chance = self.how, self.r["slice"], self.root.copy()
+        context, total, held = _before(self.word, self.first), _before(self.count, self.first), self.count
+        for k in range(1, how.depth + 1):
+            live = total >= max(how.contexts, 1)
+            at = np.flatnonzero(live & (held >= how.low) & (self.count >= how.contexts))
+            key = T.mix64(context[at] * np.uint64(3) + self.word[at])
+            keys, one, back = np.unique(key, return_index=True, return_inverse=True)
+            if k > done:
+                learn = np.repeat(np.frombuffer(self.r["learn"], np.uint8), np.diff(self.ends, prepend=0))[at] > 0
+                yield _dealt(f"p{k}", who, keys, np.bincount(back[learn], minlength=len(keys)).astype(np.int64), how.shards)
+                return
+            told = _heard(self.r, f"p{k}", keys, np.int64, how.shards)
+            held = np.zeros(len(self.word), np.int64)
+            held[at] = (told >> 1)[back]
+            spots = np.flatnonzero(live)
+            contexts, its, place = np.unique(context[spots], return_index=True, return_inverse=True)
+            if k == done and not last:
+                speaks = one[((told & 1) > 0) & (told >> 1 >= how.own)]
+                t = at[speaks]
+                c, n, low = np.searchsorted(contexts, context[t]), held[t], chance[t]
+                p = (n + how.weight * low) / (total[t] + how.weight)
+                sums = [np.bincount(c, weights=x, minlength=len(contexts)) for x in (n, p, self.root[t], low, n * np.log(p / low))]
+                yield _dealt(f"c{k}", who, contexts, np.stack([total[spots[its]].astype(float), *sums]), how.shards)
+            else:
+                rest = _heard(self.r, f"c{k}", contexts, np.float64, how.shards)[place]
+                t, rest = spots[~np.isnan(rest)], rest[~np.isnan(rest)]
+                chance[t] = np.where(held[t] >= how.own, (held[t] + how.weight * chance[t]) / (total[t] + how.weight), rest * self.root[t])
+            full = np.zeros(len(self.word), np.uint64)
+            full[at] = key
+            context, total = _before(full, self.first), _before(held, self.first)
+        self.chance = chance
+
+
+def _rows(batches) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _answer(batches, least: int) -> Iterator[pa.RecordBatch]:
-    """Totals over all slices, back to each asker in its order; then (slice -1) the words of ``least`` counts or more, with V in ``shard``."""
-    asked = [(r["shard"], r["slice"], np.frombuffer(r["words"], np.uint64), from_planes(r["counts"], np.int64)) for b in batches for r in b.to_pylist()]
-    if not asked:
-        return
-    keys, totals = _sum_keys([(k, c) for _, _, k, c in asked])
-    names = ["shard", "slice", "words", "counts"]
-    row = lambda shard, who, words, counts: pa.RecordBatch.from_arrays(
-        [pa.array([shard], pa.int32()), pa.array([who], pa.int64()), pa.array([words], pa.binary()), pa.array([counts], pa.binary())], names)
-    for shard, who, k, _ in asked:
-        yield row(shard, who, b"", planes(totals[np.searchsorted(keys, k)]))
-    often = totals >= least
-    yield row(int((totals > 0).sum()), -1, keys[often].tobytes(), planes(totals[often]))
+def _next_asks(batches, how: _How, done: int) -> Iterator[pa.RecordBatch]:
+    for r in _rows(batches):
+        yield from _Walk(r, how).go(done, False)
 
 
-def _numbers(r: dict, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a coded slice: word numbers of the tree (-1: none), whether a token starts a document, document ends, codes."""
-    words, code, ends = np.frombuffer(r["words"], np.uint64), from_planes(r["codes"], np.uint32), from_planes(r["ends"], np.int64)
-    return _lookup(tree.words, words)[code], ends, code
+def _score(batches, how: _How) -> Iterator[pa.RecordBatch]:
+    for r in _rows(batches):
+        w = _Walk(r, how)
+        for _ in w.go(how.depth, True):
+            pass
+        total = lambda x: np.add.reduceat(x, w.first)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(from_planes(r["ids"], np.int64)), pa.array(np.diff(w.ends, prepend=0)), pa.array(total((w.count > 0).astype(np.int64))),
+            pa.array(total(np.log10(w.root))), pa.array(total(np.log10(w.chance)))], ["d", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -131,58 +259,8 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def _grams(tree: Tree, number: np.ndarray, ends: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    """For k = 1 to depth: the frequent k-gram before each token of its document, or -1."""
-    size = len(tree.words)
-    now = number
-    for k in range(1, depth + 1):
-        if k > 1:
-            now = np.where(before >= 0, now_key(before, number, size), -1)  # noqa: F821
-            now = np.where(now >= 0, _lookup(tree.levels[k - 1].grams, now), -1)
-        before = np.full(len(number), -1, np.int64)
-        before[1:] = now[:-1]
-        before[ends[:-1]] = -1
-        before[0] = -1
-        yield before
-
-
-def now_key(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
-    return np.where(last >= 0, first * size + last, -1)
-
-
-def _count_next(batches, tree: Tree, depth: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Learning counts of (frequent context of ``depth`` words, frequent word), per slice, dealt to shards."""
-    size = len(tree.words)
-    for batch in batches:
-        for r in batch.to_pylist():
-            number, ends, _ = _numbers(r, tree)
-            learn = np.repeat(np.frombuffer(r["learn"], np.uint8), np.diff(ends, prepend=0)) > 0
-            *_, before = _grams(tree, number, ends, depth)
-            key = now_key(before, number, size)[learn & (before >= 0) & (number >= 0)]
-            if len(key):
-                keys, counts = np.unique(key, return_counts=True)
-                yield _dealt(0, keys.astype(np.uint64), counts, shards)
-
-
-def _total(batches, least: int) -> Iterator[pa.RecordBatch]:
-    rows = [(np.frombuffer(r["words"], np.uint64), from_planes(r["counts"], np.int64)) for b in batches for r in b.to_pylist()]
-    if rows:
-        keys, totals = _sum_keys(rows)
-        often = totals >= least
-        yield pa.RecordBatch.from_arrays([pa.array([keys[often].tobytes()], pa.binary()), pa.array([planes(totals[often])], pa.binary())], ["words", "counts"])
-
-
-def _collected(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
-    counts = np.concatenate([from_planes(bytes(r["counts"]), np.int64) for r in rows])
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
 class _Builder:
-    """Adds level by level to a tree: contexts pass a divergence test against their longest retained suffix."""
+    """The model of a small table in one place, level by level; tests compare with it. Queries never build it."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int, weight: float, gain: float) -> None:
         self.tree, self.weight, self.gain, self.size = Tree(words, np.log10((counts + 1) / (n + v + 1))), weight, gain, len(words)
@@ -238,71 +316,41 @@ class _Builder:
         return t
 
 
-def _score(batches, tree: Tree, shards: int, n: int, v: int) -> Iterator[pa.RecordBatch]:
-    size, none = len(tree.words), np.log10(n + v + 1)
-    for batch in batches:
-        for r in batch.to_pylist():
-            words, number = np.frombuffer(r["words"], np.uint64), None
-            count, shard = np.zeros(len(words), np.int64), _shard(words, shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for a in r["answers"]:
-                count[order[cuts[a["shard"]]:cuts[a["shard"] + 1]]] = from_planes(a["counts"], np.int64)
-            number, ends, code = _numbers(r, tree)
-            starts = np.concatenate([[0], ends[:-1]])
-            base = np.add.reduceat((np.log10(count + 1) - none)[code], starts)
-            state = np.zeros(len(code), np.int64)
-            for level, before in zip(tree.levels, _grams(tree, number, ends, len(tree.levels))):
-                state = np.where(before >= 0, level.state[before] if len(level.state) else 0, state)
-            at = np.full(len(code), -1, np.int64)
-            live = (state > 0) & (number >= 0)
-            at[live] = _lookup(tree.edges, (state * size + number)[live])
-            step = np.where(at >= 0, tree.gain[at], tree.rest[state]) if len(tree.edges) else tree.rest[state]
-            known = np.add.reduceat((count > 0).astype(np.int64)[code], starts)
-            yield pa.RecordBatch.from_arrays([pa.array(from_planes(r["ids"], np.int64)), pa.array(np.diff(ends, prepend=0)), pa.array(known), pa.array(base),
-                                              pa.array(base + np.add.reduceat(step, starts))], ["d", "n_tokens", "n_known", "base_score", "score"])
-
-
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, context_count: int = 50, next_count: int = 4,
-                context_share: float = 2e-6, next_share: float = 2e-7, weight: float = 30.0, gain: float = 6.0) -> DataFrame:
+                weight: float = 30.0, gain: float = 6.0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; the model learns from rows where ``learn`` is true.
 
     Tokens are words between ASCII blanks, A-Z lower-cased, and one end. The root gives (c + 1) / (N + V + 1). A context is a run of up
-    to ``depth`` words seen at least ``context_count`` times and in ``context_share`` of the tokens; words seen ``next_count`` times (and
-    in ``next_share``) after it are its own, smoothed with ``weight`` counts of its longest retained suffix, and all other words share
-    what is left in proportion to the root: probabilities of a state sum to one. It is retained if it explains what follows it better
-    than that suffix by ``gain`` nats. A token is scored by the longest retained suffix of the words before it in its text.
+    to ``depth`` words seen at least ``context_count`` times; words that may be contexts, seen ``next_count`` times after it, are
+    its own, smoothed with ``weight`` counts of its longest retained suffix, and all other words share what is left in proportion to
+    the root: probabilities of a state sum to one. It is retained if it explains what follows it better than that suffix by ``gain``
+    nats. A token is scored by the longest retained suffix of the words before it in its text.
 
-    The shares bound the model that is broadcast, at any size: at most 1 / context_share contexts and 1 / next_share successors a
-    level. Counts are of all tokens. Slices of documents are coded once into the shared folder; their words go to shards of the word
-    space, summed, and totals come back to the slices, so no table of all words is ever in one place.
+    Both counts are the same at any size, and the model grows with the input; it is never in one place. Slices of documents are coded
+    once into the shared folder. Their words, then level by level their distinct (context, next word) pairs and contexts, go to shards
+    by hash, are summed there, and the answers come back to the slices. A pair's part of its context's divergence test is told by one
+    of the slices that hold it. There are as many shards as the volume needs.
 
     Null text is empty and has the end alone; a null ``learn`` is false; with nothing to learn from, every score is that of the root
     with N = V = 0. Rows sharing an id are scored row by row.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     coded = store(base.mapInArrow(_encode, CODED), "zstd")
-    n = coded.agg(F.sum("learnt")).first()[0] or 0
-    least, pairs = max(context_count, int(context_share * n)), max(next_count, int(next_share * n))
-    asks = coded.select("slice", "words", "counts").mapInArrow(lambda it: _ask(it, shards), "shard int, slice long, words binary, counts binary")
-    answers = store(asks.repartition(shards, "shard").mapInArrow(lambda it: _answer(it, least), "shard int, slice long, words binary, counts binary"), "zstd")
-    own = answers.filter("slice = -1").select(F.col("shard").alias("v"), "words", "counts").collect()
-    v = sum(r["v"] for r in own)
-    builder = _Builder(*_collected(own), n, v, weight, gain)
-    streams = coded.select("learn", "ends", "codes", "words")
-    for k in range(1, depth + 1):
-        if not len(builder.counts):
-            break
-        builder.tree.levels.append(Level(builder.grams, np.zeros(0, np.int64)))
-        now = spark.sparkContext.broadcast(builder.tree)
-        builder.tree.levels.pop()
-        told = streams.mapInArrow(lambda it, k=k, now=now: _count_next(it, now.value, k, shards), "shard int, slice long, words binary, counts binary")
-        found = told.repartition(shards, "shard").select("words", "counts").mapInArrow(lambda it: _total(it, pairs), "words binary, counts binary").collect()
-        builder.add(*_collected(found), least)
-    model = spark.sparkContext.broadcast(builder.done())
-    back = answers.filter("slice >= 0").groupBy("slice").agg(F.collect_list(F.struct("shard", "counts")).alias("answers"))
-    scored = coded.select("slice", "ids", "ends", "codes", "words").join(back, "slice").mapInArrow(
-        lambda it: _score(it, model.value, shards, n, v), "d long, n_tokens long, n_known long, base_score double, score double")
+    n, tokens = (x or 0 for x in coded.agg(F.sum("learnt"), F.sum("tokens")).first())
+    how = _How(max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // SHARD_KEYS + 1), depth, context_count, next_count, weight, gain, n)
+
+    def answered(asks: DataFrame) -> DataFrame:
+        return store(asks.repartition(how.shards, "shard").mapInArrow(lambda it, how=how: _answer(it, how), TOLD), "zstd")
+
+    def with_answers(*columns: str) -> DataFrame:
+        back = told.filter("kind <> 'v'").groupBy("slice").agg(F.collect_list(F.struct("kind", "shard", "values")).alias("answers"))
+        return coded.select("slice", "ends", "codes", "words", *columns).join(back, "slice", "left")
+
+    told = answered(coded.select("slice", "words", "counts").mapInArrow(lambda it, how=how: _ask(it, how.shards), ASKED))
+    how = replace(how, v=told.filter("kind = 'v'").agg(F.sum("slice")).first()[0] or 0)
+    for done in range(depth + 1 if n else 0):
+        told = told.union(answered(with_answers("learn").mapInArrow(lambda it, how=how, done=done: _next_asks(it, how, done), ASKED)))
+    how = how if n else replace(how, depth=0)
+    scored = with_answers("ids").mapInArrow(lambda it: _score(it, how), "d long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
