@@ -126,6 +126,18 @@ def _tree_scores(texts, learns, depth=3, least=50, own=4, weight=30.0, gain=6.0)
     return {i: sum(math.log10(p(tuple(w[max(0, k - depth):k]), x)) for k, x in enumerate(w)) for i, w in words.items()}, states
 
 
+def test_suffix_tree_has_rare_successors(spark):
+    """A word seen next_count times after a context is its own, though it is no context."""
+    texts = _markov()
+    for i in range(1, 28, 4):
+        texts[i] += " h g f rareword e"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want, states = _tree_scores(texts, lambda i: i % 4)
+    assert any("rareword" in mine for mine, _ in states.values()) and {len(c) for c in states} == {1, 2, 3}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(docs, F.col("doc_id") % 4 != 0).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_suffix_tree_has_no_thresholds_of_size(spark):
     """The counts that make a context and a successor do not depend on the number of tokens, and no tree is made by the driver."""
     assert not [x for x in inspect.signature(suffix_tree.score_texts).parameters if x.endswith("_share")]

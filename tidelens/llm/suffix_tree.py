@@ -8,13 +8,15 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelens.llm import text as T
-from tidelens.llm.native import NO_ID, store
+from tidelens.llm.native import NO_ID, new_folder, store
 
 END = np.uint64(0x0BADC0DE0BADC0DE)  # the token after the last word
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 CODED = "slice long, ids binary, learn binary, ends binary, codes binary, words binary, counts binary, learnt long, tokens long"
 ASKED = "kind string, shard int, slice long, keys binary, values binary"
 TOLD = "kind string, shard int, slice long, values binary"
@@ -87,6 +89,7 @@ class _How:
     gain: float
     n: int = 0
     v: int = 0
+    answers: tuple[str, ...] = ()  # folders, by slice
 
     @property
     def low(self) -> int:
@@ -109,12 +112,25 @@ def _dealt(kind: str, who: int, keys: np.ndarray, values: np.ndarray, shards: in
         pa.array([planes(values[..., cuts[i]:cuts[i + 1]].ravel()) for i in keep], pa.binary())], ["kind", "shard", "slice", "keys", "values"])
 
 
-def _heard(r: dict, kind: str, keys: np.ndarray, dtype, shards: int) -> np.ndarray:
+def _told(folders: tuple[str, ...], who: int) -> dict[str, list[tuple[int, bytes]]]:
+    """kind -> (shard, values) of all answers to one slice."""
+    out: dict[str, list] = {}
+    for folder in folders:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        for file in fs.get_file_info(pafs.FileSelector(f"{base}/slice={who}", allow_not_found=True)):
+            if file.base_name.endswith(".parquet"):
+                with fs.open_input_file(file.path) as f:
+                    rows = pq.ParquetFile(f).read()
+                for kind, shard, values in zip(*(rows.column(c).to_pylist() for c in ("kind", "shard", "values"))):
+                    out.setdefault(kind, []).append((shard, values))
+    return out
+
+
+def _heard(answers: dict, kind: str, keys: np.ndarray, dtype, shards: int) -> np.ndarray:
     """The answers to what ``_dealt`` asked, in the order of ``keys``."""
     out, (order, cuts) = np.zeros(len(keys), dtype), _spread(keys, shards)
-    for a in r["answers"] or ():
-        if a["kind"] == kind:
-            out[order[cuts[a["shard"]]:cuts[a["shard"] + 1]]] = from_planes(a["values"], dtype)
+    for shard, values in answers.get(kind, ()):
+        out[order[cuts[shard]:cuts[shard + 1]]] = from_planes(values, dtype)
     return out
 
 
@@ -127,7 +143,7 @@ def _ask(batches, shards: int) -> Iterator[pa.RecordBatch]:
 
 
 def _answer(batches, how: _How) -> Iterator[pa.RecordBatch]:
-    """Totals over all slices, back to each asker in its order. Words: counts; then the number of words seen (kind v, in ``slice``).
+    """Totals over all slices, back to each asker in its order. Words: counts; then the number of words seen (slice -1, in ``shard``).
     Pairs: twice the count, plus one for a single asker of each (0 under ``low``). Contexts: the factor on root probabilities of
     words that are not their own, NaN if they are not retained."""
     asked: dict[str, list] = {}
@@ -150,7 +166,7 @@ def _answer(batches, how: _How) -> Iterator[pa.RecordBatch]:
             free[at] = False
             yield row(kind, shard, who, planes(values))
         if sort == "w":
-            yield row("v", 0, int((totals > 0).sum()), b"")
+            yield row("v", int((totals > 0).sum()), -1, b"")
 
 
 def _sum_keys(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,9 +200,9 @@ class _Walk:
     """A coded slice followed level by level, as far as the shards have answered."""
 
     def __init__(self, r: dict, how: _How) -> None:
-        self.r, self.how = r, how
+        self.r, self.how, self.answers = r, how, _told(how.answers, r["slice"])
         words, code, self.ends = np.frombuffer(r["words"], np.uint64), from_planes(r["codes"], np.uint32), from_planes(r["ends"], np.int64)
-        count = _heard(r, "w", words, np.int64, how.shards)
+        count = _heard(self.answers, "w", words, np.int64, how.shards)
         self.word, self.count = words[code], count[code]
         self.root = (self.count + 1) / (how.n + how.v + 1)
         self.first = np.concatenate([[0], self.ends[:-1]])
@@ -200,16 +216,19 @@ class _Walk:
         context, total, held = _before(self.word, self.first), _before(self.count, self.first), self.count
         for k in range(1, how.depth + 1):
             live = total >= max(how.contexts, 1)
-            at = np.flatnonzero(live & (held >= how.low) & (self.count >= how.contexts))
+            at = np.flatnonzero(live & (held >= how.low))
             key = T.mix64(context[at] * np.uint64(3) + self.word[at])
             keys, one, back = np.unique(key, return_index=True, return_inverse=True)
             if k > done:
                 learn = np.repeat(np.frombuffer(self.r["learn"], np.uint8), np.diff(self.ends, prepend=0))[at] > 0
                 yield _dealt(f"p{k}", who, keys, np.bincount(back[learn], minlength=len(keys)).astype(np.int64), how.shards)
                 return
-            told = _heard(self.r, f"p{k}", keys, np.int64, how.shards)
+            told = _heard(self.answers, f"p{k}", keys, np.int64, how.shards)
             held = np.zeros(len(self.word), np.int64)
             held[at] = (told >> 1)[back]
+            full = np.zeros(len(self.word), np.uint64)
+            full[at] = key
+            del key, back
             spots = np.flatnonzero(live)
             contexts, its, place = np.unique(context[spots], return_index=True, return_inverse=True)
             if k == done and not last:
@@ -220,11 +239,9 @@ class _Walk:
                 sums = [np.bincount(c, weights=x, minlength=len(contexts)) for x in (n, p, self.root[t], low, n * np.log(p / low))]
                 yield _dealt(f"c{k}", who, contexts, np.stack([total[spots[its]].astype(float), *sums]), how.shards)
             else:
-                rest = _heard(self.r, f"c{k}", contexts, np.float64, how.shards)[place]
+                rest = _heard(self.answers, f"c{k}", contexts, np.float64, how.shards)[place]
                 t, rest = spots[~np.isnan(rest)], rest[~np.isnan(rest)]
                 chance[t] = np.where(held[t] >= how.own, (held[t] + how.weight * chance[t]) / (total[t] + how.weight), rest * self.root[t])
-            full = np.zeros(len(self.word), np.uint64)
-            full[at] = key
             context, total = _before(full, self.first), _before(held, self.first)
         self.chance = chance
 
@@ -321,14 +338,14 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; the model learns from rows where ``learn`` is true.
 
     Tokens are words between ASCII blanks, A-Z lower-cased, and one end. The root gives (c + 1) / (N + V + 1). A context is a run of up
-    to ``depth`` words seen at least ``context_count`` times; words that may be contexts, seen ``next_count`` times after it, are
+    to ``depth`` words seen at least ``context_count`` times; any words seen ``next_count`` times after it, however rare elsewhere, are
     its own, smoothed with ``weight`` counts of its longest retained suffix, and all other words share what is left in proportion to
     the root: probabilities of a state sum to one. It is retained if it explains what follows it better than that suffix by ``gain``
     nats. A token is scored by the longest retained suffix of the words before it in its text.
 
     Both counts are the same at any size, and the model grows with the input; it is never in one place. Slices of documents are coded
     once into the shared folder. Their words, then level by level their distinct (context, next word) pairs and contexts, go to shards
-    by hash, are summed there, and the answers come back to the slices. A pair's part of its context's divergence test is told by one
+    by hash, are summed there, and the answers are written by slice. A pair's part of its context's divergence test is told by one
     of the slices that hold it. There are as many shards as the volume needs.
 
     Null text is empty and has the end alone; a null ``learn`` is false; with nothing to learn from, every score is that of the root
@@ -340,17 +357,17 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     n, tokens = (x or 0 for x in coded.agg(F.sum("learnt"), F.sum("tokens")).first())
     how = _How(max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // SHARD_KEYS + 1), depth, context_count, next_count, weight, gain, n)
 
-    def answered(asks: DataFrame) -> DataFrame:
-        return store(asks.repartition(how.shards, "shard").mapInArrow(lambda it, how=how: _answer(it, how), TOLD), "zstd")
-
-    def with_answers(*columns: str) -> DataFrame:
-        back = told.filter("kind <> 'v'").groupBy("slice").agg(F.collect_list(F.struct("kind", "shard", "values")).alias("answers"))
-        return coded.select("slice", "ends", "codes", "words", *columns).join(back, "slice", "left")
+    def answered(asks: DataFrame, how: _How) -> _How:
+        """Answers are written by slice, where the scan of the slices finds them: neither is sent again in later rounds."""
+        folder = new_folder(docs)
+        folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+        asks.repartition(how.shards, "shard").mapInArrow(lambda it: _answer(it, how), TOLD).repartition(how.shards, "slice").write.partitionBy("slice").option("compression", "zstd").parquet(folder)
+        return replace(how, answers=(*how.answers, folder))
 
-    told = answered(coded.select("slice", "words", "counts").mapInArrow(lambda it, how=how: _ask(it, how.shards), ASKED))
-    how = replace(how, v=told.filter("kind = 'v'").agg(F.sum("slice")).first()[0] or 0)
+    how = answered(coded.select("slice", "words", "counts").mapInArrow(lambda it, how=how: _ask(it, how.shards), ASKED), how)
+    how = replace(how, v=spark.read.schema(TOLD).parquet(*how.answers).filter("slice = -1").agg(F.sum("shard")).first()[0] or 0)
     for done in range(depth + 1 if n else 0):
-        told = told.union(answered(with_answers("learn").mapInArrow(lambda it, how=how, done=done: _next_asks(it, how, done), ASKED)))
+        how = answered(coded.select("slice", "learn", "ends", "codes", "words").mapInArrow(lambda it, how=how, done=done: _next_asks(it, how, done), ASKED), how)
     how = how if n else replace(how, depth=0)
-    scored = with_answers("ids").mapInArrow(lambda it: _score(it, how), "d long, n_tokens long, n_known long, base_score double, score double")
+    scored = coded.select("slice", "ids", "ends", "codes", "words").mapInArrow(lambda it: _score(it, how), "d long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
