@@ -2,6 +2,8 @@
 
 import random
 import re
+import textwrap
+from pathlib import Path
 
 import numpy as np
 import plain as H
@@ -217,6 +219,24 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licence_headers_and_full_texts(spark):
+    """Wrapped headers, full texts between other words, and SPDX tags; general prose about software is none."""
+    texts = dict(reversed(licences.licence_texts()))
+    wrap = lambda text, width, lead: "\n".join(lead + line for line in textwrap.wrap(" ".join(text.split()), width))
+    files = {f"{name}/LICENSE": "Copyright (c) 2020 Some One\n\n" + wrap(text, 70, "") for name, text in licences.licence_texts()}
+    files |= {f"{name}/src/a.c": "int main() { return 0; }\n" for name in texts}
+    headers = {"gpl2.py": "GPL-2.0.header", "lgpl.py": "LGPL-2.1.header", "mpl.py": "MPL-2.0.header", "apache.py": "Apache-2.0.header", "isc.py": "ISC", "by.py": "CC-BY-4.0.header"}
+    folder = Path(licences.__file__).with_name("licence_texts")
+    files |= {name: "#!/bin/sh\n" + wrap((folder / f"{h}.txt").read_text(), 50, " # ") + "\n" + "x = call(y)\n" * 300 for name, h in headers.items()}
+    files |= {"tag.c": "// SPDX-License-Identifier: 0BSD\nint x;", "two.c": "/* SPDX-License-Identifier: MIT OR Apache-2.0 */", "prose.txt": "the software is used under the terms of the contract and the license of the work " * 40}
+    got = {r["path"]: r for r in licences.scan(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    for name in texts:
+        assert got[f"{name}/LICENSE"]["own"] == name == got[f"{name}/src/a.c"]["inherited"]
+    for name, h in headers.items():
+        assert got[name]["own"] == h.removesuffix(".header")
+    assert got["tag.c"]["own"] == "0BSD" and got["two.c"]["own"] == "MIT OR Apache-2.0" and got["prose.txt"]["licence"] is None
+
+
 def test_licence_cosines_equal_brute_force(spark):
     texts = ["Released under the MIT License", "released under a license", "Licensed under CC BY 4.0", "mit mit mit license license", "This work is licensed under the GNU General Public License version 2", "plain words"]
     df = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, text string")
