@@ -123,3 +123,55 @@ SELECT f.doc_id, f.home || CASE WHEN speaks THEN '/LICENSE-' || f.doc_id ELSE '/
        coalesce(own, near.licence) AS licence
 FROM f LEFT JOIN own ON f.doc_id = own.doc_id LEFT JOIN near ON f.doc_id = near.doc_id
 """
+
+REPAIR = r"""
+WITH RECURSIVE r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes FROM conversations),
+k AS (
+  SELECT *, xor(4294967295, list_reduce(bytes, lambda c, b:
+         list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1))), 4294967295)) % 20 AS k FROM r),
+d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM k WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d),
+f AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM o),
+g AS (
+  SELECT conv_id, i, turn, role, text, role[1] AS c, CASE WHEN t = '' THEN 'b' WHEN again THEN 'p' WHEN t[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, pair FROM f),
+states(q, follows, name) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+e AS (
+  SELECT 'D' AS edit, q, q AS into_q, 2 AS cost, NULL AS name FROM states
+  UNION ALL SELECT 'K', q, CASE WHEN name IS NULL THEN 1 ELSE follows END, 0, name FROM (SELECT *, FALSE AS s FROM states UNION ALL SELECT 0, 1, NULL, TRUE)
+  UNION ALL SELECT 'R', q, follows, 1, name FROM states),
+ins AS (
+  SELECT q, q AS into_q, 0 AS cost, '' AS edits, []::VARCHAR[] AS added FROM states
+  UNION ALL SELECT q, follows, 5, 'I', [name || ':'] FROM states
+  UNION ALL SELECT a.q, b.follows, 10, 'II', [a.name || ':', b.name || ':'] FROM states a JOIN states b ON a.follows = b.q),
+moves AS (
+  SELECT ins.q, e.into_q, ins.cost + e.cost AS cost, edits || edit AS edits, added, edit, e.name FROM ins JOIN e ON ins.into_q = e.q),
+dp AS (
+  SELECT conv_id, 0 AS i, 0 AS q, {'cost': 0, 'audit': ''} AS best, []::VARCHAR[] AS lines FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL
+  SELECT conv_id, i + 1, into_q, min(next) AS best, arg_min(out, next) AS lines FROM (
+    SELECT dp.conv_id, dp.i, m.into_q, {'cost': dp.best.cost + m.cost + CASE WHEN fault = 't' AND edit <> 'D' THEN 5 ELSE 0 END, 'audit': dp.best.audit || m.edits} AS next,
+           list_concat(dp.lines, m.added, CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [g.role || ':' || g.text] ELSE [m.name || ':' || g.text] END) AS out
+    FROM dp JOIN g ON dp.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = dp.i + 1 JOIN moves m ON m.q = dp.q
+    WHERE edit = 'D' OR fault NOT IN ('b', 'p') AND (edit = 'R' OR c = coalesce(m.name[1], 's')))
+  GROUP BY conv_id, i, into_q),
+ends AS (
+  SELECT dp.conv_id, {'cost': best.cost + ins.cost, 'audit': best.audit || edits} AS best, list_concat(lines, added) AS lines
+  FROM dp JOIN (SELECT conv_id, max(i) AS n FROM g GROUP BY conv_id) z ON dp.conv_id IS NOT DISTINCT FROM z.conv_id AND dp.i = z.n
+  JOIN ins ON dp.q = ins.q AND (ins.into_q = 3 OR ins.into_q = 0)),
+won AS (SELECT conv_id, min(best) AS best, arg_min(lines, best) AS lines FROM ends GROUP BY conv_id),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+         count(*) FILTER (WHERE fault = 'p') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN won ON a.conv_id IS NOT DISTINCT FROM won.conv_id
+"""

@@ -129,3 +129,11 @@ def licences(spark: SparkSession, root: str) -> DataFrame:
     path = F.concat(home, F.when(i % 10 == 0, F.concat(F.lit("/LICENSE-"), i)).otherwise(F.concat(F.lit("/"), i, F.lit(".txt"))))
     out = scan(docs.select(path.alias("path"), "text"))
     return out.select(F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long").alias("doc_id"), "path", "own", F.round("own_cosine", 6).alias("own_cosine"), "n_lines", "inherited", "from_dir", "licence")
+
+
+@query("op13_repair", oracles.REPAIR)
+def conversation_repair(spark: SparkSession, root: str) -> DataFrame:
+    """Conversations damaged by a checksum of their rows, and their cheapest repair."""
+    from tidelens.llm.repair import damage, repair
+
+    return repair(table(spark, root, "conversations"), prepare=damage)
