@@ -175,3 +175,33 @@ SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
        coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN won ON a.conv_id IS NOT DISTINCT FROM won.conv_id
 """
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Codebook training in SQL: one pair of expressions a round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, part, min({{'d': list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v) + list_inner_product(c.v, c.v), 'e': c.e}}) AS best
+  FROM x JOIN c{r} c USING (part) GROUP BY rid, part)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT part, e, list(s ORDER BY pos) AS v FROM (
+    SELECT part, best.e AS e, pos, floor(sum(y) / count(*)) AS s
+    FROM (SELECT rid, part, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM x) JOIN a{r} USING (rid, part) GROUP BY part, best.e, pos) GROUP BY part, e),
+c{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (part, e))""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT rid, p AS part, q[p * len(q) // 4 + 1:(p + 1) * len(q) // 4] AS v FROM k, range(4) g(p)),
+c0 AS (SELECT part, rid - 1 AS e, v FROM x WHERE rid <= 256),{",".join(steps)},
+out AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY rid),
+sha AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, e, pos)) AS h FROM (SELECT part, e, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM c{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN out USING (rid), sha
+"""
+
+
+CODES = _codes_sql()

@@ -137,3 +137,11 @@ def conversation_repair(spark: SparkSession, root: str) -> DataFrame:
     from tidelens.llm.repair import damage, repair
 
     return repair(table(spark, root, "conversations"), prepare=damage)
+
+
+@query("op11_vector_codes", oracles.CODES)
+def vector_codes(spark: SparkSession, root: str) -> DataFrame:
+    """Codes of all embeddings under codebooks trained on all of them."""
+    from tidelens.llm.vector_codes import compress
+
+    return compress(table(spark, root, "embeddings"))
