@@ -205,3 +205,14 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 CODES = _codes_sql()
+
+MAIN_TEXT = r"""
+WITH a AS (SELECT row_number() OVER () AS rid, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT rid, unnest(string_split(regexp_replace(body, '</?(p|h1)>', chr(0), 'g'), chr(0))) AS block,
+             generate_subscripts(string_split(regexp_replace(body, '</?(p|h1)>', chr(0), 'g'), chr(0)), 1) AS pos FROM a),
+t AS (
+  SELECT rid, pos, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(block, '<br>', ' '), '</b>', ''), '<b>', ''), '&quot;', '"'),
+         '&amp;?', '&', 'g'), '[ \t\n\r]+', ' ', 'g'), '^$', '')) AS block FROM b),
+j AS (SELECT rid, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS text FROM t WHERE block <> '' GROUP BY rid)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM a LEFT JOIN j USING (rid)
+"""

@@ -145,3 +145,11 @@ def vector_codes(spark: SparkSession, root: str) -> DataFrame:
     from tidelens.llm.vector_codes import compress
 
     return compress(table(spark, root, "embeddings"))
+
+
+@query("op12_main_text", oracles.MAIN_TEXT)
+def main_text(spark: SparkSession, root: str) -> DataFrame:
+    """The article of every page."""
+    from tidelens.llm.main_text import extract
+
+    return extract(table(spark, root, "pages"))
