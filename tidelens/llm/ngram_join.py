@@ -16,7 +16,7 @@ from tidelens.llm.native import NO_ID, store
 
 GROUP_SHINGLES = 200_000  # shingles of a group of similar documents, about
 SLICE_BYTES = 3 << 20  # text whose sets a task holds at once
-SHARD_SHINGLES = 5_000_000  # shingles whose part keys meet in one shard, about
+SHARD_SHINGLES = 2_000_000  # shingles whose part keys meet in one shard, about
 
 
 class Scheme:
