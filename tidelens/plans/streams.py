@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import json_num, rounded
 from ..operators import social as SOC
-from ..operators.vaults import running_balance
 from ..sources import domain as D
 from ..sources.tables import table
 from ..streaming import jobs as S
+from ..streaming import stateful as SS
 from . import data
 from .catalog import query
 
@@ -33,6 +33,17 @@ class _Streamed:
         return S.stream_table(self.spark, root, name.removesuffix(".parquet"))
 
 
+# The given tables are single files without any order in time: rows may come this far behind the newest one. A stream that is read as
+# it grows takes minutes or hours here.
+UNORDERED = "5000 days"
+
+
+def _closed(spark, name, build, times):
+    """All that a stream puts out once a heartbeat has moved its clock to the newest time of the table."""
+    newest = times.agg((F.max("ts").cast("timestamp") + F.expr(f"INTERVAL {UNORDERED}")).alias("at")).first()["at"]
+    return SS.Job(spark, name).close(build, newest)
+
+
 def _finish(spark, stream, name, mode="append", each=None):
     base, q = S.run(stream, name, mode, each)
     return S.results(spark, base, stream.schema), q
@@ -48,16 +59,17 @@ def stream_post_ingestion(spark, root):
 @query("stream_sliding_metrics", "SM-2", f"""WITH {D.POSTS_SQL}, w AS (SELECT protocol, author, sentiment, confidence, engagement, content, unnest(range(0, 24)) AS k, date_trunc('hour', ts) AS h FROM pp)
 SELECT protocol, h - to_hours(k) AS window_start, count(*) AS mention_count, round(sum(sentiment * confidence) / sum(confidence), 6) + 0.0 AS sentiment_score, CAST(sum(engagement) AS BIGINT) AS total_engagement, count(DISTINCT author) AS unique_authors, avg(CASE WHEN sentiment < -0.5 THEN 1.0 ELSE 0.0 END) > 0.3 AS negative, avg(CASE WHEN regexp_matches(lower(content), '{"|".join(SOC.FUD_WORDS)}') THEN 1.0 ELSE 0.0 END) > 0.1 AS fud_spread FROM w GROUP BY 1, 2""")
 def stream_sliding_metrics(spark, root):
-    s = S.author_windows(D.posts(_Streamed(spark), root)).withColumn("window_start", F.col("window.start")).drop("window")
-    out, _ = _finish(spark, s, "sliding", "update")
-    return rounded(S.sliding_metrics(S.newest_per_key(out, ["protocol", "window_start", "author"])), ["sentiment_score"])
+    # the last window starts at the newest post and ends a day later
+    times = D.posts(spark, root).select((F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    out = _closed(spark, "sliding", lambda clock: SS.sliding_metrics(D.posts(_Streamed(spark), root), clock, UNORDERED), times)
+    return rounded(out, ["sentiment_score"])
 
 
 @query("stream_market_refresh", "SM-3", f"""WITH {D.PROTOCOL_EVENTS_SQL}, c AS (SELECT protocol, time_bucket(INTERVAL '5 minutes', ts) AS cell, count(*) AS n, sum(k) AS v FROM pe GROUP BY 1, 2)
 SELECT protocol, cell, CAST(sum(n) OVER w AS BIGINT) AS transactions_24h, sum(v) OVER w AS volume_24h FROM c WINDOW w AS (PARTITION BY protocol ORDER BY cell RANGE BETWEEN INTERVAL '86100 seconds' PRECEDING AND CURRENT ROW)""")
 def stream_market_refresh(spark, root):
-    out, _ = _finish(spark, S.market_cells(D.protocol_events(_Streamed(spark), root)), "cells", "update")
-    return S.sliding_totals(S.newest_per_key(out, ["protocol", "cell"]))
+    times = D.protocol_events(spark, root).select((F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ts"))
+    return _closed(spark, "market", lambda clock: SS.market_refresh(D.protocol_events(_Streamed(spark), root), clock, UNORDERED), times)
 
 
 @query("stream_portfolio_refresh", "SM-4", "SELECT o_custkey % 25 AS portfolio, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value, count(*) AS orders, max(o_orderdate) AS ts FROM orders GROUP BY 1")
@@ -77,8 +89,10 @@ def stream_signal_index(spark, root):
 r AS (SELECT vault, rn, CAST(greatest(d, 0) AS DECIMAL(28,2)) AS b FROM o WHERE rn = 1 UNION ALL SELECT o.vault, o.rn, CAST(greatest(r.b + o.d, 0) AS DECIMAL(28,2)) FROM r JOIN o ON o.vault = r.vault AND o.rn = r.rn + 1)
 SELECT o.tx, o.vault, o.kind, CAST(r.b AS DOUBLE) AS balance FROM o JOIN r USING (vault, rn)""")
 def stream_vault_balance(spark, root):
-    out, _ = _finish(spark, D.ledger(_Streamed(spark), root), "ledger")
-    return running_balance(out.drop("batch")).select("tx", "vault", "kind", "balance")
+    month = 30 * 86400
+    times = D.ledger(spark, root).select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    out = _closed(spark, "balances", lambda clock: SS.balances(D.ledger(_Streamed(spark), root), clock, UNORDERED, month), times)
+    return out.select("tx", "vault", "kind", "balance")
 
 
 @query("stream_first_last_seen", "SM-7", "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1")
@@ -127,6 +141,7 @@ n AS (SELECT max(ts) AS now FROM events WHERE event_type IN ('signup', 'purchase
 SELECT signal, key, ts, executed_at, CASE WHEN executed_at IS NOT NULL THEN 'executed' WHEN ts + INTERVAL 30 DAY < now THEN 'expired' ELSE 'pending' END AS status FROM j, n""")
 def stream_signal_expiry(spark, root):
     kind = F.when(F.col("event_type") == "signup", "signal").when(F.col("event_type") == "purchase", "execution")
-    rows = S.stream_table(spark, root, "events").select(kind.alias("kind"), F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts").filter("kind IS NOT NULL")
-    out, _ = _finish(spark, rows, "expiry")
-    return S.signal_states(out.drop("batch"), 30 * 86400)
+    pick = lambda e: e.select(kind.alias("kind"), F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts").filter("kind IS NOT NULL")
+    changes = _closed(spark, "expiry", lambda clock: SS.expiring(pick(S.stream_table(spark, root, "events")), clock, 30 * 86400, UNORDERED),
+                      pick(table(spark, root, "events")))
+    return SS.newest_states(changes)

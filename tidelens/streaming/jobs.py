@@ -1,7 +1,4 @@
-"""Structured Streaming jobs: ingestion, windows, ledgers, alerts, scoring, expiry.
-
-A floored balance and the state of a signal depend on the order in time, which files do not keep: those streams only
-collect rows (each once, the sink is idempotent), and the result is taken over what has been collected.
+"""Structured Streaming jobs: ingestion, refreshes, indexing, alerts, scoring. Streams whose result depends on time are in ``stateful``.
 
 Every job is a function from a streaming DataFrame to a streaming DataFrame; ``run``
 starts it with a file sink. State is bounded by a watermark, and sinks are idempotent:
@@ -13,12 +10,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import json_num
-from ..operators import social
 from ..session import shared_folder
 from ..sources import logs, sinks
 from ..sources.tables import SCHEMAS
@@ -67,50 +62,6 @@ def ingest_posts(posts: DataFrame) -> DataFrame:
     return posts.withWatermark("ts", LOOKBACK).dropDuplicatesWithinWatermark(["post_id", "platform"])
 
 
-def author_windows(posts: DataFrame) -> DataFrame:
-    """Additive measures per protocol, author and 24-hour window, every hour: the state of ``sliding_metrics``."""
-    rows = social.by_protocol(posts.withColumn("fud", social.is_fud(F.col("content"))).drop("content"))
-    w = F.window("ts", LOOKBACK, "1 hour")
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return rows.withWatermark("ts", LOOKBACK).groupBy("protocol", w, "author").agg(
-        F.count(F.lit(1)).alias("mentions"), F.sum(F.col("sentiment") * F.col("confidence")).alias("weighted"), F.sum("confidence").alias("weight"),
-        F.sum("eng").alias("engagement"), one(F.col("sentiment") < -0.5).alias("negatives"), one(F.col("fud")).alias("fuds"))
-
-
-def sliding_metrics(windows: DataFrame) -> DataFrame:
-    """Protocol metrics over the last 24 hours from ``author_windows``: authors are counted exactly, as rows."""
-    total = lambda c: F.sum(c)
-    return windows.groupBy("protocol", "window_start").agg(
-        total("mentions").alias("mention_count"), (total("weighted") / total("weight")).alias("sentiment_score"), total("engagement").alias("total_engagement"),
-        F.count(F.lit(1)).alias("unique_authors"), (total("negatives") / total("mentions") > 0.3).alias("negative"),
-        (total("fuds") / total("mentions") > 0.1).alias("fud_spread"))
-
-
-def market_cells(events: DataFrame, width: str = "5 minutes") -> DataFrame:
-    """Additive measures per protocol and 5-minute cell.
-
-    A 24-hour window sliding by 5 minutes would copy every event 288 times; the cells are
-    kept by the stream and the sliding sum is taken over them (``sliding_totals``).
-    """
-    return events.withWatermark("ts", LOOKBACK).groupBy("protocol", F.window("ts", width).alias("w")).agg(
-        F.count(F.lit(1)).alias("transactions"), F.sum(json_num("metadata", "$.k")).alias("volume")
-    ).select("protocol", F.col("w.start").alias("cell"), "transactions", "volume")
-
-
-def sliding_totals(cells: DataFrame, seconds: int = 86400) -> DataFrame:
-    """24-hour sums ending at every cell.
-
-    Each cell is also copied into the next day, so a window holds two days of one
-    protocol (576 cells) however long the history is.
-    """
-    day = F.floor(F.unix_seconds("cell") / seconds)
-    x = cells.select("*", F.inline(F.array(
-        F.struct(day.alias("_day"), F.lit(False).alias("_copy")), F.struct((day + 1).alias("_day"), F.lit(True).alias("_copy")))))
-    w = Window.partitionBy("protocol", "_day").orderBy(F.unix_seconds("cell")).rangeBetween(-(seconds - 300), 0)
-    x = x.withColumns({"transactions_24h": F.sum("transactions").over(w), "volume_24h": F.sum("volume").over(w)})
-    return x.filter(~F.col("_copy")).select("protocol", "cell", "transactions_24h", "volume_24h")
-
-
 def portfolio_refresh(orders: DataFrame) -> DataFrame:
     return orders.groupBy("portfolio").agg(F.sum("amount").alias("value"), F.count(F.lit(1)).alias("orders"), F.max("ts").alias("ts"))
 
@@ -149,33 +100,6 @@ def score(rows: DataFrame, model: Callable, inputs: list[str], keep: list[str],
     return rows.select(*dict.fromkeys([*keep, *inputs])).mapInPandas(apply, schema)
 
 
-def expire_signals(signals: DataFrame, executions: DataFrame, life: str = "1 HOUR", late: str = "1 minute") -> DataFrame:
-    """Left outer join within the life of a signal: without an execution in time it is expired.
-
-    Rows more than ``late`` behind the newest one of a batch before are dropped, so input with more disorder needs a larger value;
-    ``signal_states`` over collected rows has no such bound."""
-    s = signals.withWatermark("ts", late).alias("s")
-    e = executions.withWatermark("executed_at", late).alias("e")
-    cond = (F.col("s.key") == F.col("e.key")) & (F.col("e.executed_at") >= F.col("s.ts")) & (F.col("e.executed_at") <= F.col("s.ts") + F.expr(f"INTERVAL {life}"))
-    j = s.join(e, cond, "leftOuter")
-    return j.select(F.col("s.signal").alias("signal"), F.col("s.key").alias("key"), F.col("s.ts").alias("ts"), F.col("e.executed_at").alias("executed_at"),
-                    F.when(F.col("e.executed_at").isNull(), "expired").otherwise("executed").alias("status"))
-
-
-def signal_states(rows: DataFrame, life: int = 3600) -> DataFrame:
-    """rows: (kind signal or execution, id, key, ts) as collected by a stream. First execution of each signal within ``life`` seconds,
-    and its state at the newest time seen: executed, expired, or pending. Joined by key and cell of time, not by range."""
-    now = rows.agg(F.max("ts")).scalar()
-    cell = F.floor(F.unix_micros("ts") / F.lit(life * 1_000_000))
-    s = rows.filter("kind = 'signal'").select(F.col("id").alias("signal"), "key", "ts", F.explode(F.array(cell, cell + 1)).alias("cell"))
-    e = rows.filter("kind = 'execution'").select("key", F.col("ts").alias("at"), cell.alias("cell"))
-    e = e.groupBy("key", "cell", "at").agg(F.lit(1).alias("_o"))
-    in_time = F.col("at").between(F.col("ts"), F.col("ts") + F.make_dt_interval(secs=F.lit(float(life))))
-    got = s.join(e, ["key", "cell"], "left").groupBy("signal", "key", "ts").agg(F.min(F.when(in_time, F.col("at"))).alias("executed_at"))
-    over = F.col("ts") + F.make_dt_interval(secs=F.lit(float(life))) < now
-    return got.withColumn("status", F.when(F.col("executed_at").isNotNull(), "executed").when(over, "expired").otherwise("pending"))
-
-
 def progress(spark: SparkSession, base: str, component: str) -> DataFrame:
     """Progress of a component over all its batches, from the rows that ``run`` keeps for each: rows, newest time and its id."""
     marks = spark.read.parquet(f"{base}/marks")
