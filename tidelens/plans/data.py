@@ -11,6 +11,7 @@ from ..session import new_folder
 from ..sources import bars as B
 from ..sources import domain as D
 from ..sources import logs, sinks
+from ..sources.keyed import KeyedTable
 from ..sources.tables import table
 from .catalog import query
 from .sqlkit import EVENT_BARS
@@ -135,6 +136,16 @@ def unique_signals(spark, root):
     return sinks.append_new(d, stored, ["model_id", "signal_id"], ["timestamp", "signature"]).drop("signature")
 
 
+@query("signal_table", "SRC-14 SET-1", """SELECT model_id, signal_id, min(timestamp) AS timestamp FROM (SELECT user_id % 20 AS model_id, event_id % 500 AS signal_id, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp FROM events WHERE event_type IN ('signup', 'view') AND event_id % 17 <> 0 AND event_id % 23 <> 0) GROUP BY 1, 2""")
+def signal_table(spark, root):
+    """Three overlapping batches merged into a table on disk that holds each (model, signal) once."""
+    d = logs.events(chain_logs(spark, root), "SignalSubmitted", logs.SIGNAL_SUBMITTED).filter("signal_id IS NOT NULL").select("model_id", "signal_id", "timestamp", "signature")
+    t = KeyedTable(spark, f"{new_folder(spark)}/signals", ["model_id", "signal_id"], ["timestamp", "signature"])
+    for k in range(3):
+        t.upsert(d.filter(F.pmod("model_id", F.lit(3)) != k))
+    return t.read().drop("signature")
+
+
 @query("retention", "SRC-15 SM-9", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
 def retention(spark, root):
     e = table(spark, root, "events").select("event_id", "ts")

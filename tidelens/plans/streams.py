@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import json_num, rounded
 from ..operators import social as SOC
+from ..session import new_folder
 from ..sources import domain as D
+from ..sources import log_source
+from ..sources.keyed import KeyedTable
 from ..sources.tables import table
 from ..streaming import jobs as S
 from ..streaming import stateful as SS
@@ -52,8 +55,9 @@ def _finish(spark, stream, name, mode="append", each=None):
 @query("stream_post_ingestion", "SM-1 SET-3", f"WITH {D.POSTS_SQL} SELECT post_id, platform, ts FROM posts")
 def stream_post_ingestion(spark, root):
     p = D.posts(_Streamed(spark), root).select("post_id", "platform", "ts")
-    out, _ = _finish(spark, S.ingest_posts(p.unionByName(p)), "posts")
-    return out.drop("batch")
+    job = SS.Job(spark, "posts")
+    job.run(lambda clock: S.ingest_posts(p.unionByName(p), UNORDERED))
+    return job.output()
 
 
 @query("stream_sliding_metrics", "SM-2", f"""WITH {D.POSTS_SQL}, w AS (SELECT protocol, author, sentiment, confidence, engagement, content, unnest(range(0, 24)) AS k, date_trunc('hour', ts) AS h FROM pp)
@@ -81,8 +85,28 @@ def stream_portfolio_refresh(spark, root):
 
 @query("stream_signal_index", "SM-5 SRC-13 SRC-14", """SELECT user_id % 20 AS model_id, event_id % 500 AS signal_id, min(CAST(floor(epoch(ts)) AS BIGINT)) AS timestamp FROM events WHERE event_type IN ('signup', 'view') AND event_id % 17 <> 0 AND event_id % 23 <> 0 GROUP BY 1, 2""")
 def stream_signal_index(spark, root):
-    out, _ = _finish(spark, S.index_signals(data.chain_logs(_Streamed(spark), root)), "signals", each=S.one_per_signal)
-    return out.groupBy("model_id", "signal_id").agg(F.min("timestamp").alias("timestamp"))
+    """Logs of blocks in an archive; the stream stops after half of them, goes on, and merges each signal once into a table on disk."""
+    tx = data.chain_logs(spark, root).withColumn("block", F.expr("CAST(substr(signature, 4) AS BIGINT) DIV 100"))
+    folder = new_folder(spark)
+    signals = KeyedTable(spark, f"{folder}/signals", ["model_id", "signal_id"], ["timestamp", "signature", "position"], time="ts", unit="month")
+    half = tx.agg((F.max("block") / 2000).cast("long") * 1000).first()[0] or 0
+    for part in (tx.filter(F.col("block") < half), tx.filter(F.col("block") >= half)):
+        log_source.archive(part, f"{folder}/logs", 1000)
+        S.into_table(S.index_signals(log_source.read_logs(spark, f"{folder}/logs")), signals, f"{folder}/state", "indexer")
+    return signals.read().select("model_id", "signal_id", "timestamp")
+
+
+@query("stream_retention", "SM-9 SRC-15", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
+def stream_retention(spark, root):
+    """Events in a table on disk; two heartbeats of the retention loop, five days apart, delete what is older than ten days."""
+    folder, events = new_folder(spark), table(spark, root, "events").select("event_id", "ts")
+    kept = KeyedTable(spark, f"{folder}/events", ["event_id"], ["ts"], time="ts")
+    kept.upsert(events)
+    newest = events.agg(F.max("ts").cast("timestamp").alias("at"), (F.max("ts").cast("timestamp") - F.expr("INTERVAL 5 DAYS")).alias("before")).first()
+    for at in (newest["before"], newest["at"]):
+        SS.tick(spark, f"{folder}/clock", "ts", at)
+        S.retention_loop(spark, kept, f"{folder}/clock", f"{folder}/state", 10)
+    return kept.read()
 
 
 @query("stream_vault_balance", "SM-6", f"""WITH RECURSIVE {D.LEDGER_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY vault ORDER BY ts, tx) AS rn, CASE kind WHEN 'deposit' THEN amount WHEN 'withdrawal' THEN -amount ELSE 0 END AS d FROM led),

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_folder
-from ..sources import logs, sinks
+from ..sources import logs
+from ..sources.keyed import KeyedTable
 from ..sources.tables import SCHEMAS
 
 LOOKBACK = "24 hours"
@@ -57,9 +58,9 @@ def newest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
 # --- jobs ------------------------------------------------------------------------
 
 
-def ingest_posts(posts: DataFrame) -> DataFrame:
-    """Each (post, platform) once inside the lookback."""
-    return posts.withWatermark("ts", LOOKBACK).dropDuplicatesWithinWatermark(["post_id", "platform"])
+def ingest_posts(posts: DataFrame, late: str = LOOKBACK) -> DataFrame:
+    """Each (post, platform) once; posts more than ``late`` behind the newest one are dropped (``stateful.Job`` counts them)."""
+    return posts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["post_id", "platform"])
 
 
 def portfolio_refresh(orders: DataFrame) -> DataFrame:
@@ -67,15 +68,26 @@ def portfolio_refresh(orders: DataFrame) -> DataFrame:
 
 
 def index_signals(transactions: DataFrame) -> DataFrame:
-    """Submitted signals of a log stream, each (signature, position) once."""
-    d = logs.events(transactions, "SignalSubmitted", logs.SIGNAL_SUBMITTED).filter("signal_id IS NOT NULL")
-    d = d.withColumn("ts", F.timestamp_seconds("timestamp"))
-    return d.withWatermark("ts", LOOKBACK).dropDuplicatesWithinWatermark(["signature", "position"])
+    """Submitted signals of a log stream."""
+    return logs.events(transactions, "SignalSubmitted", logs.SIGNAL_SUBMITTED).filter("signal_id IS NOT NULL").withColumn("ts", F.timestamp_seconds("timestamp"))
 
 
-def one_per_signal(batch: DataFrame) -> DataFrame:
-    """The batch handler of the index: one row per (model, signal)."""
-    return sinks.unique_rows(batch, ["model_id", "signal_id"], ["timestamp", "signature"])
+def into_table(stream: DataFrame, table: KeyedTable, state: str, writer: str) -> None:
+    """Merges a stream into a keyed table until all that is there is done. A batch that is sent again after a failure is merged once."""
+    q = stream.writeStream.foreachBatch(lambda batch, number: table.upsert(batch, writer, number)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def retention_loop(spark: SparkSession, table: KeyedTable, clock: str, state: str, days: int) -> None:
+    """At each heartbeat (daily, written by ``stateful.tick``) rows older than ``days`` leave the table and their files are deleted."""
+    def tidy(batch: DataFrame, number: int) -> None:
+        cutoff = batch.agg((F.max("ts") - F.make_dt_interval(F.lit(days))).cast("string").alias("at")).first()["at"]
+        if cutoff:
+            table.drop_before(cutoff)
+            table.vacuum()
+
+    beats = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(clock)
+    beats.writeStream.foreachBatch(tidy).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def seen(events: DataFrame) -> DataFrame:
