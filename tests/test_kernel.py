@@ -113,16 +113,36 @@ def test_replay_is_block_independent(spark, rows):
 def test_asof_takes_last_row_at_or_before(spark):
     s = spark.createDataFrame([("a", hours(1), 1.0), ("a", hours(3), 3.0), ("b", hours(9), 9.0)], "k string, ts timestamp, p double")
     p = spark.createDataFrame([("a", hours(0), 0), ("a", hours(1), 1), ("a", hours(2), 2), ("a", hours(30), 30), ("b", hours(8), 8)], "k string, ts timestamp, i int")
-    got = {r["i"]: r["p"] for r in asof(p, s, "k", "ts", ["p"], F.date_trunc("day", "ts")).collect()}
+    got = {r["i"]: r["p"] for r in asof(p, s, "k", "ts", ["p"]).collect()}
     assert got == {0: None, 1: 1.0, 2: 1.0, 30: 3.0, 8: None}
 
 
-def test_a_hot_key_is_cut_into_even_buckets(spark):
-    from tidelens.operators.series import even_buckets, number_rows
-
-    rows = [("hot", T0 + dt.timedelta(seconds=i // 3), i) for i in range(2700)] + [("b", T0 + dt.timedelta(days=i), i) for i in range(300)]
-    df = spark.createDataFrame(rows, "symbol string, ts timestamp, i long")  # nine tenths of the rows in one hour of one key
-    cut = even_buckets(df.withColumn("_bk", F.date_trunc("month", "ts")), ["symbol"], "ts", "_bk", 100)
-    assert cut.groupBy("symbol", "_bk").count().agg(F.max("count")).first()[0] <= 103
-    got = number_rows(df, ("symbol",), ("ts", "i"), target=100)
-    assert got.filter("_rn <> i + 1").count() == 0 and got.count() == 3000
+def test_a_hot_key_and_a_hot_value_are_cut_into_even_ranges(spark):
+    from tidelens.operators import ordered
+
+    # nine tenths of the rows in one key, and half of all in one second of it
+    rows = [("hot", T0 + dt.timedelta(seconds=max(i - 1500, 0)), i) for i in range(2700)] + [(None if i % 2 else "b", T0 + dt.timedelta(days=i), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, i long").repartition(5)
+    sizes = [r["count"] for r in ordered.lay_out(df, ["symbol"], ["ts"], ties=True).groupBy("_part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.6 * 3000 / 4
+    got = ordered.numbered(df, ["symbol"], ["ts", "i"])
+    want = {(s, i): k for s in ("hot", "b", None) for k, i in enumerate((i for t, _, i in sorted(rows, key=lambda r: (r[1], r[2])) if t == s), 1)}
+    assert {(r["symbol"], r["i"]): r["_rn"] for r in got.collect()} == want
+    ranks = ordered.numbered(df.withColumn("v", F.lit(1)), ["v"], ["v"], ties=True).agg(F.count("*"), F.count_distinct("_rn"), F.min("_rn"), F.max("_rn")).first()
+    assert tuple(ranks) == (3000, 3000, 1, 3000)
+
+
+def test_running_values_cross_ranges(spark):
+    from tidelens.operators import ordered
+
+    steps = [(i * 7919) % 41 - 21 for i in range(900)]
+    rows = [("a" if i % 9 else "b", i, s, float(s) if s % 11 == 0 else None) for i, s in enumerate(steps)]
+    df = spark.createDataFrame(rows, "k string, i long, s long, v double").repartition(3)
+    level, last, want = {}, {}, {}
+    for k, i, s, v in rows:
+        level[k] = max(level.get(k, 0) + s, 0)
+        last[k] = v if v is not None else last.get(k)
+        want[i] = (level[k], last[k])
+    x = ordered.last_known(ordered.floored_sum(df, ["k"], ["i"], "s", "level"), ["k"], ["i"], "v", "last")
+    assert {r["i"]: (r["level"], r["last"]) for r in x.collect()} == want
+    assert ordered.numbered(df.limit(0), ["k"], ["i"]).count() == 0

@@ -16,6 +16,7 @@ from ..functions.expr import div
 from ..functions.rolling import lag
 from ..functions.special import normal_cdf, normal_pdf
 from .portfolio import cumulative_growth, drawdown
+from .ordered import numbered
 from .quantile import exact_quantiles
 from .series import blocks, number_rows, prefix, unblock
 
@@ -141,15 +142,9 @@ def streaks(rows: DataFrame, value: str) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("_sg") < 0, F.col("run"))), F.lit(0)).cast("long").alias("max_consecutive_losses"))
 
 
-def rank_rows(df: DataFrame, keys: list[str], order: str, tie: str, target: int = 20_000) -> DataFrame:
-    """``_rn`` by (order, tie) ascending inside each key; bins from a bounded sketch keep a large key from being
-    sorted in one task. The largest key sets how many bins there are, about ``target`` rows each."""
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    splits = max(2, min(1024, largest // target))
-    grid = [i / splits for i in range(1, splits)]
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, grid, 10 * splits)).alias("_e"))
-    x = df.join(edges, keys)
-    return number_rows(x, keys, (order, tie), F.size(F.filter("_e", lambda e: e < F.col(order)))).drop("_e")
+def rank_rows(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
+    """``_rn`` by (order, tie) ascending inside each key, over ranges of rows: neither a large key nor a common value is one task."""
+    return numbered(df, keys, [order, tie], ties=True)
 
 
 def rank_weighted(df: DataFrame, keys: list[str], by: str, value: str, tie: str, out: str) -> DataFrame:

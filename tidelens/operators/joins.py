@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import BUCKET_ROWS, number_rows, prefix
+from .ordered import last_known
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], cutoff: Column | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def latest(df: DataFrame, keys: list[str], order: list[str], cutoff: Column | No
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def asof(probes: DataFrame, series: DataFrame, key: str, time: str, columns: list[str], bucket: Column | None = None) -> DataFrame:
+def asof(probes: DataFrame, series: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
     """For each probe row the last series row at or before its time.
 
     Probes and series are laid in one ordered stream and the last series row is carried
@@ -25,8 +25,7 @@ def asof(probes: DataFrame, series: DataFrame, key: str, time: str, columns: lis
     p = probes.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(_struct_type(series, columns))})
     s = series.select(F.col(key), F.col(time), F.struct(*columns).alias("_v")).withColumn("_side", F.lit(0))
     both = p.unionByName(s, allowMissingColumns=True)
-    both = number_rows(both, (key,), (time, "_side"), bucket, BUCKET_ROWS)
-    both = prefix(both, {"_last": ("last", F.col("_v"))}, (key,))
+    both = last_known(both, [key], [time, "_side"], "_v", "_last")
     return both.filter("_side = 1").select(*probes.columns, *[F.col("_last")[n].alias(n) for n in columns])
 
 

@@ -4,7 +4,7 @@ A window partitioned by symbol puts a whole series in one task, and one symbol m
 hold a third of all rows. Here a series is numbered, then cut into blocks of
 consecutive rows:
 
-* ``number_rows``  exact row number per series from counts per time bucket (of even size for raw events);
+* ``number_rows``  exact row number per series of bars from counts per time bucket;
 * ``blocks``       each block also receives the rows just before (after) it that its
                    rolling frames need, so every frame is complete inside one block;
 * ``prefix``       running sum / max / min / last over the whole series: inside the
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from ..functions.expr import c
 
 BLOCK_ROWS = 4096
-BUCKET_ROWS = 50_000
 SCAN_ROWS = 512
 SCAN_FAN = 2048
 
@@ -32,30 +31,15 @@ def _default_bucket(order: str) -> Column:
     return F.date_trunc("month", F.col(order))
 
 
-def even_buckets(df: DataFrame, keys: list, time: str, bucket: str, target: int) -> DataFrame:
-    """Cut the buckets of each key at seconds so that a bucket has about ``target`` rows.
-
-    Rows are counted per second first, so what is ordered by bucket is one small row a second. Only a single second
-    with more rows than that stays together.
-    """
-    x = df.withColumn("_sec", F.coalesce(F.unix_seconds(F.col(time).cast("timestamp")), F.lit(-(2**62))))
-    per = x.groupBy(*keys, bucket, "_sec").agg(F.count(F.lit(1)).alias("_n"))
-    run = F.sum("_n").over(Window.partitionBy(*keys, bucket).orderBy("_sec"))
-    cut = per.select(*keys, bucket, "_sec", F.floor((run - F.col("_n")) / target).alias("_cut"))
-    return x.join(cut, [*keys, bucket, "_sec"]).withColumn(bucket, F.struct(F.col(bucket).alias("a"), F.col("_cut").alias("b"))).drop("_sec", "_cut")
-
-
-def number_rows(df: DataFrame, keys=("symbol",), order=("ts",), bucket: Column | None = None, target: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, keys=("symbol",), order=("ts",), bucket: Column | None = None) -> DataFrame:
     """Add ``_rn`` = 1, 2, ... per key in the given order.
 
     Rows are ranked inside ``bucket`` (a coarse monotone function of the order column, month by default) and shifted by
-    the count of all earlier buckets. With ``target`` buckets are cut to about that many rows, which series of raw
-    events need: a month of one key grows with the data, a month of hourly bars does not.
+    the count of all earlier buckets. For bars, of which a month holds so many at most; series of raw events are numbered
+    by ``ordered.numbered``.
     """
     keys = list(keys)
     x = df.withColumn("_bk", bucket if bucket is not None else _default_bucket(order[0]))
-    if target:
-        x = even_buckets(x, keys, order[0], "_bk", target)
     per = x.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import div
 from ..functions.rolling import mean
-from .series import BUCKET_ROWS, blocks, number_rows, unblock
+from .ordered import numbered
+from .series import blocks, number_rows, unblock
 
 # Fixed values.
 FUD_WORDS = ("scam", "rugpull", "exit scam", "ponzi", "dump", "crash", "hack")
@@ -65,10 +66,9 @@ def is_fud(content) -> Column:
 def deterioration(rows: DataFrame, share: float = 0.7, drop: float = 0.3, least: int = 10) -> DataFrame:
     """Mean sentiment of the first ``share`` of each protocol's posts by time against the rest.
 
-    Posts are numbered through counts of even buckets, so a protocol with most posts is not
-    sorted in one task.
+    Posts are numbered over ranges of rows, so a protocol with most posts is not sorted in one task.
     """
-    x = number_rows(rows, ("protocol",), ("ts", "post_id"), F.date_trunc("day", "ts"), BUCKET_ROWS)
+    x = numbered(rows.select("protocol", "ts", "post_id", "sentiment"), ["protocol"], ["ts", "post_id"])
     n = rows.groupBy("protocol").agg(F.count(F.lit(1)).alias("_n"))
     x = x.join(n, "protocol")
     old = F.col("_rn") <= F.floor(F.col("_n") * share)

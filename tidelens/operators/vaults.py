@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import div
 from ..functions.rolling import lag
 from .joins import latest
-from .series import BUCKET_ROWS, blocks, number_rows, prefix, unblock
+from .ordered import floored_sum
+from .series import blocks, number_rows, prefix, unblock
 
 
 def flow_totals(ledger: DataFrame, key: str) -> DataFrame:
@@ -20,14 +21,10 @@ def flow_totals(ledger: DataFrame, key: str) -> DataFrame:
 def running_balance(ledger: DataFrame, key: str = "vault") -> DataFrame:
     """Balance after each transaction, floored at 0 at every step.
 
-    With S the plain running sum, the floored balance is S - min(0, running min of S),
-    so the reflected walk is two associative prefixes, not a sequential loop.
-    """
+    Vaults are laid out in ranges of rows, and a range hands on its sum and its least sum."""
     signed = F.when(F.col("kind") == "deposit", F.col("amount")).when(F.col("kind") == "withdrawal", -F.col("amount")).otherwise(0)
-    x = number_rows(ledger.withColumn("_d", signed.cast("decimal(28,2)")), (key,), ("ts", "tx"), target=BUCKET_ROWS)
-    x = prefix(x, {"_s": ("sum", F.col("_d"))}, (key,))
-    x = prefix(x, {"_m": ("min", F.col("_s"))}, (key,))
-    return x.withColumn("balance", (F.col("_s") - F.least(F.col("_m"), F.lit(0))).cast("double")).drop("_d", "_s", "_m", "_rn")
+    x = floored_sum(ledger.withColumn("_d", signed.cast("decimal(28,2)")), [key], ["ts", "tx"], "_d", "balance")
+    return x.withColumn("balance", F.col("balance").cast("double")).drop("_d")
 
 
 def participant_stats(flows: DataFrame, now) -> DataFrame:

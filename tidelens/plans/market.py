@@ -197,7 +197,7 @@ def asof_price(spark, root):
     probes = t.filter("symbol <> 'error'").select(F.col("tie").alias("event_id"), "symbol", "ts")
     quotes = t.filter("symbol = 'error'").select(
         F.explode(F.array(*[F.lit(s) for s in ("click", "view", "signup", "purchase")])).alias("symbol"), "ts", "price")
-    return J.asof(probes, quotes, "symbol", "ts", ["price"], F.date_trunc("day", "ts"))
+    return J.asof(probes, quotes, "symbol", "ts", ["price"])
 
 
 @query("side_series_join", "JN-1 SRC-2 SRC-8", """WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, max(value) AS high FROM events GROUP BY 1, 2),
