@@ -146,3 +146,55 @@ def test_running_values_cross_ranges(spark):
     x = ordered.last_known(ordered.floored_sum(df, ["k"], ["i"], "s", "level"), ["k"], ["i"], "v", "last")
     assert {r["i"]: (r["level"], r["last"]) for r in x.collect()} == want
     assert ordered.numbered(df.limit(0), ["k"], ["i"]).count() == 0
+
+
+def test_quantiles_narrow_until_few_values_are_left(spark, monkeypatch):
+    from tidelens.operators import quantile
+
+    rng = np.random.default_rng(3)
+    passes, narrowed = [], quantile._narrowed
+    monkeypatch.setattr(quantile, "_narrowed", lambda *a: passes.append((out := narrowed(*a))[1]) or out)
+    for values in (rng.exponential(size=40_000) ** 4, np.where(rng.random(40_000) < 0.5, 3.0, rng.integers(0, 50, 40_000).astype(float))):
+        df = spark.createDataFrame([(str(i % 2), float(v)) for i, v in enumerate(values)], "k string, v double")
+        got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", [0.0, 0.01, 0.5, 0.999], list("abcd"), accuracy=200, limit=300).collect()}
+        for k in "01":
+            assert np.allclose([got[k][c] for c in "abcd"], np.quantile(values[int(k)::2], [0.0, 0.01, 0.5, 0.999]))
+    assert len(passes) >= 2 and passes[0] < 300  # a bracket of 1,000 rows before
+
+
+def test_correlations_of_many_series_by_tiles(spark, monkeypatch):
+    from tidelens.operators import market
+
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(40, 70)).cumsum(axis=0) + 1e6
+    data[:, 5] = 7.25  # constant
+    hole = rng.random((40, 70)) < 0.2
+    hole[11:, 9] = True  # under ten points in common with many
+    rows = [(f"s{j:03d}", i, None if hole[i, j] else float(data[i, j])) for i in range(40) for j in range(70)]
+    df = spark.createDataFrame(rows, "name string, day long, x double")
+    monkeypatch.setattr(market, "TILE", 16)
+    monkeypatch.setattr(market, "CHUNK", 9)
+    got = {(r["left"], r["right"]): (r["points"], r["correlation"]) for r in market.correlation_pairs(df, "name", "day", "x").collect()}
+    for a in range(70):
+        for b in range(a + 1, 70):
+            both = ~hole[:, a] & ~hole[:, b]
+            key = (f"s{a:03d}", f"s{b:03d}")
+            if both.sum() < 10:
+                assert key not in got
+                continue
+            x, y = data[both, a], data[both, b]
+            want = 0.0 if 5 in (a, b) else np.corrcoef(x, y)[0, 1]
+            assert got.pop(key) == (both.sum(), pytest.approx(want, abs=1e-9))
+    assert not got
+
+
+def test_two_thousand_series_have_the_plan_of_ten(spark):
+    from tidelens.operators.market import correlation_pairs
+
+    def plan(n):
+        df = spark.range(n * 12).select((F.col("id") % n).alias("s"), F.floor(F.col("id") / n).alias("t"), F.rand(7).alias("v"))
+        out = correlation_pairs(df, "s", "t", "v")
+        return out, out._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    small, large = plan(10), plan(2000)
+    assert small[1] == large[1] and large[0].count() == 2000 * 1999 // 2

@@ -119,25 +119,61 @@ def token_metrics(ticks: DataFrame, now: Column) -> DataFrame:
         "change_24h", 100.0 * div(F.col("price") - F.col("price_24h_ago"), "price_24h_ago"))
 
 
-def correlation_matrix(wide: DataFrame, names: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns in one aggregate, no self-join.
+TILE = 64  # series of a block, about
+CHUNK = 512  # points in time of a block, about
 
-    A pair needs 10 common points; an undefined correlation is 0.
+
+def correlation_pairs(rows: DataFrame, series: str, time: str, value: str, least: int = 10) -> DataFrame:
+    """left, right, points and Pearson correlation of every pair of series over their common times; a pair needs ``least`` of them, an
+    undefined correlation is 0.
+
+    Series are dealt into groups and times into chunks; a block holds the values of one group in one chunk. Blocks of a chunk meet in
+    pairs, and a tile of two blocks gives the sums of all its pairs by products of matrices, so a value is sent to as many tiles as there
+    are groups, not to every other series, and the plan is the same for any number of series. Values are taken less the least of their
+    series, which keeps the sums small.
     """
-    from itertools import combinations
-
-    pairs = list(combinations(names, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.lit(1))
-        aggs += [F.count(both).alias(f"n{i}"), F.corr(F.when(both == 1, F.col(a)), F.when(both == 1, F.col(b))).alias(f"c{i}")]
-    row = wide.agg(*aggs)
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"n{i}").alias("points"),
-                 F.coalesce(F.col(f"c{i}"), F.lit(0.0)).alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    return row.select(F.inline(cells)).filter(F.col("points") >= 10)
+    low = rows.groupBy(series).agg(F.min(value).alias("_low"))
+    x = rows.filter(F.col(value).isNotNull()).join(low, series).select(F.col(series).alias("s"), F.col(time).alias("t"), (F.col(value) - F.col("_low")).alias("v"))
+    size = x.agg(F.approx_count_distinct("s").alias("s"), F.approx_count_distinct("t").alias("t")).first()
+    groups, chunks = (max(1, -(-size[c] // n)) for c, n in (("s", TILE), ("t", CHUNK)))
+    block = x.groupBy(F.pmod(F.xxhash64("t"), F.lit(chunks)).alias("chunk"), F.pmod(F.xxhash64("s"), F.lit(groups)).alias("g")).agg(
+        F.collect_list("s").alias("s"), F.collect_list(F.xxhash64("t")).alias("t"), F.collect_list("v").alias("v"))  # one tile's side
+    a, b = (block.select("chunk", *[F.col(c).alias(f"{c}{i}") for c in "gstv"]) for i in "ab")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = a.join(b, "chunk").filter("ga <= gb").repartition(n, "ga", "gb")
+    kind = dict(x.dtypes)["s"]
+    sums = tiles.mapInPandas(_tile_sums, f"left {kind}, right {kind}, " + ", ".join(f"{c} double" for c in _SUMS))
+    t = sums.groupBy("left", "right").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    xx, yy = F.col("n") * F.col("xx") - F.col("x") * F.col("x"), F.col("n") * F.col("yy") - F.col("y") * F.col("y")
+    flat = (xx <= 1e-12 * F.col("n") * F.col("xx")) | (yy <= 1e-12 * F.col("n") * F.col("yy"))
+    r = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(xx * yy)
+    return t.filter(F.col("n") >= least).select("left", "right", F.col("n").cast("long").alias("points"), F.when(flat, 0.0).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("correlation"))
+
+
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _tile_sums(frames):
+    import numpy as np
+    import pandas as pd
+
+    def matrix(names, times, values, index):
+        who, at = np.unique(np.asarray(names, dtype=object), return_inverse=True)
+        m = np.full((len(index), len(who)), np.nan)
+        m[[index[t] for t in times], at] = values
+        has = ~np.isnan(m)
+        return who, np.where(has, m, 0.0), has.astype(float)
+
+    for pdf in frames:
+        for r in pdf.itertuples(index=False):
+            index = {t: i for i, t in enumerate(np.union1d(r.ta, r.tb).tolist())}
+            (wa, a, ha), (wb, b, hb) = matrix(r.sa, r.ta, r.va, index), matrix(r.sb, r.tb, r.vb, index)
+            sums = [ha.T @ hb, a.T @ hb, ha.T @ b, (a * a).T @ hb, ha.T @ (b * b), a.T @ b]
+            i, j = np.nonzero((wa[:, None] < wb[None, :]) if r.ga == r.gb else np.ones((len(wa), len(wb)), bool))
+            left, right, (n, x, y, xx, yy, xy) = wa[i], wb[j], (s[i, j] for s in sums)
+            turn = left > right  # the smaller name stands left
+            yield pd.DataFrame({"left": np.where(turn, right, left), "right": np.where(turn, left, right), "n": n, "x": np.where(turn, y, x), "y": np.where(turn, x, y),
+                                "xx": np.where(turn, yy, xx), "yy": np.where(turn, xx, yy), "xy": xy})[n > 0]
 
 
 def market_share(protocol_tvl: DataFrame) -> DataFrame:

@@ -106,9 +106,7 @@ FROM lastn a JOIN lastn b ON a.rk = b.rk AND a.protocol < b.protocol GROUP BY 1,
 @query("protocol_correlation", "JN-11 AG-17 AG-18", _CORR_SQL)
 def protocol_correlation(spark, root):
     last = M.recent(D.protocol_history(spark, root), "protocol", 30)
-    names = sorted(r["protocol"] for r in last.select("protocol").distinct().collect())  # one row for each protocol there is
-    wide = last.groupBy("rank").pivot("protocol", names).agg(F.first("tvl"))
-    return rounded(M.correlation_matrix(wide, names), ["correlation"])
+    return rounded(M.correlation_pairs(last, "protocol", "rank", "tvl"), ["correlation"])
 
 
 @query("market_share", "AG-19 AG-24", f"WITH {POS}, t AS (SELECT protocol, CAST(sum(CASE WHEN active THEN value END) AS DOUBLE) AS tvl FROM pos GROUP BY 1) SELECT protocol, tvl, round(tvl / (SELECT sum(tvl) FROM t) * 100, 6) AS share FROM t")
