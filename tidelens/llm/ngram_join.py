@@ -1,4 +1,4 @@
-"""Near-duplicate texts by Jaccard similarity of word shingles: groups of similar documents, their token unions, and bounds."""
+"""Near-duplicate texts by Jaccard similarity of word shingles: bounds by token unions, groups of similar documents, exact counts."""
 
 from __future__ import annotations
 
@@ -114,21 +114,52 @@ def _profiles(batches, n: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(size, pa.int64()), pa.array(_signed(k)), pa.array(_signed(k2))], ["d", "n", "k", "k2"])
 
 
-def _part_rows(batches, n: int, scheme: Scheme, shards: int) -> Iterator[pa.RecordBatch]:
-    """Per batch and shard of the key space one row of packed (part key, content key) pairs; equal texts of a slice count once."""
+def _token_rows(batches, n: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Per slice of texts and shard of the shingle space one row: content keys, how many shingles each has there, and 32 bits of these.
+
+    Equal texts of a slice count once."""
     for batch in batches:
-        found = []
         for part in T.slices(batch, "text", SLICE_BYTES):
             row, h = shingle_sets(part.column("text"), n)
             size, k, _ = content_keys(row, h, part.num_rows)
             first = np.zeros(part.num_rows, bool)
             first[np.unique(k, return_index=True)[1]] = True
             live = first[row]
-            row, h, size = row[live], h[live], np.where(first, size, 0)
-            who, key = part_keys(row, h, size, scheme)
-            found.append((key, k[who]))
-        key, node = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64),) * 2
-        yield _dealt(key, node, shards)
+            row, h = row[live], T.mix64(h[live])
+            shard = ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")  # rows stay in order
+            row, h, cuts = row[order], h[order].astype(np.uint32), np.searchsorted(shard[order], np.arange(shards + 1))
+            out = []
+            for i in range(shards):
+                own = row[cuts[i]:cuts[i + 1]]
+                if len(own):
+                    who, count = np.unique(own, return_counts=True)
+                    out.append((i, k[who].tobytes(), count.astype(np.uint32).tobytes(), h[cuts[i]:cuts[i + 1]].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "keys", "counts", "tokens"])
+
+
+def _shared(batches) -> Iterator[pa.RecordBatch]:
+    """(k, m): how many of a text's shingles in the shards of one partition are in another text too."""
+    keys, tokens, shard = [], [], []
+    for batch in batches:
+        for i, k, c, t in zip(*(batch.column(x).to_pylist() for x in ("shard", "keys", "counts", "tokens"))):
+            keys.append(np.repeat(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)))
+            tokens.append(np.frombuffer(t, np.uint32))
+            shard.append(i)
+    for one in sorted(set(shard)):
+        at = [j for j, i in enumerate(shard) if i == one]
+        k, t = np.concatenate([keys[j] for j in at]), np.concatenate([tokens[j] for j in at])
+        order = np.lexsort((k, t))
+        k, t = k[order], t[order]
+        new = np.ones(len(k), bool)  # a copy in another slice adds nothing
+        new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+        k, t = k[new], t[new]
+        same = np.zeros(len(t) + 1, bool)
+        same[1:-1] = t[1:] == t[:-1]
+        who, m = np.unique(k[same[1:] | same[:-1]], return_counts=True)
+        if len(who):
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(who)), pa.array(m, pa.int64())], ["k", "m"])
 
 
 def _dealt(key: np.ndarray, node: np.ndarray, shards: int) -> pa.RecordBatch:
@@ -140,12 +171,12 @@ def _dealt(key: np.ndarray, node: np.ndarray, shards: int) -> pa.RecordBatch:
                                        pa.array([node[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary())], ["shard", "keys", "nodes"])
 
 
-def _again_rows(batches, scheme: Scheme, shards: int) -> Iterator[pa.RecordBatch]:
-    """Part keys of stored sets under another hash, within their families."""
+def _part_rows(batches, scheme: Scheme, shards: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Per batch and shard of the key space one row of packed (part key, content key) pairs of stored sets, within their families."""
     for batch in batches:
         size = batch.column("n").to_numpy()
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]) if batch.num_rows else np.zeros(0, np.uint64)
-        who, key = part_keys(np.repeat(np.arange(batch.num_rows), size), h, size, scheme, 2)
+        who, key = part_keys(np.repeat(np.arange(batch.num_rows), size), h, size, scheme, seed)
         family = T.mix64(batch.column("family").to_numpy().view(np.uint64))
         yield _dealt(T.mix64(key ^ family[who]), batch.column("k").to_numpy()[who].view(np.uint64), shards)
 
@@ -242,10 +273,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words is one shingle) have ``den * |intersection| >= num * |union|``. Texts without words are linked with nothing and their own
     component. Rows with equal sets are one class from the start, so copies are compared once and joined back by class.
 
-    Steps: (1) sets are cut into parts by hash such that similar sets share a part; packed part keys meet by shard, and the texts
-    they connect form families - every link is inside one; a second cut inside the families makes them closer. (2) A family is dealt into groups of about GROUP_SHINGLES shingles, and
-    each group is stored with the union of its tokens. (3) For pairs of groups of a family with fitting sizes, a document's overlap
-    with the other group's union bounds its overlap with each document there; only groups that pass are opened and counted exactly.
+    Steps: (1) 32-bit forms of all shingles meet by shard; a text stays only if the shingles it shares with any other text reach num / den
+    of its own, as its overlap with the union of the others bounds that with each of them. Texts that merely share passages end here,
+    before anything of them is compared. (2) The sets left are cut into parts by hash such that similar sets share a part; packed part
+    keys meet by shard, and the texts they connect form families - every link is inside one. (3) A family is dealt into groups of about
+    GROUP_SHINGLES shingles, each stored with the union of its tokens. For pairs of groups of a family with fitting sizes, a document's
+    overlap with the other group's union bounds its overlap with each document there; only documents that pass are counted exactly.
     (4) Components of the links. Nothing is capped: a large family makes more groups, not larger ones.
 
     Null text is empty; a null id counts as the smallest; rows sharing an id are separate rows that share its component if equal in
@@ -256,15 +289,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prof = store(base.mapInArrow(lambda it: _profiles(it, n), "d long, n long, k long, k2 long"))
     total = prof.agg(F.sum("n")).first()[0] or 0
     shards = shards or max(8, total // SHARD_SHINGLES)
-    packed = base.select("text").mapInArrow(lambda it: _part_rows(it, n, scheme, shards), "shard int, keys binary, nodes binary")
-    meet = packed.repartition(shards, "shard").select("keys", "nodes").mapInArrow(_meet, "u long, v long")
-    families = components(meet)
+    # a text can only be similar to others if enough of its shingles are in others: the union of all other texts bounds every one of them
+    tokens = base.select("text").mapInArrow(lambda it: _token_rows(it, n, shards), "shard int, keys binary, counts binary, tokens binary")
+    shared = tokens.repartition(shards, "shard").mapInArrow(_shared, "k long, m long").groupBy("k").agg(F.sum("m").alias("m"))
     classes = prof.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("d").alias("d"))
-    members = classes.join(families, F.col("k") == F.col("node")).select("d", "n", "k", F.col("root").alias("family"))
+    members = classes.join(shared, "k").filter(F.col("m") * den >= F.col("n") * num).select("d", "n", "k", F.lit(0).cast("long").alias("family"))
     found = base.join(members.hint("merge"), "d").select("family", "k", "d", "n", "text")
     sets = store(found.mapInArrow(lambda it: _sets(it, n), "family long, k long, d long, n long, shingles binary"), "uncompressed")
-    again = sets.mapInArrow(lambda it: _again_rows(it, scheme, shards), "shard int, keys binary, nodes binary")
-    closer = components(again.repartition(shards, "shard").select("keys", "nodes").mapInArrow(_meet, "u long, v long"))
+    parts = sets.mapInArrow(lambda it: _part_rows(it, scheme, shards, 1), "shard int, keys binary, nodes binary")
+    closer = components(parts.repartition(shards, "shard").select("keys", "nodes").mapInArrow(_meet, "u long, v long"))
     kept = sets.join(closer.select(F.col("node").alias("k"), F.col("root").alias("home")), "k")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
     homes = store(kept.select("k", "n", "home", step.alias("step")))
@@ -295,7 +328,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Of several rows with this id one stays. A row without an id has the smallest and always stays; so do texts without words."""
     found = near_duplicates(docs, id_col, text_col, **how).filter("doc_id IS NOT NULL AND (component_id IS NULL OR doc_id <> component_id)")
-    gone = found.select(F.col("doc_id").alias("__d")).distinct()
-    kept = docs.withColumn("__d", F.col(id_col).cast("long")).join(gone.hint("merge"), "__d", "left_anti")
-    again = F.row_number().over(Window.partitionBy("__d").orderBy(F.xxhash64(text_col)))
-    return kept.withColumn("__r", again).filter("__r = 1 OR __d IS NULL").select(*docs.columns)
+    gone = found.select(F.col("doc_id").alias("__keep_one_id")).distinct()
+    kept = docs.withColumn("__keep_one_id", F.col(id_col).cast("long")).join(gone.hint("merge"), "__keep_one_id", "left_anti")
+    again = F.row_number().over(Window.partitionBy("__keep_one_id").orderBy(F.xxhash64(text_col)))
+    with_id = kept.filter("__keep_one_id IS NOT NULL").withColumn("__keep_one_place", again).filter("__keep_one_place = 1")
+    return with_id.select(*docs.columns).unionByName(kept.filter("__keep_one_id IS NULL").select(*docs.columns))
