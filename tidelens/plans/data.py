@@ -294,11 +294,11 @@ def compatibility_rule(spark, root):
     return out.select("o_orderkey", "strategy", F.array_join("invalid", ",").alias("invalid"), "valid")
 
 
-@query("rebalance_rule", "FLT-21", f"""WITH {_AL}, t AS (SELECT portfolio, protocol, 100.0 / 6 AS target FROM al), d AS (SELECT t.portfolio, abs(coalesce(percentage, 0) - target) / 100 AS drift FROM t LEFT JOIN (SELECT * FROM al WHERE protocol <> 'curve') a ON a.portfolio = t.portfolio AND a.protocol = t.protocol)
+@query("rebalance_rule", "FLT-21", f"""WITH {_AL}, t AS (SELECT portfolio, protocol, 100.0 / 6 AS target FROM al), d AS (SELECT t.portfolio, abs(coalesce(percentage, 0) - target) / 100 AS drift FROM t LEFT JOIN al a ON a.portfolio = t.portfolio AND a.protocol = t.protocol)
 SELECT portfolio, round(max(drift), 6) AS max_drift, count(*) FILTER (drift > 0.05) AS drifted, max(drift) > 0.05 AS rebalance FROM d GROUP BY 1""")
 def rebalance_rule(spark, root):
     a = _percentages(spark, root)
-    return rounded(U.rebalance_drift(a.filter("protocol <> 'curve'"), a.withColumn("percentage", F.lit(100.0 / 6))), ["max_drift"])
+    return rounded(U.rebalance_drift(a, a.withColumn("percentage", F.lit(100.0 / 6))), ["max_drift"])
 
 
 # --- sets, scalar functions ---------------------------------------------------------

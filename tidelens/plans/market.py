@@ -199,13 +199,15 @@ def asof_price(spark, root):
 
 
 @query("side_series_join", "JN-1 SRC-2 SRC-8", """WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, max(value) AS high FROM events GROUP BY 1, 2),
-s AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS score, count(*) AS posts FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2)
+s AS (SELECT event_type AS symbol, date_trunc('hour', ts) + INTERVAL 1 DAY AS ts, round(avg(value), 6) AS score, count(*) AS posts FROM events GROUP BY 1, 2)
 SELECT b.symbol, b.ts, b.high, s.score AS sentiment_score, s.posts AS sentiment_posts FROM b LEFT JOIN s USING (symbol, ts)""")
 def side_series_join(spark, root):
     ev = table(spark, root, "events")
     keys = [F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("ts")]
     base = ev.groupBy(*keys).agg(F.max("value").alias("high"))
-    side = ev.filter("user_id % 3 = 0").groupBy(*keys).agg(rnd(F.avg("value")).alias("score"), F.count(F.lit(1)).alias("posts"))
+    # the day before is the side series: hours without events then, and the whole first day, lack it
+    before = [keys[0], (F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 DAY")).alias("ts")]
+    side = ev.groupBy(*before).agg(rnd(F.avg("value")).alias("score"), F.count(F.lit(1)).alias("posts"))
     return J.attach(base, {"sentiment": side}, ["symbol", "ts"])
 
 
@@ -244,14 +246,14 @@ def signal_trade_join(spark, root):
 
 
 @query("transfer_to_vault", "JN-7", """WITH f AS (SELECT l_orderkey AS tx, l_linenumber AS line, l_suppkey AS source, l_partkey AS destination, l_extendedprice AS amount FROM lineitem),
-v AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 2 = 0)
+v AS (SELECT s_suppkey AS k FROM supplier)
 SELECT tx, line, source, destination, amount, source AS owner, 'source' AS side FROM f JOIN v ON source = k
 UNION ALL SELECT tx, line, source, destination, amount, destination, 'destination' FROM f JOIN v ON destination = k""")
 def transfer_to_vault(spark, root):
     f = table(spark, root, "lineitem").select(
         F.col("l_orderkey").alias("tx"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("source"),
         F.col("l_partkey").alias("destination"), F.col("l_extendedprice").alias("amount"))
-    v = table(spark, root, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"))
+    v = table(spark, root, "supplier").select(F.col("s_suppkey").alias("k"))
     return J.touch_either(f, "source", "destination", v, "k")
 
 
@@ -315,12 +317,13 @@ def asset_panel(spark, root):
     return B.panel(B.event_bars(spark, root), ["click", "error", "purchase", "signup", "view"], "close")
 
 
-@query("drift_key_union", "JN-13 PF-17", f"""WITH {D.ALLOCATIONS_SQL}, a AS (SELECT * FROM al WHERE asset <> 'a3'), b AS (SELECT portfolio, asset, weight * 0.9 AS weight FROM al WHERE asset <> 'a7')
+@query("drift_key_union", "JN-13 PF-17", f"""WITH {D.ALLOCATIONS_SQL}, am2 AS (SELECT o_custkey % 25 AS portfolio, 'a' || (l_suppkey % 12) AS asset, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+b AS (SELECT portfolio, asset, CAST(amount AS DOUBLE) / CAST(sum(amount) OVER (PARTITION BY portfolio) AS DOUBLE) AS weight FROM am2)
 SELECT coalesce(a.portfolio, b.portfolio) AS portfolio, round(max(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))), 6) AS drift
-FROM a FULL JOIN b ON a.portfolio = b.portfolio AND a.asset = b.asset GROUP BY 1""")
+FROM al a FULL JOIN b ON a.portfolio = b.portfolio AND a.asset = b.asset GROUP BY 1""")
 def drift_key_union(spark, root):
     from ..operators.portfolio import allocation_drift
 
-    al = D.allocations(spark, root)
-    now, before = al.filter("asset <> 'a3'"), al.filter("asset <> 'a7'").withColumn("weight", F.col("weight") * 0.9)
-    return rounded(allocation_drift(now, before), ["drift"])
+    # assets by part now and by supplier before: a10 and a11 are only in the latter
+    before = D.allocations(spark, root, F.concat(F.lit("a"), F.col("l_suppkey") % 12))
+    return rounded(allocation_drift(D.allocations(spark, root), before), ["drift"])

@@ -164,11 +164,11 @@ def fallback_allocation(spark, root):
     return rounded(P.fallback_allocation(t), ["weight"])
 
 
-_SENT = f"""{D.POSTS_SQL}, se AS (SELECT 'a' || substr(protocol, 2) AS asset, sum(sentiment * confidence) / sum(confidence) AS score, avg(confidence) AS confidence, count(*) FILTER (sentiment < -0.5) AS neg FROM pp WHERE protocol <> 'p4' GROUP BY 1)"""
+_SENT = f"""{D.POSTS_SQL}, se AS (SELECT 'a' || substr(protocol, 2) AS asset, sum(sentiment * confidence) / sum(confidence) AS score, avg(confidence) AS confidence, count(*) FILTER (sentiment < -0.5) AS neg FROM pp GROUP BY 1)"""
 
 
 def _asset_sentiment(spark, root):
-    p = D.posts(spark, root).select("post_id", "sentiment", "confidence", F.explode("protocols").alias("protocol")).filter("protocol <> 'p4'")
+    p = D.posts(spark, root).select("post_id", "sentiment", "confidence", F.explode("protocols").alias("protocol"))
     return p.groupBy(F.concat(F.lit("a"), F.substring("protocol", 2, 3)).alias("asset")).agg(
         div(F.sum(F.col("sentiment") * F.col("confidence")), F.sum("confidence")).alias("score"), F.avg("confidence").alias("confidence"),
         F.count_if(F.col("sentiment") < -0.5).alias("neg"))

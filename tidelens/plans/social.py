@@ -49,11 +49,11 @@ def dominant_themes(spark, root):
     return rounded(S.themes(D.posts(spark, root)), ["score"])
 
 
-_OUT = "oc AS (SELECT platform, author, avg(CASE WHEN (post_id * 13) % 10 < 6 THEN 1.0 ELSE 0.0 END) AS accuracy_score, count(*) AS prediction_count FROM posts WHERE post_id % 3 = 0 GROUP BY 1, 2)"
+_OUT = "oc AS (SELECT platform, author, avg(CASE WHEN (post_id * 13) % 10 < 6 THEN 1.0 ELSE 0.0 END) AS accuracy_score, count(*) AS prediction_count FROM posts GROUP BY 1, 2)"
 
 
 def _accuracy(spark, root):
-    p = D.posts(spark, root).filter("post_id % 3 = 0")
+    p = D.posts(spark, root)
     return S.influencer_accuracy(p.select("platform", "author", F.when((F.col("post_id") * 13) % 10 < 6, 1.0).otherwise(0.0).alias("outcome")))
 
 

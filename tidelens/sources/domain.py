@@ -78,13 +78,14 @@ def market_values(spark: SparkSession, root: str) -> DataFrame:
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("market"))
 
 
-def allocations(spark: SparkSession, root: str) -> DataFrame:
-    """Weights of ten assets in each of 25 portfolios, by supplied value."""
+def allocations(spark: SparkSession, root: str, asset=None) -> DataFrame:
+    """Weights of the assets (ten, if not given) in each of 25 portfolios, by supplied value."""
+    asset = F.concat(F.lit("a"), F.col("l_partkey") % 10) if asset is None else asset
     li = table(spark, root, "lineitem")
     od = table(spark, root, "orders").select("o_orderkey", "o_custkey")
     amounts = (
         li.join(od, li.l_orderkey == od.o_orderkey)
-        .groupBy((F.col("o_custkey") % 25).alias("portfolio"), F.concat(F.lit("a"), F.col("l_partkey") % 10).alias("asset"))
+        .groupBy((F.col("o_custkey") % 25).alias("portfolio"), asset.alias("asset"))
         .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"))
     )
     total = amounts.groupBy("portfolio").agg(F.sum("amount").alias("total"))
