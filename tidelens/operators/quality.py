@@ -6,6 +6,8 @@ saved beside the data and applied to other data.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -273,75 +275,89 @@ def winsorize(df: DataFrame, columns: list[str], lo: float = 0.05, hi: float = 0
     return _apply(df, st, columns, ["lo", "hi"], lambda x, s: clip(x, s["lo"], s["hi"]))
 
 
-def outliers_forest(df: DataFrame, columns: list[str], key: str, share: float = 0.05, trees: int = 32,
+def forest_pool(df: DataFrame, columns: list[str], key: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """(tree, x) of the rows that trees grow on: about ``trees * sample`` in all, chosen by MD5 of the key.
+
+    A row is taken if its hash lies below that share of the rows, and belongs to one tree; only of a table smaller than all samples
+    does a row stand in several, as many as the samples need."""
+    n = df.agg(F.count(F.lit(1))).first()[0] or 1
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    copies = min(trees, max(1, math.ceil(trees * sample / n)))
+    rows = df.filter(part(1) / 2.0**32 < trees * sample / n).dropna(subset=columns)
+    return rows.select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("j"), part(9).alias("t"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).select(
+        ((F.col("t") + F.col("j")) % trees).cast("int").alias("tree"), "x")
+
+
+def _grown(pdf, depth: int, seed: int):
+    """The nodes of one tree, numbered as in a heap: column, cut and size. A node's column and cut follow from MD5 of tree and node."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    tree, data, out = int(pdf["tree"].iloc[0]), np.array(pdf["x"].tolist(), dtype=float), []
+
+    def grow(node: int, level: int, rows) -> None:
+        low, high = (f(data[rows], axis=0) for f in (np.min, np.max))
+        wide = np.flatnonzero(high > low)
+        if level == depth or not len(wide):
+            out.append((node, -1, 0.0, len(rows)))
+            return
+        digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+        c = int(wide[int(digest[8:16], 16) % len(wide)])
+        cut = low[c] + int(digest[:8], 16) / 2.0**32 * (high[c] - low[c])
+        out.append((node, c, cut, len(rows)))
+        right = data[rows, c] >= cut
+        for child, own in ((2 * node, rows[~right]), (2 * node + 1, rows[right])):
+            if len(own):
+                grow(child, level + 1, own)
+
+    grow(1, 0, np.arange(len(data)))
+    return pd.DataFrame([(tree, *r) for r in out], columns=["tree", "node", "c", "cut", "size"])
+
+
+def outliers_forest(df: DataFrame, columns: list[str], key: str, share: float = 0.05, trees: int = 100,
                     sample: int = 256, seed: int = 11) -> DataFrame:
-    """Isolation forest: trees grow on small samples in parallel, all rows are scored.
+    """Isolation forest: trees grow on samples of about ``sample`` rows in parallel, and every row is scored, once.
 
-    Rows over the exact (1 - share) quantile of the score get the inlier median.
+    All choices follow from MD5, so a lost task repeats them and SQL can. Rows over the exact (1 - share) quantile of the score get the
+    inlier median. A null goes to the right of every cut. The forest, at most ``trees * 2 * sample`` nodes, is broadcast.
     """
     import numpy as np
     import pandas as pd
 
-    x = df.select(key, F.array(*[F.col(n).cast("double") for n in columns]).alias("_x"))
-    picks = (
-        x.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), key, "_x")
-        .withColumn("_h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)))
-    )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("tree").orderBy("_h", key)  # limit pushed below the shuffle
-    picks = picks.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).select("tree", "_r", "_x")
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r")
-        rng = np.random.default_rng(int(pdf["tree"].iloc[0]) + seed)
-        data, depth = np.array(pdf["_x"].tolist(), dtype=float), int(np.ceil(np.log2(max(len(pdf), 2))))
-        nodes = []
-
-        def split(rows, level):
-            at = len(nodes)
-            nodes.append([-1.0, 0.0, -1.0, -1.0, float(len(rows)), float(level)])
-            spread = data[rows].max(axis=0) - data[rows].min(axis=0) if len(rows) else np.zeros(data.shape[1])
-            if level < depth and len(rows) > 1 and (spread > 0).any():
-                col = int(rng.choice(np.where(spread > 0)[0]))
-                cut = rng.uniform(data[rows, col].min(), data[rows, col].max())
-                left = data[rows, col] < cut
-                nodes[at][:2] = [float(col), float(cut)]
-                nodes[at][2] = float(split(rows[left], level + 1))
-                nodes[at][3] = float(split(rows[~left], level + 1))
-            return at
-
-        split(np.arange(len(data)), 0)
-        return pd.DataFrame({"nodes": [[v for n in nodes for v in n]]})
-
-    grown_rows = picks.groupBy("tree").applyInPandas(grow, "nodes array<double>").collect()  # ``trees`` small arrays
-    forest = df.sparkSession.sparkContext.broadcast([np.array(r["nodes"], dtype=float).reshape(-1, 6) for r in grown_rows])
+    depth = max(1, math.ceil(math.log2(sample)))
+    pool = forest_pool(df, columns, key, trees, sample, seed)
+    nodes = pool.groupBy("tree").applyInPandas(lambda pdf: _grown(pdf, depth, seed), "tree int, node int, c int, cut double, size long").collect()
+    forest = {}
+    for r in nodes:
+        c, cut, size = forest.setdefault(r["tree"], (np.full(2 ** (depth + 1), -1), np.zeros(2 ** (depth + 1)), np.zeros(2 ** (depth + 1))))
+        c[r["node"]], cut[r["node"]], size[r["node"]] = r["c"], r["cut"], r["size"]
+    shared = df.sparkSession.sparkContext.broadcast(list(forest.values()))
 
     def path_norm(n):
-        n = np.maximum(n, 1.0)
-        return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
+        return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
     def score(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            v = np.array(pdf["_x"].tolist(), dtype=float)
-            total = np.zeros(len(v))
-            grown = forest.value
-            for t in grown:
-                at = np.zeros(len(v), dtype=int)
-                while True:
-                    inner = t[at, 0] >= 0
-                    if not inner.any():
-                        break
-                    c = t[at, 0].astype(int).clip(0)
-                    left = v[np.arange(len(v)), c] < t[at, 1]
-                    at = np.where(inner, np.where(left, t[at, 2], t[at, 3]).astype(int), at)
-                total += t[at, 5] + path_norm(t[at, 4])
-            yield pd.DataFrame({key: pdf[key], "score": 2.0 ** (-(total / len(grown)) / path_norm(np.array([float(sample)]))[0])})
+            v = np.array(pdf["x"].tolist(), dtype=float)
+            total, rows = np.zeros(len(v)), np.arange(len(v))
+            for c, cut, size in shared.value:
+                at = np.ones(len(v), dtype=int)
+                for _ in range(depth):
+                    inner = c[at] >= 0
+                    right = ~(v[rows, c[at].clip(0)] < cut[at])
+                    at = np.where(inner, 2 * at + right, at)
+                total += np.floor(np.log2(at)) + path_norm(size[at])
+            mean = np.round(total / max(len(shared.value), 1), 9)
+            yield pd.DataFrame({key: pdf[key], "score": 2.0 ** (-mean / path_norm(np.array(float(sample))))})
 
     key_type = df.schema[key].dataType.simpleString()
-    scored = x.mapInPandas(score, f"{key} {key_type}, score double")
+    rows = df.select(key, F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(float("nan"))) for n in columns]).alias("x"))
+    scored = cut_lineage(rows.mapInPandas(score, f"{key} {key_type}, score double"))
     cut = exact_quantiles(scored, [], "score", [1.0 - share], ["cut"]).scalar()
     flagged = df.join(scored.withColumn("outlier", F.col("score") > cut), key)
     med = column_quantiles(flagged.filter(~F.col("outlier")), columns, [0.5], ["m"])

@@ -118,10 +118,35 @@ def winsorize(spark, root):
     return _keep(Q.winsorize(_lines(spark, root), _LI))
 
 
-@query("outliers_forest", "DP-11")
+_FOREST = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM orders),
+h AS (SELECT o_orderkey AS k, o_totalprice AS a, CAST(o_custkey AS DOUBLE) AS b, md5('11:' || o_orderkey) AS m FROM orders),
+pool AS (SELECT a, b, (CAST('0x' || m[9:16] AS BIGINT) + j) % 100 AS tree FROM h, n, range(0, 100) r(j) WHERE j < greatest(1, ceil(25600.0 / n)) AND CAST('0x' || m[1:8] AS BIGINT) / 4294967296.0 < 25600.0 / n),
+grow AS (
+  SELECT tree, CAST(1 AS BIGINT) AS node, 0 AS level, a, b FROM pool
+  UNION ALL
+  SELECT tree, 2 * node + CASE WHEN CASE WHEN c = 0 THEN a ELSE b END >= CASE WHEN c = 0 THEN la + u * (ha - la) ELSE lb + u * (hb - lb) END THEN 1 ELSE 0 END, level + 1, a, b
+  FROM (SELECT *, CASE WHEN ha > la AND hb > lb THEN CAST('0x' || m[9:16] AS BIGINT) % 2 WHEN ha > la THEN 0 ELSE 1 END AS c, CAST('0x' || m[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u
+        FROM (SELECT *, min(a) OVER w AS la, max(a) OVER w AS ha, min(b) OVER w AS lb, max(b) OVER w AS hb, md5('11:' || tree || ':' || node) AS m FROM grow WHERE level < 8 WINDOW w AS (PARTITION BY tree, node)))
+  WHERE ha > la OR hb > lb),
+nodes AS (
+  SELECT *, CASE WHEN level = 8 OR (ha = la AND hb = lb) THEN -1 WHEN ha > la AND hb > lb THEN CAST('0x' || m[9:16] AS BIGINT) % 2 WHEN ha > la THEN 0 ELSE 1 END AS c, CAST('0x' || m[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u
+  FROM (SELECT tree, node, level, count(*) AS size, min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb, md5('11:' || tree || ':' || node) AS m FROM grow GROUP BY tree, node, level)),
+walk AS (
+  SELECT k, a, b, CAST(t AS BIGINT) AS tree, CAST(1 AS BIGINT) AS node, 0 AS level FROM h, range(0, 100) r(t)
+  UNION ALL
+  SELECT k, a, b, w.tree, 2 * w.node + CASE WHEN CASE WHEN c = 0 THEN a ELSE b END >= CASE WHEN c = 0 THEN la + u * (ha - la) ELSE lb + u * (hb - lb) END THEN 1 ELSE 0 END, w.level + 1
+  FROM walk w JOIN nodes ON w.tree = nodes.tree AND w.node = nodes.node WHERE c >= 0),
+ends AS (SELECT w.k, w.level, coalesce(size, 0) AS size FROM walk w LEFT JOIN nodes ON w.tree = nodes.tree AND w.node = nodes.node WHERE coalesce(c, -1) < 0),
+s AS (SELECT k, pow(2.0, -round(sum(level + CASE WHEN size > 2 THEN 2 * (ln(size - 1) + 0.5772156649) - 2.0 * (size - 1) / size WHEN size = 2 THEN 1 ELSE 0 END) / 100, 9) / (2 * (ln(255.0) + 0.5772156649) - 2.0 * 255 / 256)) AS score FROM ends GROUP BY k),
+f AS (SELECT k, score > (SELECT quantile_cont(score, 0.95) FROM s) AS outlier FROM s),
+md AS (SELECT median(a) AS a, median(b) AS b FROM h JOIN f USING (k) WHERE NOT outlier)
+SELECT k AS o_orderkey, CASE WHEN outlier THEN md.a ELSE h.a END AS o_totalprice, CASE WHEN outlier THEN md.b ELSE h.b END AS c, outlier FROM h JOIN f USING (k), md"""
+
+
+@query("outliers_forest", "DP-11", _FOREST)
 def outliers_forest(spark, root):
     e = table(spark, root, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("c"))
-    return Q.outliers_forest(e, ["o_totalprice", "c"], "o_orderkey")
+    return Q.outliers_forest(e, ["o_totalprice", "c"], "o_orderkey").select("o_orderkey", "o_totalprice", "c", "outlier")
 
 
 # fitted on even orders, applied to all
