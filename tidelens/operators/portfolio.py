@@ -45,6 +45,44 @@ def cumulative_growth(series: DataFrame, ret: str, out: str = "growth", keys=("s
     return x.withColumn(out, F.when(F.col("_zr") > 0, 0.0).otherwise(sign * F.exp("_ls"))).drop("_ls", "_ng", "_zr")
 
 
+SPANS = {"monthly": 30, "quarterly": 90, "yearly": 365}  # days of the return periods (fixed values)
+
+
+def return_analysis(values: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Returns by period and risk of each vault's value series (symbol, ts, value), inside a range of dates if given.
+
+    A period's return is the newest value against the last one at or before the period's start, null if there is none. Volatility is the
+    sample deviation of step returns, downside deviation the root mean square of the negative ones, max_drawdown zero or below. Sortino:
+    mean step return by downside deviation; calmar: yearly return by drawdown; risk_adjusted: the whole return by volatility. A ratio
+    with a zero or missing denominator is 0. All of it is one pass over the numbered series and one aggregate.
+    """
+    x = values
+    if start is not None:
+        x = x.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        x = x.filter(F.col("ts") <= F.lit(end).cast("timestamp"))
+    now = x.agg(F.max("ts")).scalar()
+    r = drawdown(with_returns(x), "value")
+    cutoff = {n: F.max_by("value", F.when(F.col("ts") <= now - F.make_dt_interval(F.lit(d)), F.col("ts"))).alias(f"_{n}") for n, d in SPANS.items()}
+    ret, step = F.col("ret"), F.col("_rn") > 1
+    g = r.groupBy("symbol").agg(
+        F.max_by("value", "ts").alias("_now"), F.min_by("value", "ts").alias("_first"), *cutoff.values(), F.stddev_samp(F.when(step, ret)).alias("_vol"),
+        F.max("drawdown").alias("_dd"), F.sqrt(F.avg(F.when(step, F.least(ret, F.lit(0.0)) * F.least(ret, F.lit(0.0))))).alias("_down"), F.avg(F.when(step, ret)).alias("_mean"))
+    since = lambda c: div(F.col("_now") - F.col(c), c)
+    ratio = lambda a, b: F.coalesce(div(a, b), F.lit(0.0))
+    return g.select("symbol", *[since(f"_{n}").alias(n) for n in SPANS], ratio(since("_first"), F.col("_vol")).alias("risk_adjusted"), F.col("_vol").alias("volatility"),
+                    (-F.col("_dd")).alias("max_drawdown"), F.col("_down").alias("downside_deviation"), ratio(F.col("_mean"), F.col("_down")).alias("sortino_ratio"),
+                    ratio(since("_yearly"), F.col("_dd")).alias("calmar_ratio"))
+
+
+def asset_correlations(vaults: DataFrame, assets: DataFrame, least: int = 10) -> DataFrame:
+    """Correlation of each vault's step returns with each asset's over their common times (both: symbol, ts, ret; first steps left out)."""
+    v = vaults.filter("_rn > 1").select("symbol", "ts", "ret")
+    a = assets.filter("_rn > 1").select(F.col("symbol").alias("asset"), "ts", F.col("ret").alias("_other"))
+    g = v.join(a, "ts").groupBy("symbol", "asset").agg(F.count(F.lit(1)).alias("points"), F.corr("ret", "_other").alias("correlation"))
+    return g.filter(F.col("points") >= least).withColumn("correlation", F.coalesce(F.nanvl("correlation", F.lit(None)), F.lit(0.0)))
+
+
 def value_at_risk(returns: DataFrame, keys=("symbol",), ret: str = "ret") -> DataFrame:
     """Positional VaR at 95 and 99 and the mean of the floor(n*0.05) lowest returns, as sizes."""
     keys = list(keys)

@@ -107,6 +107,36 @@ def vault_analytics(spark, root):
     return b.groupBy("symbol", F.date_trunc("month", "ts").alias("month")).agg(rnd(F.max_by("balance", "ts"), 2).alias("balance"))
 
 
+_ANALYSIS = """now AS (SELECT max(ts) AS now FROM rr), dd AS (SELECT symbol, max((peak - value) / nullif(peak, 0)) AS dd FROM (SELECT *, max(value) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM rr) GROUP BY 1),
+g AS (SELECT symbol, arg_max(value, ts) AS v, arg_min(value, ts) AS f, arg_max(value, ts) FILTER (ts <= now - INTERVAL 30 DAY) AS m, arg_max(value, ts) FILTER (ts <= now - INTERVAL 90 DAY) AS q, arg_max(value, ts) FILTER (ts <= now - INTERVAL 365 DAY) AS y,
+ stddev_samp(ret) FILTER (rn > 1) AS vol, sqrt(avg(least(ret, 0) * least(ret, 0)) FILTER (rn > 1)) AS down, avg(ret) FILTER (rn > 1) AS mean FROM rr, now GROUP BY 1)
+SELECT symbol, round((v - m) / nullif(m, 0), 5) AS monthly, round((v - q) / nullif(q, 0), 5) AS quarterly, round((v - y) / nullif(y, 0), 5) AS yearly, round(coalesce((v - f) / nullif(f, 0) / nullif(vol, 0), 0), 5) AS risk_adjusted, round(vol, 5) AS volatility,
+ round(-dd, 5) AS max_drawdown, round(down, 5) AS downside_deviation, round(coalesce(mean / nullif(down, 0), 0), 5) AS sortino_ratio, round(coalesce((v - y) / nullif(y, 0) / nullif(dd, 0), 0), 5) AS calmar_ratio FROM g JOIN dd USING (symbol)"""
+_NUMBERS = ["monthly", "quarterly", "yearly", "risk_adjusted", "volatility", "max_drawdown", "downside_deviation", "sortino_ratio", "calmar_ratio"]
+_RR = "rr AS (SELECT symbol, ts, value, coalesce(CASE WHEN prev > 0 THEN (value - prev) / prev ELSE 0 END, 0) AS ret, rn FROM (SELECT portfolio AS symbol, ts, value, lag(value) OVER w AS prev, row_number() OVER w AS rn FROM pv{} WINDOW w AS (PARTITION BY portfolio ORDER BY ts)))"
+
+
+@query("vault_return_analysis", "PF-27", f"WITH {D.VALUES_SQL}, {_RR.format('')}, {_ANALYSIS}")
+def vault_return_analysis(spark, root):
+    return rounded(P.return_analysis(_values(spark, root)), _NUMBERS, 5)
+
+
+@query("vault_return_analysis_range", "PF-27 FLT-6", f"WITH {D.VALUES_SQL}, {_RR.format(" WHERE ts BETWEEN '1995-06-01' AND '1998-03-31'")}, {_ANALYSIS}")
+def vault_return_analysis_range(spark, root):
+    return rounded(P.return_analysis(_values(spark, root), "1995-06-01", "1998-03-31"), _NUMBERS, 5)
+
+
+@query("vault_asset_correlation", "PF-27", f"""WITH {D.VALUES_SQL}, {_RR.format('')},
+ap AS (SELECT 'a' || (l_partkey % 10) AS symbol, o_orderdate AS ts, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+ar AS (SELECT symbol, ts, CASE WHEN prev > 0 THEN (value - prev) / prev ELSE 0 END AS ret FROM (SELECT *, lag(value) OVER w AS prev, row_number() OVER w AS rn FROM ap WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE rn > 1)
+SELECT rr.symbol, ar.symbol AS asset, count(*) AS points, round(coalesce(corr(rr.ret, ar.ret), 0), 5) + 0.0 AS correlation FROM rr JOIN ar ON rr.ts = ar.ts WHERE rn > 1 GROUP BY 1, 2 HAVING count(*) >= 10""")
+def vault_asset_correlation(spark, root):
+    li, od = table(spark, root, "lineitem"), table(spark, root, "orders")
+    prices = li.join(od, li.l_orderkey == od.o_orderkey).groupBy(F.concat(F.lit("a"), F.col("l_partkey") % 10).alias("symbol"), F.col("o_orderdate").alias("ts")).agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("value"))
+    return rounded(P.asset_correlations(P.with_returns(_values(spark, root)), P.with_returns(prices)), ["correlation"], 5)
+
+
 # market states: hourly bars with derived volatility, liquidity and sentiment
 _STATES = EVENT_BARS + """,
 st AS (SELECT ts, symbol AS asset, close AS price, volume, (high - low) / (high + low) AS volatility, volume / (volume + 50) AS liquidity, least(volume / 200, 1.0) AS sentiment FROM bars)"""
