@@ -198,3 +198,32 @@ def test_two_thousand_series_have_the_plan_of_ten(spark):
 
     small, large = plan(10), plan(2000)
     assert small[1] == large[1] and large[0].count() == 2000 * 1999 // 2
+
+
+def test_weighted_average_keeps_its_digits_far_into_a_series(spark):
+    from tidelens.operators.registry import many
+
+    rng = np.random.default_rng(8)
+    close = 100 + rng.normal(size=60).cumsum()
+    rows = [("a", hours(i), float(x), float(x), float(x), float(x), 1.0, 10**9 + i + 1) for i, x in enumerate(close)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double, _rn long")
+    got = {r["ts"]: r["w"] for r in many(bars, {"w": ("wma", 14)}, keep=("symbol", "ts")).collect()}
+    weights = np.arange(1, 15) / 105.0
+    for i in range(14, 60):
+        assert abs(got[hours(i)] - close[i - 13:i + 1] @ weights) < 1e-9
+
+
+def test_principal_components_of_broken_vectors_and_empty_tables(spark):
+    from tidelens.operators.prep import principal_components
+
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(30, 4)) * [4, 2, 1, 0.5])] + [(90, None), (91, [1.0, None, 0.0, 0.0]), (92, [1.0]), (93, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = {r["vec_id"]: [r[f"pca_{i}"] for i in range(1, 5)] for r in principal_components(df, "v", k=9).collect()}
+    assert all(got[i] == [None] * 4 for i in (90, 91, 92, 93)) and len(got) == 34
+    x = np.array([v for i, v in rows[:30]])
+    scores = np.array([got[i] for i in range(30)])
+    assert np.allclose(np.linalg.norm(scores, axis=1), np.linalg.norm(x, axis=1))  # a rotation
+    assert np.allclose(np.var(scores, axis=0), np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1])
+    assert principal_components(df, "v", share=0.5).columns == ["vec_id", "pca_1"]
+    assert principal_components(df.limit(0), "v", share=0.5).count() == 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,9 +65,10 @@ def ema(t, n):
 
 
 def wma(t, n):
-    # sum of (position in series) * close gives linear weights after shifting by the frame start
-    weighted = total(F.col(RN) * F.col(CLOSE), n) - (F.col(RN) - n) * total(CLOSE, n)
-    yield Roll([{t("y"): weighted / (n * (n + 1) / 2.0)}], n - 1)
+    # sum of (position in block) * close gives linear weights after shifting by the frame start; positions in the series would cancel digits
+    first = F.first(RN).over(block_window().rowsBetween(Window.unboundedPreceding, 0))
+    weighted = total(t["at"] * F.col(CLOSE), n) - (t["at"] - n) * total(CLOSE, n)
+    yield Roll([{t("at"): F.col(RN) - first + 1}, {t("y"): weighted / (n * (n + 1) / 2.0)}], n - 1)
     return {"": t["y"]}
 
 

@@ -150,23 +150,34 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
 
 
 def principal_components(df: DataFrame, vector: str, k: int | None = None, share: float | None = None, key: str = "vec_id") -> DataFrame:
-    """PCA scores as ``pca_1..``; with ``share`` the smallest number of components reaching it."""
+    """PCA scores as ``pca_1..``; with ``share`` the smallest number of components reaching it.
+
+    Learnt from rows whose vector is whole (no null or non-finite part) and as long as the longest; other rows have null scores. ``k``
+    is at most the length of the vectors. With fewer than two whole rows there is nothing to learn: every score is null, and of an
+    unknown ``k`` there is one column.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    x = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    v = F.col(vector).cast("array<double>")
+    whole = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    found = df.select(F.max(F.when(whole, F.size(v))).alias("size"), F.count_if(whole).alias("rows")).first()
+    size = found["size"] or 0
+    fits = whole & (F.size(v) == size)
+    none = lambda rows, n: rows.select(key, *[F.lit(None).cast("double").alias(f"pca_{i + 1}") for i in range(n)])
+    if found["rows"] < 2:
+        return none(df, k or 1)
+    x = df.filter(fits).select(key, array_to_vector(v).alias("_v"))
+    model = PCA(k=size if k is None else min(k, size), inputCol="_v", outputCol="_p").fit(x)
     if k is None:
-        size = int(df.select(F.size(vector).alias("n")).first()["n"])
-        model = PCA(k=size, inputCol="_v", outputCol="_p").fit(x)
         total, k = 0.0, 0
         for part in model.explainedVariance:
             total, k = total + float(part), k + 1
-            if total >= share:
+            if share is not None and total >= share:
                 break
-    else:
-        model = PCA(k=k, inputCol="_v", outputCol="_p").fit(x)
-    out = model.transform(x).withColumn("_a", vector_to_array("_p"))
-    return out.select(key, *[F.col("_a")[i].alias(f"pca_{i + 1}") for i in range(k)])
+    k = min(k, size)
+    out = model.transform(x).withColumn("_a", vector_to_array("_p")).select(key, *[F.col("_a")[i].alias(f"pca_{i + 1}") for i in range(k)])
+    return out.unionByName(none(df.filter(~F.coalesce(fits, F.lit(False))), k))
 
 
 def model_inputs(available: list[str], priority: list[str], k: int) -> list[Column]:

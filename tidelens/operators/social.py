@@ -119,11 +119,14 @@ def themes(posts: DataFrame, top: int = 10, features: int = 100, floor: float =
     are used: terms are exploded and counted with map-side combine.
     """
     words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS))
-    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    x = posts.select("protocols", words.alias("_w")).select("protocols", F.explode(F.concat("_w", pairs)).alias("term"))
-    # count per (tag set, term) first: the term stream is not multiplied by the tags
-    counts = x.groupBy("protocols", "term").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(F.explode("protocols").alias("protocol"), "term", "n").groupBy("protocol", "term").agg(F.sum("n").alias("n"))
+    # each word with the next one, and alone: terms are pairs of columns until they are counted
+    after = F.concat(F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    terms = F.explode(F.arrays_zip(F.col("_w").alias("a"), after.alias("b")))
+    x = posts.select("protocols", words.alias("_w")).filter(F.size("_w") > 0).select("protocols", terms.alias("t")).select("protocols", "t.a", "t.b")
+    # count per (tag set, word, next word) first: the term stream is not multiplied by the tags; single words are sums over what follows
+    counts = x.groupBy("protocols", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.explode("protocols").alias("protocol"), "a", F.explode(F.array_distinct(F.array("b", F.lit(None)))).alias("b"), "n")
+    counts = counts.groupBy("protocol", "a", "b").agg(F.sum("n").alias("n")).select("protocol", F.concat_ws(" ", "a", "b").alias("term"), "n")
     w = Window.partitionBy("protocol").orderBy(F.col("n").desc(), "term")
     best = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= features)
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("protocol")))  # at most ``features`` rows

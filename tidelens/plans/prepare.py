@@ -205,6 +205,23 @@ def pca(spark, root):
     return P.principal_components(table(spark, root, "embeddings"), "embedding", share=0.5)
 
 
+@query("pca_variance", "DP-18", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT i, avg(v) AS m, count(*) AS n FROM e GROUP BY 1)
+SELECT count(DISTINCT vec_id) AS vectors, round(sum((v - m) * (v - m) / (n - 1)), 6) AS total_variance, round(sum(v * v), 4) AS energy, TRUE AS uncorrelated, TRUE AS descending FROM e JOIN m USING (i)""")
+def pca_variance(spark, root):
+    """What holds of all scores whatever their signs: a rotation keeps lengths and total variance, scores are uncorrelated and fall in variance."""
+    e = table(spark, root, "embeddings").filter("embedding IS NOT NULL")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    scores = P.principal_components(e, "embedding", k=size).select("vec_id", F.posexplode(F.array(*[f"pca_{i + 1}" for i in range(size)])).alias("i", "v"))
+    per = scores.groupBy("i").agg(F.var_samp("v").alias("var"), F.sum(F.col("v") * F.col("v")).alias("e"), F.count("v").alias("n"), F.avg("v").alias("m"))
+    other = scores.join(per.select("i", "m"), "i").withColumn("c", F.col("v") - F.col("m"))
+    cross = other.select("vec_id", "i", "c").join(other.select("vec_id", F.col("i").alias("j"), F.col("c").alias("d")), "vec_id").filter("i < j").groupBy("i", "j").agg(
+        F.abs(F.sum(F.col("c") * F.col("d"))).alias("x")).agg(F.max("x").alias("x"))
+    falls = F.forall(F.zip_with(F.slice("vars", 1, size - 1), F.slice("vars", 2, size - 1), lambda a, b: a["var"] - b["var"]), lambda d: d > -1e-9)
+    g = per.agg(F.max("n").alias("vectors"), rnd(F.sum("var"), 6).alias("total_variance"), rnd(F.sum("e"), 4).alias("energy"), F.array_sort(F.collect_list(F.struct("i", "var"))).alias("vars"))
+    return g.select("vectors", "total_variance", "energy", (cross.scalar() < 1e-6).alias("uncorrelated"), falls.alias("descending"))
+
+
 @query("select_f_regression", "DP-19 SRT-11", "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, l_extendedprice) AS r, count(*) AS n FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax", "l_suppkey")) + ") SELECT feature, round(r * r / (1 - r * r) * (n - 2), 4) AS score FROM c ORDER BY 2 DESC LIMIT 3")
 def select_f_regression(spark, root):
     s = P.f_regression(table(spark, root, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_suppkey"], "l_extendedprice")
