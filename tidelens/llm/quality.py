@@ -85,13 +85,13 @@ def _train(batches: Iterator[pa.RecordBatch], bits: int, alpha: float, beta: flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "quality", learn: Column | None = None,
-        max_rows: int = 20_000, bits: int = 18, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
+        max_rows: int = 20_000, passes: int = 10, bits: int = 18, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
     """Learn from a bounded sample: the ``max_rows`` labelled documents with the smallest hash of their id.
 
     ``learn`` (a condition on ``labels``) limits what labels are used; null labels are not. Several labels of an id are averaged and
     rounded; rows of documents sharing an id all learn. A null text is empty; with no labelled document the model scores 0.5.
-    The sample (at most ``max_rows`` ids, hence broadcast) streams through one task, a small one up to ten times in new orders until
-    about ``max_rows`` steps are made; the model has at most 2**bits + 1 weights.
+    The sample (at most ``max_rows`` ids, hence broadcast) streams through one task ``passes`` times, each time in a new order; the model
+    has at most 2**bits + 1 weights.
     """
     rows = labels.filter(F.col(target_col).isNotNull() & F.col(id_col).isNotNull())
     if learn is not None:
@@ -99,7 +99,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = (rows.groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(target_col)).cast("double").alias("target"))
               .withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_rows))
     chosen = store(chosen)
-    passes = max(1, min(10, max_rows // max(1, chosen.count())))
     again = chosen.select("id", "target", F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass")).withColumn("h", F.xxhash64("id", "pass"))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(again), "id").repartition(1).sortWithinPartitions(
         "pass", "h", "id", "text").select("text", "target")
