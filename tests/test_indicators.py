@@ -78,6 +78,7 @@ def test_every_indicator_is_block_independent(spark, monkeypatch, part):
     whole = registry.many(b, wanted).orderBy("symbol", "ts").collect()
     monkeypatch.setattr(series, "SCAN_ROWS", 16)
     monkeypatch.setattr(series, "SCAN_FAN", 3)
+    monkeypatch.setattr(series, "SCAN_TOP", 2)
     monkeypatch.setattr(series, "BLOCK_ROWS", 32)
     cut = registry.many(b, wanted, rows=32).orderBy("symbol", "ts").collect()
     assert len(whole) == len(cut) == 230

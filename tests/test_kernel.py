@@ -46,7 +46,10 @@ def test_blocked_frames_equal_whole_series(spark, rows):
 
 
 @pytest.mark.parametrize("rows,fan", [(3, 2), (5, 3), (512, 512)])
-def test_affine_scan_equals_loop(spark, rows, fan):
+def test_affine_scan_equals_loop(spark, rows, fan, monkeypatch):
+    from tidelens.operators import series as kernel
+
+    monkeypatch.setattr(kernel, "SCAN_TOP", 2)
     num = number_rows(series(spark), bucket=F.date_trunc("day", "ts"))
     factor = 0.5 + F.col("x") / 300.0
     got = affine_scan(num, {"c": (0.8, F.col("x")), "v": (factor, F.col("x")), "t": (1.0, F.col("x")), "z": (0.0, F.col("x"))}, rows=rows, fan=fan)

@@ -181,12 +181,14 @@ def defi(rows: DataFrame) -> DataFrame:
 
 
 def portfolio_scores(asset_returns: DataFrame, weights: DataFrame, best: DataFrame, free: float = 0.02 / 252) -> DataFrame:
-    """asset_returns (ts, asset, ret); weights and ``best`` (asset, weight), normalised here."""
+    """asset_returns (ts, asset, ret); weights and ``best`` (asset, weight), normalised here.
+
+    An asset that only one of the two allocations holds weighs 0 in the other; one without returns adds nothing to any day."""
     def norm(w, name):
         total = w.agg(F.sum("weight")).scalar()
         return w.select("asset", F.when(total > 0, F.col("weight") / total).otherwise(F.col("weight")).alias(name))
 
-    w = norm(weights, "w").join(norm(best, "o"), "asset")
+    w = norm(weights, "w").join(norm(best, "o"), "asset", "full_outer").fillna(0.0, ["w", "o"])
     daily = asset_returns.join(w, "asset").groupBy("ts").agg(
         F.sum(F.col("ret") * F.col("w")).alias("ret"), F.sum(F.col("ret") * F.col("o")).alias("opt"))
     x = number_rows(daily.withColumn("symbol", F.lit("portfolio")))

@@ -25,6 +25,7 @@ from ..functions.expr import c
 BLOCK_ROWS = 4096
 SCAN_ROWS = 512
 SCAN_FAN = 2048
+SCAN_TOP = 1024
 
 
 def _default_bucket(order: str) -> Column:
@@ -148,9 +149,15 @@ def _entering(items: Column, start: Column, name: str) -> Column:
     return F.aggregate(items, seed, step, lambda acc: acc["out"])
 
 
-def _through(maps: Column, name: str) -> Column:
-    """State after applying a list of folded maps to 0."""
-    return F.aggregate(maps, F.lit(0.0), lambda y, m: m[name]["a"] * y + m[name]["b"])
+def _through(maps: Column, name: str, start: Column | None = None) -> Column:
+    """State after applying a list of folded maps to ``start`` (0, if not given)."""
+    return F.aggregate(maps, F.lit(0.0) if start is None else start, lambda y, m: m[name]["a"] * y + m[name]["b"])
+
+
+def _composed(maps: Column, name: str) -> Column:
+    """One map for a list of folded maps."""
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    return F.aggregate(maps, start, lambda acc, m: F.struct((m[name]["a"] * acc["a"]).alias("a"), (m[name]["a"] * acc["b"] + m[name]["b"]).alias("b")))
 
 
 def _explode_states(df: DataFrame, keys: list, idx: str, names: list, starts: dict) -> DataFrame:
@@ -203,11 +210,17 @@ def affine_scan(df: DataFrame, specs: dict, keys=("symbol",), rows: int | None =
         tails.groupBy(*keys, F.floor(F.col("_sb") / fan).cast("long").alias("_sup"))
         .agg(F.sort_array(F.collect_list(F.struct("_sb", *pair))).alias("_l"))  # at most ``fan`` blocks
     )
-    # state entering each list: fold of all earlier lists, one entry per rows*fan rows
-    earlier = Window.partitionBy(*keys).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
+    # state entering each list: lists are folded ``SCAN_TOP`` at a time once more, so that what stands before a list is at most that
+    # many lists of its own group, and one entry for each earlier group of a thousand million rows
     folds = F.struct(*[F.struct(_fold(F.col("_l"), n)["a"].alias("a"), _fold(F.col("_l"), n)["b"].alias("b")).alias(n) for n in names])
-    lists = lists.withColumn("_f", folds).withColumn("_before", F.collect_list("_f").over(earlier))
-    lists = lists.withColumns({f"_top_{n}": _through(F.col("_before"), n) for n in names})
+    lists = lists.withColumn("_f", folds).withColumn("_group", F.floor(F.col("_sup") / SCAN_TOP).cast("long"))
+    groups = lists.groupBy(*keys, "_group").agg(F.transform(F.sort_array(F.collect_list(F.struct("_sup", "_f"))), lambda x: x["_f"]).alias("_m"))
+    groups = groups.select(*keys, "_group", F.struct(*[_composed(F.col("_m"), n).alias(n) for n in names]).alias("_g"))
+    groups = groups.withColumn("_past", F.collect_list("_g").over(Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)))
+    groups = groups.select(*keys, "_group", *[_through(F.col("_past"), n).alias(f"_at_{n}") for n in names])
+    earlier = Window.partitionBy(*keys, "_group").orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
+    lists = lists.withColumn("_before", F.collect_list("_f").over(earlier)).join(groups, [*keys, "_group"])
+    lists = lists.withColumns({f"_top_{n}": _through(F.col("_before"), n, F.col(f"_at_{n}")) for n in names})
     carry = _explode_states(lists, keys, "_sb", names, {n: F.col(f"_top_{n}") for n in names})
     out = x.join(carry, [*keys, "_sb"])
     out = out.withColumns({n: F.col(f"_y_{n}") + F.col(f"_p_{n}") * F.col(f"_in_{n}") for n in names})

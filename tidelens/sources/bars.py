@@ -84,8 +84,9 @@ def read_bar_file(spark: SparkSession, path: str, start: str | None = None, end:
 
 
 def store_prices(bars: DataFrame, folder: str, interval: str) -> None:
-    """Bars under ``interval=.../day=...``, so that a range of time lists only its own folders."""
-    bars.withColumn("day", F.to_date("ts")).repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/interval={interval}")
+    """Bars under ``interval=.../day=...``, so that a range of time lists only its own folders. Rows are dealt in ranges of day, symbol
+    and time: a day of many symbols is written by several tasks, a task writes few days."""
+    bars.withColumn("day", F.to_date("ts")).repartitionByRange("day", "symbol", "ts").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/interval={interval}")
 
 
 def read_prices(spark: SparkSession, folder: str, asset: str, interval: str, start: str, end: str) -> DataFrame:
