@@ -290,8 +290,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = prof.agg(F.sum("n")).first()[0] or 0
     shards = shards or max(8, total // SHARD_SHINGLES)
     # a text can only be similar to others if enough of its shingles are in others: the union of all other texts bounds every one of them
-    tokens = base.select("text").mapInArrow(lambda it: _token_rows(it, n, shards), "shard int, keys binary, counts binary, tokens binary")
-    shared = tokens.repartition(shards, "shard").mapInArrow(_shared, "k long, m long").groupBy("k").agg(F.sum("m").alias("m"))
+    # a text gives a row for each shard that holds shingles it shares, so there are as many as the session deals to, more only if these grow large
+    deal = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tokens = base.select("text").mapInArrow(lambda it: _token_rows(it, n, deal), "shard int, keys binary, counts binary, tokens binary")
+    shared = tokens.repartition(deal, "shard").mapInArrow(_shared, "k long, m long").groupBy("k").agg(F.sum("m").alias("m"))
     classes = prof.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("d").alias("d"))
     members = classes.join(shared, "k").filter(F.col("m") * den >= F.col("n") * num).select("d", "n", "k", F.lit(0).cast("long").alias("family"))
     found = base.join(members.hint("merge"), "d").select("family", "k", "d", "n", "text")
