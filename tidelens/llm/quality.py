@@ -85,7 +85,7 @@ def _train(batches: Iterator[pa.RecordBatch], bits: int, alpha: float, beta: flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "quality", learn: Column | None = None,
-        max_rows: int = 20_000, passes: int = 10, bits: int = 18, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
+        max_rows: int = 4_000, passes: int = 10, bits: int = 18, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
     """Learn from a bounded sample: the ``max_rows`` labelled documents with the smallest hash of their id.
 
     ``learn`` (a condition on ``labels``) limits what labels are used; null labels are not. Several labels of an id are averaged and
