@@ -103,3 +103,16 @@ def test_market_cells_leave_once_and_late_events_are_counted(spark, tmp_path):
         want[p, cell(t)] = (n, 2.0 * n)
     assert {(r["protocol"], r["cell"]): (r["transactions_24h"], r["volume_24h"]) for r in out} == want and len(out) == len(want)
     assert job.dropped == 1
+
+
+def test_a_table_of_one_file_or_of_a_folder_of_files_is_streamed_whole(spark, tmp_path):
+    from tidelens.streaming.jobs import run, stream_table
+
+    rows = spark.createDataFrame([(i, i % 2, i % 3) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows.repartition(4).write.parquet(str(tmp_path / "many" / "labels.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "spare"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "spare").glob("part-*.parquet")).rename(tmp_path / "one" / "labels.parquet")
+    for kind in ("one", "many"):
+        base, _ = run(stream_table(spark, str(tmp_path / kind), "labels"), kind)
+        assert sorted(r["doc_id"] for r in spark.read.parquet(f"{base}/data").collect()) == list(range(40))

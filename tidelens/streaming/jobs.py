@@ -23,8 +23,8 @@ LOOKBACK = "24 hours"
 
 
 def stream_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A given table as a file stream."""
-    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 8).parquet(root)
+    """A given table, one file or a folder of files, as a file stream. A pattern finds either; a plain path has to be a folder."""
+    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", 8).parquet(f"{root}/{{{name}}}.parquet")
 
 
 def run(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None, mark: dict[str, Column] | None = None):
