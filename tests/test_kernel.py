@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from helpers import T0, assert_rows, hours
 from tidelens.functions.rolling import mean, std
-from tidelens.operators import machines
+from tidelens.operators import machines, quality
 from tidelens.operators.joins import asof
 from tidelens.operators.quantile import exact_quantiles
 from tidelens.operators.replay import replay
@@ -94,6 +94,16 @@ def test_exact_quantiles_with_one_hot_value(spark):
     assert np.allclose([r[c] for c in "abc"], want)
 
 
+def test_few_large_groups_are_not_dealt_by_group(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), (F.col("id") % 997).cast("double").alias("v"), F.lit(1.0).alias("w"))
+    q = exact_quantiles(df, ["k"], "v", [0.25, 0.5], list("ab"))
+    shares = quality.outlier_share(df, ["v", "w"], 0.1)
+    for x in (q, shares):
+        assert "SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["column"], r["outliers"]) for r in shares.collect()) == [("v", 8_000), ("w", 0)]
+    assert np.allclose([r["a"] for r in q.orderBy("k").collect()], [np.quantile([i % 997 for i in range(k, 20_000, 2)], 0.25) for k in (0, 1)])
+
+
 @pytest.mark.parametrize("rows", [4, 9, 100000])
 def test_replay_is_block_independent(spark, rows):
     num = number_rows(series(spark, 60), bucket=F.date_trunc("day", "ts"))

@@ -61,7 +61,7 @@ def outlier_share(df: DataFrame, columns: list[str], width: float = 3.0, limit:
     q = column_quantiles(df, columns, [0.25, 0.75], ["q1", "q3"])
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("value") < F.col("q1") - width * iqr) | (F.col("value") > F.col("q3") + width * iqr)
-    r = long_form(df, columns).join(q, "column").groupBy("column").agg(
+    r = long_form(df, columns).join(F.broadcast(q), "column").groupBy("column").agg(
         F.count_if(out).alias("outliers"), div(F.count_if(out), F.count(F.lit(1))).alias("share"))
     return r.withColumn("report", F.col("share") > limit)
 

@@ -16,6 +16,7 @@ from ..session import cut_lineage
 
 ACCURACY = 10_000
 LIMIT = 100_000  # values of one bracket that are put in order in one task
+FEW = 10_000  # groups whose brackets, a few hundred bytes each, are sent to all tasks: rows of few large groups are not dealt by group
 
 
 def exact_quantiles(
@@ -44,9 +45,11 @@ def exact_quantiles(
         cells.append(F.struct(F.lit(i).alias("_i"), lo.alias("_lo"), hi.alias("_hi")))
     st = cut_lineage(st.select(*ks, "_n", F.array(*cells).alias("_cells")))
     # the first sketch leaves at most a known share of the rows in a bracket
-    inside = (st.agg(F.max("_n")).first()[0] or 0) * 10.0 / accuracy
+    most, groups = st.agg(F.max("_n"), F.count(F.lit(1))).first()
+    near = F.broadcast if groups <= FEW else lambda rows: rows
+    inside = (most or 0) * 10.0 / accuracy
     while inside > max(limit, accuracy):
-        st, left = _narrowed(x, st, ks, probs, method, accuracy)
+        st, left = _narrowed(x, st, ks, probs, method, accuracy, near)
         inside = left if left < inside / 2 else 0  # what is left is a few values many times over
     borders = F.sort_array(F.flatten(F.transform("_cells", lambda c: F.array(c["_lo"], c["_hi"]))))
     st = st.select(*ks, "_n", "_cells", borders.alias("_b"))
@@ -54,7 +57,7 @@ def exact_quantiles(
     inside = F.exists("_cells", lambda c: (F.col("_v") >= c["_lo"]) & (F.col("_v") <= c["_hi"]))
     zone = F.size(F.filter("_b", lambda b: b < F.col("_v")))
     counts = (
-        x.join(st, ks).select(*ks, "_n", zone.alias("_z"), F.when(inside, F.col("_v")).alias("_v"))
+        x.join(near(st), ks).select(*ks, "_n", zone.alias("_z"), F.when(inside, F.col("_v")).alias("_v"))
         .groupBy(*ks, "_z", "_v").agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n"))
     )
     run = Window.partitionBy(*ks).orderBy("_z", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
@@ -78,7 +81,7 @@ def _rank(p: float, method: str):
     return (F.col("_n") - 1) * F.lit(p) if method == "linear" else F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)
 
 
-def _narrowed(x: DataFrame, st: DataFrame, ks: list[str], probs: list[float], method: str, accuracy: int) -> tuple[DataFrame, float]:
+def _narrowed(x: DataFrame, st: DataFrame, ks: list[str], probs: list[float], method: str, accuracy: int, near) -> tuple[DataFrame, float]:
     """Brackets after another pass over the rows, and the most rows that lie strictly inside one.
 
     The rows below a bracket give the wanted ranks inside it; a sketch of the rows inside, at ``steps`` even shares, gives new ends
@@ -90,7 +93,7 @@ def _narrowed(x: DataFrame, st: DataFrame, ks: list[str], probs: list[float], me
         inside = (v >= lo) & (v <= hi)
         aggs += [F.count_if(v < lo).alias(f"_b{i}"), F.count_if(inside).alias(f"_m{i}"),
                  F.percentile_approx(F.when(inside, v), [k / steps for k in range(steps + 1)], accuracy).alias(f"_g{i}")]
-    per = x.join(st, ks).groupBy(*ks).agg(*aggs)
+    per = x.join(near(st), ks).groupBy(*ks).agg(*aggs)
     cells = []
     for i, p in enumerate(probs):
         share = lambda rank: (rank - F.col(f"_b{i}")) / F.col(f"_m{i}") * steps  # noqa: E731, B023
@@ -100,5 +103,5 @@ def _narrowed(x: DataFrame, st: DataFrame, ks: list[str], probs: list[float], me
                               F.when(z <= steps, F.get(grid, z.cast("int"))).otherwise(cell["_hi"]).alias("_hi")))
     new = cut_lineage(per.select(*ks, "_n", F.array(*cells).alias("_cells")))
     strict = [F.count_if((F.col("_v") > F.col("_cells")[i]["_lo"]) & (F.col("_v") < F.col("_cells")[i]["_hi"])) for i in range(len(probs))]
-    left = x.join(new, ks).groupBy(*ks).agg(F.greatest(*strict, F.lit(0)).alias("_l")).agg(F.max("_l")).first()[0]
+    left = x.join(near(new), ks).groupBy(*ks).agg(F.greatest(*strict, F.lit(0)).alias("_l")).agg(F.max("_l")).first()[0]
     return new, float(left or 0)
