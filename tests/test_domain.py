@@ -57,6 +57,47 @@ def test_knn_uses_nearest_donors(spark):
     assert got[99] == 70.0 and got[5] == 50.0 and len(got) == 21
 
 
+def test_knn_is_exact_over_all_cells_and_patterns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    names, n, k = ["a", "b", "c", "d"], 900, 4
+    data = np.column_stack([rng.integers(0, 40, n), rng.normal(0, 1000, n).round(1), rng.integers(0, 5, n), rng.exponential(3, n).round(1)]).astype(float)
+    hole = rng.random((n, 4)) < 0.25
+    hole[0] = True
+    keys = [None if i in (3, 4) else i if i % 50 else 7 for i in range(n)]  # null and repeated ones
+    rows = [(keys[i], *[None if h else float(v) for v, h in zip(data[i], hole[i])]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    got = quality.fill_knn(df, names, "id", k=k, cell=10).collect()
+    whole = np.flatnonzero(~hole.any(axis=1))
+    near, last = {}, float("inf")
+    for i in np.flatnonzero(hole.any(axis=1) & ~hole.all(axis=1)):
+        s = ~hole[i]
+        near.setdefault(keys[i], []).extend((np.sqrt(((data[j, s] - data[i, s]) ** 2).sum()), last if keys[j] is None else keys[j], *data[j]) for j in whole)
+    means = data[whole].mean(axis=0)
+    want = []
+    for i in range(n):
+        best = sorted(near[keys[i]])[:k] if keys[i] is not None and keys[i] in near and hole[i].any() else []
+        fill = np.mean([b[2:] for b in best], axis=0) if best else means
+        want.append((keys[i], *np.where(hole[i], fill, data[i]).tolist()))
+    order = lambda r: (r[0] is None, r[0] or 0, *[round(v, 6) for v in r[1:]])
+    assert_rows(sorted(map(tuple, got), key=order), sorted(want, key=order))
+
+
+def test_knn_opens_few_cells_when_one_column_says_little():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    points = np.column_stack([rng.random(50_000), rng.random(50_000) * 1000])
+    parts = 20
+    tree, asked = quality._cut(points, parts), points[:500]
+    opened = sum(len(c) for _, c in quality._cells(tree, asked - 5.0, asked + 5.0, parts, np.arange(500)))
+    assert 500 <= opened < 500 * 3 * parts  # all of the 400 cells by the first column alone
+    place = np.concatenate([np.stack(x) for x in quality._cells(tree, points, points, parts, np.arange(50_000))], axis=1)
+    size = np.bincount(place[1])
+    assert len(place[0]) == 50_000 and len(size) == 400 and size.max() < 200
+
+
 def test_forest_flags_the_far_rows(spark):
     rows = [(i, float(i % 10), float(i % 7)) for i in range(400)] + [(1000 + i, 500.0 + i, -400.0) for i in range(4)]
     df = spark.createDataFrame(rows, "id long, a double, b double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, div
@@ -128,15 +128,50 @@ def fill_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna()
 
 
+AXES = 3  # observed columns that donors are cut along
+BORDER_ROWS = 1_000_000  # points, of all trees, that place the borders of cells
+CHUNK = 256  # rows that meet a pack of donors at once
+
+
+def _cut(points, parts: int, axis: int = 0):
+    """Borders along an axis, and of each strip between them the borders along the next one."""
+    import numpy as np
+
+    v = np.sort(points[:, axis])
+    edges = np.unique(v[[len(v) * i // parts for i in range(1, parts)]]) if len(v) else v
+    edges = edges[edges > v[0]] if len(v) else edges
+    if axis + 1 == points.shape[1]:
+        return edges, None
+    strip = np.searchsorted(edges, points[:, axis], "right")
+    return edges, [_cut(points[strip == i], parts, axis + 1) for i in range(len(edges) + 1)]
+
+
+def _cells(node, low, high, parts: int, rows, base: int = 0, axis: int = 0):
+    """(rows, cells) of all cells that meet the boxes from ``low`` to ``high``; of a point, its own cell."""
+    import numpy as np
+
+    edges, inner = node
+    first = np.searchsorted(edges, low[rows, axis], "right")
+    size = np.searchsorted(edges, high[rows, axis], "right") - first + 1
+    who, at = np.repeat(rows, size), np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+    if inner is None:
+        yield who, base + at
+        return
+    for i in np.unique(at):
+        yield from _cells(inner[i], low, high, parts, who[at == i], (base + int(i)) * parts, axis + 1)
+
+
 def fill_knn(df: DataFrame, columns: list[str], key: str, k: int = 5, cell: int = 500) -> DataFrame:
     """Missing cells take the mean of the ``k`` nearest complete rows on the observed columns (ties: the smaller key).
 
-    Exact over all donors, and nothing is sampled. Donors are cut along each column into cells of about ``cell`` rows. A row
-    looks into its own cell of its first observed column; the k-th distance found there bounds how far off the others can be,
-    and only the cells within it are opened. A row with nothing observed takes the donors' means; without donors cells stay null.
+    Exact over all donors, and nothing is sampled but the places of borders. Rows that observe the same columns (the first ``AXES`` of
+    them) share a tree: donors cut along these columns in turn into cells of about ``cell`` rows. Of donors that are equal there, only
+    the ``k`` smallest keys can be among the nearest. A row looks into its own cell; the k-th distance found there bounds, on every one
+    of these columns, which other cells are opened. Rows that observe the same values are asked for once, and meet a cell's donors
+    together. A row with nothing observed takes the donors' means; without donors cells stay null.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     n = len(columns)
     x = df.select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
@@ -147,72 +182,111 @@ def fill_knn(df: DataFrame, columns: list[str], key: str, k: int = 5, cell: int
     back = lambda d, v: d.select(key, *[F.col(v)[i].alias(c) for i, c in enumerate(columns)])
     if not facts["n"]:
         return back(x, "_v")
-    parts = max(1, min(10_000, facts["n"] // cell))  # at most that many borders a column reach the driver
-    grid = [i / parts for i in range(1, parts)] or [0.5]
-    found = donors.agg(*[F.percentile_approx(F.col("_v")[i], grid, 10 * parts + 100).alias(f"e{i}") for i in range(n)]).first()
-    edges = [np.array(sorted(set(found[f"e{i}"]))) for i in range(n)]
     key_type = df.schema[key].dataType.simpleString()
+    seen = F.filter(F.transform("_q", lambda v, i: F.when(~F.isnan(v), i)), lambda i: i.isNotNull())
+    named = F.when(F.size(seen) > 0, F.concat(F.array_join(F.slice(seen, 1, AXES), ","), F.when(F.size(seen) > AXES, "+").otherwise("")))  # a tree; none with nothing observed
+    holes = holes.withColumn("_q", F.transform("_v", lambda v: F.coalesce(v, F.lit(float("nan"))))).withColumn("_t", F.coalesce(F.when(F.col(key).isNotNull(), named), F.lit("")))
+    asked = cut_lineage(holes.filter("_t <> ''").select("_t", "_q").distinct())
+    trees = {r["_t"]: [int(i) for i in r["_t"].rstrip("+").split(",")] for r in asked.select("_t").distinct().collect()}
+    means = F.array(*[F.lit(facts[f"m{i}"]) for i in range(n)])
+    mean_of = lambda i: F.when(F.size("near") > 0, F.aggregate("near", F.lit(0.0), lambda t, r: t + r["v"][i]) / F.size("near"))
+    filled = F.array(*[F.coalesce(F.col("_v")[i], mean_of(i), means[i]) for i in range(n)])
+    near_type = f"array<struct<d: double, z: boolean, k: {key_type}, v: array<double>>>"
+    plain = holes.filter("_t = ''").select(key, "_v", F.lit(None).cast(near_type).alias("near"))
+    if not trees:
+        return back(donors.unionByName(plain.select(key, filled.alias("_v"))), "_v").select(*out_schema.names)
+
+    spots = F.array(*[F.struct(F.lit(t).alias("_t"), F.array(*[F.col("_v")[i] for i in axes]).alias("_p")) for t, axes in trees.items()])
+    spread = donors.select(key, "_v", F.inline(spots)).filter(~F.exists("_p", lambda v: F.isnan(v)))
+    alike = F.when(F.col("_t").endswith("+"), F.col("_v")).otherwise(F.col("_p"))
+    order = F.row_number().over(Window.partitionBy("_t", "_a").orderBy(F.col(key).asc_nulls_last()))
+    spread = cut_lineage(spread.withColumn("_a", alike).withColumn("_o", order).filter(F.col("_o") <= k).drop("_a", "_o"))
+    counts = {r["_t"]: r["n"] for r in spread.groupBy("_t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rate = {t: min(1.0, BORDER_ROWS / len(trees) / c) for t, c in counts.items()}
+    chance = F.create_map(*[F.lit(y) for t, r in rate.items() for y in (t, int(r * 1_000_000))]) if rate else F.lit(None)
+    points = spread.filter(F.pmod(F.xxhash64(key, "_p"), F.lit(1_000_000)) < chance[F.col("_t")]).select("_t", "_p").toPandas() if rate else None
+    cuts = {}
+    for t, axes in trees.items():
+        own = np.array(points["_p"][points["_t"] == t].tolist() if rate else [], dtype=float).reshape(-1, len(axes))
+        parts = max(1, round(max(1, min(counts.get(t, 0) // cell, len(own) // (k + 8))) ** (1 / len(axes))))
+        cuts[t] = (_cut(own, parts), parts)
+
+    def boxes(b, reach):
+        """(tree, rows, cells) of a batch, for boxes of ``reach`` around the asked points."""
+        names, q = np.array(b.column("_t").to_pylist()), b.column("_q").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        for t in np.unique(names):
+            rows, (node, parts) = np.flatnonzero(names == t), cuts[t]
+            p = q[:, trees[t]]
+            yield from ((t, *got) for got in _cells(node, p - reach[:, None], p + reach[:, None], parts, rows))
+
+    def place(batches, column, others=False):
+        """Rows with the cell of their place; with ``others`` with all cells within their distance but that one."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if column == "_p":
+                names, p = np.array(b.column("_t").to_pylist()), b.column("_p")
+                cells = np.zeros(b.num_rows, np.int64)
+                for t in np.unique(names):
+                    rows, (node, parts) = np.flatnonzero(names == t), cuts[t]
+                    v = p.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                    for who, c in _cells(node, v, v, parts, np.arange(len(rows))):
+                        cells[rows[who]] = c
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column("_t"), b.column("_v"), pa.array(cells)], [key, "_t", "_v", "cell"])
+                continue
+            reach = b.column("far").to_numpy(zero_copy_only=False) if others else np.zeros(b.num_rows)
+            at = np.asarray(b.column("cell").to_numpy()) if others else None
+            for _, who, c in boxes(b, np.where(reach > 0, reach * (1 + 1e-12), 0.0)):
+                keep = c != at[who] if others else np.ones(len(c), bool)
+                own = b.take(pa.array(who[keep]))
+                yield pa.RecordBatch.from_arrays([own.column("_t"), own.column("_q"), pa.array(c[keep].astype(np.int64))], ["_t", "_q", "cell"])
+
+    at_cell = spread.mapInArrow(lambda it: place(it, "_p"), f"{key} {key_type}, _t string, _v array<double>, cell long")
+    at_cell = cut_lineage(at_cell)
+    share = at_cell.groupBy("_t", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cell)).alias("_s"))  # many equal values share a cell
+    donor = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("_v").alias("v"))
+    packs = at_cell.join(share, ["_t", "cell"]).groupBy("_t", "cell", F.pmod(F.xxhash64(key), "_s").alias("_part")).agg(F.array_sort(F.collect_list(donor)).alias("_d"))
+    packs = cut_lineage(packs.select("_t", "cell", "_d"))
+
+    def nearest(batches):
+        for b in batches:
+            for asks, pack in zip(b.column("_asks"), b.column("_d")):
+                q, d = asks.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, n), pack.values
+                rows = d.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                total = np.zeros((len(q), len(rows)))
+                for i in range(n):
+                    gap = q[:, i, None] - rows[None, :, i]
+                    total += np.where(np.isnan(q[:, i, None]), 0.0, gap * gap)
+                dist = np.sqrt(total)
+                dist[np.isnan(dist)] = np.inf
+                far = np.partition(dist, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+                who, near = np.nonzero(dist <= far[:, None])
+                order = np.lexsort((near, dist[who, near], who))  # donors stand in the order of their keys
+                who, near = who[order], near[order]
+                first = np.searchsorted(who, np.arange(len(q) + 1))
+                keep = np.arange(len(who)) - first[who] < k
+                who, near = who[keep], near[keep]
+                found = d.take(pa.array(near))
+                cells = pa.StructArray.from_arrays([pa.array(dist[who, near]), found.field("z"), found.field("k"), found.field("v")], ["d", "z", "k", "v"])
+                offsets = pa.array(np.searchsorted(who, np.arange(len(q) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([asks.values, pa.ListArray.from_arrays(offsets, cells)], ["_q", "near"])
 
-    def place(frames, axes):
-        """Rows with the cell of their value on each of the given axes."""
-        for pdf in frames:
-            v = np.array([[np.nan if y is None else y for y in r] for r in pdf["_v"]], dtype=float).reshape(-1, n)
-            for i in axes(v):
-                take = slice(None) if isinstance(i, int) else i[1]
-                axis = i if isinstance(i, int) else i[0]
-                part = pdf.iloc[take] if not isinstance(i, int) else pdf
-                yield pd.DataFrame({key: part[key], "_v": part["_v"], "axis": axis, "cell": np.searchsorted(edges[axis], v[take, axis], "right")})
-
-    def first_axis(v):
-        seen = ~np.isnan(v)
-        lead = np.where(seen.any(axis=1), seen.argmax(axis=1), -1)
-        return [(i, np.flatnonzero(lead == i)) for i in range(n)]
-
-    placed = f"{key} {key_type}, _v array<double>, axis int, cell long"
-    spread = donors.mapInPandas(lambda it: place(it, lambda v: range(n)), placed)
-    share = spread.groupBy("axis", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cell)).alias("_s"))  # many equal values share a cell
-    packs = spread.join(share, ["axis", "cell"]).groupBy("axis", "cell", F.pmod(F.xxhash64(key), "_s").alias("_p")).agg(F.collect_list(F.struct(key, "_v")).alias("_d"))
-    packs = cut_lineage(packs.select("axis", "cell", "_d"))
-
-    def nearest(frames):
-        for pdf in frames:
-            best = []
-            for v, d in zip(pdf["_v"], pdf["_d"]):
-                q = np.array([np.nan if y is None else y for y in v], dtype=float)
-                rows = np.array([r["_v"] for r in d], dtype=float)
-                seen = ~np.isnan(q)
-                dist = np.sqrt(((rows[:, seen] - q[seen]) ** 2).sum(axis=1))
-                last = np.partition(dist, min(k, len(dist)) - 1)[min(k, len(dist)) - 1]
-                near = sorted((float(dist[i]), d[i][key], list(map(float, rows[i]))) for i in np.flatnonzero(dist <= last))[:k]
-                best.append([{"d": a, "k": b, "v": c} for a, b, c in near])
-            yield pd.DataFrame({key: pdf[key], "near": best})
-
-    near_schema = f"{key} {key_type}, near array<struct<d: double, k: {key_type}, v: array<double>>>"
     closest = lambda lists: F.slice(F.array_sort(F.flatten(lists)), 1, k)
 
     def look(rows):
-        met = rows.join(packs, ["axis", "cell"]).select(key, "_v", "_d").mapInPandas(nearest, near_schema)
-        return met.groupBy(key).agg(closest(F.collect_list("near")).alias("near"))  # k rows from each cell that was opened
-
-    asked = cut_lineage(holes.mapInPandas(lambda it: place(it, first_axis), placed))
-    bound = look(asked).select(key, F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).alias("far"))
-
-    def widen(frames):
-        for pdf in frames:
-            out = []
-            for i, v, axis, far in zip(pdf[key], pdf["_v"], pdf["axis"], pdf["far"]):
-                e, q = edges[axis], v[axis]
-                far = np.inf if far is None or np.isnan(far) else far * (1 + 1e-12)
-                lo, hi = np.searchsorted(e, q - far, "left"), np.searchsorted(e, q + far, "right")
-                out += [(i, v, axis, c) for c in range(int(lo), int(hi) + 1)]
-            yield pd.DataFrame(out, columns=[key, "_v", "axis", "cell"])
-
-    wide = asked.join(bound, key, "left").select(key, "_v", "axis", "far").mapInPandas(widen, placed)
-    got = look(wide)
-    means = F.array(*[F.lit(facts[f"m{i}"]) for i in range(n)])
-    mean_of = lambda i: F.aggregate("near", F.lit(0.0), lambda t, r: t + r["v"][i]) / F.size("near")
-    fixed = holes.join(got, key, "left").select(key, F.array(*[F.coalesce(F.col("_v")[i], mean_of(i), means[i]) for i in range(n)]).alias("_v"))
-    return back(donors.unionByName(fixed), "_v").select(*out_schema.names)
+        load = rows.groupBy("_t", "cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_s"))
+        chunks = rows.join(load, ["_t", "cell"]).groupBy("_t", "cell", F.pmod(F.xxhash64("_q"), "_s").alias("_part")).agg(F.collect_list("_q").alias("_asks"))
+        return chunks.join(packs, ["_t", "cell"]).select("_asks", "_d").mapInArrow(nearest, f"_q array<double>, near {near_type}")
+
+    own = cut_lineage(asked.mapInArrow(lambda it: place(it, "_q"), "_t string, _q array<double>, cell long"))
+    first = cut_lineage(look(own).groupBy("_q").agg(closest(F.collect_list("near")).alias("near")))
+    far = F.coalesce(F.when(F.size("near") >= k, F.element_at("near", -1)["d"]), F.lit(float("inf")))
+    wide = own.join(first, "_q", "left").select("_t", "_q", "cell", far.alias("far")).mapInArrow(
+        lambda it: place(it, "_q", True), "_t string, _q array<double>, cell long")
+    got = first.unionByName(look(cut_lineage(wide))).groupBy("_q").agg(closest(F.collect_list("near")).alias("near"))
+    met = holes.filter("_t <> ''").join(got, "_q", "left").select(key, "_v", "near")
+    met = met.unionByName(plain.filter(F.col(key).isNotNull())).groupBy(key).agg(closest(F.collect_list("near")).alias("near"), F.collect_list("_v").alias("_v")).select(key, "near", F.explode("_v").alias("_v"))
+    return back(donors.unionByName(met.select(key, filled.alias("_v"))).unionByName(plain.filter(F.col(key).isNull()).select(key, filled.alias("_v"))), "_v").select(*out_schema.names)
 
 
 # --- outliers ---------------------------------------------------------------------
