@@ -84,6 +84,24 @@ def test_signals_expire_by_the_clock(spark, tmp_path, seed):
     assert changes.filter("status = 'pending'").count() == len(want)  # a signal is seen at once
 
 
+def test_many_keys_share_few_states_and_timers(spark, tmp_path):
+    rng = random.Random(4)
+    big = 1 << 60  # would lose digits as a double
+    rows = [("signal" if rng.random() < 0.5 else "execution", big + i, rng.choice([None, *range(big, big + 200)]), DAY + dt.timedelta(minutes=rng.randrange(3000))) for i in range(900)]
+    life, now, want = 5 * 3600, max(r[3] for r in rows), {}
+    for kind, i, key, ts in rows:
+        if kind == "signal":
+            hits = [t for k, _, y, t in rows if k == "execution" and y == key and ts <= t <= ts + dt.timedelta(seconds=life)]
+            want[i] = (key, min(hits), "executed") if hits else (key, None, "expired" if ts + dt.timedelta(seconds=life) < now else "pending")
+    write(spark, tmp_path / "in", rows, MOVES)
+    job = S.Job(spark, "t", str(tmp_path / "job"))
+    build = lambda clock: S.expiring(files(spark, tmp_path / "in", MOVES), clock, life, "3 days", 4)
+    q = job.run(build)
+    assert 0 < sum(s["numRowsTotal"] for s in q.recentProgress[-1]["stateOperators"]) <= 4 * 6  # was some for each key and signal
+    got = {r["signal"]: (r["key"], r["executed_at"], r["status"]) for r in S.newest_states(job.close(build, now + dt.timedelta(days=3))).collect()}
+    assert got == want and job.dropped == 0
+
+
 def test_market_cells_leave_once_and_late_events_are_counted(spark, tmp_path):
     schema = "protocol string, ts timestamp, metadata string"
     rng = random.Random(5)

@@ -198,7 +198,9 @@ def balances(ledger: DataFrame, clock: str, late: str, cell_seconds: int = 3600)
 
 
 class Expiry(StatefulProcessor):
-    """Open signals and recent executions of a key; a timer fires at the end of a signal's life."""
+    """Open signals and recent executions of the keys of a slot, as packed columns; a timer fires at the end of the life that ends first.
+
+    Signals are columns (key, 1 if it is null, time, id, execution or -1), executions the first three of them."""
 
     def __init__(self, life_seconds: int) -> None:
         self.life = life_seconds * 1_000_000
@@ -207,64 +209,95 @@ class Expiry(StatefulProcessor):
         self.handle = handle
         self.signals = handle.getValueState("signals", "rows binary")
         self.executions = handle.getValueState("executions", "rows binary")
+        self.next = handle.getValueState("next", "at bigint")
+
+    def _load(self, state, width: int) -> np.ndarray:
+        return np.frombuffer(bytes(state.get()[0]) if state.exists() else b"", np.int64).reshape(width, -1)
 
-    def _load(self, state, columns) -> pd.DataFrame:
-        return unpack(bytes(state.get()[0])) if state.exists() else pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
+    def _keep(self, state, rows: np.ndarray) -> None:
+        state.update((rows.tobytes(),)) if rows.shape[1] else state.clear()
 
-    def _keep(self, state, rows: pd.DataFrame) -> None:
-        state.update((pack(rows),)) if len(rows) else state.clear()
+    def _wake(self, signals: np.ndarray) -> None:
+        """One timer a slot: when the first of its signals ends."""
+        if not signals.shape[1]:
+            return
+        at = int((signals[2].min() + self.life) // 1000 + 1)
+        if self.next.exists():
+            if self.next.get()[0] <= at:
+                return
+            self.handle.deleteTimer(self.next.get()[0])
+        self.handle.registerTimer(at)
+        self.next.update((at,))
 
-    def _out(self, key, rows: pd.DataFrame, status: str) -> pd.DataFrame:
-        at = pd.to_datetime(rows["at"].where(rows["at"] >= 0), unit="us")
-        return pd.DataFrame({"signal": rows["id"], "key": key[0], "ts": pd.to_datetime(rows["us"], unit="us"), "executed_at": at, "status": status})
+    def _out(self, rows: np.ndarray, status: str) -> pd.DataFrame:
+        key, none, us, number, at = rows
+        key = pd.arrays.IntegerArray(key.copy(), none > 0) if none.any() else key
+        at = np.where(at >= 0, at, np.iinfo(np.int64).min)  # NaT
+        return pd.DataFrame({"signal": number, "key": key, "ts": us.astype("datetime64[us]"), "executed_at": at.astype("datetime64[us]"), "status": status})
+
+    @staticmethod
+    def _first(signals: np.ndarray, executions: np.ndarray) -> np.ndarray:
+        """Time of the first execution of its key at or after each signal."""
+        n, both = signals.shape[1], np.concatenate([signals[:3], executions], axis=1)
+        is_execution = np.arange(both.shape[1]) >= n
+        order = np.lexsort((is_execution, both[2], both[0], both[1]))
+        row = both[:, order]
+        near = np.where(is_execution[order], np.arange(len(order)), len(order))
+        near = np.minimum.accumulate(near[::-1])[::-1]
+        there = np.minimum(near, max(len(order) - 1, 0))
+        own = (near < len(order)) & (row[0, there] == row[0]) & (row[1, there] == row[1])
+        first = np.empty(len(order), np.int64)
+        first[order] = np.where(own, row[2, there], np.iinfo(np.int64).max)
+        return first[:n]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        signals, executions = self._load(self.signals, ["id", "us", "at"]), self._load(self.executions, ["us"])
-        new_s, new_e = [], []
+        signals, executions = self._load(self.signals, 5), self._load(self.executions, 3)
+        new_s, new_e = [signals[:, :0]], []
         for pdf in rows:
             pdf = pdf[~pdf[BEAT].astype(bool)]
-            got = pd.DataFrame({"id": pdf["id"].fillna(-1).to_numpy(np.int64), "us": _micros(pdf["ts"]), "at": np.int64(-1)})
-            new_s.append(got[(pdf["kind"] == "signal").to_numpy()])
-            new_e.append(got.loc[(pdf["kind"] == "execution").to_numpy(), ["us"]])
-        fresh = pd.concat(new_s, ignore_index=True) if new_s else signals.iloc[:0]
-        if len(fresh):
-            yield self._out(key, fresh, "pending")
-            for ms in np.unique((fresh["us"] + self.life) // 1000 + 1):
-                self.handle.registerTimer(int(ms))
-        signals = pd.concat([signals, fresh], ignore_index=True)
-        executions = pd.concat([executions, *new_e], ignore_index=True).sort_values("us")
-        times = executions["us"].to_numpy()
-        place = np.searchsorted(times, signals["us"].to_numpy())
-        first = np.append(times, np.iinfo(np.int64).max)[place] if len(signals) else np.zeros(0, np.int64)
-        hit = (first <= signals["us"].to_numpy() + self.life) & ((signals["at"].to_numpy() < 0) | (first < signals["at"].to_numpy()))
+            got = np.stack([*(pdf[c].to_numpy(np.int64) for c in ("key", "keyless")), _micros(pdf["ts"]), pdf["id"].to_numpy(np.int64), np.full(len(pdf), -1)])
+            new_s.append(got[:, (pdf["kind"] == "signal").to_numpy()])
+            new_e.append(got[:3, (pdf["kind"] == "execution").to_numpy()])
+        fresh = np.concatenate(new_s, axis=1)
+        if fresh.shape[1]:
+            yield self._out(fresh, "pending")
+        signals, executions = np.concatenate([signals, fresh], axis=1), np.concatenate([executions, *new_e], axis=1)
+        first = self._first(signals, executions)
+        hit = (first <= signals[2] + self.life) & ((signals[4] < 0) | (first < signals[4]))
         if hit.any():
-            signals.loc[hit, "at"] = first[hit]
-            yield self._out(key, signals[hit], "executed")
+            signals[4, hit] = first[hit]
+            yield self._out(signals[:, hit], "executed")
+        self._wake(fresh)
         # an execution can only meet signals at or before it, and none older than the clock will come
         clock = timerValues.getCurrentWatermarkInMs() * 1000
         self._keep(self.signals, signals)
-        self._keep(self.executions, executions[executions["us"] >= clock])
+        self._keep(self.executions, executions[:, executions[2] >= clock])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        signals = self._load(self.signals, ["id", "us", "at"])
-        over = signals["us"] + self.life < now
-        lost = signals[over & (signals["at"] < 0)]
-        if len(lost):
-            yield self._out(key, lost, "expired")
-        self._keep(self.signals, signals[~over])
+        signals = self._load(self.signals, 5)
+        over = signals[2] + self.life < now
+        lost = signals[:, over & (signals[4] < 0)]
+        if lost.shape[1]:
+            yield self._out(lost, "expired")
+        self._keep(self.signals, signals[:, ~over])
+        self.next.clear()
+        self._wake(signals[:, ~over])
 
     def close(self) -> None:
         pass
 
 
-def expiring(rows: DataFrame, clock: str, life_seconds: int, late: str) -> DataFrame:
+def expiring(rows: DataFrame, clock: str, life_seconds: int, late: str, slots: int = 4096) -> DataFrame:
     """States of signals as they change, from a stream of (kind signal or execution, id, key, ts): pending at once, executed at the first
     execution of its key within ``life_seconds`` (again if an earlier one comes later), expired when the watermark passes its life.
 
-    Rows more than ``late`` behind the newest one are dropped and counted."""
-    keyed = with_clock(rows.select("kind", "id", "key", "ts"), clock, "ts", late)
-    return keyed.groupBy("key").transformWithStateInPandas(Expiry(life_seconds), "signal long, key long, ts timestamp, executed_at timestamp, status string", "Append", "EventTime")
+    Keys share ``slots`` states by hash, each with one timer: what a state costs to open does not grow with the keys, and all keys
+    of a slot are matched together. Rows more than ``late`` behind the newest one are dropped and counted."""
+    timed = with_clock(rows.select("kind", "id", "key", "ts"), clock, "ts", late)
+    whole = [F.coalesce("id", F.lit(-1)).cast("long").alias("id"), F.coalesce("key", F.lit(0)).cast("long").alias("key"), F.col("key").isNull().alias("keyless")]
+    keyed = timed.select("kind", *whole, "ts", BEAT, F.pmod(F.xxhash64("key"), F.lit(slots)).alias("slot"))
+    return keyed.groupBy("slot").transformWithStateInPandas(Expiry(life_seconds), "signal long, key long, ts timestamp, executed_at timestamp, status string", "Append", "EventTime")
 
 
 def newest_states(changes: DataFrame) -> DataFrame:
