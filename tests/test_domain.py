@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -199,6 +200,30 @@ def test_themes_use_pairs_and_stop_words(spark):
     assert got["yield farm"] == 2 and got["vault yield"] == 1 and "the" not in got
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_themes_shuffle_only_pairs_of_frequent_words_and_rank_as_plain_counts(spark, monkeypatch, few):
+    monkeypatch.setattr(social, "FEW_WORDS", few)
+    rng = random.Random(8)
+    texts = [(" ".join(f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(rng.randrange(60))), rng.choice([["x"], ["y"], ["x", "y"], [None], None])) for _ in range(150)]
+    texts += [(None, ["x"]), ("", ["y"]), ("the", ["y"]), ("alone", ["z"]), ("same same same", ["z"])]
+    want = {}
+    for content, tags in texts:
+        w = [x for x in (content or "").split() if x not in social.STOP_WORDS]
+        for p in tags or []:
+            for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+                want.setdefault(p, {}).setdefault(t, 0)
+                want[p][t] += 1
+    want = {(p, t): (n, i + 1) for p, c in want.items() for i, (t, n) in enumerate(sorted(c.items(), key=lambda r: (-r[1], r[0]))[:12])}
+    counted, frame = [], type(spark.range(0))
+    group = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda df, *c: (counted.append(df) if c == ("protocols", "a", "b") else None, group(df, *c))[1])
+    df = spark.createDataFrame(texts, "content string, protocols array<string>")
+    got = {(r["protocol"], r["term"]): (r["n"], r["rank"]) for r in social.themes(df, 12, 12, 0.0).collect()}
+    assert got == want
+    words = {r[0] for r in counted[0].select("a").union(counted[0].select("b")).distinct().collect()}
+    assert 0 < len(words) <= 3 * 12 + 12  # was all of them
+
+
 # --- logs -----------------------------------------------------------------------------------
 
 

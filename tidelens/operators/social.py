@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import div
 from ..functions.rolling import mean
+from ..session import cut_lineage, stored
 from .ordered import numbered
 from .series import blocks, number_rows, unblock
 
@@ -19,6 +20,7 @@ from .series import blocks, number_rows, unblock
 FUD_WORDS = ("scam", "rugpull", "exit scam", "ponzi", "dump", "crash", "hack")
 MIN_FOLLOWERS = 1000
 VIRAL_FOLLOWERS = 10000
+FEW_WORDS = 100_000  # frequent words that are sent to all tasks
 
 # Tracked protocols and their keywords.
 KEYWORDS = {
@@ -116,17 +118,29 @@ def themes(posts: DataFrame, top: int = 10, features: int = 100, floor: float =
     """Top words and word pairs per protocol by L2-normalised count over the ``features`` most frequent.
 
     Words have two letters or more; stop words are removed before pairing. Whole texts
-    are used: terms are exploded and counted with map-side combine.
+    are used: words are exploded and counted with map-side combine. A pair is no more frequent
+    than either of its words, so pairs are only counted of words that are as frequent as the
+    last of the best ``features`` words of a protocol: no other pair can be among its best terms.
     """
     words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS))
-    # each word with the next one, and alone: terms are pairs of columns until they are counted
-    after = F.concat(F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
-    terms = F.explode(F.arrays_zip(F.col("_w").alias("a"), after.alias("b")))
-    x = posts.select("protocols", words.alias("_w")).filter(F.size("_w") > 0).select("protocols", terms.alias("t")).select("protocols", "t.a", "t.b")
-    # count per (tag set, word, next word) first: the term stream is not multiplied by the tags; single words are sums over what follows
-    counts = x.groupBy("protocols", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(F.explode("protocols").alias("protocol"), "a", F.explode(F.array_distinct(F.array("b", F.lit(None)))).alias("b"), "n")
-    counts = counts.groupBy("protocol", "a", "b").agg(F.sum("n").alias("n")).select("protocol", F.concat_ws(" ", "a", "b").alias("term"), "n")
+    x = stored(posts.select("protocols", words.alias("_w")))  # texts are cut into words once
+
+    def by_term(rows: DataFrame, *term: str) -> DataFrame:
+        # count per tag set first: the term stream is not multiplied by the tags
+        counts = rows.groupBy("protocols", *term).agg(F.count(F.lit(1)).alias("n")).select(F.explode("protocols").alias("protocol"), *term, "n")
+        return counts.groupBy("protocol", *term).agg(F.sum("n").alias("n")).select("protocol", F.concat_ws(" ", *term).alias("term"), "n")
+
+    single = by_term(x.select("protocols", F.explode("_w").alias("a")), "a")
+    place = F.rank().over(Window.partitionBy("protocol").orderBy(F.col("n").desc()))
+    single = cut_lineage(single.withColumn("_p", place).filter(F.col("_p") <= features).drop("_p"))
+    often = single.select("term").distinct()
+    often = F.broadcast(often) if often.count() <= FEW_WORDS else often  # more only of words that are equally frequent
+    but_one = F.greatest(F.size("_w") - 1, F.lit(0))
+    pairs = x.select("protocols", F.explode(F.arrays_zip(F.slice("_w", 1, but_one).alias("a"), F.slice("_w", 2, but_one).alias("b"))).alias("t"))
+    pairs = pairs.select("protocols", "t.a", "t.b")
+    for side in "ab":
+        pairs = pairs.join(often.select(F.col("term").alias(side)), side)
+    counts = single.unionByName(by_term(pairs, "a", "b"))
     w = Window.partitionBy("protocol").orderBy(F.col("n").desc(), "term")
     best = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= features)
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("protocol")))  # at most ``features`` rows

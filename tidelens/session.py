@@ -48,3 +48,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder so iterations survive lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a new folder of the shared one and read again from there: several later passes do not repeat its work."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
