@@ -111,6 +111,34 @@ def test_keep_one(spark):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
+def test_counts_of_shared_shingles_are_added_up_by_text():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(i * 7 + j * (1 + i % 3)) % 90}" for j in range(60)) for i in range(40)]
+    column = pa.array(texts)
+    row, h = ngram_join.shingle_sets(column, 4)
+    _, keys, _ = ngram_join.content_keys(row, h, len(texts))
+    held = {}
+    for r, x in zip(row.tolist(), h.tolist()):
+        held.setdefault(x, set()).add(int(keys[r]))
+    want = {}
+    for r, x in {(int(keys[r]), x) for r, x in zip(row.tolist(), h.tolist())}:
+        if len(held[x]) > 1:
+            want[r] = want.get(r, 0) + 1
+    dealt = list(ngram_join._token_rows([pa.RecordBatch.from_arrays([column], ["text"])], 4, 30))
+    by_task = [[b.filter(pa.array([s % 6 == p for s in b.column("shard").to_pylist()])) for b in dealt] for p in range(6)]
+    told = [b for task in by_task for b in ngram_join._shared(task, 5)]
+    assert sum(b.num_rows for b in told) <= 6 * 5  # was one for each text and shard
+    got = {}
+    for bucket in range(5):
+        for b in ngram_join._added([t.filter(pa.array([x == bucket for x in t.column("bucket").to_pylist()])) for t in told]):
+            new = dict(zip(b.column("k").to_numpy().view("uint64").tolist(), b.column("m").to_pylist()))
+            assert not new.keys() & got.keys()
+            got.update(new)
+    assert want and got == want
+    assert not list(ngram_join._shared([], 5)) and not list(ngram_join._added([]))
+
+
 def test_scheme_leaves_a_part_in_common():
     rng = np.random.default_rng(5)
     s = ngram_join.Scheme(80, 100)

@@ -139,14 +139,22 @@ def _token_rows(batches, n: int, shards: int) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "keys", "counts", "tokens"])
 
 
-def _shared(batches) -> Iterator[pa.RecordBatch]:
-    """(k, m): how many of a text's shingles in the shards of one partition are in another text too."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their counts."""
+    k, at = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_inverse=True)
+    return k, np.bincount(at, weights=np.concatenate(counts or [np.zeros(0)]), minlength=len(k)).astype(np.int64)
+
+
+def _shared(batches, buckets: int) -> Iterator[pa.RecordBatch]:
+    """How many of a text's shingles in the shards of one partition are in another text too: summed by text over the shards, and one
+    row of packed (content key, count) pairs for each bucket of texts."""
     keys, tokens, shard = [], [], []
     for batch in batches:
         for i, k, c, t in zip(*(batch.column(x).to_pylist() for x in ("shard", "keys", "counts", "tokens"))):
             keys.append(np.repeat(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)))
             tokens.append(np.frombuffer(t, np.uint32))
             shard.append(i)
+    texts, counts = [], []
     for one in sorted(set(shard)):
         at = [j for j, i in enumerate(shard) if i == one]
         k, t = np.concatenate([keys[j] for j in at]), np.concatenate([tokens[j] for j in at])
@@ -158,8 +166,28 @@ def _shared(batches) -> Iterator[pa.RecordBatch]:
         same = np.zeros(len(t) + 1, bool)
         same[1:-1] = t[1:] == t[:-1]
         who, m = np.unique(k[same[1:] | same[:-1]], return_counts=True)
-        if len(who):
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(who)), pa.array(m, pa.int64())], ["k", "m"])
+        texts.append(who)
+        counts.append(m)
+    who, m = _summed(texts, counts)
+    bucket = (T.mix64(who) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    who, m, cuts = who[order], m[order].astype(np.uint32), np.searchsorted(bucket[order], np.arange(buckets + 1))
+    keep = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
+    if keep:
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([who[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary()),
+                                          pa.array([m[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary())], ["bucket", "keys", "counts"])
+
+
+def _added(batches) -> Iterator[pa.RecordBatch]:
+    """(k, m) of the texts of one partition's buckets: the counts of all shards added up, a row a text."""
+    keys, counts = [], []
+    for batch in batches:
+        for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+            keys.append(np.frombuffer(k, np.uint64))
+            counts.append(np.frombuffer(c, np.uint32))
+    k, m = _summed(keys, counts)
+    for a in range(0, len(k), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(k[a:a + 50_000])), pa.array(m[a:a + 50_000])], ["k", "m"])
 
 
 def _dealt(key: np.ndarray, node: np.ndarray, shards: int) -> pa.RecordBatch:
@@ -290,10 +318,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = prof.agg(F.sum("n")).first()[0] or 0
     shards = shards or max(8, total // SHARD_SHINGLES)
     # a text can only be similar to others if enough of its shingles are in others: the union of all other texts bounds every one of them
-    # a text gives a row for each shard that holds shingles it shares, so there are as many as the session deals to, more only if these grow large
+    # as many shards as the session deals to, more only if these grow large; a text has counts in many shards, which travel packed and are
+    # added up where the text's bucket is: rows are as many as texts, not as texts and shards
     deal = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tokens = base.select("text").mapInArrow(lambda it: _token_rows(it, n, deal), "shard int, keys binary, counts binary, tokens binary")
-    shared = tokens.repartition(deal, "shard").mapInArrow(_shared, "k long, m long").groupBy("k").agg(F.sum("m").alias("m"))
+    counted = tokens.repartition(deal, "shard").mapInArrow(lambda it: _shared(it, deal), "bucket int, keys binary, counts binary")
+    shared = counted.repartition(deal, "bucket").select("keys", "counts").mapInArrow(_added, "k long, m long")
     classes = prof.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("d").alias("d"))
     members = classes.join(shared, "k").filter(F.col("m") * den >= F.col("n") * num).select("d", "n", "k", F.lit(0).cast("long").alias("family"))
     found = base.join(members.hint("merge"), "d").select("family", "k", "d", "n", "text")
