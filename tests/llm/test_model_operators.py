@@ -10,6 +10,8 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import plain as H
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +153,29 @@ def test_suffix_tree_has_no_thresholds_of_size(spark):
         assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
 
+def test_suffix_tree_sends_no_rare_pairs_in_full(tmp_path):
+    """Pairs are asked for by short hashes first: of tens of thousands that occur less than four times next to none is sent as a key."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 200, 4000)) for _ in range(5)]
+    docs = pa.RecordBatch.from_pydict({"d": list(range(5)), "text": texts, "learn": [True] * 5})
+    coded = [b for i in range(5) for b in suffix_tree._encode([docs.slice(i, 1)])]
+    counts = {}
+    for pair in (p for t in texts for p in zip(t.split(), t.split()[1:])):
+        counts[pair] = counts.get(pair, 0) + 1
+    often = sum(len({p for p in zip(t.split(), t.split()[1:]) if counts[p] >= 4}) for t in texts)
+    how = suffix_tree._How(3, 3, 50, 4, 30.0, 6.0, 20005, 201)
+    for done in (-1, 0):
+        asks = list(suffix_tree._next_asks(coded, how, done))
+        for b in suffix_tree._answer(asks, how):
+            for r in b.to_pylist():
+                if r["slice"] >= 0:
+                    (tmp_path / f"{done}/slice={r['slice']}").mkdir(parents=True, exist_ok=True)
+                    pq.write_table(pa.table({c: b.column(c) for c in ("kind", "shard", "values")}), tmp_path / f"{done}/slice={r['slice']}/{r['kind']}{r['shard']}.parquet")
+        how = suffix_tree.replace(how, answers=(*how.answers, f"file://{tmp_path}/{done}"))
+    full = sum(len(suffix_tree.unpacked(k, np.uint64)) for b in asks for kind, k in zip(b.column("kind").to_pylist(), b.column("keys").to_pylist()) if kind == "p1")
+    assert 0 < often <= full <= 1.2 * often < 0.2 * sum(len(set(zip(t.split(), t.split()[1:]))) for t in texts)
+
+
 def test_states_sum_to_one():
     rng = np.random.default_rng(1)
     words = np.sort(rng.integers(0, 1 << 63, 5, dtype=np.uint64))

@@ -21,6 +21,7 @@ CODED = "slice long, ids binary, learn binary, ends binary, codes binary, words
 ASKED = "kind string, shard int, slice long, keys binary, values binary"
 TOLD = "kind string, shard int, slice long, values binary"
 SHARD_KEYS = 2_000_000  # tokens for each shard: a shard sums what slices ask in memory
+BUCKET_BITS = 22  # buckets of a shard, in which pairs are counted first: at least two for each token
 
 
 @dataclass
@@ -51,6 +52,26 @@ def from_planes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+def packed(a: np.ndarray) -> bytes:
+    b = planes(a)
+    return len(b).to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+
+
+def unpacked(b: bytes, dtype) -> np.ndarray:
+    return from_planes(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True), dtype)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, one place of each, and where each key is among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], order[new], back
+
+
 def _encode(batches) -> Iterator[pa.RecordBatch]:
     """Slices of documents as word numbers (most frequent first) with their own dictionary and counts of the learning part."""
     for batch in batches:
@@ -63,7 +84,7 @@ def _encode(batches) -> Iterator[pa.RecordBatch]:
             tokens[np.arange(len(w.hashes)) + w.doc] = w.hashes
             tokens[ends - 1] = END
             learn = part.column("learn").to_numpy(zero_copy_only=False).astype(np.uint8)
-            words, code = np.unique(tokens, return_inverse=True)
+            words, _, code = _distinct(T.mix64(tokens))
             rank = np.argsort(-np.bincount(code), kind="stable")
             new = np.empty(len(words), np.uint32)
             new[rank] = np.arange(len(words), dtype=np.uint32)
@@ -75,10 +96,6 @@ def _encode(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["slice", "ids", "learn", "ends", "codes", "words", "counts", "learnt", "tokens"])
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (T.mix64(keys) >> np.uint64(33)).astype(np.int64) % shards
-
-
 @dataclass(frozen=True)
 class _How:
     shards: int
@@ -96,20 +113,28 @@ class _How:
         return min(self.contexts, self.own)
 
 
-def _spread(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    shard = _shard(keys, shards)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+def _spread(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys (hashes, spread evenly), the keys in it, their place among all shards (equal ranges of keys) in 40 binary
+    digits behind the shard, and where the shards begin."""
+    order = np.arange(len(keys)) if (keys[1:] >= keys[:-1]).all() else np.argsort(keys)
+    keys = keys[order]
+    spot = (keys >> np.uint64(24)) * np.uint64(shards)
+    return order, keys, spot, np.searchsorted(spot, np.arange(shards + 1, dtype=np.uint64) << np.uint64(40))
 
 
 def _dealt(kind: str, who: int, keys: np.ndarray, values: np.ndarray, shards: int) -> pa.RecordBatch:
-    """A slice's keys with values (one row, or one row for each sum), a row for each shard of the key space."""
-    order, cuts = _spread(keys, shards)
-    keys, values, keep = keys[order], values[..., order], [i for i in range(shards) if cuts[i] < cuts[i + 1]]
+    """A slice's keys with values (one row, or one row for each sum), a row for each shard of the key space. Keys ascend and are sent
+    as differences; of kind ``f`` only their buckets are sent."""
+    order, keys, spot, cuts = _spread(keys, shards)
+    if kind[0] == "f":
+        keys = ((spot & np.uint64((1 << 40) - 1)) >> np.uint64(40 - BUCKET_BITS)).astype(np.uint32)
+    values, keep = values[..., order], [i for i in range(shards) if cuts[i] < cuts[i + 1]]
+    steps = np.diff(keys, prepend=keys[:1])
+    steps[cuts[keep]] = keys[cuts[keep]]
     return pa.RecordBatch.from_arrays([
         pa.array([kind] * len(keep), pa.string()), pa.array(keep, pa.int32()), pa.array([who] * len(keep), pa.int64()),
-        pa.array([planes(keys[cuts[i]:cuts[i + 1]]) for i in keep], pa.binary()),
-        pa.array([planes(values[..., cuts[i]:cuts[i + 1]].ravel()) for i in keep], pa.binary())], ["kind", "shard", "slice", "keys", "values"])
+        pa.array([packed(steps[cuts[i]:cuts[i + 1]]) for i in keep], pa.binary()),
+        pa.array([packed(values[..., cuts[i]:cuts[i + 1]].ravel()) for i in keep], pa.binary())], ["kind", "shard", "slice", "keys", "values"])
 
 
 def _told(folders: tuple[str, ...], who: int) -> dict[str, list[tuple[int, bytes]]]:
@@ -128,43 +153,44 @@ def _told(folders: tuple[str, ...], who: int) -> dict[str, list[tuple[int, bytes
 
 def _heard(answers: dict, kind: str, keys: np.ndarray, dtype, shards: int) -> np.ndarray:
     """The answers to what ``_dealt`` asked, in the order of ``keys``."""
-    out, (order, cuts) = np.zeros(len(keys), dtype), _spread(keys, shards)
+    out, (order, *_, cuts) = np.zeros(len(keys), dtype), _spread(keys, shards)
     for shard, values in answers.get(kind, ()):
-        out[order[cuts[shard]:cuts[shard + 1]]] = from_planes(values, dtype)
+        out[order[cuts[shard]:cuts[shard + 1]]] = unpacked(values, dtype)
     return out
 
 
-def _ask(batches, shards: int) -> Iterator[pa.RecordBatch]:
-    """A slice's words and counts, dealt to the shards of the word space."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            words, counts = np.frombuffer(r["words"], np.uint64), from_planes(r["counts"], np.uint32)
-            yield _dealt("w", r["slice"], words, counts.astype(np.int64), shards)
-
-
 def _answer(batches, how: _How) -> Iterator[pa.RecordBatch]:
     """Totals over all slices, back to each asker in its order. Words: counts; then the number of words seen (slice -1, in ``shard``).
-    Pairs: twice the count, plus one for a single asker of each (0 under ``low``). Contexts: the factor on root probabilities of
-    words that are not their own, NaN if they are not retained."""
-    asked: dict[str, list] = {}
+    Buckets of pairs: 1 if a pair of it can reach ``low``, 2 if it can be a context, else 0. Pairs: twice the count, plus one for a
+    single asker of each (0 under ``low``). Contexts: the factor on root probabilities of words that are not their own, NaN if they
+    are not retained."""
+    asked: dict[tuple, list] = {}
     for b in batches:
         for r in b.to_pylist():
-            asked.setdefault(r["kind"][0], []).append((r["kind"], r["shard"], r["slice"], from_planes(r["keys"], np.uint64), r["values"]))
+            keys = unpacked(r["keys"], np.uint32 if r["kind"][0] == "f" else np.uint64)
+            asked.setdefault((r["kind"][0], r["shard"]), []).append((r["kind"], r["slice"], np.cumsum(keys, dtype=keys.dtype), r["values"]))
     row = lambda kind, shard, who, values: pa.RecordBatch.from_arrays(
         [pa.array([kind]), pa.array([shard], pa.int32()), pa.array([who], pa.int64()), pa.array([values], pa.binary())], ["kind", "shard", "slice", "values"])
-    for sort, rows in asked.items():
+    for sort, shard in list(asked):
+        rows = asked.pop((sort, shard))
         if sort == "c":
-            keys, rest = _judge([(k, from_planes(x, np.float64).reshape(6, -1)) for *_, k, x in rows], how.gain)
-            for kind, shard, who, k, _ in rows:
-                yield row(kind, shard, who, planes(rest[np.searchsorted(keys, k)]))
+            keys, rest = _judge([(k, unpacked(x, np.float64).reshape(6, -1)) for *_, k, x in rows], how.gain)
+            for kind, who, k, _ in rows:
+                yield row(kind, shard, who, packed(rest[np.searchsorted(keys, k)]))
             continue
-        keys, totals = _sum_keys([(k, from_planes(x, np.int64)) for *_, k, x in rows])
+        if sort == "f":
+            total = np.bincount(np.concatenate([k for *_, k, _ in rows]), np.concatenate([unpacked(x, np.uint32) for *_, x in rows]), 1 << BUCKET_BITS)
+            can = (total >= how.low).astype(np.uint8) + (total >= max(how.contexts, 1))
+            for kind, who, k, _ in rows:
+                yield row(kind, shard, who, packed(can[k]))
+            continue
+        keys, totals = _sum_keys([(k, unpacked(x, np.int64)) for *_, k, x in rows])
         free = np.ones(len(keys), bool)
-        for kind, shard, who, k, _ in rows:
+        for kind, who, k, _ in rows:
             at = np.searchsorted(keys, k)
             values = totals[at] if sort == "w" else np.where(totals[at] >= how.low, totals[at] * 2 + free[at], 0)
             free[at] = False
-            yield row(kind, shard, who, planes(values))
+            yield row(kind, shard, who, packed(values))
         if sort == "w":
             yield row("v", int((totals > 0).sum()), -1, b"")
 
@@ -203,46 +229,63 @@ class _Walk:
         self.r, self.how, self.answers = r, how, _told(how.answers, r["slice"])
         words, code, self.ends = np.frombuffer(r["words"], np.uint64), from_planes(r["codes"], np.uint32), from_planes(r["ends"], np.int64)
         count = _heard(self.answers, "w", words, np.int64, how.shards)
-        self.word, self.count = words[code], count[code]
+        self.words, self.code, self.count = words, code, count[code]
         self.root = (self.count + 1) / (how.n + how.v + 1)
         self.first = np.concatenate([[0], self.ends[:-1]])
 
     def go(self, done: int, last: bool) -> Iterator[pa.RecordBatch]:
-        """Pairs of ``done`` levels are answered, and contexts of one level less: asks for the contexts of that level and the pairs of
-        the next. With ``last`` all are answered, and ``chance`` is the probability of each token.
+        """Pairs of ``done`` levels are answered, contexts of one level less, and buckets of one more: asks for the contexts of that
+        level, the pairs of the next and the buckets of the one after. With ``last`` all are answered, and ``chance`` is the
+        probability of each token.
 
-        A pair can occur ``low`` times only if its context is one and the pair without the context's first word does: no other is asked."""
+        A pair can occur ``low`` times only if its context is one, the pair without the context's first word does, and so do the pairs
+        of its bucket together: no other is asked. For buckets, both parts are judged by theirs."""
         how, who, chance = self.how, self.r["slice"], self.root.copy()
-        context, total, held = _before(self.word, self.first), _before(self.count, self.first), self.count
+        size, names, total, held = len(self.code), self.words, _before(self.count, self.first), self.count
+        context = _before(self.code, self.first)  # of each token, the run of words before it by its place in ``names``
+        may = np.ones(size, bool)
+        may[self.first] = False
         for k in range(1, how.depth + 1):
-            live = total >= max(how.contexts, 1)
-            at = np.flatnonzero(live & (held >= how.low))
-            key = T.mix64(context[at] * np.uint64(3) + self.word[at])
-            keys, one, back = np.unique(key, return_index=True, return_inverse=True)
+            at = np.flatnonzero(may)
+            keys, one, back = _distinct(T.mix64(names[context[at]] * np.uint64(3) + self.words[self.code[at]]))
             if k > done:
                 learn = np.repeat(np.frombuffer(self.r["learn"], np.uint8), np.diff(self.ends, prepend=0))[at] > 0
-                yield _dealt(f"p{k}", who, keys, np.bincount(back[learn], minlength=len(keys)).astype(np.int64), how.shards)
+                counts = np.bincount(back[learn], minlength=len(keys)).astype(np.int64)
+            if k > done + 1:
+                yield _dealt(f"f{k}", who, keys, np.minimum(counts, max(how.contexts, how.low)).astype(np.uint32), how.shards)
                 return
-            told = _heard(self.answers, f"p{k}", keys, np.int64, how.shards)
-            held = np.zeros(len(self.word), np.int64)
+            can = _heard(self.answers, f"f{k}", keys, np.uint8, how.shards)
+            live = total >= max(how.contexts, 1)
+            sure = np.flatnonzero((can > 0) & live[at[one]] & (held[at[one]] >= how.low))
+            near, gram = np.zeros(size, np.uint8), np.zeros(size, np.uint32)
+            near[at], gram[at] = can[back], back
+            may = (near >= min(how.low, 1)) & (_before(near, self.first) > 1)
+            if k > done:
+                yield _dealt(f"p{k}", who, keys[sure], counts[sure], how.shards)
+                names, context = keys, _before(gram, self.first)
+                continue
+            told = np.zeros(len(keys), np.int64)
+            told[sure] = _heard(self.answers, f"p{k}", keys[sure], np.int64, how.shards)
+            held = np.zeros(size, np.int64)
             held[at] = (told >> 1)[back]
-            full = np.zeros(len(self.word), np.uint64)
-            full[at] = key
-            del key, back
+            del back, near
             spots = np.flatnonzero(live)
-            contexts, its, place = np.unique(context[spots], return_index=True, return_inverse=True)
+            its = np.full(len(names), -1)
+            its[context[spots]] = spots
+            mine = np.flatnonzero(its >= 0)
+            contexts, place = names[mine], np.empty(len(names), np.int64)
+            place[mine] = np.arange(len(mine))
             if k == done and not last:
-                speaks = one[((told & 1) > 0) & (told >> 1 >= how.own)]
-                t = at[speaks]
-                c, n, low = np.searchsorted(contexts, context[t]), held[t], chance[t]
+                t = at[one[((told & 1) > 0) & (told >> 1 >= how.own)]]
+                c, n, low = place[context[t]], held[t], chance[t]
                 p = (n + how.weight * low) / (total[t] + how.weight)
                 sums = [np.bincount(c, weights=x, minlength=len(contexts)) for x in (n, p, self.root[t], low, n * np.log(p / low))]
-                yield _dealt(f"c{k}", who, contexts, np.stack([total[spots[its]].astype(float), *sums]), how.shards)
+                yield _dealt(f"c{k}", who, contexts, np.stack([total[its[mine]].astype(float), *sums]), how.shards)
             else:
-                rest = _heard(self.answers, f"c{k}", contexts, np.float64, how.shards)[place]
+                rest = _heard(self.answers, f"c{k}", contexts, np.float64, how.shards)[place[context[spots]]]
                 t, rest = spots[~np.isnan(rest)], rest[~np.isnan(rest)]
                 chance[t] = np.where(held[t] >= how.own, (held[t] + how.weight * chance[t]) / (total[t] + how.weight), rest * self.root[t])
-            context, total = _before(full, self.first), _before(held, self.first)
+            names, context, total = keys, _before(gram, self.first), _before(held, self.first)
         self.chance = chance
 
 
@@ -253,7 +296,10 @@ def _rows(batches) -> Iterator[dict]:
 
 
 def _next_asks(batches, how: _How, done: int) -> Iterator[pa.RecordBatch]:
+    """What a slice asks of the shards; first of all (``done`` -1) its words with their counts, too."""
     for r in _rows(batches):
+        if done < 0:
+            yield _dealt("w", r["slice"], np.frombuffer(r["words"], np.uint64), from_planes(r["counts"], np.uint32).astype(np.int64), how.shards)
         yield from _Walk(r, how).go(done, False)
 
 
@@ -345,7 +391,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
 
     Both counts are the same at any size, and the model grows with the input; it is never in one place. Slices of documents are coded
     once into the shared folder. Their words, then level by level their distinct (context, next word) pairs and contexts, go to shards
-    by hash, are summed there, and the answers are written by slice. A pair's part of its context's divergence test is told by one
+    by hash, are summed there, and the answers are written by slice. Pairs are counted by short hashes first, a byte or two each;
+    only those whose short hash is frequent enough are sent in full and counted exactly. A pair's part of its context's divergence test is told by one
     of the slices that hold it. There are as many shards as the volume needs.
 
     Null text is empty and has the end alone; a null ``learn`` is false; with nothing to learn from, every score is that of the root
@@ -364,7 +411,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         asks.repartition(how.shards, "shard").mapInArrow(lambda it: _answer(it, how), TOLD).repartition(how.shards, "slice").write.partitionBy("slice").option("compression", "zstd").parquet(folder)
         return replace(how, answers=(*how.answers, folder))
 
-    how = answered(coded.select("slice", "words", "counts").mapInArrow(lambda it, how=how: _ask(it, how.shards), ASKED), how)
+    how = answered(coded.select("slice", "learn", "ends", "codes", "words", "counts").mapInArrow(lambda it, how=how: _next_asks(it, how, -1), ASKED), how)
     how = replace(how, v=spark.read.schema(TOLD).parquet(*how.answers).filter("slice = -1").agg(F.sum("shard")).first()[0] or 0)
     for done in range(depth + 1 if n else 0):
         how = answered(coded.select("slice", "learn", "ends", "codes", "words").mapInArrow(lambda it, how=how, done=done: _next_asks(it, how, done), ASKED), how)
