@@ -16,8 +16,8 @@ from tidelens.llm import text as T
 from tidelens.llm.native import NO_ID, new_folder, store
 
 END = np.uint64(0x0BADC0DE0BADC0DE)  # the token after the last word
-SLICE_BYTES = 8 << 20
-CODED = "slice long, ids binary, learn binary, ends binary, codes binary, words binary, counts binary, learnt long, tokens long"
+SLICE_BYTES = 16 << 20
+CODED = "slice long, ids binary, learn binary, ends binary, codes binary, words binary, seen binary, counts binary, learnt long, tokens long"
 ASKED = "kind string, shard int, slice long, keys binary, values binary"
 TOLD = "kind string, shard int, slice long, values binary"
 SHARD_KEYS = 2_000_000  # tokens for each shard: a shard sums what slices ask in memory
@@ -67,13 +67,14 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    back = np.empty(len(keys), np.int64)
-    back[order] = np.cumsum(new) - 1
+    back = np.empty(len(keys), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
     return keys[new], order[new], back
 
 
 def _encode(batches) -> Iterator[pa.RecordBatch]:
-    """Slices of documents as word numbers (most frequent first) with their own dictionary and counts of the learning part."""
+    """Slices of documents as word numbers (most frequent first) with their own dictionary, in order of hashes and so sent as differences,
+    its counts, which tell the numbers, and those of the learning part."""
     for batch in batches:
         for part in T.slices(batch, "text", SLICE_BYTES):
             raw, off = T.buffers(part.column("text"))
@@ -85,15 +86,15 @@ def _encode(batches) -> Iterator[pa.RecordBatch]:
             tokens[ends - 1] = END
             learn = part.column("learn").to_numpy(zero_copy_only=False).astype(np.uint8)
             words, _, code = _distinct(T.mix64(tokens))
-            rank = np.argsort(-np.bincount(code), kind="stable")
+            seen = np.bincount(code)
             new = np.empty(len(words), np.uint32)
-            new[rank] = np.arange(len(words), dtype=np.uint32)
-            code = new[code]
+            new[np.argsort(-seen, kind="stable")] = np.arange(len(words), dtype=np.uint32)
             counts = np.bincount(code[np.repeat(learn, per_doc) > 0], minlength=len(words)).astype(np.uint32)
+            code = new[code]
             row = [uuid.uuid4().int & ((1 << 63) - 1), planes(part.column("d").to_numpy()), learn.tobytes(), planes(ends.astype(np.int64)), planes(code),
-                   words[rank].tobytes(), planes(counts), int(counts.sum()), len(code)]
-            kinds = [pa.int64()] + [pa.binary()] * 6 + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["slice", "ids", "learn", "ends", "codes", "words", "counts", "learnt", "tokens"])
+                   planes(np.diff(words, prepend=np.uint64(0))), planes(seen.astype(np.uint32)), planes(counts), int(counts.sum()), len(code)]
+            kinds = [pa.int64()] + [pa.binary()] * 7 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["slice", "ids", "learn", "ends", "codes", "words", "seen", "counts", "learnt", "tokens"])
 
 
 @dataclass(frozen=True)
@@ -107,14 +108,34 @@ class _How:
     n: int = 0
     v: int = 0
     answers: tuple[str, ...] = ()  # folders, by slice
+    wide: int = 1 << 32  # numbers of words are smaller
+    spaces: tuple[int, ...] = ()  # and so are those of the contexts, level by level
 
     @property
     def low(self) -> int:
         return min(self.contexts, self.own)
 
+    @property
+    def context(self) -> int:
+        return max(self.contexts, 1)
+
+    def chance(self, root: np.ndarray) -> np.ndarray:
+        """The root's probability of words by the sum of their counts, each with one added."""
+        return root / (self.n + self.v + 1)
+
+    def pair(self, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Keys of pairs by the numbers of both parts: a bijection that spreads them over as few binary digits as there can be pairs,
+        moved to the upper end."""
+        bits = max((self.spaces[k - 1] * self.wide - 1).bit_length(), 1) if k <= len(self.spaces) else 64
+        x, mask, half = context.astype(np.uint64) * np.uint64(self.wide) + word.astype(np.uint64), np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+        for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            x ^= x >> half
+            x = (x * np.uint64(odd)) & mask
+        return (x ^ (x >> half)) << np.uint64(64 - bits)
+
 
 def _spread(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the keys (hashes, spread evenly), the keys in it, their place among all shards (equal ranges of keys) in 40 binary
+    """The order of the keys (spread evenly), the keys in it, their place among all shards (equal ranges of keys) in 40 binary
     digits behind the shard, and where the shards begin."""
     order = np.arange(len(keys)) if (keys[1:] >= keys[:-1]).all() else np.argsort(keys)
     keys = keys[order]
@@ -122,19 +143,52 @@ def _spread(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.n
     return order, keys, spot, np.searchsorted(spot, np.arange(shards + 1, dtype=np.uint64) << np.uint64(40))
 
 
-def _dealt(kind: str, who: int, keys: np.ndarray, values: np.ndarray, shards: int) -> pa.RecordBatch:
-    """A slice's keys with values (one row, or one row for each sum), a row for each shard of the key space. Keys ascend and are sent
-    as differences; of kind ``f`` only their buckets are sent."""
-    order, keys, spot, cuts = _spread(keys, shards)
-    if kind[0] == "f":
-        keys = ((spot & np.uint64((1 << 40) - 1)) >> np.uint64(40 - BUCKET_BITS)).astype(np.uint32)
-    values, keep = values[..., order], [i for i in range(shards) if cuts[i] < cuts[i + 1]]
+def _spread_numbers(numbers: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of numbers (place in the shard * shards + shard) by shard and place, the places in it, and where the shards begin."""
+    shard, place = numbers % shards, numbers // shards
+    order = np.lexsort((place, shard))
+    return order, place[order].astype(np.uint32), np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _asks(kind: str, who: int, keys: np.ndarray, cuts: np.ndarray, values) -> pa.RecordBatch:
+    """A row for each shard. Keys ascend in it and are sent as differences."""
+    keep = np.flatnonzero(cuts[:-1] < cuts[1:])
     steps = np.diff(keys, prepend=keys[:1])
     steps[cuts[keep]] = keys[cuts[keep]]
     return pa.RecordBatch.from_arrays([
         pa.array([kind] * len(keep), pa.string()), pa.array(keep, pa.int32()), pa.array([who] * len(keep), pa.int64()),
         pa.array([packed(steps[cuts[i]:cuts[i + 1]]) for i in keep], pa.binary()),
-        pa.array([packed(values[..., cuts[i]:cuts[i + 1]].ravel()) for i in keep], pa.binary())], ["kind", "shard", "slice", "keys", "values"])
+        pa.array([values(cuts[i], cuts[i + 1]) for i in keep], pa.binary())], ["kind", "shard", "slice", "keys", "values"])
+
+
+def _dealt(kind: str, who: int, keys: np.ndarray, values: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A slice's keys with values, a row for each shard of the key space; of kind ``f`` only their buckets are sent."""
+    order, keys, spot, cuts = _spread(keys, shards)
+    if kind[0] == "f":
+        keys = ((spot & np.uint64((1 << 40) - 1)) >> np.uint64(40 - BUCKET_BITS)).astype(np.uint32)
+    values = values[order]
+    return _asks(kind, who, keys, cuts, lambda a, z: packed(values[a:z]))
+
+
+def _dealt_contexts(kind: str, who: int, numbers: np.ndarray, needs: np.ndarray, tells: np.ndarray, sums: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    """A slice's contexts by number: whether it needs their factor, whether it tells sums, and the sums (of all contexts) where it does."""
+    order, places, cuts = _spread_numbers(numbers, shards)
+    flags, tells = (needs + 2 * tells).astype(np.uint8)[order], tells[order]
+    sums = [x[order] for x in sums]
+    return _asks(kind, who, places, cuts, lambda a, z: _joined([packed(flags[a:z]), *(packed(x[a:z][tells[a:z]]) for x in sums)]))
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(b).to_bytes(4, "little") + b for b in parts)
+
+
+def _parted(b: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(b):
+        size = int.from_bytes(b[at:at + 4], "little")
+        out.append(b[at + 4:at + 4 + size])
+        at += 4 + size
+    return out
 
 
 def _told(folders: tuple[str, ...], who: int) -> dict[str, list[tuple[int, bytes]]]:
@@ -159,24 +213,60 @@ def _heard(answers: dict, kind: str, keys: np.ndarray, dtype, shards: int) -> np
     return out
 
 
+def _heard_numbers(answers: dict, kind: str, keys: np.ndarray, some: np.ndarray, shards: int) -> np.ndarray:
+    """Numbers of the keys that are in ``some``, -1 for others."""
+    out, (order, *_, cuts) = np.full(len(keys), -1), _spread(keys, shards)
+    for shard, values in answers.get(kind, ()):
+        at = order[cuts[shard]:cuts[shard + 1]]
+        out[at[some[at]]] = np.cumsum(unpacked(values, np.uint32), dtype=np.int64) * shards + shard
+    return out
+
+
+def _heard_contexts(answers: dict, kind: str, numbers: np.ndarray, needs: np.ndarray, total: np.ndarray, how: _How) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts are retained, and their factors where they are needed."""
+    kept, rest, (order, _, cuts) = np.zeros(len(numbers), bool), np.ones(len(numbers)), _spread_numbers(numbers, how.shards)
+    for shard, values in answers.get(kind, ()):
+        at, (flags, *factors) = order[cuts[shard]:cuts[shard + 1]], _parted(values)
+        kept[at] = unpacked(flags, np.uint8) > 0
+        at = at[kept[at] & needs[at]]
+        if kind == "c1":
+            seen, root = (unpacked(x, np.int64) for x in factors)
+            rest[at] = _factor(total[at], seen, how.chance(root), root, how)
+        else:
+            rest[at] = unpacked(factors[0], np.float64)
+    return kept, rest
+
+
+def _left(total: np.ndarray, seen: np.ndarray, low: np.ndarray, how: _How) -> np.ndarray:
+    """What a context leaves to words that are not its own."""
+    return np.maximum((np.maximum(total - seen, 0) + how.weight * (1 - low)) / np.maximum(total + how.weight, 1e-300), 1e-12)
+
+
+def _factor(total: np.ndarray, seen: np.ndarray, low: np.ndarray, root: np.ndarray, how: _How) -> np.ndarray:
+    return _left(total, seen, low, how) / np.maximum(1 - how.chance(root), 1e-12)
+
+
 def _answer(batches, how: _How) -> Iterator[pa.RecordBatch]:
     """Totals over all slices, back to each asker in its order. Words: counts; then the number of words seen (slice -1, in ``shard``).
     Buckets of pairs: 1 if a pair of it can reach ``low``, 2 if it can be a context, else 0. Pairs: twice the count, plus one for a
-    single asker of each (0 under ``low``). Contexts: the factor on root probabilities of words that are not their own, NaN if they
-    are not retained."""
+    single asker of each (0 under ``low``). Words that reach ``low`` (kind l) and contexts (kind i) are numbered in each shard, and so
+    named from then on; how many there are is told, too (slice -1). Contexts: whether they are retained, and for those who need it the factor on
+    root probabilities of words that are not their own (at the first level as the two whole numbers that give it)."""
     asked: dict[tuple, list] = {}
     for b in batches:
         for r in b.to_pylist():
-            keys = unpacked(r["keys"], np.uint32 if r["kind"][0] == "f" else np.uint64)
+            keys = unpacked(r["keys"], np.uint32 if r["kind"][0] in "cf" else np.uint64)
             asked.setdefault((r["kind"][0], r["shard"]), []).append((r["kind"], r["slice"], np.cumsum(keys, dtype=keys.dtype), r["values"]))
     row = lambda kind, shard, who, values: pa.RecordBatch.from_arrays(
         [pa.array([kind]), pa.array([shard], pa.int32()), pa.array([who], pa.int64()), pa.array([values], pa.binary())], ["kind", "shard", "slice", "values"])
     for sort, shard in list(asked):
         rows = asked.pop((sort, shard))
         if sort == "c":
-            keys, rest = _judge([(k, unpacked(x, np.float64).reshape(6, -1)) for *_, k, x in rows], how.gain)
-            for kind, who, k, _ in rows:
-                yield row(kind, shard, who, packed(rest[np.searchsorted(keys, k)]))
+            asks = [(k, *(unpacked(x, t) for x, t in zip(_parted(x), _SUMS))) for *_, k, x in rows]
+            kept, *factors = _judge(asks, how)
+            for (kind, who, k, _), (_, flags, *_) in zip(rows, asks):
+                need = k[kept[k] & (flags & 1 > 0)]
+                yield row(kind, shard, who, _joined([packed(kept[k].astype(np.uint8)), *(packed(x[need]) for x in factors)]))
             continue
         if sort == "f":
             total = np.bincount(np.concatenate([k for *_, k, _ in rows]), np.concatenate([unpacked(x, np.uint32) for *_, x in rows]), 1 << BUCKET_BITS)
@@ -186,8 +276,14 @@ def _answer(batches, how: _How) -> Iterator[pa.RecordBatch]:
             continue
         keys, totals = _sum_keys([(k, unpacked(x, np.int64)) for *_, k, x in rows])
         free = np.ones(len(keys), bool)
+        named = {"l": totals >= how.low, "i": totals >= how.context} if sort == "w" else {"i": totals >= max(how.context, how.low)}
+        places = {x: np.cumsum(some) - 1 for x, some in named.items()}
+        for x, some in named.items() if rows[0][0] != f"p{how.depth}" else ():
+            yield row(x, int(some.sum()), -1, b"")
         for kind, who, k, _ in rows:
             at = np.searchsorted(keys, k)
+            for x, some in named.items() if kind != f"p{how.depth}" else ():
+                yield row(x + kind, shard, who, packed(np.diff(places[x][at[some[at]]], prepend=0).astype(np.uint32)))
             values = totals[at] if sort == "w" else np.where(totals[at] >= how.low, totals[at] * 2 + free[at], 0)
             free[at] = False
             yield row(kind, shard, who, packed(values))
@@ -205,13 +301,28 @@ def _sum_keys(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return keys[at], np.add.reduceat(counts, at, axis=-1) if len(at) else counts
 
 
-def _judge(rows: list[tuple[np.ndarray, np.ndarray]], gain: float) -> tuple[np.ndarray, np.ndarray]:
-    """Divergence test of contexts against their longest retained suffixes, from the slices' sums over the successors they speak for."""
-    keys, sums = _sum_keys([(k, np.concatenate([x, np.ones((1, len(k)))])) for k, x in rows])
-    total, seen, mass, root_mass, low_mass, change, askers = sums
-    left = np.maximum(np.rint(total / askers) - seen, 0)  # all askers know the same total
-    change = change + left * np.log(np.maximum(1 - mass, 1e-12) / np.maximum(1 - low_mass, 1e-12))
-    return keys, np.where(change >= gain, np.maximum(1 - mass, 1e-12) / np.maximum(1 - root_mass, 1e-12), np.nan)
+_SUMS = (np.uint8, np.int64, np.int64, np.int64, np.float64, np.float64)  # flags, then sums as _judge takes them
+
+
+def _judge(rows: list[tuple], how: _How) -> tuple[np.ndarray, ...]:
+    """Divergence test of contexts against their longest retained suffixes, from the slices' sums over the successors they speak for:
+    counts, root counts, gains, and probabilities under the suffix if that is not the root. All who tell know the same total. Which
+    contexts are retained, and their factors, or what gives them."""
+    size, first = 1 + max(int(k[-1]) for k, *_ in rows), len(rows[0]) < 7
+    total, seen, root, change, low = (np.zeros(size, t) for t in _SUMS[1:])
+    for k, flags, all_, *told in rows:
+        at = k[flags > 1]
+        total[at] = all_
+        for x, y in zip((seen, root, change, low), told):
+            x[at] += y
+    if first:
+        low = how.chance(root)
+    change = change + np.maximum(total - seen, 0) * np.log(_left(total, seen, low, how) / np.maximum(1 - low, 1e-12))
+    return (change >= how.gain, seen, root) if first else (change >= how.gain, _factor(total, seen, low, root, how))
+
+
+def _words(r: dict) -> np.ndarray:
+    return np.cumsum(from_planes(r["words"], np.uint64), dtype=np.uint64)
 
 
 def _before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -227,9 +338,12 @@ class _Walk:
 
     def __init__(self, r: dict, how: _How) -> None:
         self.r, self.how, self.answers = r, how, _told(how.answers, r["slice"])
-        words, code, self.ends = np.frombuffer(r["words"], np.uint64), from_planes(r["codes"], np.uint32), from_planes(r["ends"], np.int64)
+        words, self.ends = _words(r), from_planes(r["ends"], np.int64)
+        code = np.argsort(-from_planes(r["seen"], np.uint32).astype(np.int64), kind="stable").astype(np.int32)[from_planes(r["codes"], np.uint32)]
         count = _heard(self.answers, "w", words, np.int64, how.shards)
         self.words, self.code, self.count = words, code, count[code]
+        self.number = _heard_numbers(self.answers, "lw", words, count >= how.low, how.shards)
+        self.contexts = _heard_numbers(self.answers, "iw", words, count >= how.context, how.shards)
         self.root = (self.count + 1) / (how.n + how.v + 1)
         self.first = np.concatenate([[0], self.ends[:-1]])
 
@@ -241,7 +355,7 @@ class _Walk:
         A pair can occur ``low`` times only if its context is one, the pair without the context's first word does, and so do the pairs
         of its bucket together: no other is asked. For buckets, both parts are judged by theirs."""
         how, who, chance = self.how, self.r["slice"], self.root.copy()
-        size, names, total, held = len(self.code), self.words, _before(self.count, self.first), self.count
+        size, names, numbers, total, held = len(self.code), self.words, self.contexts, _before(self.count, self.first), self.count
         context = _before(self.code, self.first)  # of each token, the run of words before it by its place in ``names``
         may = np.ones(size, bool)
         may[self.first] = False
@@ -255,17 +369,22 @@ class _Walk:
                 yield _dealt(f"f{k}", who, keys, np.minimum(counts, max(how.contexts, how.low)).astype(np.uint32), how.shards)
                 return
             can = _heard(self.answers, f"f{k}", keys, np.uint8, how.shards)
-            live = total >= max(how.contexts, 1)
+            live = total >= how.context
             sure = np.flatnonzero((can > 0) & live[at[one]] & (held[at[one]] >= how.low))
+            spot = at[one[sure]]
+            pairs = how.pair(k, numbers[context[spot]], self.number[self.code[spot]])
             near, gram = np.zeros(size, np.uint8), np.zeros(size, np.uint32)
             near[at], gram[at] = can[back], back
             may = (near >= min(how.low, 1)) & (_before(near, self.first) > 1)
             if k > done:
-                yield _dealt(f"p{k}", who, keys[sure], counts[sure], how.shards)
+                yield _dealt(f"p{k}", who, pairs, counts[sure], how.shards)
                 names, context = keys, _before(gram, self.first)
                 continue
             told = np.zeros(len(keys), np.int64)
-            told[sure] = _heard(self.answers, f"p{k}", keys[sure], np.int64, how.shards)
+            told[sure] = _heard(self.answers, f"p{k}", pairs, np.int64, how.shards)
+            deeper = np.full(len(keys), -1)
+            if k < how.depth:
+                deeper[sure] = _heard_numbers(self.answers, f"ip{k}", pairs, told[sure] >> 1 >= max(how.context, how.low), how.shards)
             held = np.zeros(size, np.int64)
             held[at] = (told >> 1)[back]
             del back, near
@@ -273,19 +392,22 @@ class _Walk:
             its = np.full(len(names), -1)
             its[context[spots]] = spots
             mine = np.flatnonzero(its >= 0)
-            contexts, place = names[mine], np.empty(len(names), np.int64)
+            contexts, place = numbers[mine], np.empty(len(names), np.int64)
             place[mine] = np.arange(len(mine))
+            needs = np.bincount(place[context[spots]], held[spots] < how.own, len(mine)) > 0
             if k == done and not last:
                 t = at[one[((told & 1) > 0) & (told >> 1 >= how.own)]]
                 c, n, low = place[context[t]], held[t], chance[t]
                 p = (n + how.weight * low) / (total[t] + how.weight)
-                sums = [np.bincount(c, weights=x, minlength=len(contexts)) for x in (n, p, self.root[t], low, n * np.log(p / low))]
-                yield _dealt(f"c{k}", who, contexts, np.stack([total[its[mine]].astype(float), *sums]), how.shards)
+                sums = [np.bincount(c, weights=x, minlength=len(contexts)) for x in (n, self.count[t] + 1, n * np.log(p / low), low)[:3 + (k > 1)]]
+                sums = [total[its[mine]], *(np.rint(x).astype(np.int64) for x in sums[:2]), *sums[2:]]
+                yield _dealt_contexts(f"c{k}", who, contexts, needs, np.bincount(c, minlength=len(contexts)) > 0, sums, how.shards)
             else:
-                rest = _heard(self.answers, f"c{k}", contexts, np.float64, how.shards)[place[context[spots]]]
-                t, rest = spots[~np.isnan(rest)], rest[~np.isnan(rest)]
+                kept, rest = _heard_contexts(self.answers, f"c{k}", contexts, needs, total[its[mine]], how)
+                c = place[context[spots]]
+                t, rest = spots[kept[c]], rest[c[kept[c]]]
                 chance[t] = np.where(held[t] >= how.own, (held[t] + how.weight * chance[t]) / (total[t] + how.weight), rest * self.root[t])
-            names, context, total = keys, _before(gram, self.first), _before(held, self.first)
+            names, numbers, context, total = keys, deeper, _before(gram, self.first), _before(held, self.first)
         self.chance = chance
 
 
@@ -299,7 +421,7 @@ def _next_asks(batches, how: _How, done: int) -> Iterator[pa.RecordBatch]:
     """What a slice asks of the shards; first of all (``done`` -1) its words with their counts, too."""
     for r in _rows(batches):
         if done < 0:
-            yield _dealt("w", r["slice"], np.frombuffer(r["words"], np.uint64), from_planes(r["counts"], np.uint32).astype(np.int64), how.shards)
+            yield _dealt("w", r["slice"], _words(r), from_planes(r["counts"], np.uint32).astype(np.int64), how.shards)
         yield from _Walk(r, how).go(done, False)
 
 
@@ -409,12 +531,16 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         folder = new_folder(docs)
         folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
         asks.repartition(how.shards, "shard").mapInArrow(lambda it: _answer(it, how), TOLD).repartition(how.shards, "slice").write.partitionBy("slice").option("compression", "zstd").parquet(folder)
-        return replace(how, answers=(*how.answers, folder))
+        told = spark.read.schema(TOLD).parquet(folder).filter("slice = -1").groupBy("kind").agg(F.sum("shard"), F.max("shard")).collect()
+        return replace(how, answers=(*how.answers, folder), **numbered(how, {kind: x for kind, *x in told}))
+
+    def numbered(how: _How, told: dict) -> dict:
+        more = {"v": told["v"][0], "wide": max(told["l"][1], 1) * how.shards} if "v" in told else {}
+        return more | ({"spaces": (*how.spaces, max(told["i"][1], 1) * how.shards)} if "i" in told else {})
 
-    how = answered(coded.select("slice", "learn", "ends", "codes", "words", "counts").mapInArrow(lambda it, how=how: _next_asks(it, how, -1), ASKED), how)
-    how = replace(how, v=spark.read.schema(TOLD).parquet(*how.answers).filter("slice = -1").agg(F.sum("shard")).first()[0] or 0)
+    how = answered(coded.select("slice", "learn", "ends", "codes", "words", "seen", "counts").mapInArrow(lambda it, how=how: _next_asks(it, how, -1), ASKED), how)
     for done in range(depth + 1 if n else 0):
-        how = answered(coded.select("slice", "learn", "ends", "codes", "words").mapInArrow(lambda it, how=how, done=done: _next_asks(it, how, done), ASKED), how)
+        how = answered(coded.select("slice", "learn", "ends", "codes", "words", "seen").mapInArrow(lambda it, how=how, done=done: _next_asks(it, how, done), ASKED), how)
     how = how if n else replace(how, depth=0)
-    scored = coded.select("slice", "ids", "ends", "codes", "words").mapInArrow(lambda it: _score(it, how), "d long, n_tokens long, n_known long, base_score double, score double")
+    scored = coded.select("slice", "ids", "ends", "codes", "words", "seen").mapInArrow(lambda it: _score(it, how), "d long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
