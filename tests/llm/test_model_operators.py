@@ -176,6 +176,48 @@ def test_suffix_tree_sends_no_rare_pairs_in_full(tmp_path):
     assert 0 < often <= full <= 1.2 * often < 0.2 * sum(len(set(zip(t.split(), t.split()[1:]))) for t in texts)
 
 
+def test_suffix_tree_sends_few_bytes(tmp_path):
+    """Contexts are sent by place, sums only by those who tell them, factors to those who need them; pairs as numbers of both parts."""
+    rng = np.random.default_rng(4)
+    follow = rng.integers(0, 500, (500, 40))
+    texts = []
+    for _ in range(6):
+        w = [0]
+        while len(w) < 30_000:
+            w.append(follow[w[-1], min(int(rng.exponential(4)), 39)])
+        texts.append(" ".join(f"w{x}" for x in w))
+    docs = pa.RecordBatch.from_pydict({"d": list(range(6)), "text": texts, "learn": [True] * 6})
+    coded = [b for i in range(6) for b in suffix_tree._encode([docs.slice(i, 1)])]
+    how = suffix_tree._How(2, 3, 50, 4, 30.0, 6.0, 180_006, 501, wide=1024, spaces=(1024, 16384, 65536))
+    sent, told = {}, {}
+    for done in (-1, 0, 1):
+        asks = list(suffix_tree._next_asks(coded, how, done))
+        for r in (r for b in asks for r in b.to_pylist()):
+            sent[r["kind"]] = sent.get(r["kind"], 0) + len(r["keys"]) + len(r["values"])
+        for b in suffix_tree._answer(asks, how):
+            for r in b.to_pylist():
+                if r["slice"] >= 0:
+                    told[r["kind"]] = told.get(r["kind"], 0) + len(r["values"])
+                    (tmp_path / f"{done}/slice={r['slice']}").mkdir(parents=True, exist_ok=True)
+                    pq.write_table(pa.table({c: b.column(c) for c in ("kind", "shard", "values")}), tmp_path / f"{done}/slice={r['slice']}/{r['kind']}{r['shard']}.parquet")
+        how = suffix_tree.replace(how, answers=(*how.answers, f"file://{tmp_path}/{done}"))
+    pairs = sum(len({*zip(t.split(), t.split()[1:])}) for t in texts)
+    contexts = sum(len({*t.split()}) for t in texts)
+    assert sent["p1"] < 4 * pairs and sent["c1"] + told["c1"] < 25 * contexts
+
+
+def test_suffix_tree_numbers_read_back():
+    rng = np.random.default_rng(5)
+    for a in (np.zeros(0, np.uint32), np.arange(3, dtype=np.uint32), rng.integers(0, 1 << 20, 5000).astype(np.uint32), np.array([0, 2**31], np.uint32)):
+        assert (suffix_tree._from_lengths(suffix_tree._by_length(a)) == a).all()
+        for dtype in (np.uint8, np.uint32, np.int64, np.float64):
+            assert (suffix_tree.unpacked(suffix_tree.packed(a.astype(dtype)), dtype) == a.astype(dtype)).all()
+    for bits in (1, 7, 20, 37, 64):
+        how = suffix_tree._How(3, 3, 50, 4, 30.0, 6.0, wide=1 << (bits // 2), spaces=(1 << (bits - bits // 2),))
+        c, w = (rng.integers(0, 1 << n, 3000) if n else np.zeros(3000, np.int64) for n in (bits - bits // 2, bits // 2))
+        assert len(np.unique(how.pair(1, c, w))) == len({*zip(c.tolist(), w.tolist())})
+
+
 def test_states_sum_to_one():
     rng = np.random.default_rng(1)
     words = np.sort(rng.integers(0, 1 << 63, 5, dtype=np.uint64))

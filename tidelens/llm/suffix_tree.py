@@ -20,8 +20,9 @@ SLICE_BYTES = 16 << 20
 CODED = "slice long, ids binary, learn binary, ends binary, codes binary, words binary, seen binary, counts binary, learnt long, tokens long"
 ASKED = "kind string, shard int, slice long, keys binary, values binary"
 TOLD = "kind string, shard int, slice long, values binary"
-SHARD_KEYS = 2_000_000  # tokens for each shard: a shard sums what slices ask in memory
-BUCKET_BITS = 22  # buckets of a shard, in which pairs are counted first: at least two for each token
+SHARD_KEYS = 4_000_000  # tokens for each shard: a shard sums what slices ask in memory
+APART = 512  # numbers from which byte planes are compressed apart
+BUCKET_BITS = 22  # buckets of a shard, in which pairs are counted first: at least one for each token
 
 
 @dataclass
@@ -52,13 +53,53 @@ def from_planes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def packed(a: np.ndarray) -> bytes:
-    b = planes(a)
-    return len(b).to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+def packed(a: np.ndarray, level: int = 1) -> bytes:
+    """Numbers compressed; unless they are few, each byte plane by itself, as planes differ in what they hold."""
+    zstd, size = pa.Codec("zstd", compression_level=level), len(a).to_bytes(8, "little")
+    if len(a) < APART:
+        return size + zstd.compress(planes(a), asbytes=True)
+    return size + _joined([zstd.compress(p.tobytes(), asbytes=True) if p.any() else b"" for p in a.view(np.uint8).reshape(len(a), a.itemsize).T])
 
 
 def unpacked(b: bytes, dtype) -> np.ndarray:
-    return from_planes(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True), dtype)
+    size, width = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
+    if size < APART:
+        return from_planes(pa.decompress(b[8:], size * width, "zstd", asbytes=True), dtype)
+    out = np.zeros((size, width), np.uint8)
+    for i, p in enumerate(_parted(b[8:])):
+        if p:
+            out[:, i] = np.frombuffer(pa.decompress(p, size, "zstd", asbytes=True), np.uint8)
+    return out.view(dtype).ravel()
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(b).to_bytes(4, "little") + b for b in parts)
+
+
+def _parted(b: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(b):
+        size = int.from_bytes(b[at:at + 4], "little")
+        out.append(b[at + 4:at + 4 + size])
+        at += 4 + size
+    return out
+
+
+def _by_length(a: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent: their lengths in binary digits, then for each length what follows the first digit."""
+    a = a.astype(np.uint32) + np.uint32(1)
+    length = np.frexp(a.astype(np.float64))[1].astype(np.uint8)
+    rest = a[np.argsort(length, kind="stable")]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(length, minlength=33))])
+    return _joined([packed(length, 3), *(packed(rest[cuts[k]:cuts[k + 1]] - np.uint32(1 << (k - 1)), 3) for k in range(1, 33))])
+
+
+def _from_lengths(b: bytes) -> np.ndarray:
+    length, *rest = _parted(b)
+    length = unpacked(length, np.uint8)
+    out = np.empty(len(length), np.uint32)
+    out[np.argsort(length, kind="stable")] = np.concatenate([unpacked(x, np.uint32) + np.uint32((1 << k) - 1) for k, x in enumerate(rest)])
+    return out
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +115,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _encode(batches) -> Iterator[pa.RecordBatch]:
     """Slices of documents as word numbers (most frequent first) with their own dictionary, in order of hashes and so sent as differences,
-    its counts, which tell the numbers, and those of the learning part."""
+    its counts, which tell the numbers, and how many of those the learning part leaves out."""
     for batch in batches:
         for part in T.slices(batch, "text", SLICE_BYTES):
             raw, off = T.buffers(part.column("text"))
@@ -91,8 +132,8 @@ def _encode(batches) -> Iterator[pa.RecordBatch]:
             new[np.argsort(-seen, kind="stable")] = np.arange(len(words), dtype=np.uint32)
             counts = np.bincount(code[np.repeat(learn, per_doc) > 0], minlength=len(words)).astype(np.uint32)
             code = new[code]
-            row = [uuid.uuid4().int & ((1 << 63) - 1), planes(part.column("d").to_numpy()), learn.tobytes(), planes(ends.astype(np.int64)), planes(code),
-                   planes(np.diff(words, prepend=np.uint64(0))), planes(seen.astype(np.uint32)), planes(counts), int(counts.sum()), len(code)]
+            row = [uuid.uuid4().int & ((1 << 63) - 1), planes(part.column("d").to_numpy()), learn.tobytes(), planes(ends.astype(np.int64)), _by_length(code),
+                   planes(np.diff(words, prepend=np.uint64(0))), planes(seen.astype(np.uint32)), planes(seen.astype(np.uint32) - counts), int(counts.sum()), len(code)]
             kinds = [pa.int64()] + [pa.binary()] * 7 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["slice", "ids", "learn", "ends", "codes", "words", "seen", "counts", "learnt", "tokens"])
 
@@ -178,19 +219,6 @@ def _dealt_contexts(kind: str, who: int, numbers: np.ndarray, needs: np.ndarray,
     return _asks(kind, who, places, cuts, lambda a, z: _joined([packed(flags[a:z]), *(packed(x[a:z][tells[a:z]]) for x in sums)]))
 
 
-def _joined(parts: list[bytes]) -> bytes:
-    return b"".join(len(b).to_bytes(4, "little") + b for b in parts)
-
-
-def _parted(b: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(b):
-        size = int.from_bytes(b[at:at + 4], "little")
-        out.append(b[at + 4:at + 4 + size])
-        at += 4 + size
-    return out
-
-
 def _told(folders: tuple[str, ...], who: int) -> dict[str, list[tuple[int, bytes]]]:
     """kind -> (shard, values) of all answers to one slice."""
     out: dict[str, list] = {}
@@ -339,7 +367,7 @@ class _Walk:
     def __init__(self, r: dict, how: _How) -> None:
         self.r, self.how, self.answers = r, how, _told(how.answers, r["slice"])
         words, self.ends = _words(r), from_planes(r["ends"], np.int64)
-        code = np.argsort(-from_planes(r["seen"], np.uint32).astype(np.int64), kind="stable").astype(np.int32)[from_planes(r["codes"], np.uint32)]
+        code = np.argsort(-from_planes(r["seen"], np.uint32).astype(np.int64), kind="stable").astype(np.int32)[_from_lengths(r["codes"])]
         count = _heard(self.answers, "w", words, np.int64, how.shards)
         self.words, self.code, self.count = words, code, count[code]
         self.number = _heard_numbers(self.answers, "lw", words, count >= how.low, how.shards)
@@ -421,7 +449,7 @@ def _next_asks(batches, how: _How, done: int) -> Iterator[pa.RecordBatch]:
     """What a slice asks of the shards; first of all (``done`` -1) its words with their counts, too."""
     for r in _rows(batches):
         if done < 0:
-            yield _dealt("w", r["slice"], _words(r), from_planes(r["counts"], np.uint32).astype(np.int64), how.shards)
+            yield _dealt("w", r["slice"], _words(r), (from_planes(r["seen"], np.uint32) - from_planes(r["counts"], np.uint32)).astype(np.int64), how.shards)
         yield from _Walk(r, how).go(done, False)
 
 
