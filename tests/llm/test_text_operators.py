@@ -139,6 +139,41 @@ def test_counts_of_shared_shingles_are_added_up_by_text():
     assert not list(ngram_join._shared([], 5)) and not list(ngram_join._added([]))
 
 
+def test_bytes_of_shingles_do_not_grow_with_shards():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    column = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 10**6, 200)) for _ in range(150)])
+
+    def sent(shards):
+        rows = list(ngram_join._token_rows([pa.RecordBatch.from_arrays([column], ["text"])], 5, shards))
+        tasks = [list(ngram_join._shared([b.filter(pa.array([s == i for s in b.column("shard").to_pylist()])) for b in rows], 1)) for i in range(shards)]
+        size = lambda told: sum(len(x or b"") for b in told for c in ("keys", "counts", "tokens") if c in b.schema.names for x in b.column(c).to_pylist() if not isinstance(x, list))
+        return size(rows), sum(len(x) for t in tasks for b in t for c in ("counts",) for xs in b.column(c).to_pylist() for x in xs)
+
+    few, many = sent(4), sent(300)
+    assert many[0] < 1.5 * few[0] and many[1] < few[0] / 4  # keys and counts for each text and shard had twice the bytes of the shingles
+
+
+def test_a_sieve_lets_all_its_ids_and_few_others_through(spark):
+    from tidelens.functions.sieve import sieve
+
+    ids = spark.range(0, 3000, 3).union(spark.createDataFrame([(None,), (-5,)], "id long"))
+    passed = {r["id"] for r in spark.range(-10, 3000).union(spark.createDataFrame([(None,)], "id long")).filter(sieve(ids)(F.col("id"))).collect()}
+    assert passed >= {*range(0, 3000, 3), None, -5} and len(passed) < 1020
+    assert not spark.range(100).filter(sieve(ids.limit(0))(F.col("id"))).count()
+
+
+def test_texts_are_joined_only_where_they_can_matter(spark):
+    base = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(1000, base[7] + " tail"), (1001, base[8]), (5, "another text under an id that is there"), (None, base[9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.keep_one(df)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == sorted([(False, i) for i in range(300) if i != 9] + [(True, 0)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") >= 2
+
+
 def test_scheme_leaves_a_part_in_common():
     rng = np.random.default_rng(5)
     s = ngram_join.Scheme(80, 100)

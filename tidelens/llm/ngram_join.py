@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidelens.functions.sieve import sieve
 from tidelens.llm import text as T
 from tidelens.llm.components import Forest, components, spanning
 from tidelens.llm.native import NO_ID, store
@@ -114,80 +117,97 @@ def _profiles(batches, n: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(size, pa.int64()), pa.array(_signed(k)), pa.array(_signed(k2))], ["d", "n", "k", "k2"])
 
 
+def _squeeze(counts: np.ndarray) -> bytes:
+    """Small counts, most of them 0 or 1 where there are many shards."""
+    wide = bool((counts > 255).any())
+    return zlib.compress(bytes([wide]) + counts.astype("<u4" if wide else "u1").tobytes(), 1)
+
+
+def _spread(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, "<u4" if raw[0] else "u1", offset=1).astype(np.int64)
+
+
 def _token_rows(batches, n: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Per slice of texts and shard of the shingle space one row: content keys, how many shingles each has there, and 32 bits of these.
+    """Per slice of texts and shard of the shingle space one row: how many shingles each text has there, and 24 bits of these. Texts are
+    named by their place in the slice; one more row of the slice has their content keys.
 
-    Equal texts of a slice count once."""
+    Equal texts of a slice count once. Bytes of a shingle are the same for any number of shards."""
+    task, seq = TaskContext.get(), 0
+    base = (task.partitionId() if task else 0) << 32
     for batch in batches:
         for part in T.slices(batch, "text", SLICE_BYTES):
             row, h = shingle_sets(part.column("text"), n)
             size, k, _ = content_keys(row, h, part.num_rows)
             first = np.zeros(part.num_rows, bool)
             first[np.unique(k, return_index=True)[1]] = True
+            first &= size > 0
             live = first[row]
-            row, h = row[live], T.mix64(h[live])
+            place = np.cumsum(first) - 1
+            row, h = place[row[live]], T.mix64(h[live])
+            if not len(row):
+                continue
             shard = ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")  # rows stay in order
-            row, h, cuts = row[order], h[order].astype(np.uint32), np.searchsorted(shard[order], np.arange(shards + 1))
-            out = []
-            for i in range(shards):
-                own = row[cuts[i]:cuts[i + 1]]
-                if len(own):
-                    who, count = np.unique(own, return_counts=True)
-                    out.append((i, k[who].tobytes(), count.astype(np.uint32).tobytes(), h[cuts[i]:cuts[i + 1]].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "keys", "counts", "tokens"])
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with the sums of their counts."""
-    k, at = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_inverse=True)
-    return k, np.bincount(at, weights=np.concatenate(counts or [np.zeros(0)]), minlength=len(k)).astype(np.int64)
+            row, h, cuts = row[order], h[order].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3], np.searchsorted(shard[order], np.arange(shards + 1))
+            out = [(seq % shards, base + seq, None, k[first].tobytes())]
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                out.append((i, base + seq, _squeeze(np.bincount(row[cuts[i]:cuts[i + 1]], minlength=place[-1] + 1)), h[cuts[i]:cuts[i + 1]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "slice", "counts", "tokens"])
+            seq += 1
 
 
 def _shared(batches, buckets: int) -> Iterator[pa.RecordBatch]:
     """How many of a text's shingles in the shards of one partition are in another text too: summed by text over the shards, and one
-    row of packed (content key, count) pairs for each bucket of texts."""
-    keys, tokens, shard = [], [], []
+    row for each bucket of slices, with the counts of their texts, and with the content keys that were here."""
+    held, names = {}, {}
     for batch in batches:
-        for i, k, c, t in zip(*(batch.column(x).to_pylist() for x in ("shard", "keys", "counts", "tokens"))):
-            keys.append(np.repeat(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)))
-            tokens.append(np.frombuffer(t, np.uint32))
-            shard.append(i)
-    texts, counts = [], []
-    for one in sorted(set(shard)):
-        at = [j for j, i in enumerate(shard) if i == one]
-        k, t = np.concatenate([keys[j] for j in at]), np.concatenate([tokens[j] for j in at])
-        order = np.lexsort((k, t))
-        k, t = k[order], t[order]
-        new = np.ones(len(k), bool)  # a copy in another slice adds nothing
-        new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-        k, t = k[new], t[new]
+        for i, who, c, t in zip(*(batch.column(x).to_pylist() for x in ("shard", "slice", "counts", "tokens"))):
+            if c is None:
+                names[who] = t
+            else:
+                held.setdefault(i, []).append((who, c, t))
+    sums = {}
+    for i in sorted(held):
+        rows = held.pop(i)
+        t = np.zeros((sum(len(x[2]) for x in rows) // 3, 4), np.uint8)
+        t[:, :3] = np.frombuffer(b"".join(x[2] for x in rows), np.uint8).reshape(-1, 3)
+        t = t.view("<u4")[:, 0]
+        order = np.argsort(t, kind="stable")
         same = np.zeros(len(t) + 1, bool)
-        same[1:-1] = t[1:] == t[:-1]
-        who, m = np.unique(k[same[1:] | same[:-1]], return_counts=True)
-        texts.append(who)
-        counts.append(m)
-    who, m = _summed(texts, counts)
-    bucket = (T.mix64(who) >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    who, m, cuts = who[order], m[order].astype(np.uint32), np.searchsorted(bucket[order], np.arange(buckets + 1))
-    keep = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-    if keep:
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([who[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary()),
-                                          pa.array([m[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary())], ["bucket", "keys", "counts"])
+        same[1:-1] = t[order[1:]] == t[order[:-1]]
+        both = np.zeros(len(t), bool)
+        both[order] = same[1:] | same[:-1]
+        total, at = np.concatenate([[0], np.cumsum(both)]), 0
+        for who, c, x in rows:
+            ends = at + np.cumsum(_spread(c))
+            m = np.diff(total[ends], prepend=total[at])
+            at = int(ends[-1])
+            sums[who] = sums[who] + m if who in sums else m
+    by = {}
+    for who in sorted({*sums, *names}):
+        if who in names or sums[who].any():
+            by.setdefault(int(T.mix64(np.array([who], np.uint64))[0] >> np.uint64(33)) % buckets, []).append(who)
+    for bucket, own in by.items():
+        counts = [_squeeze(sums[who]) if who in sums else b"" for who in own]
+        keys = [names.get(who, b"") for who in own]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.list_(t)) for x, t in ((own, pa.int64()), (keys, pa.binary()), (counts, pa.binary())))], ["bucket", "slices", "keys", "counts"])
 
 
 def _added(batches) -> Iterator[pa.RecordBatch]:
-    """(k, m) of the texts of one partition's buckets: the counts of all shards added up, a row a text."""
-    keys, counts = [], []
+    """(k, m) of the texts of one partition's buckets that share anything: the counts of all shards added up, a row a text of a slice."""
+    sums, names = {}, {}
     for batch in batches:
-        for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-            keys.append(np.frombuffer(k, np.uint64))
-            counts.append(np.frombuffer(c, np.uint32))
-    k, m = _summed(keys, counts)
-    for a in range(0, len(k), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(k[a:a + 50_000])), pa.array(m[a:a + 50_000])], ["k", "m"])
+        for slices, keys, counts in zip(*(batch.column(x).to_pylist() for x in ("slices", "keys", "counts"))):
+            for who, k, c in zip(slices, keys, counts):
+                if k:
+                    names[who] = np.frombuffer(k, np.uint64)
+                if c:
+                    m = _spread(c)
+                    sums[who] = sums[who] + m if who in sums else m
+    for who, m in sums.items():
+        some = m > 0
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(names[who][some])), pa.array(m[some])], ["k", "m"])
 
 
 def _dealt(key: np.ndarray, node: np.ndarray, shards: int) -> pa.RecordBatch:
@@ -318,15 +338,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = prof.agg(F.sum("n")).first()[0] or 0
     shards = shards or max(8, total // SHARD_SHINGLES)
     # a text can only be similar to others if enough of its shingles are in others: the union of all other texts bounds every one of them
-    # as many shards as the session deals to, more only if these grow large; a text has counts in many shards, which travel packed and are
-    # added up where the text's bucket is: rows are as many as texts, not as texts and shards
+    # as many shards as the session deals to, more only if these grow large; counts go back to the texts' slices, packed and summed by task
+    classes = prof.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("d").alias("lead"))
+    led = store(prof.filter("n > 0").join(classes, ["k", "k2", "n"]).select("d", "n", "k", "lead"))
+    # a copy adds nothing: only what a sieve of their ids lets through is joined with them, the other texts stay where they are
+    copies = led.groupBy("d").agg(F.bool_or(F.col("lead") == F.col("d")).alias("leads")).filter("NOT leads").select("d")
+    maybe = sieve(copies)(F.col("d"))
+    rest = base.filter(maybe).join(copies.hint("merge"), "d", "left_anti").sortWithinPartitions("d", "text")
     deal = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tokens = base.select("text").mapInArrow(lambda it: _token_rows(it, n, deal), "shard int, keys binary, counts binary, tokens binary")
-    counted = tokens.repartition(deal, "shard").mapInArrow(lambda it: _shared(it, deal), "bucket int, keys binary, counts binary")
-    shared = counted.repartition(deal, "bucket").select("keys", "counts").mapInArrow(_added, "k long, m long")
-    classes = prof.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("d").alias("d"))
-    members = classes.join(shared, "k").filter(F.col("m") * den >= F.col("n") * num).select("d", "n", "k", F.lit(0).cast("long").alias("family"))
-    found = base.join(members.hint("merge"), "d").select("family", "k", "d", "n", "text")
+    tokens = base.filter(~maybe).unionByName(rest).select("text").mapInArrow(lambda it: _token_rows(it, n, deal), "shard int, slice long, counts binary, tokens binary")
+    counted = tokens.repartition(deal, "shard").mapInArrow(lambda it: _shared(it, deal), "bucket int, slices array<long>, keys array<binary>, counts array<binary>")
+    shared = counted.repartition(deal, "bucket").select("slices", "keys", "counts").mapInArrow(_added, "k long, m long").groupBy("k").agg(F.max("m").alias("m"))
+    members = led.filter("d = lead").distinct().join(shared, "k").filter(F.col("m") * den >= F.col("n") * num).select("d", "n", "k", F.lit(0).cast("long").alias("family"))
+    members = store(members)
+    found = base.filter(sieve(members.select("d"))(F.col("d"))).join(members.hint("merge"), "d").select("family", "k", "d", "n", "text")
     sets = store(found.mapInArrow(lambda it: _sets(it, n), "family long, k long, d long, n long, shingles binary"), "uncompressed")
     parts = sets.mapInArrow(lambda it: _part_rows(it, scheme, shards, 1), "shard int, keys binary, nodes binary")
     closer = components(parts.repartition(shards, "shard").select("keys", "nodes").mapInArrow(_meet, "u long, v long"))
@@ -348,8 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outer = pairs.join(left, "a").join(right, "b").drop("a", "b").mapInPandas(lambda it: _open(it, num, den, False), "u long, v long")
     links = inner.union(outer)
     roots = components(links)
-    same = prof.filter("n > 0").select("d", "k", "k2", "n").join(classes.select("k", "k2", "n", F.col("d").alias("lead")), ["k", "k2", "n"])
-    found = (same.join(roots, same["lead"] == roots["node"], "left").select("d", "n", F.coalesce("root", "lead").alias("c")))
+    found = led.join(roots, led["lead"] == roots["node"], "left").select("d", "n", F.coalesce("root", "lead").alias("c"))
     out = found.unionByName(prof.filter("n = 0").select("d", "n", F.col("d").alias("c")))
     restore = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(restore("d").alias("doc_id"), F.col("n").alias("n_shingles"), restore("c").alias("component_id"))
@@ -360,8 +384,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Of several rows with this id one stays. A row without an id has the smallest and always stays; so do texts without words."""
     found = near_duplicates(docs, id_col, text_col, **how).filter("doc_id IS NOT NULL AND (component_id IS NULL OR doc_id <> component_id)")
-    gone = found.select(F.col("doc_id").alias("__keep_one_id")).distinct()
-    kept = docs.withColumn("__keep_one_id", F.col(id_col).cast("long")).join(gone.hint("merge"), "__keep_one_id", "left_anti")
-    again = F.row_number().over(Window.partitionBy("__keep_one_id").orderBy(F.xxhash64(text_col)))
-    with_id = kept.filter("__keep_one_id IS NOT NULL").withColumn("__keep_one_place", again).filter("__keep_one_place = 1")
-    return with_id.select(*docs.columns).unionByName(kept.filter("__keep_one_id IS NULL").select(*docs.columns))
+    gone = store(found.select(F.col("doc_id").alias("__keep_one_id")).distinct())
+    ids = docs.select(F.col(id_col).cast("long").alias("__keep_one_id"))
+    again = ids.filter("__keep_one_id IS NOT NULL").groupBy("__keep_one_id").agg(F.count("*").alias("n")).filter("n > 1").select("__keep_one_id")
+    # only rows whose id is gone or stands on several rows, and the few others that pass the sieve with them, are joined and numbered
+    named = docs.withColumn("__keep_one_id", F.col(id_col).cast("long"))
+    close = F.coalesce(sieve(gone.unionByName(again))(F.col("__keep_one_id")) & F.col("__keep_one_id").isNotNull(), F.lit(False))
+    kept = named.filter(close).join(gone.hint("merge"), "__keep_one_id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("__keep_one_id").orderBy(F.xxhash64(text_col)))
+    with_id = kept.withColumn("__keep_one_place", place).filter("__keep_one_place = 1")
+    return with_id.select(*docs.columns).unionByName(named.filter(~close).select(*docs.columns))
