@@ -99,6 +99,42 @@ def test_knn_opens_few_cells_when_one_column_says_little():
     assert len(place[0]) == 50_000 and len(size) == 400 and size.max() < 200
 
 
+def test_knn_cells_are_as_long_as_wide():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    points = np.column_stack([rng.integers(0, 100, 50_000), rng.random(50_000) * 100_000]).astype(float)
+    parts = quality._shape(points, 400)
+    assert parts[0] == 1 and 300 < parts[1] <= 400
+    tree, asked = quality._cut(points, parts), points[:500]
+    opened = sum(len(c) for _, c in quality._cells(tree, asked - 5.0, asked + 5.0, parts, np.arange(500)))
+    assert 500 <= opened < 600  # with 20 x 20 cells three or four for each row
+    one = np.zeros((10, 2))
+    assert quality._shape(one, 9) == (3, 3) and quality._shape(one[:0], 1) == (1, 1)
+
+
+def test_knn_deals_crowded_cells_and_sends_little(spark, monkeypatch):
+    import numpy as np
+
+    for name, small in (("ASKED", 20), ("CHUNK", 640), ("HELD", 100)):
+        monkeypatch.setattr(quality, name, small)
+    rng = np.random.default_rng(8)
+    n, k = 1500, 3
+    data = np.column_stack([rng.integers(0, 30, n), rng.integers(0, 2000, n), rng.integers(0, 4, n)]).astype(float)
+    hole = np.column_stack([rng.random(n) < 0.3, rng.random(n) < 0.3, np.zeros(n, bool)])
+    rows = [(i, *[None if h else float(v) for v, h in zip(data[i], hole[i])]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(3)
+    found = quality.fill_knn(df, ["a", "b", "c"], "id", k=k, cell=40)
+    whole, want = np.flatnonzero(~hole.any(axis=1)), []
+    for i in range(n):
+        s = ~hole[i]
+        near = sorted((np.sqrt(((data[j, s] - data[i, s]) ** 2).sum()), j) for j in whole)[:k]
+        want.append((i, *np.where(hole[i], np.mean([data[j] for _, j in near], axis=0), data[i]).round(6).tolist()))
+    assert sorted((r["id"], *[round(v, 6) for v in (r["a"], r["b"], r["c"])]) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 0  # filled rows are not joined with their nearest again
+
+
 def test_forest_flags_the_far_rows(spark):
     rows = [(i, float(i % 10), float(i % 7)) for i in range(400)] + [(1000 + i, 500.0 + i, -400.0) for i in range(4)]
     df = spark.createDataFrame(rows, "id long, a double, b double")

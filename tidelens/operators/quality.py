@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import clip, div
 from ..functions.rolling import lag
-from ..session import cut_lineage
+from ..functions.sieve import sieve
+from ..session import cut_lineage, stored
 from .quantile import exact_quantiles
 from .series import blocks, prefix, unblock
 
@@ -130,15 +131,37 @@ def fill_mode(df: DataFrame, columns: list[str]) -> DataFrame:
 
 AXES = 3  # observed columns that donors are cut along
 BORDER_ROWS = 1_000_000  # points, of all trees, that place the borders of cells
-CHUNK = 256  # rows that meet a pack of donors at once
+CHUNK = 1_000_000  # distances that are held at once
+HELD = 100_000  # donors of a task that are placed together
+ASKED = 20_000  # rows of a cell that one task takes, about
 
 
-def _cut(points, parts: int, axis: int = 0):
-    """Borders along an axis, and of each strip between them the borders along the next one."""
+def _shape(points, cells: int) -> tuple[int, ...]:
+    """Parts along each axis such that cells are about as long as wide: a small box then meets few of them."""
     import numpy as np
 
+    axes = points.shape[1]
+    wide = np.nan_to_num(np.subtract(*np.quantile(points, [0.95, 0.05], axis=0)), nan=0.0, posinf=1e300) if len(points) else np.zeros(axes)
+    left, size = np.flatnonzero(wide > 0), np.zeros(axes)
+    if not len(left):
+        return (max(1, round(cells ** (1 / axes))),) * axes
+    while len(left):
+        log = np.log(wide[left])
+        size[left] = np.exp(log + (np.log(cells) - log.sum()) / len(left))
+        short = left[size[left] < 1]
+        size[short], left = 1, np.setdiff1d(left, short)
+        if not len(short):
+            break
+    return tuple(max(1, int(round(x))) for x in size)
+
+
+def _cut(points, parts, axis: int = 0):
+    """Borders along an axis, and of each strip between them the borders along the next one. ``parts``: of all axes, or of each."""
+    import numpy as np
+
+    own = parts if isinstance(parts, int) else parts[axis]
     v = np.sort(points[:, axis])
-    edges = np.unique(v[[len(v) * i // parts for i in range(1, parts)]]) if len(v) else v
+    edges = np.unique(v[[len(v) * i // own for i in range(1, own)]]) if len(v) else v
     edges = edges[edges > v[0]] if len(v) else edges
     if axis + 1 == points.shape[1]:
         return edges, None
@@ -146,7 +169,7 @@ def _cut(points, parts: int, axis: int = 0):
     return edges, [_cut(points[strip == i], parts, axis + 1) for i in range(len(edges) + 1)]
 
 
-def _cells(node, low, high, parts: int, rows, base: int = 0, axis: int = 0):
+def _cells(node, low, high, parts, rows, base: int = 0, axis: int = 0):
     """(rows, cells) of all cells that meet the boxes from ``low`` to ``high``; of a point, its own cell."""
     import numpy as np
 
@@ -158,135 +181,279 @@ def _cells(node, low, high, parts: int, rows, base: int = 0, axis: int = 0):
         yield who, base + at
         return
     for i in np.unique(at):
-        yield from _cells(inner[i], low, high, parts, who[at == i], (base + int(i)) * parts, axis + 1)
+        yield from _cells(inner[i], low, high, parts, who[at == i], (base + int(i)) * (parts if isinstance(parts, int) else parts[axis + 1]), axis + 1)
+
+
+class _Cell:
+    """Asked rows of one cell and the nearest of the donors that come by, in the order of their keys, a pack at a time."""
+
+    def __init__(self, cell, k: int) -> None:
+        self.cell, self.k, self.asks, self.packs, self.rows, self.best = cell, k, [], [], 0, None
+
+    def ask(self, rows) -> None:
+        self.asks.append(rows)
+
+    def give(self, keys, v) -> None:
+        if self.asks:
+            self.packs.append((keys, v))
+            self.rows += len(v)
+            if self.rows * len(v[0]) > CHUNK // 64:
+                self.fold()
+
+    def fold(self) -> None:
+        """Takes the packs in: of each asked point the distances and places of the k nearest donors so far, and these donors."""
+        import numpy as np
+        import pyarrow as pa
+
+        if self.best is None:
+            self.asks = [np.concatenate(x) if isinstance(x[0], np.ndarray) else pa.concat_arrays(x) for x in zip(*self.asks)]
+            q = self.asks[1]
+            self.points, self.of = np.unique(q, axis=0, return_inverse=True)
+            self.of = self.of.reshape(-1)
+            self.best = np.zeros((len(self.points), 0)), np.zeros((len(self.points), 0), np.int64)
+            self.keys, self.v = None, np.zeros((0, q.shape[1]))
+        if not self.packs:
+            return
+        rows, held = np.concatenate([v for _, v in self.packs]), len(self.v)
+        keys = pa.concat_arrays(([] if self.keys is None else [self.keys]) + [x for x, _ in self.packs])
+        v, self.packs, self.rows = np.concatenate([self.v, rows]), [], 0
+        dist, place = [], []
+        step = max(1, CHUNK // len(rows))
+        for a in range(0, len(self.points), step):
+            q = self.points[a:a + step]
+            total = np.zeros((len(q), len(rows)))
+            for i in range(v.shape[1]):
+                gap = q[:, i, None] - rows[None, :, i]
+                total += np.where(np.isnan(q[:, i, None]), 0.0, gap * gap)
+            d = np.sqrt(total)
+            d[np.isnan(d)] = np.inf
+            d = np.concatenate([self.best[0][a:a + step], d], axis=1)
+            at = np.concatenate([self.best[1][a:a + step], np.broadcast_to(held + np.arange(len(rows)), (len(q), len(rows)))], axis=1)
+            m = min(self.k, d.shape[1])
+            who, near = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1, None])
+            order = np.lexsort((near, d[who, near], who))  # donors come in the order of their keys
+            who, near = who[order], near[order]
+            keep = np.arange(len(who)) - np.searchsorted(who, np.arange(len(q)))[who] < m
+            who, near = who[keep], near[keep]
+            dist.append(d[who, near].reshape(-1, m))
+            place.append(at[who, near].reshape(-1, m))
+        dist, place = np.concatenate(dist), np.concatenate(place)
+        used, at = np.unique(place, return_inverse=True)
+        self.best, self.keys, self.v = (dist, at.reshape(place.shape)), keys.take(pa.array(used)), v[used]
 
 
 def fill_knn(df: DataFrame, columns: list[str], key: str, k: int = 5, cell: int = 500) -> DataFrame:
     """Missing cells take the mean of the ``k`` nearest complete rows on the observed columns (ties: the smaller key).
 
     Exact over all donors, and nothing is sampled but the places of borders. Rows that observe the same columns (the first ``AXES`` of
-    them) share a tree: donors cut along these columns in turn into cells of about ``cell`` rows. Of donors that are equal there, only
-    the ``k`` smallest keys can be among the nearest. A row looks into its own cell; the k-th distance found there bounds, on every one
-    of these columns, which other cells are opened. Rows that observe the same values are asked for once, and meet a cell's donors
-    together. A row with nothing observed takes the donors' means; without donors cells stay null.
+    them) share a tree: donors cut along these columns in turn into cells of about ``cell`` rows, as long as wide. Of donors that are
+    equal there, only the ``k`` smallest keys can be among the nearest. Rows meet the donors of their own cell in one sorted stream; the
+    k-th distance found there bounds, on every one of these columns, which other cells are opened. Rows that open none are done; the
+    others meet the donors of the cells they open, and of those only what is as near as the bound comes back. Rows that observe the
+    same values are compared once. Rows that share a key share their nearest. A row with nothing observed takes the donors' means;
+    without donors cells stay null.
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     n = len(columns)
-    x = df.select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    x = df.select(F.col(key).alias("_k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
     whole = ~F.exists("_v", lambda v: v.isNull())
     donors, holes = x.filter(whole), x.filter(~whole)
     facts = donors.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("_v")[i]).alias(f"m{i}") for i in range(n)]).first()
-    out_schema = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).schema
-    back = lambda d, v: d.select(key, *[F.col(v)[i].alias(c) for i, c in enumerate(columns)])
+    back = lambda d, v: d.select(F.col("_k").alias(key), *[F.col(v)[i].alias(c) for i, c in enumerate(columns)])
     if not facts["n"]:
         return back(x, "_v")
     key_type = df.schema[key].dataType.simpleString()
-    seen = F.filter(F.transform("_q", lambda v, i: F.when(~F.isnan(v), i)), lambda i: i.isNotNull())
+    seen = F.filter(F.transform("_v", lambda v, i: F.when(v.isNotNull() & ~F.isnan(v), i)), lambda i: i.isNotNull())
     named = F.when(F.size(seen) > 0, F.concat(F.array_join(F.slice(seen, 1, AXES), ","), F.when(F.size(seen) > AXES, "+").otherwise("")))  # a tree; none with nothing observed
-    holes = holes.withColumn("_q", F.transform("_v", lambda v: F.coalesce(v, F.lit(float("nan"))))).withColumn("_t", F.coalesce(F.when(F.col(key).isNotNull(), named), F.lit("")))
-    asked = cut_lineage(holes.filter("_t <> ''").select("_t", "_q").distinct())
-    trees = {r["_t"]: [int(i) for i in r["_t"].rstrip("+").split(",")] for r in asked.select("_t").distinct().collect()}
-    means = F.array(*[F.lit(facts[f"m{i}"]) for i in range(n)])
+    holes = holes.withColumn("_t", F.coalesce(F.when(F.col("_k").isNotNull(), named), F.lit("")))
+    trees = {r["_t"]: [int(i) for i in r["_t"].rstrip("+").split(",")] for r in holes.filter("_t <> ''").select("_t").distinct().collect()}
+    means = [facts[f"m{i}"] for i in range(n)]
     mean_of = lambda i: F.when(F.size("near") > 0, F.aggregate("near", F.lit(0.0), lambda t, r: t + r["v"][i]) / F.size("near"))
-    filled = F.array(*[F.coalesce(F.col("_v")[i], mean_of(i), means[i]) for i in range(n)])
+    filled = F.array(*[F.coalesce(F.col("_v")[i], mean_of(i), F.lit(means[i])) for i in range(n)])
     near_type = f"array<struct<d: double, z: boolean, k: {key_type}, v: array<double>>>"
-    plain = holes.filter("_t = ''").select(key, "_v", F.lit(None).cast(near_type).alias("near"))
+    plain = holes.filter("_t = ''").select("_k", "_v", F.lit(None).cast(near_type).alias("near"))
     if not trees:
-        return back(donors.unionByName(plain.select(key, filled.alias("_v"))), "_v").select(*out_schema.names)
-
-    spots = F.array(*[F.struct(F.lit(t).alias("_t"), F.array(*[F.col("_v")[i] for i in axes]).alias("_p")) for t, axes in trees.items()])
-    spread = donors.select(key, "_v", F.inline(spots)).filter(~F.exists("_p", lambda v: F.isnan(v)))
-    alike = F.when(F.col("_t").endswith("+"), F.col("_v")).otherwise(F.col("_p"))
-    order = F.row_number().over(Window.partitionBy("_t", "_a").orderBy(F.col(key).asc_nulls_last()))
-    spread = cut_lineage(spread.withColumn("_a", alike).withColumn("_o", order).filter(F.col("_o") <= k).drop("_a", "_o"))
-    counts = {r["_t"]: r["n"] for r in spread.groupBy("_t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = {t: min(1.0, BORDER_ROWS / len(trees) / c) for t, c in counts.items()}
-    chance = F.create_map(*[F.lit(y) for t, r in rate.items() for y in (t, int(r * 1_000_000))]) if rate else F.lit(None)
-    points = spread.filter(F.pmod(F.xxhash64(key, "_p"), F.lit(1_000_000)) < chance[F.col("_t")]).select("_t", "_p").toPandas() if rate else None
-    cuts = {}
-    for t, axes in trees.items():
-        own = np.array(points["_p"][points["_t"] == t].tolist() if rate else [], dtype=float).reshape(-1, len(axes))
-        parts = max(1, round(max(1, min(counts.get(t, 0) // cell, len(own) // (k + 8))) ** (1 / len(axes))))
+        return back(donors.unionByName(plain.select("_k", filled.alias("_v"))), "_v")
+
+    names = sorted(trees)
+    spots = F.array(*[F.struct(F.lit(t).alias("_t"), F.array(*[F.col("_v")[i] for i in trees[t]]).alias("_p")) for t in names])
+    rate = min(1.0, BORDER_ROWS / len(trees) / facts["n"])
+    points = donors.select("_k", F.inline(spots)).filter(~F.exists("_p", lambda v: F.isnan(v)) & (F.pmod(F.xxhash64("_k", "_p"), F.lit(1_000_000)) < int(rate * 1_000_000))).select("_t", "_p").toPandas()
+    cuts, bases = {}, [0]
+    for t in names:
+        own = np.array(points["_p"][points["_t"] == t].tolist(), dtype=float).reshape(-1, len(trees[t]))
+        parts = _shape(own, max(1, min(facts["n"] // cell, len(own) // (k + 8))))
         cuts[t] = (_cut(own, parts), parts)
+        bases.append(bases[-1] + int(np.prod(parts)))
+    del points
+    base = dict(zip(names, bases))
+    cols = [f"_v{i}" for i in range(n)]
+    row_type = f"_c long, _w int, _k {key_type}, {', '.join(f'{c} double' for c in cols)}, _far double"  # _w: share of the cell's rows, donor, repeated key
+
+    def matrix(b, name):
+        """A column of arrays of ``n`` numbers, with NaN for null."""
+        return b.column(name).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+
+    def placed(t, p):
+        out = np.zeros(len(p), np.int64)
+        for who, c in _cells(cuts[t][0], p, p, cuts[t][1], np.arange(len(p))):
+            out[who] = c
+        return out + base[t]
+
+    def out_rows(cells, w, keys, v, far):
+        """``v``: a matrix with masked nulls."""
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(w.astype(np.int32)), keys, *(pa.array(v[:, i]) for i in range(n)), far], ["_c", "_w", "_k", *cols, "_far"])
+
+    def give(batches, shares):
+        """Donors with their cell in each tree. Of donors of a task that are equal there, the k smallest keys."""
+        held, size = [], 0
+
+        def flush():
+            keys, v = pa.concat_arrays([x for x, _ in held]), np.concatenate([x for _, x in held])
+            sortable = pa.types.is_primitive(keys.type) or pa.types.is_string(keys.type) or pa.types.is_decimal(keys.type)
+            if sortable:
+                order = np.asarray(pc.sort_indices(keys, null_placement="at_end"))
+                keys, v = keys.take(pa.array(order)), v[order]
+            for t in names:
+                p = v[:, trees[t]]
+                rows = np.flatnonzero(~np.isnan(p).any(axis=1))
+                if sortable and len(rows):
+                    alike = v[rows] if t.endswith("+") else p[rows]
+                    order = np.lexsort(alike.T)  # stable: keys stay in order
+                    alike = alike[order]
+                    new = np.ones(len(rows), bool)
+                    new[1:] = (alike[1:] != alike[:-1]).any(axis=1)
+                    start = np.flatnonzero(new)
+                    rows = rows[order[np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows)))) < k]]
+                if not len(rows):
+                    continue
+                cells = placed(t, p[rows])
+                times = np.array([shares.get(c, 1) for c in cells.tolist()]) if shares else np.ones(len(rows), np.int64)
+                rows, cells = np.repeat(rows, times), np.repeat(cells, times)
+                share = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+                yield out_rows(cells, share << 2 | 2, keys.take(pa.array(rows)), v[rows], pa.nulls(len(rows), pa.float64()))
 
-    def boxes(b, reach):
-        """(tree, rows, cells) of a batch, for boxes of ``reach`` around the asked points."""
-        names, q = np.array(b.column("_t").to_pylist()), b.column("_q").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-        for t in np.unique(names):
-            rows, (node, parts) = np.flatnonzero(names == t), cuts[t]
-            p = q[:, trees[t]]
-            yield from ((t, *got) for got in _cells(node, p - reach[:, None], p + reach[:, None], parts, rows))
-
-    def place(batches, column, others=False):
-        """Rows with the cell of their place; with ``others`` with all cells within their distance but that one."""
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column("_k"), matrix(b, "_v")))
+                size += b.num_rows
+            if size >= HELD:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def ask(batches):
+        """Rows with holes, with the cell of their place."""
+        for b in batches:
+            tree, v, gone = np.array(b.column("_t").to_pylist()), matrix(b, "_v"), b.column("_v").flatten().is_null().to_numpy(zero_copy_only=False).reshape(-1, n)
+            cells = np.zeros(b.num_rows, np.int64)
+            for t in np.unique(tree) if b.num_rows else ():
+                rows = np.flatnonzero(tree == t)
+                cells[rows] = placed(t, v[rows][:, trees[t]])
+            yield out_rows(cells, b.column("_r").to_numpy(zero_copy_only=False), b.column("_k"), np.ma.array(v, mask=gone), pa.nulls(b.num_rows, pa.float64()))
+
+    def near_lists(c, rows, width):
+        """The nearest of the asked points ``rows``; ``width``: how many of each."""
+        which = np.arange(c.best[0].shape[1]) < width[:, None] if len(rows) else np.zeros((0, c.best[0].shape[1]), bool)
+        d, at = c.best[0][rows][which], pa.array(c.best[1][rows][which])
+        keys = c.keys.take(at) if c.keys is not None else pa.nulls(0, pa.null())
+        v = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), pa.array(c.v[np.asarray(at, np.int64)].reshape(-1)))
+        cells = pa.StructArray.from_arrays([pa.array(d), keys.is_null(), keys, v], ["d", "z", "k", "v"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(width)).astype(np.int32)), cells)
+
+    def first_look(c):
+        """Filled rows that are done; of others their nearest in the cell, the bound and the other cells it opens."""
+        keys, q, gone, w, _ = c.asks
+        t = names[int(np.searchsorted(bases, c.cell, "right")) - 1]
+        dist, at = c.best
+        m = dist.shape[1]
+        far = dist[:, k - 1] if m >= k else np.full(len(c.points), np.inf)
+        p, reach = c.points[:, trees[t]], np.where(far > 0, far * (1 + 1e-12), 0.0)[:, None]
+        opened = [np.concatenate(x) for x in zip(*_cells(cuts[t][0], p - reach, p + reach, cuts[t][1], np.arange(len(p))))]
+        other = opened[1] + base[t] != c.cell
+        who, cells = opened[0][other], opened[1][other] + base[t]
+        order = np.argsort(who, kind="stable")
+        cells, first = cells[order], np.searchsorted(who[order], np.arange(len(p) + 1))
+        count = np.diff(first)
+        done = (count[c.of] == 0) & (w & 1 == 0)
+        total = np.zeros((len(p), n))
+        for j in range(m):
+            total += c.v[at[:, j]]
+        fill = total / m if m else np.broadcast_to(np.array(means), total.shape)
+        v = np.ma.array(np.where(gone & done[:, None], fill[c.of], q), mask=gone & ~done[:, None]).reshape(-1)
+        number = np.where(done, 0, count[c.of])
+        take = np.repeat(first[c.of], number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        lists = near_lists(c, c.of, np.where(done, 0, m))
+        size = np.arange(len(q) + 1, dtype=np.int32) * n
+        yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(size), pa.array(v)), pa.array(done), lists.cast(near_arrow(keys.type)), pa.array(far[c.of]),
+                                          pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number)).astype(np.int32)), pa.array(cells[take].astype(np.int64)))], ["_k", "_v", "_done", "near", "_far", "_open"])
+
+    def next_look(c):
+        """Donors of an opened cell that are as near as the bound."""
+        keys, _, _, _, far = c.asks
+        width = (c.best[0][c.of] <= far[:, None]).sum(axis=1)
+        some = np.flatnonzero(width)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(some)), near_lists(c, c.of[some], width[some]).cast(near_arrow(keys.type))], ["_k", "near"])
+
+    def near_arrow(kind):
+        return pa.list_(pa.struct([("d", pa.float64()), ("z", pa.bool_()), ("k", kind), ("v", pa.list_(pa.float64()))]))
+
+    def meet(batches, tell):
+        """Rows sorted by cell and share: in each, those that ask before the donors, and these by their keys."""
+        now = None
         for b in batches:
             if not b.num_rows:
                 continue
-            if column == "_p":
-                names, p = np.array(b.column("_t").to_pylist()), b.column("_p")
-                cells = np.zeros(b.num_rows, np.int64)
-                for t in np.unique(names):
-                    rows, (node, parts) = np.flatnonzero(names == t), cuts[t]
-                    v = p.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-                    for who, c in _cells(node, v, v, parts, np.arange(len(rows))):
-                        cells[rows[who]] = c
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column("_t"), b.column("_v"), pa.array(cells)], [key, "_t", "_v", "cell"])
-                continue
-            reach = b.column("far").to_numpy(zero_copy_only=False) if others else np.zeros(b.num_rows)
-            at = np.asarray(b.column("cell").to_numpy()) if others else None
-            for _, who, c in boxes(b, np.where(reach > 0, reach * (1 + 1e-12), 0.0)):
-                keep = c != at[who] if others else np.ones(len(c), bool)
-                own = b.take(pa.array(who[keep]))
-                yield pa.RecordBatch.from_arrays([own.column("_t"), own.column("_q"), pa.array(c[keep].astype(np.int64))], ["_t", "_q", "cell"])
-
-    at_cell = spread.mapInArrow(lambda it: place(it, "_p"), f"{key} {key_type}, _t string, _v array<double>, cell long")
-    at_cell = cut_lineage(at_cell)
-    share = at_cell.groupBy("_t", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cell)).alias("_s"))  # many equal values share a cell
-    donor = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("_v").alias("v"))
-    packs = at_cell.join(share, ["_t", "cell"]).groupBy("_t", "cell", F.pmod(F.xxhash64(key), "_s").alias("_part")).agg(F.array_sort(F.collect_list(donor)).alias("_d"))
-    packs = cut_lineage(packs.select("_t", "cell", "_d"))
-
-    def nearest(batches):
-        for b in batches:
-            for asks, pack in zip(b.column("_asks"), b.column("_d")):
-                q, d = asks.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, n), pack.values
-                rows = d.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-                total = np.zeros((len(q), len(rows)))
-                for i in range(n):
-                    gap = q[:, i, None] - rows[None, :, i]
-                    total += np.where(np.isnan(q[:, i, None]), 0.0, gap * gap)
-                dist = np.sqrt(total)
-                dist[np.isnan(dist)] = np.inf
-                far = np.partition(dist, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
-                who, near = np.nonzero(dist <= far[:, None])
-                order = np.lexsort((near, dist[who, near], who))  # donors stand in the order of their keys
-                who, near = who[order], near[order]
-                first = np.searchsorted(who, np.arange(len(q) + 1))
-                keep = np.arange(len(who)) - first[who] < k
-                who, near = who[keep], near[keep]
-                found = d.take(pa.array(near))
-                cells = pa.StructArray.from_arrays([pa.array(dist[who, near]), found.field("z"), found.field("k"), found.field("v")], ["d", "z", "k", "v"])
-                offsets = pa.array(np.searchsorted(who, np.arange(len(q) + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([asks.values, pa.ListArray.from_arrays(offsets, cells)], ["_q", "near"])
-
-    closest = lambda lists: F.slice(F.array_sort(F.flatten(lists)), 1, k)
-
-    def look(rows):
-        load = rows.groupBy("_t", "cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_s"))
-        chunks = rows.join(load, ["_t", "cell"]).groupBy("_t", "cell", F.pmod(F.xxhash64("_q"), "_s").alias("_part")).agg(F.collect_list("_q").alias("_asks"))
-        return chunks.join(packs, ["_t", "cell"]).select("_asks", "_d").mapInArrow(nearest, f"_q array<double>, near {near_type}")
-
-    own = cut_lineage(asked.mapInArrow(lambda it: place(it, "_q"), "_t string, _q array<double>, cell long"))
-    first = cut_lineage(look(own).groupBy("_q").agg(closest(F.collect_list("near")).alias("near")))
-    far = F.coalesce(F.when(F.size("near") >= k, F.element_at("near", -1)["d"]), F.lit(float("inf")))
-    wide = own.join(first, "_q", "left").select("_t", "_q", "cell", far.alias("far")).mapInArrow(
-        lambda it: place(it, "_q", True), "_t string, _q array<double>, cell long")
-    got = first.unionByName(look(cut_lineage(wide))).groupBy("_q").agg(closest(F.collect_list("near")).alias("near"))
-    met = holes.filter("_t <> ''").join(got, "_q", "left").select(key, "_v", "near")
-    met = met.unionByName(plain.filter(F.col(key).isNotNull())).groupBy(key).agg(closest(F.collect_list("near")).alias("near"), F.collect_list("_v").alias("_v")).select(key, "near", F.explode("_v").alias("_v"))
-    return back(donors.unionByName(met.select(key, filled.alias("_v"))).unionByName(plain.filter(F.col(key).isNull()).select(key, filled.alias("_v"))), "_v").select(*out_schema.names)
+            cells, w = b.column("_c").to_numpy(), b.column("_w").to_numpy()
+            gone = np.stack([b.column(c).is_null().to_numpy(zero_copy_only=False) for c in cols], axis=1)
+            v = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1).astype(float)
+            far = b.column("_far").to_numpy(zero_copy_only=False).astype(float)
+            turn = np.flatnonzero((cells[1:] != cells[:-1]) | (w[1:] >> 1 != w[:-1] >> 1)) + 1
+            for a, z in zip([0, *turn.tolist()], [*turn.tolist(), b.num_rows]):
+                at = (int(cells[a]), int(w[a]) >> 2)
+                if now is None or now[0] != at:
+                    if now is not None and now[1].asks:
+                        now[1].fold()
+                        yield from tell(now[1])
+                    now = (at, _Cell(at[0], k))
+                keys = b.column("_k").slice(a, z - a)
+                if w[a] & 2:
+                    now[1].give(keys, v[a:z])
+                else:
+                    now[1].ask((keys, v[a:z], gone[a:z], w[a:z], far[a:z]))
+        if now is not None and now[1].asks:
+            now[1].fold()
+            yield from tell(now[1])
+
+    def look(asked, tell, schema):
+        """What rows with a cell find in it. A cell that many ask is dealt to several tasks, each with all its donors."""
+        load = asked.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ASKED).collect()  # a row for ASKED rows at most
+        shares = {r["_c"]: -(-r["n"] // ASKED) for r in load}
+        if shares:
+            times = F.create_map(*[F.lit(int(x)).cast("long") for pair in shares.items() for x in pair])
+            asked = asked.withColumn("_w", F.col("_w") + 4 * F.pmod(F.xxhash64(*cols), F.coalesce(times[F.col("_c")], F.lit(1).cast("long"))).cast("int"))
+        both = asked.unionByName(donors.mapInArrow(lambda it: give(it, shares), row_type))
+        share = F.shiftright("_w", 2)
+        dealt = both.repartition("_c", share).sortWithinPartitions("_c", F.shiftright("_w", 1), F.col("_k").asc_nulls_last())
+        return dealt.mapInArrow(lambda it: meet(it, tell), schema)
+
+    number = F.xxhash64("_k")
+    again = sieve(holes.filter("_k IS NOT NULL").select(number.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    asked = holes.filter("_t <> ''").withColumn("_r", again(number)).mapInArrow(ask, row_type)
+    first = stored(look(asked, first_look, f"_k {key_type}, _v array<double>, _done boolean, near {near_type}, _far double, _open array<long>"))
+    wide = first.filter(F.size("_open") > 0).select(F.explode("_open").alias("_c"), F.lit(0).alias("_w"), "_k", *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)], "_far")
+    more = look(wide, next_look, f"_k {key_type}, near {near_type}").select("_k", F.lit(None).cast("array<double>").alias("_v"), "near")
+    shared = F.coalesce(F.col("_k").isNotNull() & again(number), F.lit(False))
+    pool = first.filter("NOT _done").select("_k", "_v", "near").unionByName(more).unionByName(plain.filter(shared))
+    closest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    met = pool.groupBy("_k").agg(closest.alias("near"), F.collect_list("_v").alias("_v")).select("_k", "near", F.explode("_v").alias("_v"))
+    rest = met.unionByName(plain.filter(~shared)).select("_k", filled.alias("_v"))
+    return back(donors.unionByName(first.filter("_done").select("_k", "_v")).unionByName(rest), "_v")
 
 
 # --- outliers ---------------------------------------------------------------------
